@@ -7,14 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquill.llm import chat, exact_dedup, licenses, warc
+from strataquill.llm import bpe, chat, exact_dedup, langid, licenses, packing, warc
 from strataquill.session import ship, table
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file; every node has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ship(spark)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
@@ -48,11 +67,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.sample(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_license_scan": op6_license_scan,
     "op7_chat_format": op7_chat_format,
     "op8_warc": op8_warc,
+    "op10_language_id": op10_language_id,
 }
 
 _OP4_SQL = r"""
