@@ -212,3 +212,21 @@ def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text
 
     rows = docs.select(docs[id_col].cast("string").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInPandas(run, "doc_id string, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def predicted(text: Column, texts: dict[str, str]) -> Column:
+    """struct(lang_pred, score) of a text, for use beside other columns: only texts go to Python, no row moves."""
+
+    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = model_of(texts)
+        for b in batches:
+            yield pd.DataFrame(model.predict(b.tolist()), columns=["lang_pred", "score"])
+
+    return run(text)
+
+
+def keep_known(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is told."""
+    found = predicted(docs[text_col], sample(docs))
+    return docs.withColumn("__language", found).where(F.col("__language.lang_pred") != UNKNOWN).drop("__language")
