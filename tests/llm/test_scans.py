@@ -1,0 +1,82 @@
+import re
+
+import pytest
+from helpers import docs, odd_rows, prose
+
+from strataquill.llm import licenses, secrets
+
+
+def brute_base(t):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in t or ""))
+    hits = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    starts = [i for i, _ in hits]
+    return len(words), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+TEXTS = [
+    "Licensed under CC BY-NC 4.0.", "licensed under the GNU General Public License, version 3. All  rights\nreserved", "All rights all rights reserved. cc-by cc by",
+    "Copyright (c) 2020 Some Body. All rights reserved.", "Copyright one two three four five six seven all rights reserved", "éall rights reserved",
+    "Licensed under the Apache License, Version 2.0", "licensed under the apache license 2", "licensed under the apache licence 2.0",
+]
+
+
+def test_base_phrases(spark):
+    rows = odd_rows() + [(100 + k, t, "en") for k, t in enumerate(TEXTS)] + [(200, prose(1, 5000) + " all rights reserved " + prose(2, 5000), "en")]
+    got = [(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in licenses.scan(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(((i, *brute_base(t)) for i, t, _ in rows), key=str)
+    assert licenses.scan(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_templates():
+    found = licenses.automaton()
+    labels = lambda t: set(licenses.scan_text(found, t)[5].split(","))
+    assert "cc-by-nc-4.0" in labels(TEXTS[0])
+    assert {"gpl-3.0", "gpl", "reserved"} <= labels(TEXTS[1])
+    assert "copyright" in labels(TEXTS[3]) and "copyright" not in labels(TEXTS[4])  # at most six replaceable words
+    assert "apache-2.0" in labels(TEXTS[6]) and "apache-2.0" in labels(TEXTS[7]) and "apache-2.0" not in labels(TEXTS[8])
+
+
+def test_lazy_states_are_dropped():
+    found = licenses.Automaton([("x", "a <<v:3>> b <<o>>c<</o>> d", False)], limit=3)
+    for t, hit in (("a b d", True), ("a x y z b c d", True), ("a w x y z b d", False), ("a b c c d", False), ("z a b d", True)):
+        assert (licenses.scan_text(found, t)[5] == "x") is hit
+
+
+@pytest.mark.parametrize("mark", ["<<o>>a", "<<v:2>> a"])
+def test_wrong_templates(mark):
+    with pytest.raises(ValueError):
+        licenses.Automaton([("x", mark, False)])
+
+
+def test_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = odd_rows() + [
+        (20, f'é token = "{key}" and commit {key} x', "en"), (21, f"{key}" * 300, "en"), (22, "A1" * 10 + " " + f'password: "{key}"' * 3, "en"),
+    ]
+    d = docs(spark, rows)
+    found = secrets.scan(d).collect()
+    texts = {i: t for i, t, _ in rows}
+    for r in found:
+        assert texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"]
+    assert [(r["start"], r["secret"]) for r in sorted(found, key=lambda r: r["start"]) if r["doc_id"] == 20] == [(11, True), (64, False)]
+    assert sum(r["secret"] for r in found if r["doc_id"] == 22 and r["value"] == key) == 3
+    out = secrets.redact(d)
+    assert out.columns == d.columns
+    masked = {r["doc_id"]: r for r in out.collect()}
+    assert masked[20]["text"] == f'é token = "[SECRET]" and commit {key} x' and masked[20]["n_chars"] == len(masked[20]["text"])
+    assert masked[1]["text"] is None and masked[7]["text"] == texts[7] and len(masked) == len({i for i, *_ in rows})
+    assert secrets.scan(d.limit(0)).count() == 0
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    from pyspark.sql import functions as F
+
+    score = secrets.train(spark)
+    unseen = spark.createDataFrame(secrets.labelled_findings(600, 99), "v string, l string, r string, y int")
+    right = unseen.select(F.struct(F.expr(secrets._features("v", "l", "r")).alias("f")).alias("c"), "y").select((F.expr(score) >= 0.5).cast("int").alias("p"), "y")
+    assert right.where("p = y").count() >= 570
+
+
+def test_scan_is_one_projection(spark):
+    plan = secrets.scan(docs(spark, [(1, "a", "en")]))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange|Python|Arrow|Pandas", plan)
