@@ -28,6 +28,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -48,8 +49,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes byte strings; see the module's docstring."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_cached: int = 400_000):
-        self.ranks, self.max_states, self.max_cached = ranks, max_states, max_cached
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000, max_cached: int = 900_000, max_known: int = 1_000_000):
+        self.ranks, self.max_states, self.max_cached, self.max_known = ranks, max_states, max_cached, max_known
         self.text = {rank: token for token, rank in ranks.items()}
         #: So many bytes are read before what is agreed on is emitted.
         self.window = 8 * max(map(len, ranks))
@@ -75,6 +76,7 @@ class Transducer:
         self._follows: dict[int, bool] = {}
         self._tokens_below: dict[int, list[int] | None] = {}
         self._living: dict[int, bool] = {}
+        self.ending: dict[int, int] = {}
         self.cache: dict[str, bytes] = {}
         self._reset()
 
@@ -116,7 +118,7 @@ class Transducer:
         """Whether [a, b] is the encoding of the bytes of a and b."""
         known = self._follows.get(a << 24 | b)
         if known is None:
-            if len(self._follows) > 800_000:
+            if len(self._follows) > self.max_known:
                 self._follows.clear()
             known = self._follows[a << 24 | b] = self._free(a, b)
         return known
@@ -178,21 +180,30 @@ class Transducer:
     def _move(self, key: int) -> int:
         """The state after a byte, and the token that ends with it."""
         byte, after, ended = key & 255, [], -1
-        child, token_at, living = self.child, self.token_at, self._living
+        child, ending, living, follows = self.child.get, self.ending, self._living, self._follows
         for h in self.sets[key >> 8]:
-            to = child.get((h & 0xFFFFFF) << 8 | byte)
+            to = child((h & 0xFFFFFF) << 8 | byte)
             if to is None:
                 continue
-            token, last = token_at.get(to), (h >> 24) - 1
-            if token is not None and ended < 0 and self.whole(token) and (last < 0 or self.follows(last, token)):
-                after.append((token + 1) << 24)
-                ended = token
+            if ended < 0:
+                token = ending.get(to)
+                if token is None:
+                    token = self.token_at.get(to, -1)
+                    token = ending[to] = token if token >= 0 and self.whole(token) else -1
+                if token >= 0:
+                    last = (h >> 24) - 1
+                    may = last < 0 or follows.get(last << 24 | token)
+                    if may is None:
+                        may = self.follows(last, token)
+                    if may:
+                        after.append((token + 1) << 24)
+                        ended = token
             on = h - (h & 0xFFFFFF) + to
             alive = living.get(on)
             if alive is None:
-                if len(living) > 400_000:
+                if len(living) > self.max_known:
                     living.clear()
-                alive = living[on] = self._alive(last, to)
+                alive = living[on] = self._alive((h >> 24) - 1, to)
             if alive:
                 after.append(on)
         after.sort()
@@ -214,7 +225,8 @@ class Transducer:
             token = ends[upto - 1]
             out.append(token)
             upto -= len(self.text[token])
-        return np.array(out[::-1], "<u4").tobytes()
+        out.reverse()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode_bytes(self, data: bytes) -> bytes:
         """The ids of one match of the pattern, as little-endian unsigned 32-bit integers."""
@@ -242,11 +254,14 @@ class Transducer:
         except KeyError:
             if len(cache) > self.max_cached:
                 cache.clear()
-            # A piece longer than any usual word isn't kept.
-            ids = {p: self.encode_bytes(p.encode("utf-8", "surrogatepass")) for p in set(pieces) if p not in cache}
-            out = b"".join([cache.get(p) or ids.get(p, b"") for p in pieces])
-            cache.update((p, x) for p, x in ids.items() if len(p) <= 64)
-            return out
+            long = {}
+            for p in pieces:
+                if p not in cache:
+                    # What is longer than any usual word isn't kept.
+                    (cache if len(p) <= 64 else long)[p] = self.encode_bytes(p.encode("utf-8", "surrogatepass"))
+            if long:
+                return b"".join([cache[p] if len(p) <= 64 else long[p] for p in pieces])
+            return b"".join(map(cache.__getitem__, pieces))
 
 
 class Utf8Stream:
