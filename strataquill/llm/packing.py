@@ -9,8 +9,7 @@
    repeated while it does, at most ``rounds`` times.
 
 Texts are tokenised by the library. Texts of usual characters only are lower-cased and split here, by the rules of the
-tokenizer file, so that each distinct word goes to the library once per batch of unseen words; all other texts go to it
-whole.
+tokenizer file, and each distinct word goes to the library's model once; all other texts go to the library whole.
 
 Defined results: null text is empty (its only id is the end id); rows repeated (equal doc_id) each give pieces; an empty
 table gives an empty result; other columns are ignored.
@@ -19,6 +18,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -43,61 +43,37 @@ _UNUSUAL = re.compile(f"[^{_USUAL}]")
 _SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+")
 
 
-class WordIds:
-    """Token ids of texts, as little-endian unsigned 32-bit integers, by a tokenizer file that lower-cases and drops
-    white space and whose tokens that end a word are marked ``</w>``."""
+class WordIds(dict):
+    """Token ids of words, and of texts, as little-endian unsigned 32-bit integers, by a tokenizer file that lower-cases,
+    drops white space and reads bytes as characters. As a dict it holds the words that the library has told so far."""
 
-    def __init__(self, path: str, max_cached: int = 500_000):
+    def __init__(self, path: str, max_cached: int = 1_000_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocabulary = self.library.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
+        self.model = self.library.model
         self.max_cached = max_cached
+        # Bytes as characters: those that print stand for themselves, the others follow from 256 on.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.letters = dict(zip(sorted(set(range(256)) - set(plain)), range(256, 512), strict=False))
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.max_cached:
+            self.clear()
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.cache) > self.max_cached:
-            self.cache.clear()
-        for a in range(0, len(words), 2000):
-            some = words[a : a + 2000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some) and (not len(ends) or ends[-1] == len(ids)):
-                data, at = ids.tobytes(), 0
-                for word, end in zip(some, (4 * ends).tolist(), strict=True):
-                    self.cache[word] = data[at:end]
-                    at = end
-            else:
-                self.cache.update((w, self.whole(w)) for w in some)
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for a in range(0, len(texts), 256):
-            split: list[list[str] | bytes] = []
-            missing: set[str] = set()
-            for t in texts[a : a + 256]:
-                if not t:
-                    split.append(b"")
-                elif _UNUSUAL.search(t):
-                    split.append(self.whole(t))
-                else:
-                    split.append(_SPLIT.findall(t.lower()))
-                    missing.update(split[-1])
-            missing.difference_update(self.cache)
-            if missing:
-                before = len(self.cache)
-                self._learn(list(missing))
-                if len(self.cache) < before:  # it was emptied
-                    self._learn(list({w for s in split if isinstance(s, list) for w in s} - self.cache.keys()))
-            known = self.cache.__getitem__
-            out += [s if isinstance(s, bytes) else b"".join(map(known, s)) for s in split]
-        return out
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        return self.whole(text) if _UNUSUAL.search(text) else b"".join(map(self.__getitem__, _SPLIT.findall(text.lower())))
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -113,8 +89,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out = []
-            for doc, ids in zip(b["doc_id"], words.encode_batch(b["text"].tolist()), strict=True):
-                ids += end
+            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                ids = words.encode(text) + end
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     some = ids[a : a + 4 * capacity]
                     out.append((doc, k, a // 4, len(some) // 4, zlib.crc32(some)))

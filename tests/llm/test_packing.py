@@ -21,7 +21,8 @@ def test_same_ids_as_the_library():
     words, rnd = K.WordIds(PATH, max_cached=50), random.Random(2)
     kinds = ["abcdefgh", "THE Ing", "'s 't'RE", " \n\t\xa0", "äÖüßÉñİſ", "²³¼½ªº", "0123", "!@#''", "\xad’€", "éΣ日́", "<|endoftext|>"]
     texts = ["".join(rnd.choice(rnd.choice(kinds[: 9 if k % 2 else 11])) for _ in range(rnd.randint(0, 50))) for k in range(600)]
-    assert words.encode_batch(texts) == [words.whole(t) for t in texts]
+    assert [words.encode(t) for t in texts] == [words.whole(t) for t in texts]
+    assert len(words) <= 50
 
 
 def test_every_piece_is_packed_once(spark):
