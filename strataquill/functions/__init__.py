@@ -1 +1 @@
-
+"""Column expressions: text, paths and classification."""

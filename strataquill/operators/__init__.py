@@ -1 +1 @@
-
+"""Operators on tables of snapshots: each takes and returns DataFrames."""

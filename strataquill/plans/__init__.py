@@ -1,5 +1,5 @@
 """Composed queries over the driver's tables."""
 
-from strataquill.plans import registry
+from strataquill.plans import files, graphs, registry, reports, retrieval, risks
 
-__all__ = ["registry"]
+__all__ = ["files", "graphs", "registry", "reports", "retrieval", "risks"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -9,6 +11,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``, through Spark's reader only (any Hadoop file system works)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -18,8 +23,11 @@ def ship(spark: SparkSession) -> None:
     """Makes this package importable in the executors' Python workers, once per application.
 
     The package is zipped on the driver and handed out by Spark's own file server, so neither a shared folder nor an
-    installation on the nodes is needed.
+    installation on the nodes is needed. Python workers get ``BATCH_ROWS`` rows at a time unless the session says
+    otherwise: texts are long, and a batch stands several times in memory.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_strataquill_shipped", False):
         return
@@ -49,6 +57,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system; workers outlive their tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage at a reliable checkpoint, which survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -1 +1 @@
-
+"""Readers and writers: file trees, snapshot tables."""

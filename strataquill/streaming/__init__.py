@@ -1 +1 @@
-
+"""Event logs: batch folds and the same as streams."""
