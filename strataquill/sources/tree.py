@@ -90,7 +90,7 @@ def read_binary(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = files.select(F.col("path"), F.col("length").alias("size_bytes"), F.col("content").alias("raw"))
     head = F.substring("raw", 1, SNIFF)
-    text = F.replace(F.decode("raw", "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("raw").cast("string")), F.lit("\ufffd"), F.lit(""))
     binary = (F.position(F.lit(b"\0"), head) > 0) | ~F.is_valid_utf8(head.cast("string"))
     at = F.instr(F.col("path"), root.rstrip("/").removeprefix("file://"))
     return base.select(F.substr("path", at + len(root.rstrip("/").removeprefix("file://")) + 1).alias("rel_path"), "size_bytes", text.alias("content"), binary.alias("is_binary"))
