@@ -7,14 +7,59 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File extensions by language. (fixed values)
-LANGUAGES = {
-    "python": ".py", "typescript": ".ts .tsx", "javascript": ".js .jsx", "java": ".java", "go": ".go", "rust": ".rs", "cpp": ".cpp .cc .cxx .hpp", "c": ".c .h",
-    "csharp": ".cs", "ruby": ".rb", "php": ".php", "kotlin": ".kt .kts", "scala": ".scala .sc", "bash": ".sh .bash", "lua": ".lua", "zig": ".zig",
-    "haskell": ".hs .lhs", "elixir": ".ex .exs", "ocaml": ".ml .mli", "julia": ".jl", "groovy": ".groovy .gradle", "svelte": ".svelte",
-    "yaml": ".yaml .yml", "toml": ".toml", "html": ".html .htm", "css": ".css .scss .sass", "json": ".json .jsonc", "markdown": ".md .mdx", "sql": ".sql", "cmake": ".cmake", "ini": ".ini",
-}
-BY_EXTENSION = {ext: lang for lang, exts in LANGUAGES.items() for ext in exts.split()}
+#: Languages by file extension. (fixed values)
+BY_EXTENSION = {
+    ".py": "python",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".java": "java",
+    ".go": "go",
+    ".rs": "rust",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".c": "c",
+    ".h": "c",
+    ".hpp": "cpp",
+    ".cs": "csharp",
+    ".rb": "ruby",
+    ".php": "php",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".scala": "scala",
+    ".sc": "scala",
+    ".sh": "bash",
+    ".bash": "bash",
+    ".lua": "lua",
+    ".zig": "zig",
+    ".hs": "haskell",
+    ".lhs": "haskell",
+    ".ex": "elixir",
+    ".exs": "elixir",
+    ".ml": "ocaml",
+    ".mli": "ocaml",
+    ".jl": "julia",
+    ".groovy": "groovy",
+    ".gradle": "groovy",
+    ".svelte": "svelte",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".toml": "toml",
+    ".html": "html",
+    ".htm": "html",
+    ".css": "css",
+    ".scss": "css",
+    ".sass": "css",
+    ".json": "json",
+    ".jsonc": "json",
+    ".md": "markdown",
+    ".mdx": "markdown",
+    ".sql": "sql",
+    ".cmake": "cmake",
+    ".ini": "ini",
+}
 
 #: Parts of paths and extensions that decide a file's category. (fixed values)
 SECRET_HINTS = (".env", "id_rsa", "id_ed25519", "credentials", "secret", "token", "key")

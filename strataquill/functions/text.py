@@ -71,7 +71,7 @@ def lexical_score(content: Column, path: Column, terms: list[str]) -> Column:
 
 
 def slug(text: Column, default: str = "report") -> Column:
-    cleaned = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^a-zA-Z0-9._-]+", "-"), r"^[-]+|[-]+$", "")
+    cleaned = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"[^a-zA-Z0-9._-]+", "-"), r"^[-._]+|[-._]+$", "")
     return F.when(cleaned == "", default).otherwise(cleaned)
 
 
@@ -112,14 +112,50 @@ def normalized_confidence(value: Column) -> Column:
     return F.when(low.isin("high", "medium", "low"), low).otherwise("medium")
 
 
-#: Phrases that say that evidence is missing. (fixed values)
-MISSING_EVIDENCE = ("no evidence", "not found", "insufficient", "not available", "could not", "cannot determine", "unclear", "unknown", "missing", "no information")
+#: Phrases that say that evidence is missing or cut. (fixed values)
+MISSING_EVIDENCE = (
+    "truncated",
+    "not provided",
+    "not present",
+    "not included",
+    "could not be verified",
+    "were not provided",
+    "not available",
+    "incomplete",
+    "limited to",
+    "missing",
+)
+
+#: Names of models too small for the analysis. (fixed values)
+SMALL_MODELS = (
+    r"(^|[^0-9])1\.5b([^0-9]|$)",
+    r"(^|[^0-9])1b([^0-9]|$)",
+    r"(^|[^0-9])2b([^0-9]|$)",
+    r"(^|[^0-9])3b([^0-9]|$)",
+    r":mini\b",
+    r":tiny\b",
+    r"tinyllama",
+    r"gemma[-_]?2b",
+    r"qwen[^:]*:1\.5b",
+    r"phi[-_]?3[:_-]?mini",
+    r"smollm",
+)
 
 
 def misses_evidence(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(MISSING_EVIDENCE))
 
 
+def follow_ups(text: Column) -> Column:
+    """Queries that a note on missing evidence asks for: the paths in it, then its first 150 characters."""
+    own = F.trim(F.substring(text, 1, 150))
+    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(r"[\w./-]+\.\w{1,10}"), F.lit(0)), F.filter(F.array(own), lambda x: x != "")))
+
+
+def is_small_model(name: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(name, F.lit("")))).rlike("|".join(f"(?:{p})" for p in SMALL_MODELS))
+
+
 def source_host(url: Column) -> Column:
     low = F.lower(F.coalesce(url, F.lit("")))
     return F.when(F.contains(low, F.lit("github.com")), "github").when(F.contains(low, F.lit("bitbucket.org")), "bitbucket").otherwise("local")

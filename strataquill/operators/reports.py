@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 from strataquill.functions import text
 from strataquill.operators.analyzers import latest
 
-#: Order of the sections of a report. (fixed values)
-LETTERS = "ABCDEFGHIJKL"
+#: Fields of each section that its short form keeps. (fixed values)
+PREVIEW = {
+    "A": ["purpose", "domain", "tech_stack", "runtime_type"],
+    "B": ["main_layers", "frameworks", "entrypoints"],
+    "C": ["summary", "folders"],
+    "D": ["naming_style", "async_style", "error_handling"],
+    "E": ["rules", "violations_found"],
+    "F": ["features"],
+    "G": ["entrypoint", "backbone", "read_first"],
+    "H": ["steps"],
+    "I": ["terms"],
+    "J": ["summary", "findings"],
+}
 
 
 def report_list(reports: DataFrame, repos: DataFrame, snapshots: DataFrame, limit: int = 50) -> DataFrame:
@@ -96,3 +107,34 @@ def weak_sections(sections: DataFrame, flagged: list[str]) -> DataFrame:
 def canonical_hash(document: Column) -> Column:
     """SHA-256 of a JSON object with its keys in order (one level of nesting is sorted by Spark's own variant form)."""
     return F.sha2(F.to_json(F.try_parse_json(document)), 256)
+
+
+def compressed(letter: Column, section: Column, cap: int = 500) -> Column:
+    """The short form of a section (JSON text): its preview fields, cut to a length."""
+    fields = F.create_map(*[x for k, v in PREVIEW.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in v]))])
+    wanted = F.coalesce(F.try_element_at(fields, letter), F.array().cast("array<string>"))
+    held = F.from_json(section, "map<string,string>")
+    kept = F.map_from_entries(F.transform(F.filter(wanted, lambda f: F.map_contains_key(held, f) & F.element_at(held, f).isNotNull()), lambda f: F.struct(f, F.element_at(held, f))))
+    return F.substring(F.to_json(kept), 1, cap)
+
+
+def findings_diff(old: DataFrame, new: DataFrame, width: int = 300) -> DataFrame:
+    """(change, title, severity, item) of findings (title, severity, item) that one side lacks by title and severity."""
+    key = ["title", "severity"]
+    last = lambda rows: rows.groupBy(*[F.coalesce(k, F.lit("")).alias(k) for k in key]).agg(F.max("item").alias("item"))
+    a, b = last(old), last(new)
+    added = b.join(a, key, "left_anti").withColumn("change", F.lit("added"))
+    removed = a.join(b, key, "left_anti").withColumn("change", F.lit("removed"))
+    return added.unionByName(removed).select("change", *key, F.substring("item", 1, width).alias("item"))
+
+
+def score_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(letter, change) of section scores (letter, score) that differ in any case."""
+    low = lambda rows, name: rows.select("letter", F.lower(F.coalesce("score", F.lit(""))).alias(name))
+    rows = low(old, "a").join(low(new, "b"), "letter", "full_outer").withColumns({"a": F.coalesce("a", F.lit("")), "b": F.coalesce("b", F.lit(""))})
+    ask = lambda c: F.when(F.col(c) == "", "?").otherwise(F.col(c))
+    return rows.where("a <> b").select("letter", F.concat(ask("a"), F.lit(" → "), ask("b")).alias("change"))
+
+
+def of_categories(findings: DataFrame, categories: tuple[str, ...] = ("blast_radius", "anti_pattern")) -> DataFrame:
+    return findings.where(F.col("category").isin(*categories))

@@ -25,6 +25,10 @@ HINTS = {
     "important_files": ("source", "config", "infra"), "glossary": ("source", "docs"),
 }
 
+#: File names that tell what a project is. (fixed values)
+MANIFEST_NAMES = ("pyproject.toml", "package.json", "Cargo.toml", "go.mod", "requirements.txt", "setup.py", "setup.cfg", "pom.xml", "build.gradle", "composer.json", "Gemfile", "Package.swift")
+DOC_NAMES = ("README.md", "README.rst", "README.txt", "README", "CHANGELOG.md", "CONTRIBUTING.md", "ARCHITECTURE.md")
+
 
 def terms_of(query: str) -> list[str]:
     """The terms of a query; an error if there are none."""
@@ -199,3 +203,17 @@ def compare(a: DataFrame, b: DataFrame, first: int = 5) -> DataFrame:
         F.count("rank_a").alias("n_a"), F.count("rank_b").alias("n_b"), F.count_if(F.col("rank_a").isNotNull() & F.col("rank_b").isNotNull()).alias("n_both"),
         F.count_if(shared).alias("n_both_first"), (F.coalesce(F.sum("tokens_b"), F.lit(0)) - F.coalesce(F.sum("tokens_a"), F.lit(0))).cast("long").alias("token_delta"),
     )
+
+
+def named_files(chunks: DataFrame, endings: tuple[str, ...], limit: int) -> DataFrame:
+    """Chunks of files whose paths end in a name, in any case; shortest paths first. The limit counts chunks."""
+    hit = F.lit(False)
+    for e in endings:
+        hit = hit | F.col("rel_path").ilike(f"%{e}")
+    return chunks.where(hit).orderBy(F.char_length("rel_path"), "rel_path", "chunk_index").limit(limit)
+
+
+def supplement(evidence: DataFrame, limit: int = 15) -> DataFrame:
+    """New evidence (ord, rel_path, excerpt) without repeats of path and first 100 characters, in order, up to a limit."""
+    w = Window.partitionBy("rel_path", F.substring("excerpt", 1, 100)).orderBy("ord")
+    return evidence.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn").orderBy("ord").limit(limit)

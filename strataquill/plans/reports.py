@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquill.functions import text
-from strataquill.operators import reports
+from strataquill.operators import reports, retrieval
 from strataquill.plans.registry import query
 from strataquill.session import table
 from strataquill.streaming import events as ev
@@ -112,7 +112,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.run_available(ev.stream_latest(source, ["user_id"], "event_type", "event_id"), f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}", name)
 
 
-@query("SELECT doc_id, CASE WHEN regexp_replace(source, '[^a-zA-Z0-9._-]+', '-', 'g') = '' THEN 'report' ELSE source END AS slug, length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) AS n_clean, CASE WHEN lang IN ('high', 'medium', 'low') THEN lang ELSE 'medium' END AS confidence FROM documents")
+@query("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(trim(source), '[^a-zA-Z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), ''), 'report') AS slug, length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) AS n_clean, CASE WHEN lang IN ('high', 'medium', 'low') THEN lang ELSE 'medium' END AS confidence FROM documents")
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", text.slug(F.col("source")).alias("slug"), F.char_length(text.strip_controls(F.col("text"))).cast("long").alias("n_clean"), text.normalized_confidence(F.col("lang")).alias("confidence"))
@@ -122,3 +122,54 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").where("turn < 12").select(F.col("conv_id").alias("id"), F.char((F.col("turn") + 65).cast("long")).alias("letter"), F.col("role").alias("title"), F.col("text").alias("content"))
     return reports.to_markdown(rows)
+
+
+_COHORTS = """WITH d AS (SELECT doc_id, lang || '-' || (doc_id % 13) AS title, ['high', 'medium', 'low'][doc_id % 3 + 1] AS severity, text AS item FROM documents),
+o AS (SELECT title, severity, max(item) AS item FROM d WHERE doc_id % 2 = 0 GROUP BY ALL), n AS (SELECT title, severity, max(item) AS item FROM d WHERE doc_id % 5 <> 0 AND doc_id % 4 <> 2 GROUP BY ALL)"""
+
+
+@query(_COHORTS + """ SELECT 'added' AS change, title, severity, substr(item, 1, 300) AS item FROM n WHERE (title, severity) NOT IN (SELECT (title, severity) FROM o)
+UNION ALL SELECT 'removed', title, severity, substr(item, 1, 300) FROM o WHERE (title, severity) NOT IN (SELECT (title, severity) FROM n)""")
+def findings_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    scale = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (i % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(i, F.concat("lang", F.lit("-"), (i % 13).cast("string")).alias("title"), scale.alias("severity"), F.col("text").alias("item"))
+    return reports.findings_diff(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 5 <> 0 and doc_id % 4 <> 2"))
+
+
+@query(_SIDES + """, j AS (SELECT coalesce(a.letter, b.letter) AS letter, coalesce(a.confidence, '') AS x, coalesce(b.confidence, '') AS y FROM a FULL JOIN b ON a.letter = b.letter)
+SELECT letter, CASE x WHEN '' THEN '?' ELSE x END || ' → ' || CASE y WHEN '' THEN '?' ELSE y END AS change FROM j WHERE x <> y""")
+def score_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (x.withColumnRenamed("confidence", "score") for x in _sides(spark, sf_dir))
+    return reports.score_changes(a, b)
+
+
+@query(r"""SELECT item_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(q), lambda x: {'p': list_position(q, x), 'x': x})), lambda s: s.x), '|') AS queries,
+ regexp_matches(lower(t), 'truncated|not provided|not present|not included|could not be verified|were not provided|not available|incomplete|limited to|missing') AS misses
+FROM (SELECT item_id, t, list_concat(regexp_extract_all(t, '[\w./-]+\.\w{1,10}'), [trim(substr(t, 1, 150))]) AS q FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'src/a' || item_id || '.py is missing, ' ELSE '' END || text AS t FROM benchmark))""".replace("\\\\", "\\"))
+def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    note = F.concat(F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("src/a"), F.col("item_id").cast("string"), F.lit(".py is missing, "))).otherwise(""), F.col("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.follow_ups(note), "|").alias("queries"), text.misses_evidence(note).alias("misses"))
+
+
+@query("""SELECT o_orderkey, regexp_matches(m, '(^|[^0-9])1\.5b([^0-9]|$)|(^|[^0-9])1b([^0-9]|$)|(^|[^0-9])2b([^0-9]|$)|(^|[^0-9])3b([^0-9]|$)|:mini\b|:tiny\b|tinyllama|gemma[-_]?2b|qwen[^:]*:1\.5b|phi[-_]?3[:_-]?mini|smollm') AS is_small
+FROM (SELECT o_orderkey, ['llama-' || (o_orderkey % 40) || 'b', 'phi3:mini', 'x' || (o_orderkey % 5) || 'B-it', 'SmolLM', 'qwen2:1.5b'][o_orderkey % 5 + 1] AS n, lower(n) AS m FROM orders)""")
+def small_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    names = F.array(F.concat(F.lit("llama-"), (k % 40).cast("string"), F.lit("b")), F.lit("phi3:mini"), F.concat(F.lit("x"), (k % 5).cast("string"), F.lit("B-it")), F.lit("SmolLM"), F.lit("qwen2:1.5b"))
+    return table(spark, sf_dir, "orders").select(k, text.is_small_model(F.element_at(names, (k % 5 + 1).cast("int"))).alias("is_small"))
+
+
+@query("""SELECT ord, rel_path, excerpt FROM (SELECT doc_id AS ord, source AS rel_path, text AS excerpt, row_number() OVER (PARTITION BY source, substr(text, 1, 100) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1 ORDER BY ord LIMIT 15""")
+def supplemental_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("rel_path"), F.col("text").alias("excerpt"))
+    return retrieval.supplement(rows)
+
+
+@query("""SELECT rel_path, chunk_index FROM (SELECT 'd' || (doc_id % 17) || '/' || ['README.md', 'readme.rst', 'main.py', 'go.mod', 'x.json'][doc_id % 5 + 1] AS rel_path, doc_id AS chunk_index FROM documents)
+WHERE lower(rel_path) LIKE '%readme.md' OR lower(rel_path) LIKE '%readme.rst' ORDER BY length(rel_path), rel_path, chunk_index LIMIT 40""")
+def docs_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    names = F.array(*[F.lit(x) for x in ("README.md", "readme.rst", "main.py", "go.mod", "x.json")])
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), (i % 17).cast("string"), F.lit("/"), F.element_at(names, (i % 5 + 1).cast("int"))).alias("rel_path"), i.alias("chunk_index"))
+    return retrieval.named_files(rows, retrieval.DOC_NAMES, 40)

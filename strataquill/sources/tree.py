@@ -103,7 +103,11 @@ def read_file(files: DataFrame, rel_path: str, max_chars: int = 200_000) -> Data
     return files.where(F.col("rel_path") == rel_path).select("rel_path", F.substring("content", 1, max_chars).alias("content"), (F.char_length("content") > max_chars).alias("truncated"))
 
 
-def size_warning(entries: DataFrame, most: int = 200, heavy: tuple[str, ...] = ("node_modules", ".git", "dist", "build", "target", "venv", ".venv")) -> DataFrame:
+#: Folders that make a tree heavy. (fixed values)
+HEAVY = ("node_modules", ".venv", "venv", "env", "target", "build", "dist")
+
+
+def size_warning(entries: DataFrame, most: int = 200) -> DataFrame:
     """n_entries, n_heavy, warn of the root entries (name), one row."""
-    rows = entries.agg(F.count(F.lit(1)).alias("n_entries"), F.count_if(F.col("name").isin(*heavy)).alias("n_heavy"))
+    rows = entries.agg(F.count(F.lit(1)).alias("n_entries"), F.count_if(F.col("name").isin(*HEAVY)).alias("n_heavy"))
     return rows.withColumn("warn", (F.col("n_entries") > most) | (F.col("n_heavy") > 0))

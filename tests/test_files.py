@@ -125,3 +125,5 @@ def test_reports(spark):
     assert one(spark, reports.sections_of(F.col("j")), j='{"version": 1, "sections_v2": {"B": "y"}}') == {"B": "y"}
     same = {one(spark, reports.canonical_hash(F.col("j")), j=j) for j in ('{"a": 1, "b": {"c": 2, "d": 3}}', '{"b": {"d": 3, "c": 2}, "a": 1}')}
     assert len(same) == 1
+    cut = one(spark, reports.compressed(F.lit("A"), F.col("j")), j='{"purpose": "x", "domain": null, "other": 1, "tech_stack": "py"}')
+    assert cut == '{"purpose":"x","tech_stack":"py"}'
