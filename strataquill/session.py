@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -63,7 +64,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at a reliable checkpoint, which survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Cuts the lineage at a reliable checkpoint, which survives the loss of executors.
+
+    With ``free``, the driver collects its garbage afterwards, on which Spark's cleaner removes the shuffle files that only
+    led to the checkpoint; for large shuffles that is worth the moment.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
