@@ -57,7 +57,8 @@ def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of the vertices of ``edges`` (a, b: long) that aren't the smallest of their component."""
     edges = edges.where(F.col("a") != F.col("b")).select(F.col("a").cast("long"), F.col("b").cast("long"))
-    now = cut(edges.mapInPandas(_contracted, "a long, b long"))
+    # Written first: edges that Python makes and the contraction would else hold two workers per task at once.
+    now = cut(cut(edges).mapInPandas(_contracted, "a long, b long"))
     seen = None
     for _ in range(rounds):
         # Edges point from the larger to the smaller. Large star: larger neighbours go to the minimum around a vertex.

@@ -64,7 +64,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int")
     groups = ["digest", "second", "len", "norm"]
     salted = texts.groupBy(*groups, salt.alias("salt"), "hot").agg(F.max("rank").alias("best"), F.count(F.lit(1)).alias("group_size"))
-    salted = cut(salted.withColumn("norm", F.when(F.col("hot"), F.col("norm"))))
+    salted = cut(salted.withColumn("norm", F.when(F.col("hot"), F.col("norm"))), free=True)
     joined = salted.where("hot").groupBy(*groups).agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
     winners = salted.where("hot is null").drop("salt", "hot").unionByName(joined).drop("norm")
 

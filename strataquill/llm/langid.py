@@ -155,7 +155,7 @@ class Model:
                 out[k, a : a + LANES] = begun
         return out
 
-    def predict(self, texts: list[str | None], room: int = 4_000_000) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None], room: int = 1_000_000) -> list[tuple[str, float]]:
         """(language, score) per text; the score is how much less than the second language the first needs."""
         out: list[tuple[str, float]] = []
         pending: list[np.ndarray] = []

@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.llm.components import Forest, components
-from strataquill.session import cut
+from strataquill.session import cut, give_back
 
 WORDS, PERCENT = 5, 80
 FREQUENT, MOST_HOT, SHORT = 8, 1 << 20, 16
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 BITS = 1 << 23
+HELD = 1_000_000  # hashes that a map task holds before it hands them on
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -101,11 +102,13 @@ def frequent(docs: DataFrame, buckets: int, words: int = WORDS, least: int = FRE
                 s = shingles(t, words)
                 held.append(s[(s & np.uint64(1)) == 0])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > HELD:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
+        held.clear()
+        give_back()
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         once = np.frombuffer(b"".join(group["once"]), np.uint64)
@@ -171,6 +174,7 @@ def signatures(docs: DataFrame, hot, words: int = WORDS, percent: int = PERCENT)
                 first, others = (x.tobytes() for x in prefix(s, hot_keys, hot_df, percent))
                 out.append((doc, len(s), _digest(s.tobytes()), _digest(len(s).to_bytes(8, "little"), len(first).to_bytes(8, "little"), first, others), first, others))
             yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "prefix_digest", "hot", "cold"])
+        give_back()
 
     return docs.mapInPandas(run, _SIGNATURE).withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -337,6 +341,7 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
     hit = docs.where("doc_id is not null").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
     found = hit.mapInPandas(lambda batches: sets(near(batches)), "cid long, digest binary, shingles binary")
     held = cut(found.dropDuplicates(["cid", "digest"]).join(members.select("cid", "digest", "n", "family"), ["cid", "digest"]))
+    shared.destroy()
 
     sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
     sizes = sizes.where("k > 1").select("family", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -357,16 +362,17 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = spark.sparkContext.broadcast(_ordered_hot(cut(frequent(docs.select("text"), buckets, words))))
+    hot = spark.sparkContext.broadcast(_ordered_hot(cut(frequent(docs.select("text"), buckets, words), free=True)))
     typed = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     signed = cut(signatures(typed, hot, words, percent))
+    hot.destroy()  # the checkpoint holds all that was made with it
 
     usable = signed.where("n > 0 and doc_id is not null")
-    groups = cut(usable.groupBy("prefix_digest").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("hot").alias("hot"), F.first("cold").alias("cold")))
+    groups = cut(usable.groupBy("prefix_digest").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("hot").alias("hot"), F.first("cold").alias("cold")), free=True)
     classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("prefix_digest").alias("prefix_digest")))
     grouped = classes.join(groups.select("prefix_digest", "gid"), "prefix_digest").where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
     candidates = _cold_edges(groups, buckets, percent).unionByName(_hot_edges(groups)).unionByName(grouped)
-    connected = cut(components(candidates))
+    connected = cut(components(candidates), free=True)
     ids = connected.select(F.col("id").alias("cid"), F.col("component").alias("family")).unionByName(connected.select(F.col("component").alias("cid"), F.col("component").alias("family")).distinct())
     members = cut(classes.drop("prefix_digest").join(ids, "cid"))
 

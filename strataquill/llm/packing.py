@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataquill.session import cut
+from strataquill.session import cut, give_back
 
 CAPACITY, PART, ROUNDS = 2048, 16_384, 3
 
@@ -47,7 +47,7 @@ class WordIds(dict):
     """Token ids of words, and of texts, as little-endian unsigned 32-bit integers, by a tokenizer file that lower-cases,
     drops white space and reads bytes as characters. As a dict it holds the words that the library has told so far."""
 
-    def __init__(self, path: str, max_cached: int = 1_000_000):
+    def __init__(self, path: str, max_cached: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -95,6 +95,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
                     some = ids[a : a + 4 * capacity]
                     out.append((doc, k, a // 4, len(some) // 4, zlib.crc32(some)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     rows = docs.select(docs[id_col].cast("string").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast("long"))
