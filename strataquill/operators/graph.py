@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions import paths, text
@@ -93,9 +93,16 @@ def top_central(scores: DataFrame, limit: int = 30) -> DataFrame:
     return scores.orderBy(F.desc("score"), F.desc("indegree"), "rel_path").limit(limit)
 
 
+def _one_row(spark: SparkSession, **values: DataFrame) -> DataFrame:
+    """One row of the values of one-row, one-column tables."""
+    return spark.range(1).select(*[v.scalar().alias(k) for k, v in values.items()])
+
+
 def summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    counts = edges.agg(F.count(F.lit(1)).alias("total_edges"), F.count_if("is_external").alias("external_edges"))
-    return counts.crossJoin(nodes.agg(F.count(F.lit(1)).alias("total_nodes"), F.count_if(paths.is_entrypoint(F.col("rel_path"))).alias("n_entrypoints")))
+    count = lambda rows: rows.agg(F.count(F.lit(1)))
+    return _one_row(
+        edges.sparkSession, total_edges=count(edges), external_edges=count(edges.where("is_external")), total_nodes=count(nodes), n_entrypoints=count(nodes.where(paths.is_entrypoint(F.col("rel_path"))))
+    )
 
 
 def list_edges(edges: DataFrame, limit: int = 2000) -> DataFrame:
@@ -287,9 +294,9 @@ def community_summaries(members: DataFrame, pairs: DataFrame) -> DataFrame:
     near = between.select(F.col("c_src").alias("community_id"), F.col("c_dst").alias("n")).unionByName(between.select(F.col("c_dst").alias("community_id"), F.col("c_src").alias("n")))
     near = near.groupBy("community_id").agg(F.sort_array(F.collect_set("n")).alias("neighbours"))
     sizes = members.groupBy("community_id").agg(F.count(F.lit(1)).alias("member_count"))
-    total = F.broadcast(members.agg(F.count(F.lit(1)).alias("total")))
-    rows = sizes.crossJoin(total).join(hubs, "community_id").join(near, "community_id", "left")
-    return rows.select("community_id", "member_count", F.round(F.col("member_count") / F.col("total"), 6).alias("size_share"), "hubs", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
+    total = members.agg(F.count(F.lit(1))).scalar()
+    rows = sizes.join(hubs, "community_id").join(near, "community_id", "left")
+    return rows.select("community_id", "member_count", F.round(F.col("member_count") / total, 6).alias("size_share"), "hubs", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
 
 
 def community_of(members: DataFrame, node: str) -> DataFrame:
@@ -300,15 +307,20 @@ def community_of(members: DataFrame, node: str) -> DataFrame:
 
 def export(edges: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Seven counters of a graph, one row."""
+    count = lambda rows: rows.agg(F.count(F.lit(1)))
     pairs = edges.where(~F.col("is_external")).select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst")).distinct()
     sizes = members.groupBy("community_id").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        nodes.agg(F.count(F.lit(1)).alias("n_nodes"))
-        .crossJoin(edges.agg(F.count(F.lit(1)).alias("n_edges"), F.count_if("is_external").alias("n_external")))
-        .crossJoin(pairs.agg(F.count(F.lit(1)).alias("n_distinct_edges")))
-        .crossJoin(sizes.agg(F.count(F.lit(1)).alias("n_communities"), F.count_if(F.col("n") == 1).alias("n_singletons")))
-        .crossJoin(community_edges(members, pairs).agg(F.count(F.lit(1)).alias("n_community_edges")))
-    )
+    return _one_row(
+        edges.sparkSession, n_nodes=count(nodes), n_edges=count(edges), n_external=count(edges.where("is_external")), n_distinct_edges=count(pairs), n_communities=count(sizes),
+        n_singletons=count(sizes.where("n = 1")), n_community_edges=count(community_edges(members, pairs)),
+    )
+
+
+def export_json(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """A graph as lines of JSON, nodes first: {kind, ...}; lines, because a graph has no bound that one value could hold."""
+    pairs = edges.where(~F.col("is_external")).select("src_path", "dst_path", "edge_type").distinct()
+    node = members.select(F.lit(0).alias("part"), F.to_json(F.struct(F.lit("node").alias("kind"), "rel_path", "community_id")).alias("line"))
+    return node.unionByName(pairs.select(F.lit(1).alias("part"), F.to_json(F.struct(F.lit("edge").alias("kind"), "src_path", "dst_path", "edge_type")).alias("line")))
 
 
 def keyword_counts(rows: DataFrame, keywords: list[str]) -> DataFrame:

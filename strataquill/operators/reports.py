@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +69,9 @@ def section_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def quality_trend(a: DataFrame, b: DataFrame) -> DataFrame:
     """mean_a, mean_b, trend of section scores (score: high, medium, low), one row."""
-    mean = lambda rows, name: rows.agg(F.avg(text.confidence_rank(F.col("score"))).alias(name))
+    mean = lambda rows: rows.agg(F.round(F.avg(text.confidence_rank(F.col("score"))), 6)).scalar()
     trend = F.when(F.col("mean_b") > F.col("mean_a") + 0.15, "improving").when(F.col("mean_b") < F.col("mean_a") - 0.15, "degrading").otherwise("stable")
-    return mean(a, "mean_a").crossJoin(mean(b, "mean_b")).select(F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"), trend.alias("trend"))
+    return a.sparkSession.range(1).select(mean(a).alias("mean_a"), mean(b).alias("mean_b")).withColumn("trend", trend)
 
 
 def sections_of(report: Column) -> Column:
@@ -138,3 +140,33 @@ def score_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def of_categories(findings: DataFrame, categories: tuple[str, ...] = ("blast_radius", "anti_pattern")) -> DataFrame:
     return findings.where(F.col("category").isin(*categories))
+
+
+def patched(history: DataFrame, report_id: str, letter: str, section: str) -> DataFrame:
+    """The version table (id, letter, version, section, hash) with a new version of one section."""
+    own = history.where((F.col("id") == report_id) & (F.col("letter") == letter)).agg(F.coalesce(F.max("version"), F.lit(0)) + 1).scalar()
+    row = history.sparkSession.range(1).select(F.lit(report_id).alias("id"), F.lit(letter).alias("letter"), own.cast("long").alias("version"), F.lit(section).alias("section"), canonical_hash(F.lit(section)).alias("hash"))
+    return history.unionByName(row)
+
+
+def current_sections(history: DataFrame) -> DataFrame:
+    """The latest version of each section."""
+    return latest(history, ["id", "letter"], [F.desc("version")])
+
+
+def identity_context(section: Column) -> Column:
+    """The lines on stack, domain and runtime of a first section (JSON text); empty if it has none."""
+    s = F.from_json(section, "struct<tech_stack:array<string>,domain:string,runtime_type:string>")
+    line = lambda name, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"  {name}: "), value))
+    return F.concat_ws("\n", line("Tech stack", F.array_join(s["tech_stack"], ", ")), line("Domain", s["domain"]), line("Runtime type", s["runtime_type"]))
+
+
+def run_section(letter: str, context: DataFrame, answer: Callable[[str, DataFrame], dict] | None = None) -> dict:
+    """A section by an injected model call; without one, or if it fails, the fallback with low confidence."""
+    fallback = {"letter": letter, "confidence": "low", "content": ""}
+    if answer is None:
+        return fallback
+    try:
+        return fallback | answer(letter, context)
+    except Exception as error:
+        return fallback | {"error": str(error)}

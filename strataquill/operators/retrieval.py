@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions import text
+from strataquill.session import cut
 
 K1, B = 2.0, 0.75
 CANDIDATES, SEEDS, MOST_NEIGHBOURS = 100, 20, 50
@@ -66,16 +67,16 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 def idf(frequency: DataFrame, stats: DataFrame) -> DataFrame:
     """Terms in at least two chunks: term, df, idf. ``stats`` has one row."""
-    rows = frequency.where("df >= 2").crossJoin(F.broadcast(stats.select("n")))
-    return rows.select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    n = stats.select("n").scalar()
+    return frequency.where("df >= 2").select("term", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
 def bm25(chunks: DataFrame, terms: DataFrame, weights: DataFrame, stats: DataFrame, query: list[str]) -> DataFrame:
     """rel_path, chunk_index, bm25 of chunks with a positive score. A term in the path scores its idf once more, even where
     the content lacks it; an empty chunk scores nothing."""
     asked = weights.where(F.col("term").isin(*query) & (F.col("idf") > 0)).select("term", "idf")
-    ratio = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    found = terms.where(F.col("term").isin(*query)).join(F.broadcast(asked), "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    ratio = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / stats.select("avgdl").scalar()))
+    found = terms.where(F.col("term").isin(*query)).join(F.broadcast(asked), "term")
     inside = found.select("rel_path", "chunk_index", (F.col("idf") * ratio).alias("part"))
     # Path hits: the terms (at most those of the query) against the paths.
     hits = chunks.where(F.size(text.corpus_tokens(F.col("content"))) > 0).select("rel_path", "chunk_index")
@@ -150,13 +151,15 @@ def pack(rows: DataFrame, budget: int, score: str = "score") -> DataFrame:
 def two_stage(chunks: DataFrame, query: str, edges: DataFrame, communities: DataFrame, references: DataFrame, central: DataFrame, section: str = "architecture", budget: int | None = None, terms: DataFrame | None = None) -> DataFrame:
     """Candidates by BM25, expansion around the best, rescoring, packing: ranked chunks within the budget."""
     asked = terms_of(query)
-    terms = chunk_terms(chunks) if terms is None else terms
+    # Scores and candidates are used again and again below; the index, if it isn't given, is built once.
+    terms = cut(chunk_terms(chunks)) if terms is None else terms
     stats = corpus_stats(chunks)
-    scores = bm25(chunks, terms, idf(document_frequency(terms), stats), stats, asked)
-    stage1 = ranked(top(scores, "bm25"), "bm25")
+    scores = cut(bm25(chunks, terms, idf(document_frequency(terms), stats), stats, asked))
+    stage1 = cut(ranked(top(scores, "bm25"), "bm25"))
     seeds = stage1.where(F.col("rank") <= SEEDS)
     grown = expansion(seeds, edges, communities, references)
-    rows = stage3(candidates(stage1, grown, chunks), chunks, scores, stage1, seeds, communities, central, section)
+    # At most the chunks of the files around twenty seeds.
+    rows = cut(stage3(candidates(stage1, grown, chunks), chunks, scores, stage1, seeds, communities, central, section))
     return pack(rows, budget or BUDGETS[section])
 
 

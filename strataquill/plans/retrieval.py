@@ -9,7 +9,7 @@ from strataquill.functions import text
 from strataquill.operators import retrieval as r
 from strataquill.plans import fixtures as fx
 from strataquill.plans.registry import query
-from strataquill.session import table
+from strataquill.session import cut, table
 
 ASKED = list(fx.ASKED)
 
@@ -162,9 +162,9 @@ ranked AS (SELECT *, round(bm25_component * CAST(symbol_bonus AS DOUBLE) * CAST(
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.chunks(spark, sf_dir)
-    scores = _scores(spark, sf_dir, c)
-    stage1 = r.ranked(r.top(scores, "bm25"), "bm25")
+    c = cut(fx.chunks(spark, sf_dir))
+    scores = cut(_scores(spark, sf_dir, c))
+    stage1 = cut(r.ranked(r.top(scores, "bm25"), "bm25"))
     seeds, communities = stage1.where(F.col("rank") <= r.SEEDS), fx.file_communities(spark, sf_dir)
     grown = r.expansion(seeds, fx.file_edges(spark, sf_dir), communities, _references(spark, sf_dir))
     return r.stage3(r.candidates(stage1, grown, c), c, scores, stage1, seeds, communities, _central(spark, sf_dir), "architecture")
@@ -179,8 +179,8 @@ def two_stage_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 fold(k, used, kept) AS (SELECT 0::BIGINT, 0::BIGINT, false UNION ALL SELECT q.k, CASE WHEN f.used + q.t <= 14000 THEN f.used + q.t ELSE f.used END, f.used + q.t <= 14000 FROM fold f JOIN q ON q.k = f.k + 1)
 SELECT q.rel_path, q.chunk_index, q.t AS token_estimate, q.score FROM fold f JOIN q USING (k) WHERE f.kept""")
 def ret_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.chunks(spark, sf_dir)
-    central = _central(spark, sf_dir)
+    c = cut(fx.chunks(spark, sf_dir))
+    central = cut(_central(spark, sf_dir))
     out = r.two_stage(c, " ".join(ASKED), fx.file_edges(spark, sf_dir), fx.file_communities(spark, sf_dir), _references(spark, sf_dir), central)
     return out.select("rel_path", "chunk_index", "token_estimate", "score")
 
