@@ -36,7 +36,7 @@ def manifest_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _delta(spark, sf_dir)
 
 
-@query(_F + _BEFORE + " SELECT count(*) AS total, count_if(change = 'new') AS new, count_if(change = 'changed') AS changed, count_if(change = 'unchanged') AS unchanged, CAST(0 AS BIGINT) AS ignored FROM delta")
+@query(_F + _BEFORE + " SELECT count(*) AS total, count(*) FILTER (WHERE change = 'new') AS new, count(*) FILTER (WHERE change = 'changed') AS changed, count(*) FILTER (WHERE change = 'unchanged') AS unchanged, CAST(0 AS BIGINT) AS ignored FROM delta")
 def manifest_delta_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.delta_counts(_delta(spark, sf_dir))
 
@@ -121,7 +121,7 @@ def report_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 _S = "WITH " + fx.SYMBOLS_SQL
 
 
-@query(_S + """ SELECT rel_path, name, line_start, CASE WHEN name = 'small' THEN 0 WHEN lower(name) LIKE 'small%' THEN 1 ELSE 2 END AS level
+@query(_S + """ SELECT rel_path, name, line_start, CAST(CASE WHEN name = 'small' THEN 0 WHEN lower(name) LIKE 'small%' THEN 1 ELSE 2 END AS BIGINT) AS level
 FROM symbols WHERE lower(name) LIKE '%small%' OR lower(rel_path) LIKE '%small%' ORDER BY level, rel_path, line_start, name LIMIT 120""")
 def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.search(fx.symbols(spark, sf_dir), " small ").select("rel_path", "name", "line_start", "level")
@@ -145,7 +145,7 @@ def symbol_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.breakdown(fx.symbols(spark, sf_dir), "kind")
 
 
-@query(_S + """, c AS (SELECT lower(language) AS language, count_if(kind = 'class') AS n_classes, count_if(kind IN ('function', 'method')) AS n_functions FROM symbols WHERE language IS NOT NULL GROUP BY 1)
+@query(_S + """, c AS (SELECT lower(language) AS language, count(*) FILTER (WHERE kind = 'class') AS n_classes, count(*) FILTER (WHERE kind IN ('function', 'method')) AS n_functions FROM symbols WHERE language IS NOT NULL GROUP BY 1)
 SELECT * FROM (SELECT *, CASE WHEN n_classes = 0 THEN 'purely functional' WHEN n_functions = 0 THEN 'class-heavy' WHEN n_classes / (n_classes + n_functions) > 0.4 THEN 'class-heavy OOP'
  WHEN n_classes / (n_classes + n_functions) < 0.1 THEN 'functional / procedural' END AS style FROM c WHERE n_classes + n_functions >= 10) WHERE style IS NOT NULL ORDER BY language LIMIT 4""")
 def class_function_style(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +159,7 @@ def suffix_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_S + r""", n AS (SELECT name FROM symbols WHERE kind IN ('function', 'method') AND name NOT LIKE '\_%' ESCAPE '\' ORDER BY line_start, name LIMIT 300),
-c AS (SELECT count_if(regexp_matches(name, '^[a-z][a-zA-Z0-9]*$')) AS n_camel, count_if(regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$')) AS n_pascal, count_if(regexp_matches(name, '^[a-z][a-z0-9_]*$')) AS n_snake, count(*) AS n FROM n)
+c AS (SELECT count(*) FILTER (WHERE regexp_matches(name, '^[a-z][a-zA-Z0-9]*$')) AS n_camel, count(*) FILTER (WHERE regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$')) AS n_pascal, count(*) FILTER (WHERE regexp_matches(name, '^[a-z][a-z0-9_]*$')) AS n_snake, count(*) AS n FROM n)
 SELECT *, CASE WHEN n > 0 AND greatest(n_camel, n_pascal, n_snake) * 2 >= n THEN CASE greatest(n_camel, n_pascal, n_snake) WHEN n_camel THEN 'camelCase' WHEN n_pascal THEN 'PascalCase' ELSE 'snake_case' END END AS style FROM c""")
 def naming_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.symbols(spark, sf_dir).where(F.col("kind").isin("function", "method") & ~F.startswith("name", F.lit("_")))

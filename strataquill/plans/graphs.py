@@ -26,7 +26,7 @@ def top_central(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top_central(graph.centrality(fx.edges(spark, sf_dir)))
 
 
-@query(_E + " SELECT (SELECT count(*) FROM edges) AS total_edges, (SELECT count_if(is_external) FROM edges) AS external_edges, (SELECT count(*) FROM part) AS total_nodes, CAST(0 AS BIGINT) AS n_entrypoints")
+@query(_E + " SELECT (SELECT count(*) FROM edges) AS total_edges, (SELECT count(*) FILTER (WHERE is_external) FROM edges) AS external_edges, (SELECT count(*) FROM part) AS total_nodes, CAST(0 AS BIGINT) AS n_entrypoints")
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.summary(fx.edges(spark, sf_dir), fx.part_nodes(spark, sf_dir))
 
@@ -108,7 +108,7 @@ def community_of_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.community_of(fx.communities(spark, sf_dir), "p5")
 
 
-@query(_C + """ SELECT (SELECT count(*) FROM part) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count_if(is_external) FROM edges) AS n_external, (SELECT count(*) FROM inner_pairs) AS n_distinct_edges,
+@query(_C + """ SELECT (SELECT count(*) FROM part) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FILTER (WHERE is_external) FROM edges) AS n_external, (SELECT count(*) FROM inner_pairs) AS n_distinct_edges,
  (SELECT count(DISTINCT community_id) FROM members) AS n_communities, (SELECT count(*) FROM (SELECT 1 FROM members GROUP BY community_id HAVING count(*) = 1)) AS n_singletons,
  (SELECT count(*) FROM (SELECT DISTINCT c_src, c_dst FROM cpairs WHERE c_src <> c_dst)) AS n_community_edges""")
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:

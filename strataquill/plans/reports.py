@@ -27,7 +27,7 @@ def report_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.cached_report(rows, ["o_custkey"]).select("o_custkey", F.col("id").alias("o_orderkey"))
 
 
-@query("SELECT k AS pos, x AS conv_id, (SELECT min(text) FROM conversations c WHERE c.conv_id = x AND turn = 0) AS text FROM (VALUES (0, 9), (1, 3), (2, 100000), (3, 1)) v(k, x)")
+@query("SELECT CAST(k AS BIGINT) AS pos, x AS conv_id, (SELECT min(text) FROM conversations c WHERE c.conv_id = x AND turn = 0) AS text FROM (VALUES (0, 9), (1, 3), (2, 100000), (3, 1)) v(k, x)")
 def sections_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("text"))
     return reports.in_order(rows.withColumn("conv_id", F.col("conv_id").cast("int")), "conv_id", [9, 3, 100000, 1])
@@ -92,7 +92,7 @@ def section_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT user_id AS job_id, event_type AS step, arg_max(value, event_id) AS percent, max(event_type = 'error' AND value > 400) AS failed FROM events GROUP BY ALL),
-r AS (SELECT job_id, count_if(percent >= 100) AS n_done, count(*) AS n_steps, max(failed) AS failed FROM l GROUP BY 1)
+r AS (SELECT job_id, count(*) FILTER (WHERE percent >= 100) AS n_done, count(*) AS n_steps, max(failed) AS failed FROM l GROUP BY 1)
 SELECT job_id, n_done, n_steps, CASE WHEN failed THEN 'failed' WHEN n_done = n_steps THEN 'done' WHEN n_done > 0 THEN 'running' ELSE 'pending' END AS state FROM r""")
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -152,7 +152,7 @@ def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.follow_ups(note), "|").alias("queries"), text.misses_evidence(note).alias("misses"))
 
 
-@query("""SELECT o_orderkey, regexp_matches(m, '(^|[^0-9])1\.5b([^0-9]|$)|(^|[^0-9])1b([^0-9]|$)|(^|[^0-9])2b([^0-9]|$)|(^|[^0-9])3b([^0-9]|$)|:mini\b|:tiny\b|tinyllama|gemma[-_]?2b|qwen[^:]*:1\.5b|phi[-_]?3[:_-]?mini|smollm') AS is_small
+@query(r"""SELECT o_orderkey, regexp_matches(m, '(^|[^0-9])1\.5b([^0-9]|$)|(^|[^0-9])1b([^0-9]|$)|(^|[^0-9])2b([^0-9]|$)|(^|[^0-9])3b([^0-9]|$)|:mini\b|:tiny\b|tinyllama|gemma[-_]?2b|qwen[^:]*:1\.5b|phi[-_]?3[:_-]?mini|smollm') AS is_small
 FROM (SELECT o_orderkey, ['llama-' || (o_orderkey % 40) || 'b', 'phi3:mini', 'x' || (o_orderkey % 5) || 'B-it', 'SmolLM', 'qwen2:1.5b'][o_orderkey % 5 + 1] AS n, lower(n) AS m FROM orders)""")
 def small_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
