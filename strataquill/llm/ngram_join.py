@@ -135,8 +135,8 @@ def _ordered_hot(found: DataFrame, most: int = MOST_HOT) -> tuple[np.ndarray, np
         least = level
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = found.where(F.floor(F.log2("df")) >= least).toPandas()
-    keys, df = rows["key"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(np.int64)
+    rows = found.where(F.floor(F.log2("df")) >= least).select("key", "df").toArrow()
+    keys, df = rows["key"].to_numpy().view(np.uint64), rows["df"].to_numpy()
     order = np.argsort(keys)
     return keys[order], df[order]
 
@@ -321,8 +321,8 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
     # A bit map of fixed size lets documents that are in no family pass by without being shingled again.
     bits = members.select(place.alias("place")).select(F.expr("cast(place div 32 as int) as word"), F.expr("shiftleft(1L, cast(place % 32 as int)) as bit"))
     bitmap = np.zeros(BITS // 32, np.uint32)
-    for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        bitmap[r["word"]] = r["bits"]
+    marked = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap[marked["word"].to_numpy()] = marked["bits"].to_numpy().astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
