@@ -22,6 +22,7 @@ TABLES = ("files", "symbols", "edges", "communities", "chunks", "terms", "symbol
 class Engine:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._building: set[str] = set()
         ship(spark)
 
     def table(self, name: str, snapshot_id: str | None = None) -> DataFrame:
@@ -36,6 +37,9 @@ class Engine:
         """Fills all tables of a snapshot from a folder, or from a table with rel_path, size_bytes and content."""
         if not rebuild and snapshots.built(self.spark, f"{self.folder}/terms", snapshot_id):
             return
+        if snapshot_id in self._building:
+            raise RuntimeError(f"{snapshot_id} is being built")
+        self._building.add(snapshot_id)
         tag = f"build-{snapshot_id}"
         self.spark.addTag(tag)
         try:
@@ -64,6 +68,7 @@ class Engine:
             self._write("terms", snapshot_id, retrieval.chunk_terms(self.table("chunks", snapshot_id)))
         finally:
             self.spark.removeTag(tag)
+            self._building.discard(snapshot_id)
 
     def cancel(self, snapshot_id: str) -> None:
         self.spark.interruptTag(f"build-{snapshot_id}")

@@ -169,3 +169,8 @@ def clean_patterns(patterns: Column) -> Column:
 def whole_words(words: list[str]) -> str:
     """A pattern for any of some words between characters that aren't ASCII letters, digits or underscores."""
     return r"(?<![A-Za-z0-9_])(?:" + "|".join(words) + r")(?![A-Za-z0-9_])"
+
+
+def stable_id(*parts: Column) -> Column:
+    """An id made of a row's own values, the same in every run."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256)

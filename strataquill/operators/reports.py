@@ -170,3 +170,18 @@ def run_section(letter: str, context: DataFrame, answer: Callable[[str, DataFram
         return fallback | answer(letter, context)
     except Exception as error:
         return fallback | {"error": str(error)}
+
+
+def audit_markdown(audit: Column) -> Column:
+    """The audit section (JSON text) as Markdown: overall confidence, a table of scores, weak sections, notes."""
+    a = F.from_json(audit, "struct<overall_confidence:string,section_scores:map<string,string>,weakest_sections:array<string>,notes:string>")
+    scores = F.array_sort(F.map_entries(F.coalesce(a["section_scores"], F.create_map().cast("map<string,string>"))))
+    rows = F.array_join(F.transform(scores, lambda e: F.concat(F.lit("| "), e["key"], F.lit(" | "), F.coalesce(e["value"], F.lit("")), F.lit(" |"))), "\n")
+    part = lambda title, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"## {title}\n\n"), body))
+    table = F.when(rows != "", F.concat(F.lit("| section | score |\n|-|-|\n"), rows))
+    return F.concat_ws("\n\n", part("Confidence", a["overall_confidence"]), part("Scores", table), part("Weak sections", F.array_join(a["weakest_sections"], ", ")), part("Notes", a["notes"]))
+
+
+def without_secrets(providers: DataFrame, secret: str = "api_key") -> DataFrame:
+    """Provider rows that say whether there is a key, without the key."""
+    return providers.withColumn(f"has_{secret}", F.coalesce(F.col(secret), F.lit("")) != "").drop(secret)

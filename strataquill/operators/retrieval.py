@@ -220,3 +220,10 @@ def supplement(evidence: DataFrame, limit: int = 15) -> DataFrame:
     """New evidence (ord, rel_path, excerpt) without repeats of path and first 100 characters, in order, up to a limit."""
     w = Window.partitionBy("rel_path", F.substring("excerpt", 1, 100)).orderBy("ord")
     return evidence.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn").orderBy("ord").limit(limit)
+
+
+def rendered(evidence: DataFrame) -> DataFrame:
+    """One text of ranked evidence (rel_path, chunk_index, score, content, expanded), best first; the rows are few."""
+    block = F.concat(F.lit("=== "), "rel_path", F.lit(" #"), F.col("chunk_index").cast("string"), F.lit(" ===\n"), text.excerpt(F.col("content"), F.col("expanded")))
+    one = evidence.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "rel_path", "chunk_index", block.alias("block")))).alias("blocks"))
+    return one.select(F.array_join(F.transform("blocks", lambda x: x["block"]), "\n\n").alias("evidence"))

@@ -127,3 +127,10 @@ def test_reports(spark):
     assert len(same) == 1
     cut = one(spark, reports.compressed(F.lit("A"), F.col("j")), j='{"purpose": "x", "domain": null, "other": 1, "tech_stack": "py"}')
     assert cut == '{"purpose":"x","tech_stack":"py"}'
+    audit = one(spark, reports.audit_markdown(F.col("j")), j='{"overall_confidence": "low", "section_scores": {"B": "high", "A": "low"}, "weakest_sections": ["A"]}')
+    assert audit == "## Confidence\n\nlow\n\n## Scores\n\n| section | score |\n|-|-|\n| A | low |\n| B | high |\n\n## Weak sections\n\nA"
+    keys = reports.without_secrets(spark.createDataFrame([("p", "k"), ("q", None)], "id string, api_key string")).collect()
+    assert [(r["id"], r["has_api_key"]) for r in keys] == [("p", True), ("q", False)] and "api_key" not in keys[0]
+    shown = retrieval.rendered(spark.createDataFrame([("a", 0, 1.0, "x", False), ("b", 1, 2.0, "y" * 2500, False)], "rel_path string, chunk_index long, score double, content string, expanded boolean")).first()[0]
+    assert shown.startswith("=== b #1 ===\nyyy") and shown.endswith("...\n\n=== a #0 ===\nx")
+    assert one(spark, text.stable_id(F.col("a"), F.lit(None)), a="x") != one(spark, text.stable_id(F.col("a"), F.lit("")), a="x")
