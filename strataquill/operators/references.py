@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataquill.operators.symbols import UNPARSED
 from strataquill.session import cut
 
 SCHEMA = "rel_path string, fact string, owner string, name string, a string, b string, line long"
@@ -33,7 +34,7 @@ def python_facts(path: str, content: str) -> list[tuple]:
     call (class, called name, caller, receiver), attribute (class, attribute, type), base (class, base)."""
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
+    except UNPARSED:
         return []
     out: list[tuple] = []
 

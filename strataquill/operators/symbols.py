@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from strataquill.functions import paths, text
 
 MOST_PER_FILE = 2000
+#: What the parser raises on text that isn't Python, or is nested too deeply for it.
+UNPARSED = (SyntaxError, ValueError, RecursionError, MemoryError)
 SCHEMA = "rel_path string, language string, name string, kind string, line_start long, line_end long, signature string, parent_name string, extract_source string"
 
 _NAME = r"([A-Za-z_$][\w$]*)"
@@ -104,7 +106,7 @@ def file_symbols(content: str | None, language: str | None) -> tuple[list[tuple]
     if lang == "python":
         try:
             rows = python_symbols(content)
-        except (SyntaxError, ValueError, RecursionError):
+        except UNPARSED:
             rows, failed = pattern_symbols(content, ""), True
     else:
         rows = pattern_symbols(content, lang)
@@ -245,7 +247,7 @@ def chunk_file(content: str, language: str | None, target: int) -> list[tuple]:
         return [(content, "file", [], 0, content.count("\n"))]
     try:
         spans = python_spans(content) if lang == "python" else brace_spans(content, lang) if lang in PATTERNS else []
-    except (SyntaxError, ValueError, RecursionError):
+    except UNPARSED:
         spans = []
     if not spans:
         return flat_file(content, target)
@@ -286,7 +288,7 @@ def python_imports(content: str) -> list[str]:
     """Module names of all imports; how far a relative one goes up is dropped."""
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
+    except UNPARSED:
         return []
     out = []
     for node in ast.walk(tree):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquill.functions import paths
-from strataquill.session import table
+from strataquill.session import spread, table
 
 TOPS = ("src", "tests", "docs", "infra", "domain", "api", "services", "migrations")
 SUBS = ("core", "utils", "handlers", "models", "routes")
@@ -19,7 +19,7 @@ def _listed(values: tuple[str, ...]) -> str:
 
 def files(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """doc_id, rel_path, size_bytes, content, language, category of documents."""
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    docs = spread(table(spark, sf_dir, "documents")) if docs is None else docs
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), k.cast("int"))
     i = F.col("doc_id")
     name = F.concat(F.when(i % 29 == 0, "token_").when(i % 31 == 0, "main").otherwise("doc_"), i.cast("string"))

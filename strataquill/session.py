@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table of fewer splits than cores out to all of them; a table of more splits stays as it is.
+
+    A small file of one row group is one split, and text work on it would else run on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the executors' Python workers, once per application.
 

@@ -103,3 +103,8 @@ def test_scripts(spark):
     got = resolved(spark, repo__ts=repo, service__ts=service)
     assert got.get(("service.ts::caller", "service.ts::wrap")) == "high"
     assert ("service.ts::Service.get", "repo.ts::OrderRepo.find") not in got
+
+
+def test_nesting_too_deep_for_the_parser():
+    deep = "(" * 5000 + "\nclass A:\n  pass\n"
+    assert symbols.file_symbols(deep, "python")[1] and symbols.chunk_file(deep, "python", 1000) and references.python_facts("a.py", deep) == [] and symbols.python_imports(deep) == []
