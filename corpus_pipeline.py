@@ -12,35 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataquill.llm import exact_dedup, langid, ngram_join, packing, secrets
 from strataquill.llm.queries import vocabulary
-from strataquill.session import ensure_checkpoint_dir, ship, table
+from strataquill.session import ensure_checkpoint_dir, ship, spread, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: null texts and texts without a letter."""
     ship(spark)
-    return langid.keep_known(docs)
+    return langid.keep_known(spread(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space, the longest stays, then the one with the smallest id."""
-    return exact_dedup.keep_first(docs)
+    return exact_dedup.keep_first(spread(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of at least 0.8 on five-word shingles, the smallest id stays."""
     ship(spark)
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(spread(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts; every document stays."""
-    return secrets.redact(docs)
+    return secrets.redact(spread(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of at most 2048 tokens; one row per piece."""
     ship(spark)
-    return packing.pack(packing.pieces(docs, vocabulary("word_bpe_49k.json")))
+    return packing.pack(packing.pieces(spread(docs), vocabulary("word_bpe_49k.json")))
 
 
 STAGES = [

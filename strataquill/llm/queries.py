@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquill.llm import bpe, chat, embeddings, exact_dedup, langid, licenses, ngram_join, packing, secrets, warc
-from strataquill.session import ship, table
+from strataquill.session import ship, spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def vocabulary(name: str) -> str:
@@ -22,31 +26,31 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
-    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return ngram_join.join(table(spark, sf_dir, "documents"))
+    return ngram_join.join(documents(spark, sf_dir))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    found = secrets.scan(documents(spark, sf_dir))
     return found.select("doc_id", "place", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.dedup(documents(spark, sf_dir))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+    return packing.pack(packing.pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan(documents(spark, sf_dir)).drop("spans")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +88,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     found = langid.predict(docs, langid.sample(docs))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
