@@ -49,7 +49,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes byte strings; see the module's docstring."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000, max_cached: int = 900_000, max_known: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_cached: int = 600_000, max_known: int = 700_000):
         self.ranks, self.max_states, self.max_cached, self.max_known = ranks, max_states, max_cached, max_known
         self.text = {rank: token for token, rank in ranks.items()}
         #: So many bytes are read before what is agreed on is emitted.
