@@ -9,7 +9,8 @@ list, shared pivots are counted on bit masks, and candidates are verified by cos
 
 Equal vectors are one class with a count. A list is cut into blocks of about ``BLOCK`` and each pair of blocks is a task
 of its own, so a hot list is spread; a task returns its vectors' link counts and a spanning forest, never pairs. No
-candidate is dropped; what the index doesn't find (pairs that share fewer pivots) is measured in the tests.
+candidate is dropped; what the index doesn't find (pairs that share fewer pivots) is measured in the tests. Vectors that
+leave at most ``NEAREST`` pivots apart (narrow cones, small tables) are all compared, within their label.
 
 Defined results: vectors without id or label, null, empty or zero ones, and those with null or non-finite components
 have no links and are their own component; vectors of different length never link; equal rows are linked copies; an
@@ -98,6 +99,8 @@ def link_classes(vectors: DataFrame, threshold: float, shared: int = SHARED, nea
     """(cid, links, root): links of a class found in one task, and the smallest class linked to it there."""
     vectors = cut(vectors)
     pivots = pivots_of(vectors, vectors.count())
+    # Where fewer pivots are apart than a vector has or a pair must share, all pairs see the same ones and are candidates.
+    nearest, shared = min(nearest, len(pivots)), min(shared, len(pivots))
     lists = ["label", "dim", "pivot"]
     described = cut(index(vectors, pivots, nearest))
     stands = described.withColumn("pivot", F.explode(F.slice("pivots", 1, max(1, nearest - shared + 1)))).drop("pivots")

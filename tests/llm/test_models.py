@@ -115,6 +115,22 @@ def test_embedding_links(spark, vectors, monkeypatch, block):
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
 
 
+def cone(n):
+    """Vectors within a narrow cone, so that one pivot is apart, the second half near those of the first."""
+    rng = np.random.default_rng(3)
+    base = np.eye(32)[0] + rng.normal(scale=0.05, size=(n, 32))
+    base[n // 2 :] = base[: n - n // 2] + rng.normal(scale=0.01, size=(n - n // 2, 32))
+    return [(k, v.tolist(), k % 2) for k, v in enumerate(base)]
+
+
+@pytest.mark.parametrize("rows", [cone(300), [(1, [1.0, 0.0], 1), (2, [0.99, 0.1], 1)], [(1, [1.0, 0.0], 1), (2, [0.99, 0.1], 1), (3, [0.0, 1.0], 1), (4, [0.1, 0.99], 1)]], ids=["cone", "two", "two_cones"])
+def test_few_pivots_lose_no_links(spark, rows):
+    want = sorted(brute_links(rows, 0.98))
+    assert sum(w[1] for w in want)
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, embeddings.near_duplicates(d).collect())) == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, size=(250, 2))] + [(1000 + k, 1001 + k) for k in range(200)] + [(5000, 5000 + k) for k in range(1, 300)]
