@@ -111,11 +111,12 @@ SCORES_SQL = (
 )
 
 
-def edges(spark: SparkSession, sf_dir: str, least: float = 45.0) -> DataFrame:
-    """src_path, dst_path, edge_type, is_external: parts bought one after the other in an order, of a least quantity."""
+def edges(spark: SparkSession, sf_dir: str, least: float | None = 45.0) -> DataFrame:
+    """src_path, dst_path, edge_type, is_external: parts bought one after the other in an order, of a least quantity if one is given."""
     from pyspark.sql import Window
 
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least)
+    rows = table(spark, sf_dir, "lineitem")
+    rows = rows if least is None else rows.where(F.col("l_quantity") >= least)
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     pairs = rows.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("b")).where("b is not null")
     node = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))

@@ -71,8 +71,8 @@ def scc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(fx.edges(spark, sf_dir, 46.0)).select("rel_path", "cycle_size", "cycle_no")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.edges(spark, sf_dir).where("not is_external").select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst")).distinct()
+def _pairs(spark: SparkSession, sf_dir: str, least: float | None = 45.0) -> DataFrame:
+    return fx.edges(spark, sf_dir, least).where("not is_external").select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst")).distinct()
 
 
 @query(_C + """, s AS (SELECT m.rel_path, m.community_id, count(c.dst) AS hub_score FROM members m LEFT JOIN cpairs c ON c.dst = m.rel_path AND c.c_src = c.c_dst GROUP BY ALL),
@@ -118,7 +118,7 @@ def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return graph.communities(_pairs(spark, sf_dir), fx.part_nodes(spark, sf_dir))
+    return graph.communities(_pairs(spark, sf_dir, None), fx.part_nodes(spark, sf_dir))
 
 
 # Imports -----------------------------------------------------------------------------------------------------------

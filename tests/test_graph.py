@@ -1,6 +1,9 @@
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from strataquill.operators import graph
+from strataquill.plans import registry
 
 
 def edges(spark, rows):
@@ -89,3 +92,34 @@ def test_script_imports(spark):
     code = "import a from './a';\nimport {\n b } from \"../b\"\nimport './c'\nconst d = require('d');\n"
     got = graph.script_imports(spark.createDataFrame([("x.ts", code)], "rel_path string, content string")).orderBy("position").collect()
     assert [r["target"] for r in got] == ["./a", "../b", "./c", "d"]
+
+
+def part_pairs(sf_dir):
+    """Distinct internal edges of all rows of lineitem, by brute force."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    rows = pd.read_parquet(f"{sf_dir}/lineitem.parquet").sort_values(["l_orderkey", *order])
+    parts = [list(g) for _, g in rows.groupby("l_orderkey")["l_partkey"]]
+    return sorted({(f"p{a}", f"p{b}") for g in parts for a, b in zip(g, g[1:], strict=False) if b % 11})
+
+
+def test_part_cycles_are_those_of_all_rows(spark, sf_dir):
+    pairs = part_pairs(sf_dir)
+    names = sorted({x for p in pairs for x in p})
+    at = {n: k for k, n in enumerate(names)}
+    reach = np.eye(len(names), dtype=bool)
+    for a, b in pairs:
+        reach[at[a], at[b]] = True
+    for k in range(len(names)):
+        reach |= reach[:, k : k + 1] & reach[k]
+    groups = {tuple(names[j] for j in np.flatnonzero(row)) for row in reach & reach.T}
+    want = sorted((g for g in groups if len(g) > 1), key=lambda g: (-len(g), g))[:8]
+    got = registry.QUERIES["circular_imports"](spark, sf_dir).orderBy("cycle_no").collect()
+    assert [tuple(r["evidence"]) for r in got] == want
+
+
+def test_part_communities_are_those_of_all_rows(spark, sf_dir):
+    nodes = [f"p{k}" for k in pd.read_parquet(f"{sf_dir}/part.parquet")["p_partkey"]]
+    got = dict(map(tuple, registry.QUERIES["louvain_communities"](spark, sf_dir).collect()))
+    pairs = [(a, b, 1.0) for a, b in part_pairs(sf_dir)]
+    assert set(got) == set(nodes) | {x for a, b, _ in pairs for x in (a, b)}
+    assert abs(modularity(pairs, got) - modularity(pairs, graph.local_moving(pairs, nodes))) < 1e-9
