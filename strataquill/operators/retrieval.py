@@ -1,7 +1,7 @@
 """Chunking, BM25 statistics, candidate scoring, graph expansion and packing to a token budget.
 
-Scoring joins an inverted table (chunk, term, f) with the few query terms, so contents aren't scanned for terms; only
-candidates after a limit reach the one task of the budget fold. Scores are rounded to 6 places before they rank, and all
+Scoring joins an inverted table (chunk, term, f) with the few query terms, so contents aren't scanned for terms; the
+budget fold runs on the driver, over blocks of bounded size. Scores are rounded to 6 places before they rank, and all
 orders end in (rel_path, chunk_index), so results don't depend on the plan.
 """
 
@@ -130,22 +130,29 @@ def stage3(cands: DataFrame, chunks: DataFrame, scores: DataFrame, stage1: DataF
     return rows.withColumn("score", F.round(F.col("bm25_component") * F.col("symbol_bonus") * F.col("module_bonus") + F.col("centrality_bonus"), 6))
 
 
-def pack(rows: DataFrame, budget: int, score: str = "score") -> DataFrame:
+def pack(rows: DataFrame, budget: int, score: str = "score", block: int = 4096) -> DataFrame:
     """The rows that fit a token budget, best first; one that would overflow is skipped and smaller ones may follow.
 
-    ``rows`` are bounded by the limits before, and meet in one task."""
-    one = rows.select(F.struct((-F.col(score)).alias("neg"), "rel_path", "chunk_index", F.col("token_estimate").alias("t")).alias("x")).agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    places = "array<struct<rel_path:string,chunk_index:bigint>>"
-    kind = f"struct<used:bigint,kept:{places}>"
-
-    def step(state: Column, x: Column) -> Column:
-        place = F.array(F.struct(x["rel_path"], x["chunk_index"])).cast(places)
-        taken = F.struct((state["used"] + x["t"]).alias("used"), F.concat(state["kept"], place).alias("kept"))
-        return F.when(state["used"] + x["t"] <= budget, taken.cast(kind)).otherwise(state)
-
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(places).alias("kept")).cast(kind)
-    kept = one.select(F.explode(F.aggregate("xs", zero, step)["kept"]).alias("k")).select("k.rel_path", "k.chunk_index")
-    return rows.join(F.broadcast(kept), ["rel_path", "chunk_index"])
+    Any number of rows: they are folded in blocks of bounded size, each of the best rows after the block before that don't
+    exceed what is left of the budget. The first row of a block always fits, so blocks are at most as many as kept rows, plus
+    one. Token estimates aren't negative, and (rel_path, chunk_index) is unique."""
+    keys = rows.select(F.struct((-F.col(score)).alias("neg"), "rel_path", "chunk_index", F.col("token_estimate").alias("t")).alias("x"))
+    fields = keys.schema["x"].dataType.fields
+    used, kept, last = 0, [], None
+    while True:
+        left = keys.where(F.col("x.t") <= budget - used)
+        if last is not None:
+            left = left.where(F.col("x") > F.struct(*[F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in fields]))
+        found = [r["x"] for r in left.orderBy("x").limit(block).collect()]
+        for x in found:
+            if used + x["t"] <= budget:
+                used += x["t"]
+                kept.append((x["rel_path"], x["chunk_index"]))
+        if len(found) < block:
+            break
+        last = found[-1]
+    places = rows.sparkSession.createDataFrame(kept, "rel_path string, chunk_index long")
+    return rows.join(F.broadcast(places), ["rel_path", "chunk_index"])
 
 
 def two_stage(chunks: DataFrame, query: str, edges: DataFrame, communities: DataFrame, references: DataFrame, central: DataFrame, section: str = "architecture", budget: int | None = None, terms: DataFrame | None = None) -> DataFrame:

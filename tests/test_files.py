@@ -82,6 +82,23 @@ def test_packing_skips_what_overflows(spark):
         retrieval.terms_of("a ! ?")
 
 
+def test_packing_folds_any_number_of_rows_in_blocks(spark, monkeypatch):
+    # 600 rows that exceed the budget, then ties, a null, and small rows that fit.
+    data = [(f"big{k:03d}", 0, 1000 + k, 900.0) for k in range(600)] + [(f"r{k * 7 % 50:02d}", k % 3, (k * 37) % 41 + 1, float(k % 5)) for k in range(50)] + [("null", 0, None, 3.0)]
+    want, used = [], 0
+    for path, chunk, t, _ in sorted(data, key=lambda r: (-r[3], r[0], r[1])):
+        if t is not None and used + t <= 100:
+            used += t
+            want.append((path, chunk))
+    rows = spark.createDataFrame(data, "rel_path string, chunk_index long, token_estimate long, score double").repartition(3)
+    for block in (1, 2, 7, 4096):
+        assert sorted((r["rel_path"], r["chunk_index"]) for r in retrieval.pack(rows, 100, block=block).collect()) == sorted(want)
+    # No task gathers all rows.
+    monkeypatch.setattr(retrieval.F, "collect_list", None)
+    assert retrieval.pack(rows, 100).count() == len(want)
+    assert retrieval.pack(rows.limit(0), 100).count() == 0
+
+
 def test_tree(spark, tmp_path):
     for name, data in {"src/a.py": b"x = 1\n", "src/b.bin": b"a\0b", "node_modules/x.js": b"y", "c.log": b"z", "d/é.txt": "é".encode(), "e.txt": b"ab\xff"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
