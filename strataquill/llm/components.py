@@ -1,9 +1,9 @@
 """Connected components by alternating large and small stars.
 
 Edges are first contracted inside each partition (union-find in a task, whose memory is that of one partition), then
-joined to minima until nothing changes. Minima are partially aggregated group-bys; a vertex with very many neighbours
-skews only the join with its one minimum, which AQE splits. Each round ends in a checkpoint, so lost executors cost one
-round at most.
+joined to minima until nothing changes. Minima are partially aggregated group-bys. Vertices with more than one in
+``HOT_PARTS`` of all edges, of which there can be no more than twice ``HOT_PARTS``, get their minimum by broadcast, so
+no vertex brings many rows to one task. Each round ends in a checkpoint, so lost executors cost one round at most.
 """
 
 from __future__ import annotations
@@ -54,25 +54,37 @@ def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"]).astype("int64")
 
 
+HOT_PARTS = 1024
+
+
+def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
+    """``edges`` (a, b) with the least b of each a as ``m``; the edges of hot vertices don't meet."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    hot = max(16, n_edges // HOT_PARTS)
+    marked = edges.join(F.broadcast(least.where(F.col("n") > hot).select("a", F.col("m").alias("hot"))), "a", "left")
+    usual = marked.where("hot is null").drop("hot").join(least.where(F.col("n") <= hot).select("a", "m"), "a")
+    return usual.select("a", "b", "m").unionByName(marked.where("hot is not null").select("a", "b", F.col("hot").alias("m")))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of the vertices of ``edges`` (a, b: long) that aren't the smallest of their component."""
     edges = edges.where(F.col("a") != F.col("b")).select(F.col("a").cast("long"), F.col("b").cast("long"))
     # Written first: edges that Python makes and the contraction would else hold two workers per task at once.
     now = cut(cut(edges).mapInPandas(_contracted, "a long, b long"))
-    seen = None
+    seen, n_edges = None, now.count()
     for _ in range(rounds):
-        # Edges point from the larger to the smaller. Large star: larger neighbours go to the minimum around a vertex.
+        # Edges point from the larger to the smaller. Large star: larger neighbours go to the minimum around a vertex, or to the vertex.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        around = _with_least(both, 2 * n_edges).where(F.col("b") > F.col("a"))
+        large = cut(around.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
         # Small star: smaller neighbours, and the vertex, go to the minimum below it.
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(below, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        below = _with_least(large, 2 * n_edges)
+        small = below.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(small.unionByName(below.select("a", F.col("m").alias("b"))).distinct())
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
             break
-        seen = state
+        seen, n_edges = state, state[0]
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
