@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from strataquill.llm import chat, warc
 
-ODD = ["", "hi", "a\\", "\\\\", "<turn>", "</turn>", "<then>x<says>", "<\\turn>", "\\<turn>", "<<turn>>", "\\### Assistant: </turn> ok", "é\n日🙂", "\n", "x" * 50_000]
+ODD = ["", "hi", "a\\", "\\\\", "<turn>", "</turn>", "<then>x<says>", "<\\turn>", "\\<turn>", "<<turn>>", "\\### Assistant: </turn> ok", "é\n日🙂", "\n", "\ufeffmark", "x" * 50_000]
 
 
 def conversation_rows():
     rows = [(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(ODD)]
     rows += [(2, i, "assistant" if i > 1 else "user", t) for i, t in enumerate(ODD)]
     rows += [(3, 5, "assistant", "b"), (3, 5, "assistant", "a"), (3, None, "<turn>odd\n", None), (3, 7, None, "x"), (None, 0, "user", "q"), (4, 1, "user", "same"), (4, 1, "user", "same")]
+    rows += [(5, 1, "user", "<turn>"), (5, 1, "user", "<s"), (5, 1, "<turn>", "a"), (5, 1, "<s", "b")]  # raw order, not that of escaped texts
     return rows
 
 
@@ -25,7 +26,7 @@ def test_turns_and_loss_are_read_back(spark):
         own = sorted(((x[1] is not None, x[1], x[2] or "", x[3] or "") for x in rows if x[0] == r["conv_id"]), key=lambda x: (x[0], x[1] or 0, x[2], x[3]))
         assert [(t["role"], t["text"]) for t in r["t"]] == [(role, text) for *_, role, text in own]
         assert r["loss"] == [text for *_, role, text in own if role == "assistant"]
-    assert len(got) == 5 and chat.format_chats(d.limit(0)).count() == 0
+    assert len(got) == 6 and chat.format_chats(d.limit(0)).count() == 0
 
 
 def test_adjacent_turns_are_merged(spark):
