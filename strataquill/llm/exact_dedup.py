@@ -3,17 +3,18 @@
 Three combining stages, each of which groups by digest *and* full normalised text, so that two texts are merged only
 if their contents are equal:
 
-1. local: the partial aggregation of stage 2 runs inside each map task before anything is shuffled;
-2. salted: rows meet by (digest, text, salt). Only hot digests, those of more than one row in ``HOT_PARTS``, get a salt
-   other than 0; there are fewer than ``HOT_PARTS`` of them, which bounds the table that is broadcast to mark them;
-3. global: the at most ``salts`` winners of a hot group meet by (digest, text). Other groups are whole after stage 2,
-   so the texts of the corpus are shuffled once.
+1. local: equal texts of one map task are combined inside the task, before anything is shuffled (they share a salt);
+2. salted: what is left meets by (digest, text, salt), so the copies of one text are spread over ``salts`` tasks;
+3. global: the at most ``salts`` winners of each text meet by (digest, text).
 
-The decisions go back to the rows by digest; that join is a plain sort-merge join whose hot keys AQE splits.
+The decisions go back to the rows by digest. That no digest stands for two texts is seen in the global stage; should
+one do so, its rows, and only they, are matched by their text. A hot digest's rows aren't collected: the join is a plain
+sort-merge join, which AQE splits.
 
 Defined results: null text counts as empty; empty texts form one group; a null ``doc_id`` loses against any other id
-(``keep_id`` is null, and no row kept, only if all ids of a group are); rows that agree in id and text are the same row
-and share its decision; an empty table gives an empty result; other columns of the input are ignored.
+(``keep_id`` is null only if all ids of a group are); ``kept`` is true for the rows whose code points and id are those of
+the winner, so rows that agree in both share their decision (:func:`keep_first` keeps one of them); an empty table gives
+an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataquill.llm.rows import one_each, packed
 from strataquill.session import cut
 
 #: The characters that are deleted before texts are compared. (fixed values)
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
-HOT_PARTS = 1024
-
 _TOP = str(2**63)
 
 
@@ -49,36 +49,55 @@ def _id_of(rank: Column) -> Column:
     return F.when(shifted > 0, F.lit(_TOP).cast("decimal(20,0)") - shifted).cast("long")
 
 
+_KEYS = ["digest", "second", "len"]
+
+
+def _keys(norm: Column) -> dict[str, Column]:
+    """Two texts of one digest would be told apart by length and a second hash; what these don't tell apart, content does."""
+    return {"digest": F.coalesce(F.unhex(F.sha2(norm, 256)), F.lit(b"")), "second": F.xxhash64(norm), "len": F.octet_length(norm)}
+
+
+def _winners(docs: DataFrame, salts: int) -> DataFrame:
+    """The keys, norm, best and group_size of each text of ``docs`` (doc_id, text)."""
+    norm = normalised(F.col("text"))
+    texts = docs.select(_rank(F.col("doc_id"), F.col("text")).alias("rank"), norm.alias("norm"), *(c.alias(k) for k, c in _keys(norm).items()))
+    # All copies in one map task have one salt, so they are combined there.
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt")
+    salted = texts.groupBy(*_KEYS, "norm", salt).agg(F.max("rank").alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return salted.groupBy(*_KEYS, "norm").agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
+
+
+def decided(docs: DataFrame, salts: int = 16) -> DataFrame:
+    """The columns of ``docs`` (doc_id, text and others) but text, with its keys, rank, best and group_size."""
+    winners = cut(_winners(docs, salts).drop("norm"), free=True)
+    norm = normalised(F.col("text"))
+    rows = docs.withColumns({**_keys(norm), "rank": _rank(F.col("doc_id"), F.col("text"))})
+    several = winners.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_KEYS)
+    if several.isEmpty():
+        return rows.drop("text").join(winners, _KEYS)
+    alone = rows.join(several, _KEYS, "left_anti").drop("text").join(winners, _KEYS)
+    same = rows.join(several, _KEYS, "left_semi").withColumn("norm", norm)
+    again = _winners(docs.withColumns(_keys(norm)).join(several, _KEYS, "left_semi"), salts)
+    return alone.unionByName(same.drop("text").join(again, [*_KEYS, "norm"]).drop("norm"))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    ident, text = docs[id_col].cast("long"), docs[text_col]
-    norm = normalised(text)
-    # Two texts of one digest would be told apart by length and a second hash.
-    keys = [F.coalesce(F.unhex(F.sha2(norm, 256)), F.lit(b"")).alias("digest"), F.xxhash64(norm).alias("second"), F.octet_length(norm).alias("len")]
-    rows = docs.select(ident.alias("doc_id"), *keys)
-    hot = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot.where(F.col("n") > max(64, docs.count() // HOT_PARTS)).select("digest", F.lit(True).alias("hot"))
-
-    texts = docs.select(ident.alias("doc_id"), _rank(ident, text).alias("rank"), norm.alias("norm"), *keys)
-    texts = texts.join(F.broadcast(hot), "digest", "left")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int")
-    groups = ["digest", "second", "len", "norm"]
-    salted = texts.groupBy(*groups, salt.alias("salt"), "hot").agg(F.max("rank").alias("best"), F.count(F.lit(1)).alias("group_size"))
-    salted = cut(salted.withColumn("norm", F.when(F.col("hot"), F.col("norm"))), free=True)
-    joined = salted.where("hot").groupBy(*groups).agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
-    winners = salted.where("hot is null").drop("salt", "hot").unionByName(joined).drop("norm")
-
-    keep = _id_of(F.col("best"))
-    return rows.join(winners, ["digest", "second", "len"]).select(
+    told = decided(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), salts)
+    return told.select(
         "doc_id",
-        keep.alias("keep_id"),
+        _id_of(F.col("best")).alias("keep_id"),
         "group_size",
-        F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"),
+        (F.col("rank") == F.col("best")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs[id_col].cast("long") == kept["__kept_id"], "left_semi")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """One row of ``docs`` for each text, with all its columns: of rows that agree in code points and id, one with the
+    smallest hash of all columns. No text is lost, also where ids are null or stand for several texts."""
+    rows = packed(docs, id_col, text_col)
+    told = decided(rows.select("doc_id", "text", "key"), salts)
+    chosen = told.where("rank = best").groupBy(*_KEYS, "rank").agg(F.min("key").alias("key"))
+    found = rows.withColumns({**_keys(normalised(F.col("text"))), "rank": _rank(F.col("doc_id"), F.col("text"))}).select("row", *_KEYS, "rank", "key")
+    return one_each(found.join(chosen, [*_KEYS, "rank", "key"]), *_KEYS, "rank", "key")

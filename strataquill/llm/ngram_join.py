@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.llm.components import Forest, components
+from strataquill.llm.rows import one_each, packed
 from strataquill.session import cut, give_back
 
 WORDS, PERCENT = 5, 80
@@ -161,7 +162,7 @@ def prefix(s: np.ndarray, hot_keys: np.ndarray, hot_df: np.ndarray, percent: int
     return hot, np.concatenate([cold, rest[: p - len(cold) - len(hot)]])
 
 
-_SIGNATURE = "doc_id string, n long, digest binary, prefix_digest binary, hot binary, cold binary"
+_SIGNATURE = "doc_id string, key long, n long, digest binary, prefix_digest binary, hot binary, cold binary"
 
 
 def signatures(docs: DataFrame, hot, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -169,11 +170,11 @@ def signatures(docs: DataFrame, hot, words: int = WORDS, percent: int = PERCENT)
         hot_keys, hot_df = hot.value
         for b in batches:
             out = []
-            for doc, t in zip(b["doc_id"], b["text"], strict=True):
+            for doc, key, t in zip(b["doc_id"], b["key"], b["text"], strict=True):
                 s = shingles(t, words)
                 first, others = (x.tobytes() for x in prefix(s, hot_keys, hot_df, percent))
-                out.append((doc, len(s), _digest(s.tobytes()), _digest(len(s).to_bytes(8, "little"), len(first).to_bytes(8, "little"), first, others), first, others))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "prefix_digest", "hot", "cold"])
+                out.append((doc, key, len(s), _digest(s.tobytes()), _digest(len(s).to_bytes(8, "little"), len(first).to_bytes(8, "little"), first, others), first, others))
+            yield pd.DataFrame(out, columns=["doc_id", "key", "n", "digest", "prefix_digest", "hot", "cold"])
         give_back()
 
     return docs.mapInPandas(run, _SIGNATURE).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -357,10 +358,9 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
     return tasks.groupBy("family", "i", "j").applyInPandas(verify, "a long, b long")
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, key, n_shingles, component_id of each row of ``docs`` (doc_id, key, text); equal ids are one document."""
     spark = docs.sparkSession
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = spark.sparkContext.broadcast(_ordered_hot(cut(frequent(docs.select("text"), buckets, words), free=True)))
     typed = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -380,11 +380,31 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     decided = classes.join(linked, "cid", "left").select("digest", F.coalesce("component", "cid").alias("component"))
     # Rows that can't link get a digest of their own, so that they don't meet in one task.
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).otherwise(F.encode(F.concat(F.lit("none"), F.col("doc_id").cast("string")), "utf-8"))
-    rows = signed.select("doc_id", "n", own.alias("digest"))
-    return rows.join(decided, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    rows = signed.select("doc_id", "key", "n", own.alias("digest"))
+    return rows.join(decided, "digest", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.lit(0).cast("long").alias("key"), docs[text_col].alias("text"))
+    return linked(rows, words, percent).drop("key")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with one document, the smallest id, of each component; rows with a null id stay."""
-    dropped = join(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped_id"))
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["__dropped_id"], "left_anti")
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, that with the smallest id, of each component; every other text stays.
+
+    Where ids are null or repeated, rows are numbered in the order of their ids first (nulls last, then by a hash of all
+    columns), so that each row decides for itself: null ids link too, and one of rows that agree in all columns stays.
+    """
+    rows = packed(docs, id_col, text_col)
+    odd = docs.select(docs[id_col].alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id is null or n > 1")
+    if not odd.isEmpty():
+        each = cut(rows.select("doc_id", "key").distinct().sort(F.col("doc_id").asc_nulls_last(), "key"))
+        # Numbers ascend with partitions and places, so they keep the order of the sort.
+        numbers = cut(each.withColumn("number", F.monotonically_increasing_id()))
+        same = numbers.withColumnsRenamed({"doc_id": "id", "key": "hash"})
+        matched = rows.join(same, rows["doc_id"].eqNullSafe(same["id"]) & (rows["key"] == same["hash"]))
+        rows = matched.select("row", F.col("number").alias("doc_id"), "text", "key")
+    # Texts without words link with nothing; of all else the smallest of each component stays.
+    chosen = linked(rows.select("doc_id", "key", "text"), words, percent).where("doc_id = component_id").select("doc_id", "key").distinct()
+    return one_each(rows.select("row", "doc_id", "key").join(chosen, ["doc_id", "key"]), "doc_id", "key")

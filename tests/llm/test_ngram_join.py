@@ -89,3 +89,12 @@ def test_empty_and_keep_one(spark):
     d = docs(spark, [(3, prose(1, 50), "en"), (2, prose(1, 50) + " x", "en"), (4, None, "en"), (None, "z", "en")])
     out = N.keep_one(d)
     assert out.columns == d.columns and sorted((r["doc_id"] for r in out.collect()), key=str) == [2, 4, None]
+    assert N.keep_one(d.limit(0)).count() == 0
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    a, b, c, e = (prose(k, 50) for k in (11, 12, 13, 14))
+    rows = [(7, a, "en"), (7, b, "en"), (3, b + " x", "fr"), (None, c, "en"), (None, c + " y", "en"), (9, e, "en"), (9, e, "en"), (None, None, "en"), (None, "", "en"), (5, "", "en")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in N.keep_one(docs(spark, rows)).collect()), key=str)
+    assert [x for x in kept if x[1] in (c, c + " y")] in ([(None, c)], [(None, c + " y")])
+    assert [x for x in kept if x[1] not in (c, c + " y")] == sorted([(7, a), (3, b + " x"), (9, e), (None, None), (None, ""), (5, "")], key=str)
