@@ -2,14 +2,16 @@
 
 1. Documents are tokenised, closed with an end id and cut into pieces of at most ``capacity`` tokens (only longer
    documents are cut). The pieces, a few numbers each, are written to a checkpoint.
-2. Pieces are dealt to partitions by hash, about ``PART`` pieces each, and each partition is packed best-fit decreasing.
+2. Pieces are dealt to partitions by a hash of their place in that table, about ``PART`` pieces each, and each partition is packed best-fit decreasing.
    Lower bounds from dual feasible functions certify how many bins the partition needs at least.
 3. Partitions with a gap between bins and bound give up their bins that aren't full; the pieces of those bins are dealt
-   anew, so that partitions exchange documents, and packed again. An exchange counts only if it saves bins; it is
-   repeated while it does, at most ``rounds`` times.
+   anew, so that partitions exchange documents, and packed again. An exchange counts only if it saves bins. Exchanges go
+   on until no partition has a gap, the open bins are as few as their content needs, or ``PATIENCE`` exchanges in a row
+   saved none; :func:`certificate` tells how many bins any packing of the same pieces needs.
 
 Texts are tokenised by the library. Texts of usual characters only are lower-cased and split here, by the rules of the
-tokenizer file, and each distinct word goes to the library's model once; all other texts go to the library whole.
+tokenizer file, and each distinct word goes to the library's model once; all other texts, and those that hold the string
+of an added token, go to the library whole.
 
 Defined results: null text is empty (its only id is the end id); rows repeated (equal doc_id) each give pieces; an empty
 table gives an empty result; other columns are ignored.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from strataquill.session import cut, give_back
 
-CAPACITY, PART, ROUNDS = 2048, 16_384, 3
+CAPACITY, PART, PATIENCE = 2048, 16_384, 3
 
 # Tokenising ------------------------------------------------------------------------------------------------------
 
@@ -52,7 +54,8 @@ class WordIds(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {t.content.lower() for t in self.library.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
         self.model = self.library.model
         self.max_cached = max_cached
         # Bytes as characters: those that print stand for themselves, the others follow from 256 on.
@@ -73,7 +76,10 @@ class WordIds(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        return self.whole(text) if _UNUSUAL.search(text) else b"".join(map(self.__getitem__, _SPLIT.findall(text.lower())))
+        if _UNUSUAL.search(text):
+            return self.whole(text)
+        low = text.lower()
+        return self.whole(text) if self.added.search(low) else b"".join(map(self.__getitem__, _SPLIT.findall(low)))
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -151,14 +157,14 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, fill long, part_bins long, part_bound long"
+_PACKED = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, fill long, part_bins long, part_bound long"
 
 
 def _pack(dealt: DataFrame, capacity: int) -> DataFrame:
     """Packs each group of ``part``."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
+        group = group.sort_values(["length", "row"], ascending=[False, True], ignore_index=True)
         lengths = group["length"].to_numpy(np.int64)
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
@@ -167,36 +173,37 @@ def _pack(dealt: DataFrame, capacity: int) -> DataFrame:
     return dealt.groupBy("part").applyInPandas(run, _PACKED)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, part: int = PART, patience: int = PATIENCE) -> DataFrame:
     """The rows of :func:`pieces` with sequence_id and offset."""
-    items = cut(items)
     columns = items.columns
+    # Rows of a checkpoint have a fixed place, so repeated and null ids are told apart.
+    items = cut(items).withColumn("row", F.monotonically_increasing_id())
 
     def dealt(rows: DataFrame, n: int, turn: int) -> DataFrame:
         parts = max(1, -(-n // part))
-        return rows.select(*columns, F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "start"), F.lit(parts)).alias("part"))
+        return rows.select("row", *columns, F.pmod(F.xxhash64(F.lit(turn), "row"), F.lit(parts)).alias("part"))
 
-    turn, last, kept = 0, 0, []
+    turn, last, failed, kept = 0, 0, 0, []
     now = cut(_pack(dealt(items, items.count(), turn), capacity))
-    while True:
-        open_bins = now.where((F.col("part_bins") > F.col("part_bound")) & (F.col("fill") < capacity))
-        n_pieces, n_bins, weight = open_bins.agg(F.count(F.lit(1)), F.count(F.when(F.col("offset") == 0, 1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    gap = (F.col("part_bins") > F.col("part_bound")) & (F.col("fill") < capacity)
+    while failed < patience:
+        n_pieces, n_bins, weight = now.where(gap).agg(F.count(F.lit(1)), F.count(F.when(F.col("offset") == 0, 1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         # No exchange can help if the open bins are as few as their content needs.
-        if turn >= rounds or n_bins <= -(-weight // capacity):
+        if n_bins <= -(-weight // capacity):
             break
         turn += 1
-        again = cut(_pack(dealt(open_bins, n_pieces, turn), capacity))
+        again = cut(_pack(dealt(now.where(gap), n_pieces, turn), capacity))
         if again.where("offset = 0").count() >= n_bins:
-            break
-        kept.append(now.where(~((F.col("part_bins") > F.col("part_bound")) & (F.col("fill") < capacity))).withColumn("turn", F.lit(turn - 1)))
-        now = again
-        last = turn
+            failed += 1
+            continue
+        kept.append(now.where(~gap).withColumn("turn", F.lit(last)))
+        now, last, failed = again, turn, 0
     kept.append(now.withColumn("turn", F.lit(last)))
     out = kept[0]
     for rows in kept[1:]:
         out = out.unionByName(rows)
-    # A bin's number is below 2**32, a part's below 2**27.
-    ident = F.col("turn").cast("long") * F.lit(1 << 59) + F.col("part") * F.lit(1 << 32) + F.col("bin")
+    # A bin's number is below 2**15 and a part's below 2**38: a part has about PART pieces, each in one bin.
+    ident = F.col("turn").cast("long") * F.lit(1 << 53) + F.col("part") * F.lit(1 << 15) + F.col("bin")
     return out.select(*columns, ident.alias("sequence_id"), "offset")
 
 

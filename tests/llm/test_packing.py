@@ -13,7 +13,6 @@ PATH = P.path("word_bpe_49k.json")
 
 def library_ids(t):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     return tok.encode(t or "", add_special_tokens=False).ids + [0]
 
 
@@ -21,7 +20,9 @@ def test_same_ids_as_the_library():
     words, rnd = K.WordIds(PATH, max_cached=50), random.Random(2)
     kinds = ["abcdefgh", "THE Ing", "'s 't'RE", " \n\t\xa0", "äÖüßÉñİſ", "²³¼½ªº", "0123", "!@#''", "\xad’€", "éΣ日́", "<|endoftext|>"]
     texts = ["".join(rnd.choice(rnd.choice(kinds[: 9 if k % 2 else 11])) for _ in range(rnd.randint(0, 50))) for k in range(600)]
+    texts += ["end <|endoftext|> begin", "END <|ENDOFTEXT|> x", "<|startoftext|>"]
     assert [words.encode(t) for t in texts] == [words.whole(t) for t in texts]
+    assert np.frombuffer(words.encode("end <|endoftext|> begin"), "<u4").tolist() == [806, 49407, 4947]
     assert len(words) <= 50
 
 
@@ -65,3 +66,41 @@ def test_bounds_never_exceed_what_is_needed():
 
 def test_empty(spark):
     assert K.pack(K.pieces(docs(spark, [(1, "a", "en")]).limit(0), PATH)).count() == 0
+
+
+def least_bins(lengths, capacity):
+    """Brute force: every item goes into every open bin that takes it, or into a new one."""
+    best, lengths = len(lengths), sorted(lengths, reverse=True)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for i, room in enumerate(rooms):
+            if room >= lengths[k] and room not in rooms[:i]:
+                place(k + 1, [*rooms[:i], room - lengths[k], *rooms[i + 1 :]])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_bound_and_packing_around_the_least():
+    rnd = random.Random(8)
+    for _ in range(40):
+        sizes = [rnd.randint(3, 30) for _ in range(9)]
+        least = least_bins(sizes, 40)
+        assert K.lower_bound(np.bincount(sizes, minlength=41), 40) <= least <= len(K.best_fit_decreasing(np.array(sizes), 40)[2]) <= least * 11 / 9 + 1
+
+
+def test_rows_without_ids_are_spread_and_exchanged(spark):
+    rnd = random.Random(9)
+    items = spark.createDataFrame([(None, 0, 0, rnd.randint(300, 1500), 1) for _ in range(600)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = K.pack(items, part=50)
+    used, bound = K.certificate(out)
+    alone = K.pack(items, part=50, patience=0).where("offset = 0").count()
+    assert out.count() == 600 and bound <= used <= alone
+    assert out.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
