@@ -13,8 +13,10 @@ Whether ``b`` may follow ``a`` is decided on the merges that built them: the pie
 the pieces of ``b`` that touch it exist during certain ranks; the pair is allowed if no two that exist together would
 have merged across the boundary first.
 
-Decoding. Tokens are looked up and joined in chunks; a UTF-8 state machine holds back the bytes of an unfinished
-character until the next chunk.
+Decoding. Tokens are looked up and joined in chunks and fed, byte by byte, to a UTF-8 state machine, whose state is the
+number of bytes that the character still needs, the range allowed for the next one, and the code point so far. Runs of
+ASCII bytes, on which it stays in its first state, pass whole. What isn't UTF-8 becomes a replacement character per
+maximal beginning, or stays as it is (``escape``), so that the bytes can be told from the text.
 
 Text is split by a pattern first and each match is encoded on its own. Matches seen before come from a bounded cache of
 the transducer's output.
@@ -28,6 +30,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -230,10 +233,13 @@ class Transducer:
 
     def encode_bytes(self, data: bytes) -> bytes:
         """The ids of one match of the pattern, as little-endian unsigned 32-bit integers."""
-        if len(self.sets) > self.max_states:
-            self._reset()
         state, out, known, ends = self.start, [], self.moves.get, []
         for a in range(0, len(data), self.window):
+            if len(self.sets) > self.max_states or len(self.moves) > 4 * self.max_states:
+                # Long matches too: all states but the present one are dropped.
+                here = self.sets[state]
+                self._reset()
+                state, known = self._intern(here), self.moves.get
             for byte in data[a : a + self.window]:
                 key = state << 8 | byte
                 move = known(key) or self._move(key)
@@ -265,39 +271,64 @@ class Transducer:
 
 
 class Utf8Stream:
-    """An incremental UTF-8 state machine: text of whole characters, the rest held back."""
-
-    #: Lead bytes, and the first continuation bytes that each allows; all others are 80-BF. (fixed values)
-    LEADS = ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3))
-    FIRST = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}
-
-    def __init__(self) -> None:
-        self.held = b""
-        self.need = {lead: n for low, high, n in self.LEADS for lead in range(low, high + 1)}
-
-    def unfinished(self, data: bytes) -> int:
-        """How many bytes at the end begin a character that may go on."""
-        for k in range(1, min(3, len(data)) + 1):
-            byte = data[-k]
-            if byte < 0x80:
-                return 0
-            if byte >= 0xC0:
-                if self.need.get(byte, 0) < k:
-                    return 0
-                low, high = self.FIRST.get(byte, (0x80, 0xBF))
-                return k if k == 1 or low <= data[-k + 1] <= high else 0
-        return 0
+    """An incremental UTF-8 state machine: text of whole characters, the rest held in the state.
 
-    def feed(self, data: bytes, last: bool = False) -> str:
-        data = self.held + data
-        k = 0 if last else self.unfinished(data)
-        self.held = data[len(data) - k :] if k else b""
-        return data[: len(data) - k].decode("utf-8", "replace")
+    With ``escape``, a byte that belongs to no character stands as a lone surrogate, U+DC00 + byte; else an ill-formed
+    beginning of a character is one U+FFFD.
+    """
+
+    #: Lead bytes with the continuation bytes they need and the range of the first of these; later ones are 80-BF. (fixed values)
+    LEADS = ((0xC2, 0xDF, 1, 0x80, 0xBF), (0xE0, 0xE0, 2, 0xA0, 0xBF), (0xE1, 0xEC, 2, 0x80, 0xBF), (0xED, 0xED, 2, 0x80, 0x9F), (0xEE, 0xEF, 2, 0x80, 0xBF), (0xF0, 0xF0, 3, 0x90, 0xBF), (0xF1, 0xF3, 3, 0x80, 0xBF), (0xF4, 0xF4, 3, 0x80, 0x8F))
+    ENTER = {byte: (need, low, high, byte & (0x3F >> need)) for first, last, need, low, high in LEADS for byte in range(first, last + 1)}
+
+    def __init__(self, escape: bool = False) -> None:
+        self.escape = escape
+        self.need, self.low, self.high, self.point, self.begun = 0, 0x80, 0xBF, 0, b""
 
+    def _broken(self, data: bytes) -> str:
+        return "".join(chr(0xDC00 + x) for x in data) if self.escape else "\ufffd"
 
-def decode_stream(chunks: Iterable[bytes], table: dict[int, bytes] | list[bytes]) -> Iterator[str]:
+    def feed(self, data: bytes, last: bool = False) -> str:
+        need, low, high, point, begun = self.need, self.low, self.high, self.point, self.begun
+        out, enter = [], self.ENTER
+        for run in _RUNS.findall(data):
+            if run[0] < 0x80:
+                if need:
+                    out.append(self._broken(begun))
+                    need = 0
+                out.append(run.decode("ascii"))
+                continue
+            for byte in run:
+                if need:
+                    if low <= byte <= high:
+                        need, low, high, point = need - 1, 0x80, 0xBF, point << 6 | byte & 0x3F
+                        if need:
+                            begun += bytes((byte,))
+                        else:
+                            out.append(chr(point))
+                        continue
+                    out.append(self._broken(begun))
+                    need = 0
+                entered = enter.get(byte)
+                if entered:
+                    need, low, high, point = entered
+                    begun = bytes((byte,))
+                else:
+                    out.append(self._broken(bytes((byte,))))
+        if last and need:
+            out.append(self._broken(begun))
+            need = 0
+        self.need, self.low, self.high, self.point, self.begun = need, low, high, point, begun
+        return "".join(out)
+
+
+#: Runs of ASCII bytes and of others.
+_RUNS = re.compile(rb"[\x00-\x7f]+|[\x80-\xff]+")
+
+
+def decode_stream(chunks: Iterable[bytes], table: dict[int, bytes] | list[bytes], escape: bool = False) -> Iterator[str]:
     """Text of chunks of ids (little-endian unsigned 32-bit), as far as whole characters have come."""
-    stream = Utf8Stream()
+    stream = Utf8Stream(escape)
     for ids in chunks:
         yield stream.feed(b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())))
     yield stream.feed(b"", last=True)
@@ -349,8 +380,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             for t in b["text"]:
                 ids = transducer.encode(split.findall(t)) if t else b""
                 digest = hashlib.sha256()
-                for text in decode_stream((ids[i : i + 4 * chunk] for i in range(0, len(ids), 4 * chunk)), table):
-                    digest.update(text.encode("utf-8"))
+                # Bytes that aren't UTF-8 come back as they were, so the digest is that of the decoded bytes.
+                for text in decode_stream((ids[i : i + 4 * chunk] for i in range(0, len(ids), 4 * chunk)), table, escape=True):
+                    digest.update(text.encode("utf-8", "surrogateescape"))
                 out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), digest.hexdigest()))
             rows = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             rows.insert(0, "doc_id", b["doc_id"].to_numpy())

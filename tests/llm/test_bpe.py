@@ -37,7 +37,12 @@ def test_bounded_memory(library):
     split = bpe.splitter(P.PATTERN)
     for t in texts(60):
         assert np.frombuffer(small.encode(split.findall(t)), "<u4").tolist() == library.encode_ordinary(t)
-        assert len(small.sets) < 50 + 20_000
+        assert len(small.sets) <= 50 + small.window and len(small.moves) <= 200 + small.window
+    rnd = random.Random(6)
+    long = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))  # one match
+    bounded = bpe.Transducer(bpe.load_ranks(PATH), max_states=5_000)
+    assert np.frombuffer(bounded.encode([long]), "<u4").tolist() == library.encode_ordinary(long)
+    assert len(bounded.sets) <= 5_000 + bounded.window
 
 
 def test_unfinished_characters_are_held_back():
@@ -48,6 +53,18 @@ def test_unfinished_characters_are_held_back():
     assert stream.feed(b"\xffa\xc0") == "�a�"
 
 
+def test_state_machine_reads_any_bytes():
+    rnd = random.Random(7)
+    some = [bytes(rnd.choice(b"a\x80\xbf\xc2\xe0\xa0\xed\x9f\xf0\x90\xf4\x8f\xff\xc0\xe2\x82\xac") for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
+    for data in some:
+        for size in (1, 2, 5):
+            plain, kept = bpe.Utf8Stream(), bpe.Utf8Stream(escape=True)
+            parts = [data[i : i + size] for i in range(0, len(data), size)]
+            assert "".join(map(plain.feed, parts)) + plain.feed(b"", last=True) == data.decode("utf-8", "replace")
+            text = "".join(map(kept.feed, parts)) + kept.feed(b"", last=True)
+            assert text == data.decode("utf-8", "surrogateescape") and text.encode("utf-8", "surrogateescape") == data
+
+
 def test_query(spark, library):
     rows = odd_rows()
     out = bpe.round_trip(docs(spark, rows), PATH, P.PATTERN).collect()
