@@ -1,17 +1,20 @@
 """WARC archives: one gzip member per record, written per partition and read back sequentially.
 
-Writing: records are streamed into archives below a shared folder (any file system that Arrow can open by URI); each
-archive is written under a name of its own attempt and then moved to its final name, so a task that is run again after
-the loss of an executor replaces its archive whole. Reading: an archive is read in blocks, members are inflated
-incrementally, the record is framed by its Content-Length and its block digest is compared with the payload.
+Writing: records are streamed into archives below a shared folder (any file system that Arrow can open by URI; Hadoop's
+names for object stores are understood). Each attempt of a task writes archives of its own names, and only those of the
+attempt that succeeds get into the manifest, so nothing is moved or overwritten. A response's block is an HTTP response
+whose body is the payload; a revisit's block is the head of such a response alone. Reading: an archive is read in blocks,
+members are inflated incrementally, the record is framed by its Content-Length, block and payload are compared with their
+digests, and the payload's length with that of the HTTP head.
 
 Records with equal payloads of at least ``MIN_REVISIT`` bytes: that with the smallest id is a response, others are
 revisit records that name it and carry no payload. The smallest id per digest comes from a partially aggregated
 group-by; a skewed digest is split by AQE in the join that follows.
 
-Defined results: null html is an empty payload; null url is written as an empty target; rows repeated (equal id) are
-written once each, of equal ids and payloads all are responses; a null page_id sorts after all others; an empty table
-gives no archive and no row; other columns are ignored.
+Defined results: null html is an empty payload; a null or empty url is written as the target ``about:blank``; rows
+repeated (equal id) are written once each, of equal ids and payloads all are responses; null page_ids sort after all
+others, and if all ids of a payload are null all are responses; an empty table gives no archive and no row; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,9 +45,18 @@ class ArchiveError(ValueError):
     """An archive whose framing or digests are wrong."""
 
 
+#: Hadoop's names of schemes, and what Arrow calls them. (fixed values)
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss", "gcs": "gs"}
+
+
 def _opened(uri: str):
     from pyarrow import fs
 
+    scheme, mark, rest = uri.partition("://")
+    if mark:
+        uri = SCHEMES.get(scheme, scheme) + mark + rest
+    elif uri.startswith("file:"):
+        uri = uri.removeprefix("file:")
     return fs.FileSystem.from_uri(uri)
 
 
@@ -56,18 +69,20 @@ def _line(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "%\x7f" else c for c in value)
 
 
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
     """One record, compressed as a gzip member of its own."""
-    block = b"" if revisit else payload
+    block = _HTTP.format(len(payload)).encode() + (b"" if revisit else payload)
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", record_id(page_id)),
         ("WARC-Date", date),
-        ("WARC-Target-URI", _line(url or "")),
+        ("WARC-Target-URI", _line(url or "about:blank")),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()),
         ("X-Page-ID", "" if page_id is None else str(page_id)),
-        ("X-Payload-Length", str(len(payload))),
     ]
     if revisit:
         head += [
@@ -75,45 +90,59 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
             ("WARC-Refers-To", record_id(refers_to)),
             ("X-Refers-To-Page-ID", str(refers_to)),
         ]
-    head += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(block)))]
+    head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     raw = ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode("utf-8", "surrogatepass") + block + _END
     gz = zlib.compressobj(6, zlib.DEFLATED, 31)
     return gz.compress(raw) + gz.flush()
 
 
-def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an open binary file; holds one record and one block of the file in memory."""
-    inflate, raw, ended = zlib.decompressobj(31), bytearray(), False
-    data = source.read(BLOCK)
-    while data:
-        raw += inflate.decompress(data)
-        data = inflate.unused_data if inflate.eof else b""
-        if inflate.eof:
-            yield _parsed(bytes(raw))
-            inflate, raw = zlib.decompressobj(31), bytearray()
-            ended = True
-        if not data:
-            data = source.read(BLOCK)
-            ended = ended and not data
-    if raw or (not ended and inflate.unconsumed_tail):
+def read_archive(source) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """(headers, payload, length of the full payload) of each record of an open binary file; a revisit's payload is empty.
+
+    Holds one record and one block of the file in memory.
+    """
+    inflate, raw, begun = zlib.decompressobj(31), bytearray(), False
+    while data := source.read(BLOCK):
+        while data:
+            begun = True
+            raw += inflate.decompress(data)
+            data = inflate.unused_data
+            if inflate.eof:
+                yield _parsed(bytes(raw))
+                inflate, raw, begun = zlib.decompressobj(31), bytearray(), False
+    if begun:
         raise ArchiveError("the archive ends inside a record")
 
 
-def _parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
+def _fields(lines: list[str]) -> dict[str, str]:
+    return {name: value.strip() for name, _, value in (x.partition(":") for x in lines)}
+
+
+def _parsed(raw: bytes) -> tuple[dict[str, str], bytes, int]:
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-    if not gap or not lines[0].startswith("WARC/1."):
+    first, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    if not gap or not first.startswith("WARC/1."):
         raise ArchiveError("a member doesn't begin with a WARC header")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+    fields = _fields(lines)
     length = int(fields["Content-Length"])
     block, end = rest[:length], rest[length:]
     if len(block) != length or end != _END:
         raise ArchiveError("Content-Length doesn't frame the record")
     if fields["WARC-Block-Digest"] != "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode():
         raise ArchiveError("the block digest is wrong")
-    if fields["WARC-Type"] == "response" and fields["WARC-Payload-Digest"] != "sha256:" + hashlib.sha256(block).hexdigest():
-        raise ArchiveError("the payload digest is wrong")
-    return fields, block
+    http, gap, payload = block.partition(b"\r\n\r\n")
+    status, *lines = http.decode("latin-1").split("\r\n")
+    if not gap or not re.match(r"HTTP/\d\.\d \d{3}", status):
+        raise ArchiveError("the block isn't an HTTP response")
+    size = int(_fields(lines)["Content-Length"])
+    if fields["WARC-Type"] == "response":
+        if fields["WARC-Payload-Digest"] != "sha256:" + hashlib.sha256(payload).hexdigest():
+            raise ArchiveError("the payload digest is wrong")
+        if size != len(payload):
+            raise ArchiveError("the payload hasn't the length that its head names")
+    elif payload:
+        raise ArchiveError("a revisit carries a payload")
+    return fields, payload, size
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -139,11 +168,12 @@ def write_archives(records: DataFrame, folder: str, date: str | None = None) ->
         files, base = _opened(folder)
         done, out, k, n, size = [], None, 0, 0, 0
 
+        def name() -> str:
+            return f"part-{part:06d}-{k:04d}-{attempt}.warc.gz"
+
         def close() -> None:
             out.close()
-            final = posixpath.join(base, f"part-{part:06d}-{k:04d}.warc.gz")
-            files.move(f"{final}.{attempt}", final)
-            done.append((f"{folder}/part-{part:06d}-{k:04d}.warc.gz", n, size))
+            done.append((f"{folder}/{name()}", n, size))
 
         for b in batches:
             for page, url, html, digest, refers in zip(*(b[c].tolist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
@@ -151,7 +181,7 @@ def write_archives(records: DataFrame, folder: str, date: str | None = None) ->
                 member = record(page, url, html.encode("utf-8", "surrogatepass"), digest, refers, refers is not None, stamp)
                 if out is None:
                     files.create_dir(base, recursive=True)
-                    out, n, size = files.open_output_stream(posixpath.join(base, f"part-{part:06d}-{k:04d}.warc.gz.{attempt}")), 0, 0
+                    out, n, size = files.open_output_stream(posixpath.join(base, name()), compression=None), 0, 0
                 out.write(member)
                 n, size = n + 1, size + len(member)
                 if size >= ROLL_BYTES:
@@ -178,10 +208,10 @@ def read_archives(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
                 files, name = _opened(path)
                 rows, size, n = [], 0, 0
                 with files.open_input_stream(name, compression=None) as source:
-                    for head, block in read_archive(source):
+                    for head, payload, full in read_archive(source):
                         number = lambda k, h=head: int(h[k]) if h.get(k) else None
-                        rows.append((number("X-Page-ID"), head["WARC-Target-URI"], head["WARC-Type"], number("X-Refers-To-Page-ID"), head["WARC-Payload-Digest"].removeprefix("sha256:"), number("X-Payload-Length"), block.decode("utf-8", "surrogatepass")))
-                        size, n = size + len(block), n + 1
+                        rows.append((number("X-Page-ID"), head["WARC-Target-URI"], head["WARC-Type"], number("X-Refers-To-Page-ID"), head["WARC-Payload-Digest"].removeprefix("sha256:"), full, payload.decode("utf-8", "surrogatepass")))
+                        size, n = size + len(payload), n + 1
                         if size >= 16 * BLOCK:
                             yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
                             rows, size = [], 0

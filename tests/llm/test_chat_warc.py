@@ -55,9 +55,19 @@ def test_archives(spark, tmp_path):
 
 def test_broken_archives():
     one = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, False, "2020-01-01T00:00:00Z")
-    assert [b for _, b in warc.read_archive(io.BytesIO(one + one))] == [b"payload", b"payload"]
-    with pytest.raises(warc.ArchiveError):
-        list(warc.read_archive(io.BytesIO(one + one[:-20])))
+    assert [(p, n) for _, p, n in warc.read_archive(io.BytesIO(one + one))] == [(b"payload", 7)] * 2
+    for cut in (1, 5, len(one) - 20, len(one) - 1):
+        with pytest.raises(warc.ArchiveError):
+            list(warc.read_archive(io.BytesIO(one + one[:cut])))
     bad = warc.record(1, "u", b"payload", "0" * 64, None, False, "2020-01-01T00:00:00Z")
     with pytest.raises(warc.ArchiveError):
         list(warc.read_archive(io.BytesIO(bad)))
+    again = warc.record(2, "", b"payload", hashlib.sha256(b"payload").hexdigest(), 1, True, "2020-01-01T00:00:00Z")
+    ((head, payload, size),) = warc.read_archive(io.BytesIO(again))
+    assert (payload, size, head["WARC-Type"], head["WARC-Target-URI"], head["WARC-Refers-To"]) == (b"", 7, "revisit", "about:blank", warc.record_id(1))
+
+
+def test_pages_without_ids(spark, tmp_path):
+    d = spark.createDataFrame([(None, "u", "z" * 200)] * 3, "page_id long, url string, html string")
+    got = warc.round_trip(d, f"file://{tmp_path}/n").collect()
+    assert [(r["page_id"], r["record_type"], r["payload_bytes"]) for r in got] == [(None, "response", 200)] * 3
