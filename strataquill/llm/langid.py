@@ -9,11 +9,15 @@ Texts are lower-cased; runs of what isn't a letter are one space; letters become
 labelled texts, others fall into a few classes by code block. A text is parsed in blocks of ``BLOCK`` symbols, at the
 start of which a phrase begins, so that many blocks advance together, one symbol at a time, over a table of transitions.
 
-Fitting uses a bounded sample, the same for any size of the input: per language the labelled rows with the smallest
-hashes of their ids, at most ``TRAIN_ROWS`` of at most ``ROW_CHARS`` characters, and ``TRAIN_SYMBOLS`` symbols.
-
-Defined results: ``und`` with score 0 for null texts, texts without a letter, and if no row has a label; rows repeated
-each give a row; an empty table gives an empty result; other columns are ignored.
+Fitting uses a bounded sample, the same for any size of the input: per language ``TRAIN_ROWS`` labelled rows, those with
+the smallest hashes of their ids among rows of at most ``MOST_CHARS`` characters (a language that has only longer ones is
+learned from its shortest). Of these rows every symbol is learned. The letters of the alphabet are the ``LETTERS`` most
+frequent ones of the sample; rarer letters share ``CLASSES`` symbols by code block, which is coarse for languages of
+thousands of letters.
+
+Defined results: ``und`` with score 0 for null texts, texts without a letter, and if no row has a label; ``keep_known``
+keeps texts with a letter if no row has a label; rows repeated each give a row; an empty table gives an empty result;
+other columns are ignored by ``predict`` and kept by ``keep_known``.
 """
 
 from __future__ import annotations
@@ -28,7 +32,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS, ROW_CHARS, TRAIN_SYMBOLS = 128, 2048, 24_000
+from strataquill.llm.rows import unused
+
+TRAIN_ROWS, MOST_CHARS = 32, 16_384
 BLOCK, LANES = 512, 8192
 LETTERS, CLASSES = 200, 16
 UNKNOWN = "und"
@@ -46,12 +52,17 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    # Four times the rows that are wanted, by hash; null and empty texts among them are the reason for more.
-    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 31, math.ceil((1 << 31) * 4 * TRAIN_ROWS / n)))])
-    near = rows.where((F.col("h") < limits[F.col("lang")]) & (F.octet_length("text") > 0))
+    # Eight times the rows that are wanted, by hash; null, empty and long texts among them are the reason for more.
+    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 31, math.ceil((1 << 31) * 8 * TRAIN_ROWS / n)))])
+    usable = rows.where((F.octet_length("text") > 0) & F.col("text").rlike(r"\p{L}"))
+    near = usable.where((F.col("h") < limits[F.col("lang")]) & (F.char_length("text") <= MOST_CHARS))
     found: dict[str, list] = {}
-    for r in near.select("lang", "h", "id", F.substring("text", 1, ROW_CHARS).alias("text")).collect():
-        found.setdefault(r["lang"], []).append((r["h"], r["id"], r["text"]))
+    for r in near.select("lang", "h", "id", "text").collect():
+        found.setdefault(r["lang"], []).append((r["h"], str(r["id"]), r["text"]))
+    missing = sorted(set(counts) - set(found))
+    if missing:
+        short = usable.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by("text", F.struct(F.char_length("text"), "h")).alias("text"))
+        found |= {r["lang"]: [(0, "", r["text"])] for r in short.collect()}
     return {lang: "\n".join(t for *_, t in sorted(texts)[:TRAIN_ROWS]) for lang, texts in sorted(found.items())}
 
 
@@ -119,7 +130,7 @@ class Model:
         self.width = self.alphabet.size + 1  # the last symbol fills up short blocks
         self.tables, self.bits, kept = [], [], []
         for lang in self.langs:
-            symbols = self.alphabet.symbols(texts[lang])[:TRAIN_SYMBOLS]
+            symbols = self.alphabet.symbols(texts[lang])
             if len(symbols):
                 kept.append(lang)
                 self.tables.append(self._table(suffix_automaton(symbols)[0]))
@@ -228,5 +239,7 @@ def predicted(text: Column, texts: dict[str, str]) -> Column:
 
 def keep_known(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is told."""
-    found = predicted(docs[text_col], sample(docs))
-    return docs.withColumn("__language", found).where(F.col("__language.lang_pred") != UNKNOWN).drop("__language")
+    texts, text, found = sample(docs), docs[text_col], unused(docs, "language")
+    if not texts:
+        return docs.where(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    return docs.withColumn(found, predicted(text, texts)).where(F.col(found)["lang_pred"] != UNKNOWN).drop(found)

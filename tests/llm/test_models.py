@@ -37,7 +37,7 @@ def test_phrases_are_those_of_brute_force():
     model = langid.Model(texts)
     for t in (prose(77, 300, LANGS["de"]), prose(5, 9, LANGS["fr"]), "日本 zzz q", "a"):
         symbols = model.alphabet.symbols(t).tobytes()
-        want = [phrases(symbols, model.alphabet.symbols(texts[x])[: langid.TRAIN_SYMBOLS].tobytes()) for x in model.langs]
+        want = [phrases(symbols, model.alphabet.symbols(texts[x]).tobytes()) for x in model.langs]
         grid = np.full((-(-len(symbols) // langid.BLOCK), langid.BLOCK), model.width - 1, np.uint8)
         grid.reshape(-1)[: len(symbols)] = np.frombuffer(symbols, np.uint8)
         assert model.phrases(np.ascontiguousarray(grid.T).astype(np.int32)).sum(axis=1).tolist() == want
@@ -62,10 +62,39 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert kept.columns == d.columns and kept.count() == sum(r["lang_pred"] != "und" for r in langid.predict(d, texts).collect())
 
 
+def test_every_symbol_of_the_sampled_rows_is_learned(spark):
+    rows = [(k, prose(k, 400, LANGS["en"]), "en") for k in range(200)] + [(1000 + k, prose(k, 30_000 + k, LANGS["de"]), "de") for k in range(3)]
+    texts = langid.sample(docs(spark, rows))
+    own = {t for _, t, _ in rows}
+    assert len(texts["en"].split("\n")) == langid.TRAIN_ROWS and all(t in own for t in texts["en"].split("\n"))
+    learned = [t for k, t, lang in rows if lang == "de" and zlib.crc32(str(k).encode()) % 3 != 1]
+    assert texts["de"] == min(learned, key=len)  # all are longer than MOST_CHARS
+    model = langid.Model({"en": texts["en"]})
+    assert round(2 ** model.bits[0]) == len(model.alphabet.symbols(texts["en"])) + 1
+
+
+def test_query_agrees_with_brute_force(spark):
+    """Sampling, parsing and choice, spelled out over Python strings."""
+    rows = rows_of(120) + [(500, "zz", None), (501, None, "en"), (502, "12", "de")]
+    d = docs(spark, rows)
+    texts = langid.sample(d)
+    model = langid.Model(texts)
+    learned = {x: model.alphabet.symbols(texts[x]).tobytes() for x in model.langs}
+    for r in langid.predict(d, texts).collect():
+        symbols = model.alphabet.symbols(next(t for i, t, _ in rows if i == r["doc_id"]) or "").tobytes()
+        if not symbols:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        needed = sorted((phrases(symbols, learned[x]) * math.log2(len(learned[x]) + 1), x) for x in model.langs)
+        assert r["lang_pred"] == needed[0][1] and math.isclose(r["score"], 1 - needed[0][0] / needed[1][0], abs_tol=1e-9)
+
+
 def test_nothing_labelled(spark):
-    d = docs(spark, [(1, "abc", None), (2, None, "en")])
-    assert [r["lang_pred"] for r in langid.predict(d, langid.sample(d)).collect()] == ["und", "und"]
+    d = docs(spark, [(1, "abc", None), (2, None, "en"), (3, "1 2", None)])
+    assert [r["lang_pred"] for r in langid.predict(d, langid.sample(d)).collect()] == ["und"] * 3
     assert langid.predict(d.limit(0), langid.sample(d.limit(0))).count() == 0
+    assert [r["doc_id"] for r in langid.keep_known(d).collect()] == [1]
+    assert langid.keep_known(d.withColumnRenamed("kept", "language")).columns == [c if c != "kept" else "language" for c in d.columns]
 
 
 def brute_links(rows, threshold):
@@ -78,7 +107,7 @@ def brute_links(rows, threshold):
             (a, v, x), (b, w, y) = rows[i], rows[j]
             if None in (a, b, x, y) or x != y or not ok(v) or not ok(w) or len(v) != len(w):
                 continue
-            p, q = np.array(v), np.array(w)
+            p, q = (np.array(z) / max(map(abs, z)) for z in (v, w))
             if p @ q / math.sqrt(p @ p) / math.sqrt(q @ q) >= threshold:
                 links[i] += 1
                 links[j] += 1
@@ -98,7 +127,7 @@ def vectors():
     hot = rng.normal(size=16)
     rows += [(1000 + k, (hot + rng.normal(scale=0.1, size=16)).tolist(), 1) for k in range(200)]
     rows += [(2000 + k, [float(x) for x in range(16)], 2) for k in range(5)]
-    rows += [(3000, None, 1), (3001, [], 1), (3002, [0.0] * 16, 1), (3003, [None] + [1.0] * 15, 1), (3004, [float("nan")] * 16, 1), (3005, [float("inf")] * 16, 1), (3006, [1.0] * 16, None), (None, [1.0] * 16, 1), (3007, [1.0] * 8, 1), (3008, [2.0] * 8, 1)]
+    rows += [(3000, None, 1), (3001, [], 1), (3002, [0.0] * 16, 1), (3003, [None] + [1.0] * 15, 1), (3004, [float("nan")] * 16, 1), (3005, [float("inf")] * 16, 1), (3006, [1.0] * 16, None), (None, [1.0] * 16, 1), (3007, [1.0] * 8, 1), (3008, [2.0] * 8, 1), (3009, [1e200] * 8, 2), (3010, [3e-200] * 8, 2)]
     return rows
 
 
