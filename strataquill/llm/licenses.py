@@ -9,8 +9,9 @@ Everything else is mandatory wording. Each template is compiled to an automaton
 empty moves, replaceable regions counted any-word moves), the automata are joined into one, and that one is determinised
 lazily while texts are read. A text is accepted at a place only if all mandatory words stand there exactly.
 
-Reading is linear: words outside the templates' vocabulary share one symbol, and the automaton is started only where a
-template's first word stands.
+There are templates of whole texts (short licenses; the notices that long ones ask for) and of mentions. Words are
+symbols of a character each, so templates may have up to a million distinct words. Reading is linear: words outside the
+templates' vocabulary share one symbol, and the automaton is started only where a template's first word stands.
 
 Defined results: null and empty texts have no words, score 0 and empty labels; overlapping matches all count; equal
 rows each give a row; an empty table gives an empty result; other columns are ignored.
@@ -28,27 +29,47 @@ from pyspark.sql import functions as F
 #: Phrases whose places are always counted, with their labels. (fixed values)
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Wording of well-known public license notices, with the label of each.
-TEMPLATES = {
+#: Wording of mentions of well-known public licenses, with the label of each. (fixed values)
+MENTIONS = {
     "apache-2.0": "licensed under the apache license <<o>>version<</o>> 2 <<o>>0<</o>>",
-    "apache-2.0-notice": "you may not use this file except in compliance with the license <<o>>you may obtain a copy of the license at<</o>>",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<v:3>> to deal in <<o>>the software<</o>> without restriction",
     "mit-mention": "<<o>>released<</o>> under the mit license",
-    "isc": "permission to use copy modify and <<o>>and or<</o>> distribute this software for any purpose with or without fee is hereby granted",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-mention": "licensed under <<o>>the<</o>> <<v:2>> bsd <<o>>style<</o>> license",
-    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license <<o>>v<</o>> 2 0",
     "gpl-2.0": "gnu general public license <<o>>as published by the free software foundation<</o>> <<o>>either<</o>> version 2",
     "gpl-3.0": "gnu general public license <<o>>as published by the free software foundation<</o>> <<o>>either<</o>> version 3",
-    "lgpl": "gnu <<o>>lesser<</o>> <<o>>library<</o>> general public license version <<v:1>> of the lgpl",
     "cc-by-4.0": "licensed under <<o>>a creative commons<</o>> <<o>>cc<</o>> by 4 0",
     "cc-by-nc-4.0": "licensed under <<o>>a creative commons<</o>> <<o>>cc<</o>> by nc 4 0",
     "cc-by-sa-4.0": "licensed under <<o>>a creative commons<</o>> <<o>>cc<</o>> by sa 4 0",
     "copyright": "copyright <<o>>c<</o>> <<v:6>> all rights reserved",
 }
 
+_WARRANTY = "<<v:12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<v:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<o>>1<</o>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<o>>2<</o>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_GNU = "is free software you can redistribute it and or modify it under the terms of the gnu {0} general public license as published by the free software foundation either version {1} of the license or <<o>>at your option<</o>> any later version <<v:6>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {0} general public license for more details you should have received a copy of the gnu {0} general public license along with <<v:6>> if not {2}"
+_SEE = "see <<o>>http www gnu org licenses<</o>> <<o>>https www gnu org licenses<</o>>"
+_WRITE = "write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa"
+
+#: Whole texts of short licenses, and the whole notices that long ones ask for, behind the copyright line. (fixed values)
+TEXTS = {
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<o>>including the next paragraph<</o>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<v:12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "mit-0": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<v:12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc": "permission to use copy modify and <<o>>or<</o>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<v:8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<v:8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "0bsd": "permission to use copy modify and <<o>>or<</o>> distribute this software for any purpose with or without fee is hereby granted the software is provided as is and <<v:8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<v:8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-clause": f"{_BSD} this software is provided by {_WARRANTY}",
+    "bsd-3-clause": f"{_BSD} <<o>>3<</o>> neither the name of <<v:12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by {_WARRANTY}",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<o>>1<</o>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<o>>2<</o>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<o>>3<</o>> this notice may not be removed or altered from any source distribution",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software <<o>>for more information please refer to <<v:4>> unlicense org<</o>>",
+    "bsl-1.0": "boost software license version 1 0 august 17th 2003 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "wtfpl": "do what the fuck you want to public license <<o>>version 2 december 2004<</o>> <<v:16>> everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed do what the fuck you want to public license terms and conditions for copying distribution and modification 0 you just do what the fuck you want to",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<o>>http www apache org licenses license 2 0<</o>> <<o>>https www apache org licenses license 2 0<</o>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<o>>http<</o>> <<o>>https<</o>> mozilla org mpl 2 0",
+    "gpl-2.0-notice": _GNU.format("", "2", _WRITE),
+    "gpl-3.0-notice": _GNU.format("", "3", _SEE),
+    "lgpl-2.1-notice": _GNU.format("lesser", "2 1", _WRITE),
+    "lgpl-3.0-notice": _GNU.format("lesser", "3", _SEE),
+    "agpl-3.0-notice": _GNU.format("affero", "3", _SEE),
+}
+TEMPLATES = MENTIONS | TEXTS
+
 #: Word characters are 0-9, a-z and all non-ASCII; A-Z become lower case; the rest separates.
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -67,9 +88,12 @@ class Automaton:
     lists the states after any word, ``free[s]`` those reached without a word. ``final[s]`` names the labels accepted in s.
     """
 
+    OTHER = "\0"
+
     def __init__(self, templates: Iterable[tuple[str, str, bool]], limit: int = 50_000):
-        self.symbol: dict[bytes, int] = {}
-        self.step: list[dict[int, list[int]]] = []
+        #: A word's symbol is a character above ``OTHER``, which stands for all words of no template.
+        self.symbol: dict[bytes, str] = {}
+        self.step: list[dict[str, list[int]]] = []
         self.any: list[list[int]] = []
         self.free: list[list[int]] = []
         self.final: dict[int, tuple[str, bool]] = {}
@@ -77,14 +101,14 @@ class Automaton:
         self.start = self._state()
         for label, text, base in templates:
             self._compile(label, text, base)
-        if len(self.symbol) > 254:
-            raise ValueError("templates have more than 254 distinct words")
+        if len(self.symbol) > 1_000_000:
+            raise ValueError("templates have more than a million distinct words")
         self._reset()
         #: Symbols with which a match can begin.
         self.firsts = sorted({a for s in self._closed([self.start]) for a in self.step[s]})
         if any(self.any[s] for s in self._closed([self.start])):
             raise ValueError("a template begins with a replaceable region")
-        self.first_re = re.compile(b"[" + b"".join(re.escape(bytes([a])) for a in self.firsts) + b"]")
+        self.first_re = re.compile("[" + "".join(map(re.escape, self.firsts)) + "]")
 
     def _state(self) -> int:
         self.step.append({})
@@ -99,7 +123,7 @@ class Automaton:
             if i % 2 == 0:
                 for word in words_of(part):
                     to = self._state()
-                    self.step[at].setdefault(self.symbol.setdefault(word, len(self.symbol) + 1), []).append(to)
+                    self.step[at].setdefault(self.symbol.setdefault(word, chr(len(self.symbol) + 1)), []).append(to)
                     at = to
             elif part == "o":
                 opened.append(at)
@@ -124,7 +148,7 @@ class Automaton:
     def _reset(self) -> None:
         self.ids: dict[frozenset[int], int] = {}
         self.sets: list[frozenset[int]] = []
-        self.moves: list[dict[int, int]] = []
+        self.moves: list[dict[str, int]] = []
         self.accepts: list[list[tuple[str, bool]]] = []
         self.root = self._intern(self._closed([self.start]))
 
@@ -146,7 +170,7 @@ class Automaton:
             self.accepts.append([self.final[s] for s in sorted(states) if s in self.final])
         return self.ids[states]
 
-    def _move(self, state: int, symbol: int) -> int:
+    def _move(self, state: int, symbol: str) -> int:
         """The deterministic state after a symbol; -1 if no match can go on."""
         to: set[int] = set()
         for s in self.sets[state]:
@@ -155,7 +179,11 @@ class Automaton:
         self.moves[state][symbol] = found = self._intern(self._closed(to)) if to else -1
         return found
 
-    def matches(self, symbols: bytes) -> Iterator[tuple[str, bool, int, int]]:
+    def read(self, words: list[bytes]) -> str:
+        """The symbols of words."""
+        return "".join(map(self.symbol.get, words, [self.OTHER] * len(words)))
+
+    def matches(self, symbols: str) -> Iterator[tuple[str, bool, int, int]]:
         """(label, base, first word, end) of each accepted place; of one label and start, the longest."""
         if len(self.sets) > self.limit:
             self._reset()
@@ -183,8 +211,7 @@ def automaton(base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES
 def scan_text(found: Automaton, text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans of one text."""
     words = words_of(text)
-    symbols = bytes(map(found.symbol.get, words, [0] * len(words))) if words else b""
-    spans = list(found.matches(symbols))
+    spans = list(found.matches(found.read(words)))
     starts = [s for _, base, s, _ in spans if base]
     covered, end = 0, 0
     for s, e in sorted((s, e) for _, _, s, e in spans):

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -36,6 +37,67 @@ def test_templates():
     assert "apache-2.0" in labels(TEXTS[6]) and "apache-2.0" in labels(TEXTS[7]) and "apache-2.0" not in labels(TEXTS[8])
 
 
+def brute_matches(template, words):
+    """(first, end) of the longest match at each place, by backtracking over the template's regions."""
+    parts = re.findall(r"<<v:(\d+)>>|<<(o|/o)>>|([^<\s]+)", template)
+
+    def close(k):
+        depth = 0
+        for j in range(k, len(parts)):
+            depth += {"o": 1, "/o": -1}.get(parts[j][1], 0)
+            if not depth:
+                return j
+
+    def ends(k, at):
+        if k == len(parts):
+            return {at}
+        v, mark, word = parts[k]
+        if v:
+            return set().union(*(ends(k + 1, at + n) for n in range(int(v) + 1) if at + n <= len(words)))
+        if mark == "o":
+            return ends(k + 1, at) | ends(close(k) + 1, at)
+        if mark:
+            return ends(k + 1, at)
+        return ends(k + 1, at + 1) if at < len(words) and words[at] == word else set()
+
+    return [(i, max(e)) for i in range(len(words)) if (e := {x for x in ends(0, i) if x > i})]
+
+
+def test_automaton_matches_what_backtracking_does():
+    rnd = random.Random(12)
+    for _ in range(150):
+        middle = [rnd.choice(("a", "b", "c", "<<v:1>>", "<<v:2>>", "<<o>>a b<</o>>", "<<o>>c<<v:1>> a<</o>>", "<<o>><<o>>a<</o>> b<</o>>")) for _ in range(rnd.randint(0, 4))]
+        template = " ".join(["a", *middle, rnd.choice("abc")])
+        found = licenses.Automaton([("x", template, False)], limit=rnd.choice((2, 1000)))
+        for _ in range(6):
+            words = [rnd.choice("abcd") for _ in range(rnd.randint(0, 14))]
+            got = licenses.scan_text(found, " ".join(words))[7]
+            assert [(s, e) for _, s, e in got] == brute_matches(template, words), (template, words)
+
+
+def filled(template, rnd):
+    """A text that the template takes: optional regions kept or not, replaceable ones filled."""
+    text = re.sub(r"<<v:(\d+)>>", lambda m: " ".join(["someone"] * rnd.randint(0, int(m[1]))), template)
+    while "<<o>>" in text:
+        text = re.sub(r"<<o>>((?:(?!<<o>>|<</o>>).)*)<</o>>", lambda m: rnd.choice((m[1], " ")), text)
+    return text
+
+
+def test_whole_license_texts():
+    rnd = random.Random(13)
+    found = licenses.automaton()
+    assert len(found.symbol) > 254
+    for label, template in licenses.TEMPLATES.items():
+        for _ in range(4):
+            text = filled(template, rnd)
+            assert label in licenses.scan_text(found, f"Before this. {text.title()}! after")[5].split(","), (label, text)
+        words = licenses.words_of(re.sub(r"<<o>>.*?<</o>>|<<v:\d+>>", " ", template))
+        if label in licenses.TEXTS:
+            k = rnd.randrange(1, len(words))
+            wrong = " ".join(w.decode() if i != k else "wrongword" for i, w in enumerate(words))
+            assert label not in licenses.scan_text(found, wrong)[5].split(",")
+
+
 def test_lazy_states_are_dropped():
     found = licenses.Automaton([("x", "a <<v:3>> b <<o>>c<</o>> d", False)], limit=3)
     for t, hit in (("a b d", True), ("a x y z b c d", True), ("a w x y z b d", False), ("a b c c d", False), ("z a b d", True)):
