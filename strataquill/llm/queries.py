@@ -35,7 +35,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(documents(spark, sf_dir))
+    found = secrets.scan(documents(spark, sf_dir), words=secrets.vocabulary_words(vocabulary("word_bpe_49k.json")))
     return found.select("doc_id", "place", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
 
 
