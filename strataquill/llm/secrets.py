@@ -68,14 +68,15 @@ _NAMED = rf"(?i:{_any(SECRET_WORDS)})[\w.-]{{0,24}}{_QUOTE}?\s{{0,3}}[:=]{{1,2}}
 #: A URL with a password is no candidate as a whole, so that the password in it is one.
 _NO_URL = r"(?![^\s\x22\x27]{0,200}://[^\s/@:\x22\x27]{1,64}:[^\s/@\x22\x27]{3,}@)"
 
-CANDIDATE = "|".join((
-    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-[^-]++){0,12}-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----",
-    rf"(?<={_QUOTE})(?<={_NAMED}{_QUOTE}){_NO_URL}[^\x22\x27\n]{{4,}}(?={_QUOTE})",
-    rf"(?<={_QUOTE})(?<=[:=]\s{{0,3}}{_QUOTE}){_NO_URL}[^\s\x22\x27<>]{{6,}}(?={_QUOTE})",
-    r"(?<=:)(?<=://[^\s/@:]{1,64}:)[^\s/@]{3,}(?=@)",
-    rf"(?<=[:=>\s])(?<={_NAMED}){_NO_URL}[^\s\x22\x27<>,;]{{6,}}",
-    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}",
-))
+_BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-[^-]++){0,12}-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_ASSIGNED = rf"(?<={_QUOTE})(?<=[:=]\s{{0,3}}{_QUOTE}){_NO_URL}[^\s\x22\x27<>]{{6,}}(?={_QUOTE})"
+_IN_URL = r"(?<=:)(?<=://[^\s/@:]{1,64}:)[^\s/@]{3,}(?=@)"
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
+_NAMED_QUOTED = rf"(?<={_QUOTE})(?<={_NAMED}{_QUOTE}){_NO_URL}[^\x22\x27\n]{{4,}}(?={_QUOTE})"
+_NAMED_BARE = rf"(?<=[:=>\s])(?<={_NAMED}){_NO_URL}[^\s\x22\x27<>,;]{{6,}}"
+#: Where no word that names secrets stands before a sign, the named forms can't occur, and a shorter pattern finds the same.
+USUAL = "|".join((_BLOCK, _ASSIGNED, _IN_URL, _RUN))
+CANDIDATE = "|".join((_BLOCK, _NAMED_QUOTED, _ASSIGNED, _IN_URL, _NAMED_BARE, _RUN))
 
 _PRINTED = "".join(map(chr, range(0x21, 0x7F)))
 FEATURES = ("length", "changes", "digits", "uppers", "signs", "blanks", "hex", "distinct", "dictionary", "vocabulary", "path_marks", "prefix", "secret_word", "harmless_word", "dashes", "assigned", "quoted", "path_around", "in_url", "uuid", "placeholder", "code")
@@ -249,7 +250,8 @@ def _let(name: str, value: str, body: str) -> str:
 
 def _found(text: str, score: str, words: tuple[str, ...]) -> str:
     """SQL for struct(p: pieces between candidates, c: scored candidates) of a text."""
-    halves = f"named_struct('p', split({text}, r\"{CANDIDATE}\", -1), 'v', regexp_extract_all({text}, r\"{CANDIDATE}\", 0))"
+    pattern = f"case when {text} rlike r\"{_NAMED}\" then r\"{CANDIDATE}\" else r\"{USUAL}\" end"
+    halves = f"named_struct('p', split({text}, {pattern}, -1), 'v', regexp_extract_all({text}, {pattern}, 0))"
     sum_of = lambda some: f"aggregate({some}, 0L, (t, y) -> t + y)"
     # A place is the sum of whole chunks of k lengths (s), then of the lengths in the last chunk.
     lengths = "transform(b.v, (x, i) -> cast(char_length(b.p[i]) + char_length(x) as bigint))"
@@ -266,7 +268,7 @@ def scanned(docs: DataFrame, name: str, text_col: str = "text", labelled: list |
     """``docs`` with a column ``name`` (p, c); null where a text has no candidate."""
     score = train(docs.sparkSession, labelled, words=words)
     text = "`" + text_col.replace("`", "``") + "`"
-    return docs.withColumn(name, F.expr(f"case when {text} rlike r\"{CANDIDATE}\" then {_found(text, score, words)} end"))
+    return docs.withColumn(name, F.expr(f"case when {text} rlike r\"{USUAL}\" or ({text} rlike r\"{_NAMED}\" and {text} rlike r\"{CANDIDATE}\") then {_found(text, score, words)} end"))
 
 
 def scan(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", words: tuple[str, ...] = ()) -> DataFrame:
