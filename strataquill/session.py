@@ -12,7 +12,12 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Settings of Spark, their defaults, and what Python on long texts gets instead.
+BATCHES = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +39,12 @@ def ship(spark: SparkSession) -> None:
     """Makes this package importable in the executors' Python workers, once per application.
 
     The package is zipped on the driver and handed out by Spark's own file server, so neither a shared folder nor an
-    installation on the nodes is needed. Python workers get ``BATCH_ROWS`` rows at a time unless the session says
-    otherwise: texts are long, and a batch stands several times in memory.
+    installation on the nodes is needed. Python workers get ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` at a time unless
+    the session says otherwise: texts are long, and a batch stands several times in memory.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, default, wanted in BATCHES:
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, wanted)
     sc = spark.sparkContext
     if getattr(sc, "_strataquill_shipped", False):
         return
@@ -52,20 +58,23 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``, or the one that the context was given.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is set instead.
+    Only where neither is set (tests, a laptop) a temporary folder is set instead.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = getattr(sc, "_strataquill_ckpt", None)
-        if named is None:
-            named = "file://" + tempfile.mkdtemp(prefix="strataquill-ckpt-")
-            sc._strataquill_ckpt = named
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    return named
+    given = sc._jsc.sc().getCheckpointDir()
+    if not given.isDefined():
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="strataquill-ckpt-"))
+        given = sc._jsc.sc().getCheckpointDir()
+    return named or given.get()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data, on any Hadoop file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def give_back() -> None:
