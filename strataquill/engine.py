@@ -7,7 +7,7 @@ tag, so ``cancel`` stops them and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions import paths, text
@@ -45,7 +45,7 @@ class Engine:
         try:
             raw = read_tree(self.spark, tree, ignores) if isinstance(tree, str) else manifest.visible(tree, ignores)
             first = F.regexp_extract(F.coalesce("content", F.lit("")), r"^[^\n]*", 0)
-            told = raw.select("rel_path", "size_bytes", "content", paths.language(F.col("rel_path"), first).alias("language"), paths.category(F.col("rel_path")).alias("category"), F.sha1(F.coalesce("content", F.lit(""))).alias("checksum"))
+            told = raw.select("rel_path", "size_bytes", "content", paths.language(F.col("rel_path"), first).alias("language"), paths.category(F.col("rel_path")).alias("category"), F.sha1(F.coalesce("content", F.lit(""))).alias("checksum"), (F.col("mtime_ns") if "mtime_ns" in raw.columns else F.lit(None)).cast("long").alias("mtime_ns"))
             self._write("files", snapshot_id, told)
             files = self.table("files", snapshot_id)
             self._write("symbols", snapshot_id, symbols.symbols(files))
@@ -126,20 +126,56 @@ class Engine:
 
     # Retrieval -----------------------------------------------------------------------------------------------------
 
-    def retrieve(self, snapshot_id: str, query: str, section: str = "architecture", budget: int | None = None) -> DataFrame:
-        """Ranked chunks with their content, within the budget."""
+    def _asked(self, snapshot_id: str, query: str, section: str, budget: int) -> DataFrame:
         chunks = self.table("chunks", snapshot_id)
         inner = self.edges(snapshot_id).where(~F.col("is_external"))
         refs = references.file_references(self.table("symbol_edges", snapshot_id))
         members = self.table("communities", snapshot_id).select("rel_path", "community_id")
-        found = retrieval.two_stage(chunks, query, inner, members, refs, self.central(snapshot_id), section, budget, self.table("terms", snapshot_id).drop("snapshot_id"))
+        terms = self.table("terms", snapshot_id).drop("snapshot_id") if snapshots.built(self.spark, f"{self.folder}/terms", snapshot_id) else None
+        return retrieval.two_stage(chunks, query, inner, members, refs, self.central(snapshot_id), section, budget, terms, lexical=terms is None)
+
+    def retrieve(self, snapshot_id: str, query: str, section: str = "architecture", budget: int | None = None) -> DataFrame:
+        """Ranked chunks with their content, within the budget."""
+        chunks = self.table("chunks", snapshot_id)
+        found = self._asked(snapshot_id, query, section, retrieval.BUDGETS[section] if budget is None else budget)
         return found.join(chunks.select("rel_path", "chunk_index", "content"), ["rel_path", "chunk_index"]).orderBy(F.desc("score"), "rel_path", "chunk_index")
 
+    def bundle(self, snapshot_id: str, query: str, section: str = "architecture", budget: int | None = None, mode: str = "hybrid", limit: int = 80) -> DataFrame:
+        """The evidence bundle of a query, one row: by two stages, or, if they fail, by one pass."""
+        budget = retrieval.BUDGETS[section] if budget is None else budget
+        asked, chunks = retrieval.terms_of(query), self.table("chunks", snapshot_id)
+        try:
+            found = cut(retrieval.evidence(self._asked(snapshot_id, query, section, budget), chunks))
+        except Exception:
+            ranked = Window.orderBy(F.desc("score"), F.desc("indegree"), "rel_path")  # of thirty rows
+            central = self.central(snapshot_id).select("rel_path", F.row_number().over(ranked).alias("central_rank"))
+            found = retrieval.single_pass_evidence(chunks, cut(retrieval.scores_of(chunks, asked)), central, asked, section, mode, limit, budget)
+        return retrieval.bundle(found, query, section, budget, mode)
+
+    def prefetch(self, snapshot_id: str, queries: dict[str, str]) -> dict[str, DataFrame]:
+        """Bundles of several sections at once (section -> query): their jobs run side by side; failing ones are left out."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        from pyspark import inheritable_thread_target
+
+        def ask(section: str) -> DataFrame | None:
+            try:
+                return cut(self.bundle(snapshot_id, queries[section], section))
+            except Exception:
+                return None
+
+        with ThreadPoolExecutor(4) as pool:
+            found = dict(zip(queries, pool.map(inheritable_thread_target(ask), queries), strict=True))
+        return {k: v for k, v in found.items() if v is not None}
+
     # Analysis ------------------------------------------------------------------------------------------------------
 
     def risks(self, snapshot_id: str) -> DataFrame:
+        """The findings of all detectors that didn't fail."""
         files, chunks = self.table("files", snapshot_id), self.table("chunks", snapshot_id)
-        return analyzers.risk_report(analyzers.god_objects(files, self.table("symbols", snapshot_id)), analyzers.hotspots(chunks), analyzers.test_gaps(files), analyzers.config_risks(chunks))
+        all_six = analyzers.detectors(files, self.table("symbols", snapshot_id), chunks, lambda: self.cycles(snapshot_id), self.central(snapshot_id))
+        found, _ = analyzers.risk_report(all_six)
+        return self.spark.createDataFrame([], "category string, severity string, title string, rank long") if found is None else found
 
     def conventions(self, snapshot_id: str) -> dict[str, DataFrame]:
         files, found = self.table("files", snapshot_id), self.table("symbols", snapshot_id)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions import paths, text
+from strataquill.session import cut
 
 #: Role endings of class names, in order of precedence. (fixed values)
 SUFFIXES = ("Service", "Controller", "Repository", "Handler", "Manager", "Factory", "Builder", "Provider", "Middleware", "Adapter", "Decorator", "Observer", "Strategy", "Validator", "Serializer", "Util", "Utils", "Helper", "Mixin")
@@ -19,6 +21,9 @@ ROLES = {
     "middleware": "middleware", "handlers": "handlers", "routes": "routing", "components": "UI components", "hooks": "React hooks", "stores": "state management", "screens": "UI screens",
 }
 
+#: Names of the styles: no classes, no functions, over 40 % classes, below 10 %. (fixed values)
+STYLES = ("purely functional", "class-heavy (no standalone functions)", "class-heavy OOP", "functional / procedural")
+
 #: Annotations of deferred work, reads of the environment, assignments that look like credentials. (fixed values)
 ANNOTATIONS = ("TODO", "FIXME", "HACK", "XXX", "NOSONAR")
 ENVIRONMENT = r"(?i)os\.environ|process\.env|getenv|dotenv|\.env"
@@ -48,13 +53,14 @@ def hotspots(chunks: DataFrame, keywords: tuple[str, ...] = ANNOTATIONS, medium:
     return rows.orderBy(F.desc("n_annotations"), "module").limit(limit)
 
 
-def test_gaps(files: DataFrame, least: int = 3) -> DataFrame:
-    """module, n_sources, severity of modules with source files but no test file."""
+def test_gaps(files: DataFrame, least: int = 3, limit: int = 8) -> DataFrame:
+    """module, n_sources, severity of modules with source files but no test file; the most severe, then by module."""
     tested = paths.is_test_analysis(F.col("rel_path"))
     with_module = files.withColumn("module", paths.module_of(F.col("rel_path")))
     sources = with_module.where((F.col("category") == "source") & ~tested).groupBy("module").agg(F.count(F.lit(1)).alias("n_sources")).where(F.col("n_sources") >= least)
     gaps = sources.join(with_module.where(tested).select("module").distinct(), "module", "left_anti")
-    return gaps.withColumn("severity", F.when(F.col("n_sources") >= 10, "high").otherwise("medium"))
+    gaps = gaps.withColumn("severity", F.when(F.col("n_sources") >= 10, "high").otherwise("medium"))
+    return gaps.orderBy(text.severity_rank(F.col("severity")), "module").limit(limit)
 
 
 def test_ratio(files: DataFrame) -> DataFrame:
@@ -88,13 +94,54 @@ def findings(parts: list[DataFrame]) -> DataFrame:
     return rows.withColumn("rank", text.severity_rank(F.col("severity")).cast("long"))
 
 
-def risk_report(god: DataFrame, hot: DataFrame, gaps: DataFrame, config: DataFrame) -> DataFrame:
-    return findings([
-        god.select(F.lit("god_object").alias("category"), "severity", F.concat(F.lit("large file: "), "rel_path").alias("title")),
-        hot.select(F.lit("todo_hotspot").alias("category"), "severity", F.concat(F.lit("hotspot: "), "module").alias("title")),
-        gaps.select(F.lit("test_gap").alias("category"), "severity", F.concat(F.lit("no tests: "), "module").alias("title")),
-        config.select(F.lit("config_risk").alias("category"), F.when(F.col("risk") == "credentials", "high").otherwise("medium").alias("severity"), F.concat(F.lit("config: "), "risk").alias("title")),
-    ])
+def gap_findings(gaps: DataFrame, ratio: DataFrame, limit: int = 8) -> DataFrame:
+    """Findings of untested modules and of a low ratio of tests over all files; at most ``limit`` together, the most severe
+    first, the ratio after the modules of its severity."""
+    modules = gaps.select(F.lit("test_gap").alias("category"), "severity", F.concat(F.lit("no tests: "), "module").alias("title"), F.lit(0).alias("last"), "module")
+    share = F.concat(F.lit("low test ratio: "), F.col("n_tests").cast("string"), F.lit("/"), F.col("n_sources").cast("string"))
+    low = ratio.where("is_low").select(F.lit("test_gap").alias("category"), F.lit("medium").alias("severity"), share.alias("title"), F.lit(1).alias("last"), F.lit("").alias("module"))
+    return modules.unionByName(low).orderBy(text.severity_rank(F.col("severity")), "last", "module").limit(limit).select(*FINDING)
+
+
+def cycle_findings(cycles: DataFrame) -> DataFrame:
+    """Findings of the cycles that ``circular_imports`` gives."""
+    title = F.concat(F.lit("import cycle of "), F.col("cycle_size").cast("string"), F.lit(" files: "), F.element_at("evidence", 1))
+    return cycles.select(F.lit("circular_import").alias("category"), "severity", title.alias("title"))
+
+
+def blast_findings(central: DataFrame) -> DataFrame:
+    """One finding of the most central files, if there are some."""
+    n = central.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    return n.select(F.lit("blast_radius").alias("category"), F.lit("medium").alias("severity"), F.concat(F.lit("central files: "), F.col("n").cast("string")).alias("title"))
+
+
+def risk_report(detectors: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """The findings of all detectors, and the errors of those that failed; one that fails is left out.
+
+    Each detector's findings are few; they are written, so that it fails here or not at all.
+    """
+    found, failed = [], {}
+    for name, detect in detectors.items():
+        try:
+            found.append(cut(detect().select(*FINDING)))
+        except Exception as error:
+            failed[name] = str(error)
+    return (findings(found) if found else None), failed
+
+
+def detectors(files: DataFrame, symbols: DataFrame, chunks: DataFrame, cycles: Callable[[], DataFrame], central: DataFrame, keywords: tuple[str, ...] = ANNOTATIONS) -> dict[str, Callable[[], DataFrame]]:
+    """The six detectors over a snapshot's tables; ``cycles`` gives the graph's cycles when it is asked."""
+    config = lambda: config_risks(chunks).select(
+        F.lit("config_risk").alias("category"), F.when(F.col("risk") == "credentials", "high").otherwise("medium").alias("severity"), F.concat(F.lit("config: "), "risk").alias("title")
+    )
+    return {
+        "god_objects": lambda: god_objects(files, symbols).select(F.lit("god_object").alias("category"), "severity", F.concat(F.lit("large file: "), "rel_path").alias("title")),
+        "circular_imports": lambda: cycle_findings(circular_imports(cycles())),
+        "todo_hotspots": lambda: hotspots(chunks, keywords).select(F.lit("todo_hotspot").alias("category"), "severity", F.concat(F.lit("hotspot: "), "module").alias("title")),
+        "test_coverage": lambda: gap_findings(test_gaps(files), test_ratio(files)),
+        "blast_radius": lambda: blast_findings(blast_radius(central)),
+        "config_risk": config,
+    }
 
 
 def findings_text(rows: DataFrame) -> DataFrame:
@@ -141,7 +188,7 @@ def class_function_style(symbols: DataFrame, limit: int = 4) -> DataFrame:
     rows = rows.groupBy("language").agg(F.count_if(F.col("kind") == "class").alias("n_classes"), F.count_if(F.col("kind").isin("function", "method")).alias("n_functions"))
     total = F.col("n_classes") + F.col("n_functions")
     ratio = F.col("n_classes") / total
-    style = F.when(F.col("n_classes") == 0, "purely functional").when(F.col("n_functions") == 0, "class-heavy").when(ratio > 0.4, "class-heavy OOP").when(ratio < 0.1, "functional / procedural")
+    style = F.when(F.col("n_classes") == 0, STYLES[0]).when(F.col("n_functions") == 0, STYLES[1]).when(ratio > 0.4, STYLES[2]).when(ratio < 0.1, STYLES[3])
     return rows.where(total >= 10).withColumn("style", style).where("style is not null").orderBy("language").limit(limit)
 
 

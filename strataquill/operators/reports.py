@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions import text
@@ -45,11 +45,14 @@ def in_order(rows: DataFrame, key: str, wanted: list) -> DataFrame:
 
 
 def list_diff(old: DataFrame, new: DataFrame, key: str, item: str, width: int = 240, limit: int = 80) -> DataFrame:
-    """(key, change, item) of items that one side of a key lacks; cut to a width."""
+    """(key, change, item) of items that one side of a key lacks, cut to a width; of each key and change the first ``limit``
+    by item."""
     a, b = old.select(key, item).distinct(), new.select(key, item).distinct()
     added = b.join(a, [key, item], "left_anti").withColumn("change", F.lit("added"))
     removed = a.join(b, [key, item], "left_anti").withColumn("change", F.lit("removed"))
-    return added.unionByName(removed).select(key, "change", F.substr(item, F.lit(1), F.lit(width)).alias(item))
+    w = Window.partitionBy(key, "change").orderBy(item)
+    shown = added.unionByName(removed).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit)
+    return shown.select(key, "change", F.substr(item, F.lit(1), F.lit(width)).alias(item))
 
 
 def section_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ orders end in (rel_path, chunk_index), so results don't depend on the plan.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,8 +62,11 @@ def document_frequency(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """n chunks and avgdl, one row."""
+def corpus_stats(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """n chunks and avgdl, one row; with the inverted table no content is read."""
+    if terms is not None:
+        n = chunks.select("rel_path").agg(F.count(F.lit(1))).scalar()
+        return terms.agg(n.alias("n"), (F.sum("f") / n).alias("avgdl"))
     return chunks.select(F.size(text.corpus_tokens(F.col("content"))).cast("long").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
@@ -71,20 +76,43 @@ def idf(frequency: DataFrame, stats: DataFrame) -> DataFrame:
     return frequency.where("df >= 2").select("term", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
-def bm25(chunks: DataFrame, terms: DataFrame, weights: DataFrame, stats: DataFrame, query: list[str]) -> DataFrame:
+def bm25(terms: DataFrame, weights: DataFrame, stats: DataFrame, query: list[str], present: DataFrame | None = None) -> DataFrame:
     """rel_path, chunk_index, bm25 of chunks with a positive score. A term in the path scores its idf once more, even where
-    the content lacks it; an empty chunk scores nothing."""
+    the content lacks it; an empty chunk scores nothing. ``present``: the chunks with tokens, by default those in ``terms``."""
     asked = weights.where(F.col("term").isin(*query) & (F.col("idf") > 0)).select("term", "idf")
     ratio = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / stats.select("avgdl").scalar()))
+    # At most as many rows as the query has terms.
     found = terms.where(F.col("term").isin(*query)).join(F.broadcast(asked), "term")
     inside = found.select("rel_path", "chunk_index", (F.col("idf") * ratio).alias("part"))
-    # Path hits: the terms (at most those of the query) against the paths.
-    hits = chunks.where(F.size(text.corpus_tokens(F.col("content"))) > 0).select("rel_path", "chunk_index")
-    hits = hits.join(F.broadcast(asked), F.contains(F.lower(F.col("rel_path")), F.col("term"))).select("rel_path", "chunk_index", F.col("idf").alias("part"))
-    total = inside.unionByName(hits).groupBy("rel_path", "chunk_index").agg(F.round(F.sum("part"), 6).alias("bm25"))
+    held = asked.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf")))).scalar()
+    low = F.lower(F.col("rel_path"))
+    in_path = [F.contains(low, F.lit(t)) for t in query]
+    hits = (terms if present is None else present).select("rel_path", "chunk_index").where(reduce(Column.__or__, in_path)).distinct()
+    part = sum((F.when(hit, F.coalesce(F.try_element_at(held, F.lit(t)), F.lit(0.0))).otherwise(0.0) for t, hit in zip(query, in_path, strict=True)), F.lit(0.0))
+    total = inside.unionByName(hits.select("rel_path", "chunk_index", part.alias("part"))).groupBy("rel_path", "chunk_index").agg(F.round(F.sum("part"), 6).alias("bm25"))
     return total.where("bm25 > 0")
 
 
+def scores_of(chunks: DataFrame, query: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """rel_path, chunk_index, bm25 for a query. Without an inverted table contents are read once, and only the query's terms
+    are kept of them."""
+    if terms is not None:
+        asked = terms.where(F.col("term").isin(*query))
+        stats = corpus_stats(chunks, terms)
+        return bm25(asked, idf(document_frequency(asked), stats), stats, query, terms)
+    tokens = chunks.select("rel_path", "chunk_index", text.corpus_tokens(F.col("content")).alias("tokens"))
+    light = cut(tokens.select("rel_path", "chunk_index", F.size("tokens").cast("long").alias("dl"), F.filter("tokens", lambda t: t.isin(*query)).alias("hits")))
+    stats = light.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    counted = light.select("rel_path", "chunk_index", "dl", F.explode("hits").alias("term")).groupBy("rel_path", "chunk_index", "dl", "term").agg(F.count(F.lit(1)).alias("f"))
+    return bm25(counted, idf(document_frequency(counted), stats), stats, query, light.where("dl > 0"))
+
+
+def lexical_scores(chunks: DataFrame, query: list[str]) -> DataFrame:
+    """The fallback where there are no statistics: occurrences, in the column bm25."""
+    score = text.lexical_score(F.col("content"), F.col("rel_path"), query).cast("double")
+    return chunks.select("rel_path", "chunk_index", score.alias("bm25")).where("bm25 > 0")
+
+
 def top(scored: DataFrame, score: str, limit: int = CANDIDATES) -> DataFrame:
     return scored.orderBy(F.desc(score), "rel_path", "chunk_index").limit(limit)
 
@@ -117,21 +145,24 @@ def candidates(stage1: DataFrame, expanded: DataFrame, chunks: DataFrame) -> Dat
 
 
 def stage3(cands: DataFrame, chunks: DataFrame, scores: DataFrame, stage1: DataFrame, seeds: DataFrame, communities: DataFrame, central: DataFrame, section: str) -> DataFrame:
-    """Candidates with their components and score."""
+    """Candidates of a positive score, with its components."""
     files = F.broadcast(stage1.select("rel_path").distinct().withColumn("in_stage1", F.lit(True)))
     seed_communities = F.broadcast(communities.join(seeds.select("rel_path").distinct(), "rel_path").select("community_id").distinct().withColumn("near", F.lit(True)))
     near = communities.join(seed_communities, "community_id").select("rel_path", "near")
     rows = cands.join(chunks.select("rel_path", "chunk_index", "category", "token_estimate"), ["rel_path", "chunk_index"])
     rows = rows.join(scores, ["rel_path", "chunk_index"], "left").join(files, "rel_path", "left").join(near, "rel_path", "left")
-    rows = rows.join(F.broadcast(central.select("rel_path").distinct().withColumn("is_central", F.lit(True))), "rel_path", "left")
+    # Central files are a top list; without a limit of their own they are joined as they come.
+    rows = rows.join(central.select("rel_path").distinct().withColumn("is_central", F.lit(True)), "rel_path", "left")
     base = F.coalesce("bm25", F.lit(0.0)) + F.when(F.col("category").isin(*HINTS[section]), HINT).otherwise(0.0)
     symbol, module = F.when(F.col("in_stage1"), SYMBOL).otherwise(1.0), F.when(F.col("near"), COMMUNITY).otherwise(1.0)
     rows = rows.select("rel_path", "chunk_index", "token_estimate", F.round(base, 6).alias("bm25_component"), symbol.alias("symbol_bonus"), module.alias("module_bonus"), F.when(F.col("is_central"), CENTRAL).otherwise(0.0).alias("centrality_bonus"))
-    return rows.withColumn("score", F.round(F.col("bm25_component") * F.col("symbol_bonus") * F.col("module_bonus") + F.col("centrality_bonus"), 6))
+    # A billionth more, so that products that lie halfway are rounded up wherever they are computed.
+    return rows.withColumn("score", F.round(F.col("bm25_component") * F.col("symbol_bonus") * F.col("module_bonus") + F.col("centrality_bonus") + 1e-9, 6)).where("score > 0")
 
 
-def pack(rows: DataFrame, budget: int, score: str = "score", block: int = 4096) -> DataFrame:
-    """The rows that fit a token budget, best first; one that would overflow is skipped and smaller ones may follow.
+def pack(rows: DataFrame, budget: int, score: str = "score", block: int = 4096, most: int | None = None) -> DataFrame:
+    """The rows that fit a token budget, best first, at most ``most``; one that would overflow is skipped and smaller ones
+    may follow.
 
     Any number of rows: they are folded in blocks of bounded size, each of the best rows after the block before that don't
     exceed what is left of the budget. The first row of a block always fits, so blocks are at most as many as kept rows, plus
@@ -139,48 +170,82 @@ def pack(rows: DataFrame, budget: int, score: str = "score", block: int = 4096)
     keys = rows.select(F.struct((-F.col(score)).alias("neg"), "rel_path", "chunk_index", F.col("token_estimate").alias("t")).alias("x"))
     fields = keys.schema["x"].dataType.fields
     used, kept, last = 0, [], None
-    while True:
+    while most is None or len(kept) < most:
         left = keys.where(F.col("x.t") <= budget - used)
         if last is not None:
             left = left.where(F.col("x") > F.struct(*[F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in fields]))
         found = [r["x"] for r in left.orderBy("x").limit(block).collect()]
         for x in found:
-            if used + x["t"] <= budget:
+            if used + x["t"] <= budget and (most is None or len(kept) < most):
                 used += x["t"]
                 kept.append((x["rel_path"], x["chunk_index"]))
         if len(found) < block:
             break
         last = found[-1]
     places = rows.sparkSession.createDataFrame(kept, "rel_path string, chunk_index long")
-    return rows.join(F.broadcast(places), ["rel_path", "chunk_index"])
+    # A row takes a token at least or the budget bounds nothing; the places are as many as the rows kept.
+    return rows.join(places, ["rel_path", "chunk_index"])
 
 
-def two_stage(chunks: DataFrame, query: str, edges: DataFrame, communities: DataFrame, references: DataFrame, central: DataFrame, section: str = "architecture", budget: int | None = None, terms: DataFrame | None = None) -> DataFrame:
-    """Candidates by BM25, expansion around the best, rescoring, packing: ranked chunks within the budget."""
+def two_stage(chunks: DataFrame, query: str, edges: DataFrame, communities: DataFrame, references: DataFrame, central: DataFrame, section: str = "architecture", budget: int | None = None, terms: DataFrame | None = None, lexical: bool = False) -> DataFrame:
+    """Candidates by BM25, expansion around the best, rescoring, packing: ranked chunks within the budget. With ``lexical``,
+    for corpora without statistics, occurrences stand for BM25."""
     asked = terms_of(query)
-    # Scores and candidates are used again and again below; the index, if it isn't given, is built once.
-    terms = cut(chunk_terms(chunks)) if terms is None else terms
-    stats = corpus_stats(chunks)
-    scores = cut(bm25(chunks, terms, idf(document_frequency(terms), stats), stats, asked))
+    # Scores and candidates are used again and again below.
+    scores = cut(lexical_scores(chunks, asked) if lexical else scores_of(chunks, asked, terms))
     stage1 = cut(ranked(top(scores, "bm25"), "bm25"))
     seeds = stage1.where(F.col("rank") <= SEEDS)
     grown = expansion(seeds, edges, communities, references)
     # At most the chunks of the files around twenty seeds.
     rows = cut(stage3(candidates(stage1, grown, chunks), chunks, scores, stage1, seeds, communities, central, section))
-    return pack(rows, budget or BUDGETS[section])
+    return pack(rows, BUDGETS[section] if budget is None else budget)
 
 
-def single_pass(chunks: DataFrame, scores: DataFrame, central: DataFrame, query: list[str], section: str, mode: str = "hybrid", limit: int = 80) -> DataFrame:
-    """One pass over positive scores; ``central``: rel_path, central_rank. Modes: hybrid, vectorless."""
-    low = F.lower(F.col("rel_path"))
-    rows = scores.join(chunks.select("rel_path", "chunk_index", "category", "token_estimate"), ["rel_path", "chunk_index"]).join(F.broadcast(central), "rel_path", "left")
-    score = F.col("bm25") + F.when(F.col("category").isin(*HINTS[section]), HINT).otherwise(0.0)
-    score = score + F.when(F.col("central_rank").isNotNull(), F.greatest(F.lit(0.0), CENTRAL - F.col("central_rank") * DECAY)).otherwise(0.0)
+def evidence(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Packed rows of two stages as evidence: rel_path, chunk_index, reason_codes, score, token_estimate, excerpt."""
+    grown = (F.col("symbol_bonus") > 1) | (F.col("module_bonus") > 1)
+    codes = F.when(grown, F.array(F.lit("2stage-bm25"), F.lit("graph-expand"))).otherwise(F.array(F.lit("2stage-bm25")))
+    held = rows.withColumn("reason_codes", codes).join(chunks.select("rel_path", "chunk_index", F.col("content").alias("excerpt")), ["rel_path", "chunk_index"])
+    return held.select("rel_path", "chunk_index", "reason_codes", "score", "token_estimate", "excerpt")
+
+
+def bundle(evidence: DataFrame, query: str, section: str, budget: int, mode: str = "hybrid") -> DataFrame:
+    """One row: query, section, mode, budget_tokens, used_tokens and the evidences, best first. What fits a budget is few."""
+    each = F.struct((-F.col("score")).alias("neg"), *evidence.columns)
+    one = evidence.agg(F.coalesce(F.sum("token_estimate"), F.lit(0)).cast("long").alias("used_tokens"), F.sort_array(F.collect_list(each)).alias("e"))
+    evidences = F.transform("e", lambda x: x.dropFields("neg")).alias("evidences")
+    return one.select(F.lit(query).alias("query"), F.lit(section).alias("section"), F.lit(mode).alias("mode"), F.lit(budget).cast("long").alias("budget_tokens"), "used_tokens", evidences)
+
+
+def single_pass_scores(chunks: DataFrame, scores: DataFrame, central: DataFrame, query: list[str], section: str, mode: str = "hybrid", lexical: bool = False) -> DataFrame:
+    """Positive scores in one pass with their reasons; ``central``: rel_path, central_rank. Modes: hybrid, vectorless."""
+    low, ranks = F.lower(F.col("rel_path")), F.col("central_rank").isNotNull()
+    rows = scores.join(chunks.select("rel_path", "chunk_index", "category", "token_estimate"), ["rel_path", "chunk_index"]).join(central, "rel_path", "left")
+    hinted = F.col("category").isin(*HINTS[section])
+    score = F.col("bm25") + F.when(hinted, HINT).otherwise(0.0) + F.when(ranks, F.greatest(F.lit(0.0), CENTRAL - F.col("central_rank") * DECAY)).otherwise(0.0)
+    codes = [F.lit("lexical-hit" if lexical else "bm25-hit"), F.when(hinted, "section-category-match"), F.when(ranks, "graph-centrality-hint")]
     if mode == "vectorless":
-        score = score + F.when(F.col("central_rank").isNotNull(), 1.8).otherwise(0.0) + F.when(low.rlike("index|router|service"), 0.9).otherwise(0.0)
+        score = score + F.when(ranks, 1.8).otherwise(0.0) + F.when(low.rlike("index|router|service"), 0.9).otherwise(0.0)
+        codes.append(F.lit("vectorless-graph-prior"))
     else:
-        score = score + sum((F.when(F.contains(low, F.lit(t)), 0.6).otherwise(0.0) for t in query), F.lit(0.0))
-    return top(rows.select("rel_path", "chunk_index", "token_estimate", F.round(score, 6).alias("score")), "score", max(1, min(limit, 80)))
+        hits = sum((F.when(F.contains(low, F.lit(t)), 0.6).otherwise(0.0) for t in query), F.lit(0.0))
+        score = score + hits
+        codes.append(F.when(hits > 0, "symbol-path-hint"))
+    return rows.select("rel_path", "chunk_index", "token_estimate", F.round(score, 6).alias("score"), F.array_compact(F.array(*codes)).alias("reason_codes"))
+
+
+def single_pass(chunks: DataFrame, scores: DataFrame, central: DataFrame, query: list[str], section: str, mode: str = "hybrid", limit: int = 80) -> DataFrame:
+    """The best chunks of one pass, whatever their tokens."""
+    return top(single_pass_scores(chunks, scores, central, query, section, mode).drop("reason_codes"), "score", max(1, min(limit, 80)))
+
+
+def single_pass_evidence(chunks: DataFrame, scores: DataFrame, central: DataFrame, query: list[str], section: str, mode: str = "hybrid", limit: int = 80, budget: int | None = None, lexical: bool = False) -> DataFrame:
+    """The fallback of two stages as evidence: the best chunks of one pass, those that end inside a block with the next one
+    appended, that fit the budget so grown."""
+    rows = single_pass_scores(chunks, scores, central, query, section, mode, lexical).drop("token_estimate")
+    grown = rows.join(expanded_chunks(chunks), ["rel_path", "chunk_index"])
+    grown = cut(grown.withColumn("reason_codes", F.when(F.col("expanded"), F.array_append("reason_codes", F.lit("boundary-expanded"))).otherwise(F.col("reason_codes"))))
+    return pack(grown, BUDGETS[section] if budget is None else budget, most=max(1, min(limit, 80))).select("rel_path", "chunk_index", "reason_codes", "score", "token_estimate", F.col("content").alias("excerpt"))
 
 
 def expanded_chunks(chunks: DataFrame) -> DataFrame:
@@ -198,6 +263,40 @@ def merge_bundles(bundles: DataFrame) -> DataFrame:
     return bundles.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+def merged_totals(bundles: DataFrame) -> DataFrame:
+    """The sums of a merge of bundles (query_no, budget_tokens, used_tokens): budgets and used tokens over all queries, one row."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return bundles.agg(F.count(F.lit(1)).alias("n_queries"), total("budget_tokens"), total("used_tokens"))
+
+
+def retrieve_many(ask: Callable[[str], DataFrame], queries: list[str]) -> tuple[DataFrame | None, dict[str, str]]:
+    """The merged evidence of several queries, numbered in order, and the errors of those that failed; a failing query
+    doesn't fail the others."""
+    found, failed = None, {}
+    for k, q in enumerate(queries):
+        try:
+            rows = cut(ask(q)).withColumn("query_no", F.lit(k).cast("long"))
+        except Exception as error:
+            failed[q] = str(error)
+            continue
+        found = rows if found is None else found.unionByName(rows)
+    return (None if found is None else merge_bundles(found)), failed
+
+
+def precision_by_reason(evidence: DataFrame, relevant: DataFrame, first: int = 5) -> DataFrame:
+    """reason, n, precision: how many of a list's first rows with a reason code are of relevant files (rel_path)."""
+    best = ranked(top(evidence, "score", first), "score").select("rel_path", F.explode("reason_codes").alias("reason"))
+    marked = best.join(relevant.select("rel_path", F.lit(1).alias("hit")).distinct(), "rel_path", "left")
+    return marked.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("precision"))
+
+
+def hit_rate(cited: DataFrame, evidence: DataFrame) -> DataFrame:
+    """n_cited, n_hit, rate: how many cited files (rel_path) the evidence holds, one row."""
+    held = evidence.select("rel_path", F.lit(1).alias("hit")).distinct()
+    one = cited.select("rel_path").distinct().join(held, "rel_path", "left").agg(F.count(F.lit(1)).alias("n_cited"), F.count("hit").alias("n_hit"))
+    return one.withColumn("rate", F.when(F.col("n_cited") > 0, F.round(F.col("n_hit") / F.col("n_cited"), 6)).otherwise(0.0))
+
+
 def best_per_file(rows: DataFrame) -> DataFrame:
     """Each file's best chunk."""
     w = Window.partitionBy("rel_path").orderBy(F.desc("score"), "chunk_index")

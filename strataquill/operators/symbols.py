@@ -151,8 +151,8 @@ def export_lines(rows: DataFrame, snapshot_id: str, with_tests: bool = False) ->
     return kept.select("rel_path", "line_start", "name", line.alias("line"))
 
 
-def breakdown(rows: DataFrame, by: str) -> DataFrame:
-    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_symbols"))
+def breakdown(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_symbols"))
 
 
 # Chunks ------------------------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +21,16 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(fx.files(spark, sf_dir))
 
 
-_BEFORE = """, now AS (SELECT rel_path, sha1(coalesce(content, '')) AS checksum, size_bytes FROM files),
-before AS (SELECT rel_path, sha1(CASE WHEN doc_id % 5 = 0 THEN content || '!' ELSE coalesce(content, '') END) AS checksum, size_bytes FROM files WHERE doc_id % 7 <> 0),
-delta AS (SELECT n.rel_path, CASE WHEN b.rel_path IS NULL THEN 'new' WHEN b.checksum = n.checksum AND b.size_bytes = n.size_bytes THEN 'unchanged' ELSE 'changed' END AS change
+_BEFORE = """, now AS (SELECT rel_path, sha1(coalesce(content, '')) AS checksum, size_bytes, CASE WHEN doc_id % 11 <> 0 THEN doc_id * 1000 END AS mtime_ns FROM files),
+before AS (SELECT rel_path, sha1(CASE WHEN doc_id % 5 = 0 THEN content || '!' ELSE coalesce(content, '') END) AS checksum, size_bytes, CASE WHEN doc_id % 11 <> 0 THEN doc_id * 1000 + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END END AS mtime_ns FROM files WHERE doc_id % 7 <> 0),
+delta AS (SELECT n.rel_path, CASE WHEN b.rel_path IS NULL THEN 'new' WHEN b.checksum IS NOT DISTINCT FROM n.checksum AND b.size_bytes IS NOT DISTINCT FROM n.size_bytes AND b.mtime_ns IS NOT DISTINCT FROM n.mtime_ns THEN 'unchanged' ELSE 'changed' END AS change
   FROM now n LEFT JOIN before b USING (rel_path))"""
 
 
 def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fx.files(spark, sf_dir)
-    old = f.where("doc_id % 7 <> 0").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    f = fx.files(spark, sf_dir).withColumn("mtime_ns", F.when(F.col("doc_id") % 11 != 0, F.col("doc_id") * 1000))
+    touched = F.col("mtime_ns") + F.when(F.col("doc_id") % 13 == 0, 1).otherwise(0)
+    old = f.where("doc_id % 7 <> 0").withColumn("mtime_ns", touched).withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     return manifest.delta(manifest.manifest(f), manifest.manifest(old))
 
 
@@ -42,7 +45,8 @@ def manifest_delta_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_F + """, parts AS (SELECT DISTINCT string_split(rel_path, '/') AS p FROM files), n AS (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM parts)
-SELECT DISTINCT array_to_string(p[1:i], '/') AS path, i < len(p) AS is_dir, i AS depth FROM n""")
+SELECT DISTINCT array_to_string(p[1:i], '/') AS path, i < len(p) AS is_dir, i AS depth,
+ array_to_string(list_transform(p[1:i], lambda x, k: CASE WHEN k < len(p) THEN '0' ELSE '1' END || lower(x) || chr(1) || x), chr(2)) AS place FROM n""")
 def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.tree(fx.files(spark, sf_dir), limit=None)
 
@@ -100,14 +104,29 @@ def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH gone AS (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0), o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM gone))
-SELECT 'orders' AS name, count(*) AS n_rows FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM gone))""")
+SELECT 'customer' AS name, count(*) AS n_rows FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM gone))""")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"))
-    orders = table(spark, sf_dir, "orders")
-    lost = orders.join(gone, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
-    count = lambda rows, name: rows.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"))
-    left = manifest.drop_snapshots(table(spark, sf_dir, "lineitem"), lost, "l_orderkey")
-    return count(manifest.drop_snapshots(orders, gone, "o_custkey"), "orders").unionByName(count(left, "lineitem"))
+    customers, orders, items = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    levels = {
+        "customer": (customers.select(F.col("c_custkey").alias("cust"), F.col("c_custkey").alias("gone")), "cust", "gone"),
+        "orders": (orders.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("order")), "order", "cust"),
+        "lineitem": (items.select(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("item")), "item", "order"),
+    }
+    left = manifest.cascade(levels, customers.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("gone")), "gone")
+    return reduce(DataFrame.unionByName, (rows.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows")) for name, rows in left.items()))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'done' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders""")
+def point_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and value of some rows replaced."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    changes = orders.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("done").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    return manifest.updated(orders, changes, "o_orderkey")
+
+
+@query(_F + " SELECT count(*) FILTER (WHERE NOT i) AS n_files, count(*) FILTER (WHERE i) AS n_ignored FROM (SELECT rel_path LIKE 'infra/%' OR regexp_matches(rel_path, '\\.png$') AS i FROM files)")
+def file_count_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.estimate_files(fx.files(spark, sf_dir).select("rel_path"), ["infra/**", "*.png"])
 
 
 @query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
@@ -140,13 +159,13 @@ def symbol_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.export_lines(fx.symbols(spark, sf_dir), "snap 1")
 
 
-@query(_S + " SELECT kind, count(*) AS n_symbols FROM symbols GROUP BY kind")
+@query(_S + " SELECT kind, language, count(*) AS n_symbols FROM symbols GROUP BY ALL")
 def symbol_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.breakdown(fx.symbols(spark, sf_dir), "kind")
+    return symbols.breakdown(fx.symbols(spark, sf_dir), "kind", "language")
 
 
 @query(_S + """, c AS (SELECT lower(language) AS language, count(*) FILTER (WHERE kind = 'class') AS n_classes, count(*) FILTER (WHERE kind IN ('function', 'method')) AS n_functions FROM symbols WHERE language IS NOT NULL GROUP BY 1)
-SELECT * FROM (SELECT *, CASE WHEN n_classes = 0 THEN 'purely functional' WHEN n_functions = 0 THEN 'class-heavy' WHEN n_classes / (n_classes + n_functions) > 0.4 THEN 'class-heavy OOP'
+SELECT * FROM (SELECT *, CASE WHEN n_classes = 0 THEN 'purely functional' WHEN n_functions = 0 THEN 'class-heavy (no standalone functions)' WHEN n_classes / (n_classes + n_functions) > 0.4 THEN 'class-heavy OOP'
  WHEN n_classes / (n_classes + n_functions) < 0.1 THEN 'functional / procedural' END AS style FROM c WHERE n_classes + n_functions >= 10) WHERE style IS NOT NULL ORDER BY language LIMIT 4""")
 def class_function_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzers.class_function_style(fx.symbols(spark, sf_dir))

@@ -58,11 +58,11 @@ def confidence_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.quality_trend(a, b)
 
 
-@query("""WITH o AS (SELECT DISTINCT doc_id % 20 AS k, lang || source AS item FROM documents WHERE doc_id % 2 = 0), n AS (SELECT DISTINCT doc_id % 20 AS k, lang || source AS item FROM documents WHERE doc_id % 3 = 0)
-SELECT k, 'added' AS change, item FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT k, 'removed', item FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
+@query("""WITH o AS (SELECT DISTINCT doc_id % 3 AS k, lang || source || (doc_id // 3 % 400) AS item FROM documents WHERE doc_id % 2 = 0), n AS (SELECT DISTINCT doc_id % 3 AS k, lang || source || (doc_id // 3 % 400) AS item FROM documents WHERE doc_id % 5 = 0)
+SELECT k, change, item FROM (SELECT *, row_number() OVER (PARTITION BY k, change ORDER BY item) AS rn FROM (SELECT k, 'added' AS change, item FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT k, 'removed', item FROM (SELECT * FROM o EXCEPT SELECT * FROM n))) WHERE rn <= 80""")
 def list_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 20).alias("k"), F.concat("lang", "source").alias("item"))
-    return reports.list_diff(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 3 = 0"), "k", "item")
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).alias("k"), F.concat("lang", "source", (F.floor(F.col("doc_id") / 3) % 400).cast("string")).alias("item"))
+    return reports.list_diff(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 5 = 0"), "k", "item")
 
 
 @query(r"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k') ELSE json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 3 = 0 THEN 'k' ELSE 'k,z' END AS known,

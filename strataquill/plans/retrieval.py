@@ -51,14 +51,13 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.idf(r.document_frequency(r.chunk_terms(c)), r.corpus_stats(c)).withColumn("idf", F.round("idf", 6))
 
 
-def _scores(spark: SparkSession, sf_dir: str, c: DataFrame) -> DataFrame:
-    terms, stats = r.chunk_terms(c), r.corpus_stats(c)
-    return r.bm25(c, terms, r.idf(r.document_frequency(terms), stats), stats, ASKED)
+def _scores(c: DataFrame) -> DataFrame:
+    return r.scores_of(c, ASKED)
 
 
 @query("WITH " + fx.SCORES_SQL + " SELECT rel_path, chunk_index, bm25, rank FROM stage1")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.ranked(r.top(_scores(spark, sf_dir, fx.chunks(spark, sf_dir)), "bm25"), "bm25")
+    return r.ranked(r.top(_scores(fx.chunks(spark, sf_dir)), "bm25"), "bm25")
 
 
 _LEXICAL = " + ".join(f"(length(lower(content)) - length(replace(lower(content), '{t}', ''))) // {len(t)} + CASE WHEN contains(lower(rel_path), '{t}') THEN 2 ELSE 0 END" for t in fx.ASKED)
@@ -112,7 +111,7 @@ _VECTORLESS = "CASE WHEN z.central_rank IS NOT NULL THEN 1.8 ELSE 0 END + CASE W
 
 def _single_pass(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     c = fx.chunks(spark, sf_dir)
-    return r.single_pass(c, _scores(spark, sf_dir, c), _central(spark, sf_dir), ASKED, "architecture", mode, 40)
+    return r.single_pass(c, cut(_scores(c)), cut(_central(spark, sf_dir)), ASKED, "architecture", mode, 40)
 
 
 @query(_single(_HYBRID))
@@ -129,7 +128,10 @@ def single_pass_vectorless(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM a JOIN b USING (rel_path, chunk_index)) AS n_both,
  (SELECT count(*) FROM a JOIN b USING (rel_path, chunk_index) WHERE a.k <= 5 AND b.k <= 5) AS n_both_first, (SELECT CAST(sum(token_estimate) AS BIGINT) FROM b) - (SELECT CAST(sum(token_estimate) AS BIGINT) FROM a) AS token_delta""")
 def mode_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.compare(_single_pass(spark, sf_dir, "hybrid"), _single_pass(spark, sf_dir, "vectorless"))
+    c = fx.chunks(spark, sf_dir)
+    scores, central = cut(_scores(c)), cut(_central(spark, sf_dir))
+    each = (cut(r.single_pass(c, scores, central, ASKED, "architecture", mode, 40)) for mode in ("hybrid", "vectorless"))
+    return r.compare(*each)
 
 
 _EXPANDED = ", " + fx.FILE_EDGES_SQL + """, seeds AS (SELECT DISTINCT rel_path AS seed_path FROM stage1 WHERE rank <= 20), fm AS (SELECT rel_path, doc_id % 101 AS community_id FROM files),
@@ -158,12 +160,12 @@ parts3 AS (SELECT d.rel_path, d.chunk_index, c.token_estimate, round(coalesce(s.
  CASE WHEN d.rel_path IN (SELECT rel_path FROM stage1) THEN 1.5 ELSE 1.0 END AS symbol_bonus, CASE WHEN m.community_id IN (SELECT community_id FROM sc) THEN 1.3 ELSE 1.0 END AS module_bonus,
  CASE WHEN d.rel_path IN (SELECT rel_path FROM central) THEN 2.6 ELSE 0.0 END AS centrality_bonus
  FROM cand d JOIN chunks c USING (rel_path, chunk_index) LEFT JOIN scores s USING (rel_path, chunk_index) LEFT JOIN fm m ON m.rel_path = d.rel_path),
-ranked AS (SELECT *, round(bm25_component * CAST(symbol_bonus AS DOUBLE) * CAST(module_bonus AS DOUBLE) + CAST(centrality_bonus AS DOUBLE), 6) AS score FROM parts3)"""
+scored3 AS (SELECT *, round(bm25_component * CAST(symbol_bonus AS DOUBLE) * CAST(module_bonus AS DOUBLE) + CAST(centrality_bonus AS DOUBLE) + 1e-9, 6) AS score FROM parts3), ranked AS (SELECT * FROM scored3 WHERE score > 0)"""
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cut(fx.chunks(spark, sf_dir))
-    scores = cut(_scores(spark, sf_dir, c))
+    scores = cut(_scores(c))
     stage1 = cut(r.ranked(r.top(scores, "bm25"), "bm25"))
     seeds, communities = stage1.where(F.col("rank") <= r.SEEDS), fx.file_communities(spark, sf_dir)
     grown = r.expansion(seeds, fx.file_edges(spark, sf_dir), communities, _references(spark, sf_dir))
@@ -175,29 +177,81 @@ def two_stage_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir)
 
 
-@query("WITH RECURSIVE " + fx.SCORES_SQL + _STAGE3 + """, q AS (SELECT rel_path, chunk_index, token_estimate AS t, score, row_number() OVER (ORDER BY score DESC, rel_path, chunk_index) AS k FROM ranked),
-fold(k, used, kept) AS (SELECT 0::BIGINT, 0::BIGINT, false UNION ALL SELECT q.k, CASE WHEN f.used + q.t <= 14000 THEN f.used + q.t ELSE f.used END, f.used + q.t <= 14000 FROM fold f JOIN q ON q.k = f.k + 1)
-SELECT q.rel_path, q.chunk_index, q.t AS token_estimate, q.score FROM fold f JOIN q USING (k) WHERE f.kept""")
+_FOLDED = """, q AS (SELECT rel_path, chunk_index, token_estimate AS t, score, symbol_bonus > 1 OR module_bonus > 1 AS grown, row_number() OVER (ORDER BY score DESC, rel_path, chunk_index) AS k FROM ranked),
+fold(k, used, kept) AS (SELECT 0::BIGINT, 0::BIGINT, false UNION ALL SELECT q.k, CASE WHEN f.used + q.t <= 14000 THEN f.used + q.t ELSE f.used END, f.used + q.t <= 14000 FROM fold f JOIN q ON q.k = f.k + 1)"""
+
+
+def _two_stage(spark: SparkSession, sf_dir: str, c: DataFrame, lexical: bool = False) -> DataFrame:
+    central = cut(_central(spark, sf_dir))
+    return r.two_stage(c, " ".join(ASKED), fx.file_edges(spark, sf_dir), fx.file_communities(spark, sf_dir), _references(spark, sf_dir), central, lexical=lexical)
+
+
+@query("WITH RECURSIVE " + fx.SCORES_SQL + _STAGE3 + _FOLDED + " SELECT q.rel_path, q.chunk_index, q.t AS token_estimate, q.score FROM fold f JOIN q USING (k) WHERE f.kept")
 def ret_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_stage(spark, sf_dir, cut(fx.chunks(spark, sf_dir))).select("rel_path", "chunk_index", "token_estimate", "score")
+
+
+_LEXICAL_SQL = fx.CHUNKS_SQL + f""", scores AS (SELECT * FROM (SELECT rel_path, chunk_index, CAST({_LEXICAL} AS DOUBLE) AS bm25 FROM chunks) WHERE bm25 > 0),
+stage1 AS (SELECT *, row_number() OVER (ORDER BY bm25 DESC, rel_path, chunk_index) AS rank FROM scores ORDER BY bm25 DESC, rel_path, chunk_index LIMIT 100)"""
+
+
+@query("WITH RECURSIVE " + _LEXICAL_SQL + _STAGE3 + _FOLDED + " SELECT q.rel_path, q.chunk_index, q.t AS token_estimate, q.score FROM fold f JOIN q USING (k) WHERE f.kept")
+def ret_two_stage_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages over a corpus without statistics."""
+    return _two_stage(spark, sf_dir, cut(fx.chunks(spark, sf_dir)), lexical=True).select("rel_path", "chunk_index", "token_estimate", "score")
+
+
+@query("WITH RECURSIVE " + fx.SCORES_SQL + _STAGE3 + _FOLDED + """ SELECT 'the ention thand und maison core' AS query, 'architecture' AS section, CAST(14000 AS BIGINT) AS budget_tokens, (SELECT max(used) FROM fold) AS used_tokens, q.rel_path, q.chunk_index, q.score,
+ q.t AS token_estimate, CASE WHEN q.grown THEN '2stage-bm25,graph-expand' ELSE '2stage-bm25' END AS reason_codes, c.content AS excerpt FROM fold f JOIN q USING (k) JOIN chunks c USING (rel_path, chunk_index) WHERE f.kept""")
+def ret_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence bundle of two stages, a row for each evidence."""
     c = cut(fx.chunks(spark, sf_dir))
-    central = cut(_central(spark, sf_dir))
-    out = r.two_stage(c, " ".join(ASKED), fx.file_edges(spark, sf_dir), fx.file_communities(spark, sf_dir), _references(spark, sf_dir), central)
-    return out.select("rel_path", "chunk_index", "token_estimate", "score")
+    one = r.bundle(r.evidence(_two_stage(spark, sf_dir, c), c), " ".join(ASKED), "architecture", r.BUDGETS["architecture"])
+    each = one.select("query", "section", "budget_tokens", "used_tokens", F.explode("evidences").alias("e"))
+    return each.select("query", "section", "budget_tokens", "used_tokens", "e.rel_path", "e.chunk_index", "e.score", "e.token_estimate", F.array_join("e.reason_codes", ",").alias("reason_codes"), "e.excerpt")
+
+
+def _single_sql(extra: str, last: str) -> str:
+    return "WITH RECURSIVE " + fx.SCORES_SQL + _CENTRAL + _GROWN + f""", g AS (SELECT rel_path, chunk_index, expanded, CASE WHEN expanded THEN content || chr(10) || next ELSE content END AS content,
+  CASE WHEN expanded THEN greatest(1, length(content || chr(10) || next) // 4) ELSE token_estimate END AS t FROM o),
+p AS (SELECT s.rel_path, s.chunk_index, z.central_rank IS NOT NULL AS central, c.category IN ('source', 'config', 'infra') AS hinted, round(s.bm25 + CASE WHEN c.category IN ('source', 'config', 'infra') THEN 1.4 ELSE 0 END
+ + CASE WHEN z.central_rank IS NOT NULL THEN greatest(0, 2.6 - z.central_rank * 0.08) ELSE 0 END + {extra}, 6) AS score, {extra} > 0 AS extra FROM scores s JOIN chunks c USING (rel_path, chunk_index) LEFT JOIN central z USING (rel_path)),
+q AS (SELECT p.*, g.t, g.expanded, row_number() OVER (ORDER BY p.score DESC, p.rel_path, p.chunk_index) AS k FROM p JOIN g USING (rel_path, chunk_index)),
+fold(k, used, n, kept) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, false UNION ALL SELECT q.k, CASE WHEN f.used + q.t <= 9000 THEN f.used + q.t ELSE f.used END, CASE WHEN f.used + q.t <= 9000 THEN f.n + 1 ELSE f.n END, f.used + q.t <= 9000 FROM fold f JOIN q ON q.k = f.k + 1 WHERE f.n < 30)
+SELECT q.rel_path, q.chunk_index, q.t AS token_estimate, q.score, concat_ws(',', 'bm25-hit', CASE WHEN q.hinted THEN 'section-category-match' END, CASE WHEN q.central THEN 'graph-centrality-hint' END, {last}, CASE WHEN q.expanded THEN 'boundary-expanded' END) AS reason_codes
+FROM fold f JOIN q USING (k) WHERE f.kept"""
+
+
+def _single_evidence(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    c = cut(fx.chunks(spark, sf_dir))
+    found = r.single_pass_evidence(c, cut(_scores(c)), cut(_central(spark, sf_dir)), ASKED, "architecture", mode, 30, 9000)
+    return found.select("rel_path", "chunk_index", "token_estimate", "score", F.array_join("reason_codes", ",").alias("reason_codes"))
+
+
+@query(_single_sql(_HYBRID, "CASE WHEN q.extra THEN 'symbol-path-hint' END"))
+def single_pass_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fallback's evidence: grown to boundaries and folded into a budget."""
+    return _single_evidence(spark, sf_dir, "hybrid")
+
+
+@query(_single_sql(_VECTORLESS, "'vectorless-graph-prior'"))
+def single_pass_bundle_vectorless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _single_evidence(spark, sf_dir, "vectorless")
 
 
-@query("""WITH RECURSIVE q AS (SELECT doc_id, CAST(n_chars // 4 + 1 AS BIGINT) AS t, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM (SELECT * FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 300)),
+@query("""WITH RECURSIVE q AS (SELECT doc_id, CAST(coalesce(n_chars, 0) // 4 + 1 AS BIGINT) AS t, row_number() OVER (ORDER BY coalesce(n_chars, 0) DESC, doc_id) AS k FROM documents),
 fold(k, used, kept) AS (SELECT 0::BIGINT, 0::BIGINT, false UNION ALL SELECT q.k, CASE WHEN f.used + q.t <= 12000 THEN f.used + q.t ELSE f.used END, f.used + q.t <= 12000 FROM fold f JOIN q ON q.k = f.k + 1)
 SELECT q.doc_id, q.t AS token_estimate FROM fold f JOIN q USING (k) WHERE f.kept""")
 def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = table(spark, sf_dir, "documents").where("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(300)
-    rows = best.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("rel_path"), F.lit(0).cast("long").alias("chunk_index"), (F.floor(F.col("n_chars") / 4) + 1).cast("long").alias("token_estimate"), F.col("n_chars").cast("double").alias("score"))
+    n = F.coalesce(F.col("n_chars"), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("rel_path"), F.lit(0).cast("long").alias("chunk_index"), (F.floor(n / 4) + 1).cast("long").alias("token_estimate"), n.cast("double").alias("score"))
     return r.pack(rows, 12000).select(F.col("rel_path").cast("long").alias("doc_id"), "token_estimate")
 
 
 @query("WITH " + fx.SCORES_SQL + """, q AS (SELECT 1 AS query_no, rel_path, chunk_index, bm25 AS score FROM stage1 UNION ALL SELECT 2, rel_path, chunk_index, bm25 * 2 FROM stage1 WHERE rank % 2 = 0 UNION ALL SELECT 2, rel_path, chunk_index, bm25 FROM scores WHERE chunk_index = 3)
 SELECT query_no, rel_path, chunk_index, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY rel_path, chunk_index ORDER BY query_no, score DESC) AS rn FROM q) WHERE rn = 1""")
 def merge_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _scores(spark, sf_dir, fx.chunks(spark, sf_dir))
+    scores = cut(_scores(fx.chunks(spark, sf_dir)))
     stage1 = r.ranked(r.top(scores, "bm25"), "bm25")
     take = lambda rows, n, s: rows.select(F.lit(n).alias("query_no"), "rel_path", "chunk_index", s.alias("score"))
     rows = take(stage1, 1, F.col("bm25")).unionByName(take(stage1.where("rank % 2 = 0"), 2, F.col("bm25") * 2)).unionByName(take(scores.where("chunk_index = 3"), 2, F.col("bm25")))
@@ -206,4 +260,4 @@ def merge_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + fx.SCORES_SQL + " SELECT rel_path, first(chunk_index ORDER BY bm25 DESC, chunk_index) AS chunk_index, max(bm25) AS score FROM scores GROUP BY rel_path")
 def best_chunk_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.best_per_file(_scores(spark, sf_dir, fx.chunks(spark, sf_dir)).withColumnRenamed("bm25", "score"))
+    return r.best_per_file(_scores(fx.chunks(spark, sf_dir)).withColumnRenamed("bm25", "score"))

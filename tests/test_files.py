@@ -63,7 +63,7 @@ def chunk_table(spark, docs):
 def scored(spark, docs, query):
     c = chunk_table(spark, docs)
     terms, stats = retrieval.chunk_terms(c), retrieval.corpus_stats(c)
-    return {r["rel_path"]: r["bm25"] for r in retrieval.bm25(c, terms, retrieval.idf(retrieval.document_frequency(terms), stats), stats, query).collect()}
+    return {r["rel_path"]: r["bm25"] for r in retrieval.bm25(terms, retrieval.idf(retrieval.document_frequency(terms), stats), stats, query).collect()}
 
 
 def test_bm25(spark):
