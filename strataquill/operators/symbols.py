@@ -1,7 +1,7 @@
 """Symbols and chunks of source files: one file gives many rows.
 
-Python is parsed; other languages are read by line patterns. Both run in one pass over files in Arrow batches, and a file
-that can't be parsed falls back to patterns. Listing, search and export are plain expressions.
+Python is parsed, other languages are read by scanners; a file that neither takes falls back to line patterns. All run in
+one pass over files in Arrow batches. Listing, search and export are plain expressions.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.functions import paths, text
+from strataquill.operators import scanner
 
 MOST_PER_FILE = 2000
 #: What the parser raises on text that isn't Python, or is nested too deeply for it.
@@ -24,7 +25,7 @@ SCHEMA = "rel_path string, language string, name string, kind string, line_start
 
 _NAME = r"([A-Za-z_$][\w$]*)"
 
-#: Line patterns by language: kind, and a pattern whose first group is the name. Own lists, not complete grammars.
+#: Line patterns for files that no scanner takes: kind, and a pattern whose first group is the name.
 PATTERNS: dict[str, list[tuple[str, str]]] = {
     "typescript": [("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_NAME}"), ("interface", rf"^\s*(?:export\s+)?interface\s+{_NAME}"), ("type", rf"^\s*(?:export\s+)?type\s+{_NAME}\s*(?:<[^=]*>)?\s*="), ("enum", rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+{_NAME}"), ("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_NAME}"), ("function", rf"^\s*(?:export\s+)?const\s+{_NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>")],
     "java": [("class", rf"\b(?:class|record)\s+{_NAME}"), ("interface", rf"\binterface\s+{_NAME}"), ("enum", rf"\benum\s+{_NAME}"), ("method", rf"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], .?]+\s+{_NAME}\s*\(")],
@@ -99,29 +100,35 @@ def pattern_symbols(content: str, language: str) -> list[tuple]:
     return [(name, kind, line, line, None, None, "lexical") for line, _, name, kind in sorted(found)]
 
 
-def file_symbols(content: str | None, language: str | None) -> tuple[list[tuple], bool]:
-    """Symbols without repeats, at most ``MOST_PER_FILE``, and whether parsing failed."""
+def scanned_symbols(content: str, language: str) -> list[tuple]:
+    """The same by the language's scanner: with owners and last lines."""
+    breaks = [m.start() for m in re.finditer("\n", content)]
+    found = scanner.scanned(content, language)
+    return [(d.name, d.kind, scanner.line_of(breaks, d.start), scanner.line_of(breaks, max(d.start, d.end - 1)), None, d.parent, "scan") for d in found]
+
+
+def file_symbols(content: str | None, language: str | None, repeats: bool = False) -> tuple[list[tuple], bool]:
+    """Symbols without repeats (unless they are asked for), at most ``MOST_PER_FILE``, and whether parsing failed."""
     lang, content = (language or "").lower(), content or ""
     failed = False
-    if lang == "python":
-        try:
-            rows = python_symbols(content)
-        except UNPARSED:
-            rows, failed = pattern_symbols(content, ""), True
-    else:
-        rows = pattern_symbols(content, lang)
+    try:
+        rows = python_symbols(content) if lang == "python" else scanned_symbols(content, lang) if scanner.known(lang) else pattern_symbols(content, lang)
+    except UNPARSED:
+        rows, failed = pattern_symbols(content, "" if lang == "python" else lang), True
+    if repeats:
+        return rows, failed
     unique = dict.fromkeys((r[0], r[1], r[2], r[3], r[5]) for r in rows)
     kept = {k: r for r in reversed(rows) for k in ((r[0], r[1], r[2], r[3], r[5]),)}
     return [kept[k] for k in unique][:MOST_PER_FILE], failed
 
 
-def symbols(files: DataFrame) -> DataFrame:
+def symbols(files: DataFrame, repeats: bool = False) -> DataFrame:
     """Symbols of files (rel_path, language, category, content) of source, test and infra."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
-            rows = [(p, lang, *r) for p, lang, c in zip(b["rel_path"], b["language"], b["content"], strict=True) for r in file_symbols(c, lang)[0]]
+            rows = [(p, lang, *r) for p, lang, c in zip(b["rel_path"], b["language"], b["content"], strict=True) for r in file_symbols(c, lang, repeats)[0]]
             yield pd.DataFrame(rows, columns=columns)
 
     kept = files.where(F.col("category").isin("source", "test", "infra")).select("rel_path", "language", "content")
@@ -141,14 +148,23 @@ def search(rows: DataFrame, asked: str, limit: int = 120) -> DataFrame:
     return found.withColumn("level", level).orderBy("level", "rel_path", "line_start", "name").limit(limit)
 
 
-def export_lines(rows: DataFrame, snapshot_id: str, with_tests: bool = False) -> DataFrame:
-    """Distinct symbols as CSV lines, every field quoted; tests are left out unless asked for."""
-    columns = ["rel_path", "language", "name", "kind", "line_start", "line_end", "parent_name", "signature", "extract_source"]
-    kept = rows.select(*columns).distinct()
+EXPORTED = ("rel_path", "language", "name", "kind", "line_start", "line_end", "parent_name", "signature", "extract_source")
+#: The first line of an export.
+EXPORT_HEADER = ",".join(f'"{c}"' for c in ("snapshot_id", *EXPORTED))
+
+
+def export_lines(rows: DataFrame, snapshot_id: str, with_tests: bool = False, header: bool = False) -> DataFrame:
+    """Distinct symbols as CSV lines, every field quoted, in the order (rel_path, line_start, name); tests are left out unless
+    asked for. With ``header`` its line comes first, under an empty path."""
+    kept = rows.select(*EXPORTED).distinct()
     if not with_tests:
         kept = kept.where(~paths.is_test_export(F.col("rel_path")))
-    line = F.concat_ws(",", text.csv_quoted(F.lit(snapshot_id)), *[text.csv_quoted(F.col(c)) for c in columns])
-    return kept.select("rel_path", "line_start", "name", line.alias("line"))
+    line = F.concat_ws(",", text.csv_quoted(F.lit(snapshot_id)), *[text.csv_quoted(F.col(c)) for c in EXPORTED])
+    out = kept.select("rel_path", "line_start", "name", line.alias("line"))
+    if not header:
+        return out
+    first = rows.sparkSession.range(1).select(F.lit("").alias("rel_path"), F.lit(0).cast("long").alias("line_start"), F.lit("").alias("name"), F.lit(EXPORT_HEADER).alias("line"))
+    return first.unionByName(out)
 
 
 def breakdown(rows: DataFrame, *by: str) -> DataFrame:
@@ -206,47 +222,13 @@ def python_spans(content: str) -> list[Span]:
     return out
 
 
-def brace_spans(content: str, language: str) -> list[Span]:
-    """Top-level definitions of brace languages: from the line of a definition to the brace that closes it."""
-    data = content.encode()
-    out: list[Span] = []
-    imports = re.compile(rb"^(?:import\b|#include\b|use\s|using\s|package\s|from\s)[^\n]*", re.MULTILINE)
-    heads = [(m.start(), m.end(), "import_group", "") for m in imports.finditer(data)]
-    kinds = {"function": "function", "method": "function", "class": "class", "interface": "class", "enum": "block", "type": "block", "module": "block"}
-    for kind, pattern in _patterns(language):
-        for m in pattern.finditer(content):
-            at = len(content[: m.start(1)].encode())
-            heads.append((data.rfind(b"\n", 0, at) + 1, at, kinds.get(kind, "block"), m.group(1)))
-    end = 0
-    for a, b, kind, name in sorted(heads):
-        if a < end or (kind != "import_group" and data[a : a + 1].isspace()):
-            continue
-        if kind == "import_group":
-            if out and out[-1][2] == kind:
-                out[-1] = (out[-1][0], b, kind, "")
-            else:
-                out.append((a, b, kind, name))
-            end = b
-            continue
-        depth, at = 0, b
-        while at < len(data):
-            c = data[at]
-            depth += (c == 0x7B) - (c == 0x7D)
-            at += 1
-            if (c == 0x7D and depth <= 0) or (c in b";\n" and depth == 0 and c == 0x3B):
-                break
-        end = at
-        out.append((a, end, kind, name))
-    return out
-
-
 def chunk_file(content: str, language: str | None, target: int) -> list[tuple]:
     """(content, type, names, first line, last line) of a file's chunks; lines from 0."""
     lang = (language or "").lower()
     if len(content) <= target:
         return [(content, "file", [], 0, content.count("\n"))]
     try:
-        spans = python_spans(content) if lang == "python" else brace_spans(content, lang) if lang in PATTERNS else []
+        spans = python_spans(content) if lang == "python" else scanner.spans(content, lang, LARGEST_NODE) if lang in scanner.LANGUAGES else []
     except UNPARSED:
         spans = []
     if not spans:

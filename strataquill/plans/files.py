@@ -185,15 +185,13 @@ def naming_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzers.naming_style(rows.select("name", F.col("line_start").alias("ord")))
 
 
-@query(r"""WITH p AS (SELECT page_id, html FROM pages), h AS (
-  SELECT page_id, 'module' AS kind, trim(unnest(regexp_extract_all(html, '(?i)<h[1-6][^>]*>([^<]{1,60})', 1))) AS name FROM p
-  UNION ALL SELECT page_id, 'variable', unnest(regexp_extract_all(html, '\bid=["'']([^"'']+)["'']', 1)) FROM p)
-SELECT page_id, kind, name, count(*) AS n FROM h GROUP BY ALL""")
+@query(r"""WITH h AS (SELECT page_id, 'module' AS kind, unnest(regexp_extract_all(html, '<h[1-6]>([^<]*)</h[1-6]>', 1)) AS t FROM pages)
+SELECT page_id, kind, substr(trim(regexp_replace(t, '\s+', ' ', 'g')), 1, 60) AS name, count(*) AS n FROM h WHERE trim(t) <> '' GROUP BY ALL""")
 def html_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    heads = F.transform(F.regexp_extract_all("html", F.lit(r"(?i)<h[1-6][^>]*>([^<]{1,60})"), F.lit(1)), lambda x: F.struct(F.lit("module").alias("kind"), F.trim(x).alias("name")))
-    ids = F.transform(F.regexp_extract_all("html", F.lit(r"\bid=[\"']([^\"']+)[\"']"), F.lit(1)), lambda x: F.struct(F.lit("variable").alias("kind"), x.alias("name")))
-    return p.select("page_id", F.explode(F.concat(heads, ids)).alias("s")).groupBy("page_id", "s.kind", "s.name").agg(F.count(F.lit(1)).alias("n"))
+    """Headings and ids of pages, by the operator on whole pages."""
+    ship(spark)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("rel_path"), F.lit("html").alias("language"), F.lit("source").alias("category"), F.col("html").alias("content"))
+    return symbols.symbols(pages, repeats=True).groupBy(F.col("rel_path").cast("long").alias("page_id"), "kind", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
