@@ -2,8 +2,8 @@
 
 Edges are first contracted inside each partition (union-find in a task, whose memory is that of one partition), then
 joined to minima until nothing changes. Minima are partially aggregated group-bys. Vertices with more than one in
-``HOT_PARTS`` of all edges, of which there can be no more than twice ``HOT_PARTS``, get their minimum by broadcast, so
-no vertex brings many rows to one task. Each round ends in a checkpoint, so lost executors cost one round at most.
+``HOT_PARTS`` of all edges, which can be no more than ``HOT_PARTS``, get their minimum from a list of that size, so no
+vertex brings many rows to one task. Each round ends in a checkpoint, so lost executors cost one round at most.
 """
 
 from __future__ import annotations
@@ -60,10 +60,14 @@ HOT_PARTS = 1024
 def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
     """``edges`` (a, b) with the least b of each a as ``m``; the edges of hot vertices don't meet."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-    hot = max(16, n_edges // HOT_PARTS)
-    marked = edges.join(F.broadcast(least.where(F.col("n") > hot).select("a", F.col("m").alias("hot"))), "a", "left")
-    usual = marked.where("hot is null").drop("hot").join(least.where(F.col("n") <= hot).select("a", "m"), "a")
-    return usual.select("a", "b", "m").unionByName(marked.where("hot is not null").select("a", "b", F.col("hot").alias("m")))
+    many = F.col("n") > max(16, n_edges // HOT_PARTS)
+    hot = least.where(many).select("a", "m").collect()  # at most HOT_PARTS rows
+    if not hot:
+        return edges.join(least.select("a", "m"), "a")
+    few = edges.sparkSession.createDataFrame([tuple(r) for r in hot], "a long, hot long")
+    marked = edges.join(F.broadcast(few), "a", "left")
+    usual = marked.where("hot is null").drop("hot").join(least.where(~many).select("a", "m"), "a")
+    return usual.unionByName(marked.where("hot is not null").withColumnRenamed("hot", "m"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -76,9 +80,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Edges point from the larger to the smaller. Large star: larger neighbours go to the minimum around a vertex, or to the vertex.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         around = _with_least(both, 2 * n_edges).where(F.col("b") > F.col("a"))
-        large = cut(around.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+        large = around.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         # Small star: smaller neighbours, and the vertex, go to the minimum below it.
-        below = _with_least(large, 2 * n_edges)
+        below = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = below.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(small.unionByName(below.select("a", F.col("m").alias("b"))).distinct())
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

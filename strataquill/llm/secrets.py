@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from strataquill.llm.rows import quoted, unused
 
-LABELLED, TREES, DEPTH, SEED = 4000, 24, 8, 17
+LABELLED, TREES, DEPTH, SEED = 3000, 20, 6, 17
 WORDS = 3000
 MASK = "[SECRET]"
 
@@ -98,7 +98,7 @@ def _features(v: str, left: str, right: str, words: tuple[str, ...] = ()) -> str
     flag = lambda x: f"cast({x} as double)"
     share = lambda pattern: f"cast(regexp_count({v}, r'{pattern}') as double) / {n}"
     parts = f"regexp_extract_all({v}, r'[A-Z]?[a-z]{{3,}}|[A-Z]{{4,}}', 0)"
-    known = "0.0D" if not words else f"cast(aggregate(filter({parts}, w -> lower(w) in ({', '.join(map(repr, words))})), 0, (s, w) -> s + char_length(w)) as double) / {n}"
+    known = "0.0D" if not words else f"cast(aggregate(filter({parts}, w -> instr(' {' '.join(words)} ', concat(' ', lower(w), ' ')) > 0), 0, (s, w) -> s + char_length(w)) as double) / {n}"
     return "array(" + ", ".join((
         f"cast(char_length({v}) as double)",
         share("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"),
@@ -153,7 +153,7 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, st
             value = pick(PREFIXES) + some(low + up + num, rnd.randint(16, 40))
             return (value, *pick((lambda: (prose() + pick((" ", " = ", ": ")), pick((" ", "\n")) + prose()), lambda: assigned(pick(SECRET_WORDS))))())
         if kind == 3:
-            lines = "\n".join(some(low + up + num + "+/", 64) for _ in range(rnd.randint(3, 25)))
+            lines = "\n".join(some(low + up + num + "+/", 64) for _ in range(pick((2, 3, 4, 12))))
             name = pick(("", "RSA ", "EC ", "OPENSSH ", "DSA "))
             return f"-----BEGIN {name}PRIVATE KEY-----\n{lines}\n-----END {name}PRIVATE KEY-----", prose() + "\n", "\n" + prose()
         if kind == 4:
@@ -165,9 +165,9 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, st
         value = pick((
             lambda: case(some(hexes, pick((32, 40, 40, 48, 64)))),
             lambda: some(low + up + num, rnd.randint(18, 64)),
-            lambda: some(low + up + num + "+/", rnd.randint(24, 400)) + pick(("", "=", "==")),
+            lambda: some(low + up + num + "+/", pick((24, 40, 60, 88, 200))) + pick(("", "=", "==")),
             lambda: some(low + num, rnd.randint(18, 40)),
-            lambda: some(low + up + num + "!#$%&*?", rnd.randint(10, 320)),
+            lambda: some(low + up + num + "!#$%&*?", pick((10, 14, 20, 40, 300))),
         ))()
         return (value, *assigned(pick(SECRET_WORDS)))
 
