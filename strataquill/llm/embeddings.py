@@ -35,6 +35,7 @@ from strataquill.session import cut
 
 NEAREST, LISTS, SHARED, FAR, BLOCK = 8, 3, 3, 48, 768
 LEAST_PIVOTS, MOST_PIVOTS, APART = 128, 1 << 16, 0.8
+MOST_BROADCAST = 1 << 16  # rows of four short columns
 
 
 def pivots_of(vectors: DataFrame, n: int) -> np.ndarray:
@@ -128,8 +129,10 @@ def link_classes(vectors: DataFrame, threshold: float, lists: int = LISTS, share
         described = described.withColumn("permutation", F.sort_array("permutation"))
     keys = ["label", "dim", "pivot"]
     stands = described.withColumn("pivot", F.explode(F.slice("permutation", 1, lists)))
-    # Lists longer than a block are fewer than postings / block; AQE decides how they are joined.
-    long_lists = stands.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
+    # Lists longer than a block. They are broadcast if few; beyond that they are joined as they come.
+    long_lists = cut(stands.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block))
+    if long_lists.count() <= MOST_BROADCAST:
+        long_lists = F.broadcast(long_lists)
     blocks = F.coalesce(F.ceil(F.col("size") / F.lit(block)), F.lit(1)).cast("int")
     placed = stands.join(long_lists, keys, "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # Block pairs (i, j) with i <= j that hold the vector's own block.

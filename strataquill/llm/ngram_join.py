@@ -40,6 +40,7 @@ WORDS, PERCENT = 5, 80
 FREQUENT, MOST_HOT, SHORT = 8, 1 << 20, 16
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 BITS = 1 << 23
+MOST_BROADCAST = 1 << 16  # rows of two numbers
 HELD = 1_000_000  # hashes that a map task holds before it hands them on
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -346,6 +347,9 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
 
     sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
     sizes = sizes.where("k > 1").select("family", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = cut(sizes)
+    # Families are broadcast if few, so a large one isn't dealt to one task; beyond that they are joined as they come.
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
     placed = held.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (F.col("blocks") == 1) | (k != F.col("own")))
     pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
