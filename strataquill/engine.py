@@ -122,7 +122,7 @@ class Engine:
         return graph.community_summaries(members, pairs)
 
     def export_graph(self, snapshot_id: str) -> DataFrame:
-        return graph.export_json(self.edges(snapshot_id), self.table("communities", snapshot_id))
+        return graph.export_json(self.edges(snapshot_id), self.table("communities", snapshot_id).drop("snapshot_id"), self.cycles(snapshot_id))
 
     # Retrieval -----------------------------------------------------------------------------------------------------
 

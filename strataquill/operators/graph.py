@@ -1,20 +1,22 @@
 """Graphs of files: import resolution, centrality, neighbourhoods, cycles, communities.
 
-Edges: src_path, dst_path, edge_type, is_external. Degree, neighbourhood, resolution and summaries are joins and group-bys;
-the algorithms that are sequential by definition (strongly connected components, local moving) run once per snapshot in a
-grouped function, after what can't matter to them has been removed by joins.
+Edges: src_path, dst_path, edge_type, is_external. Degree, neighbourhood, resolution and summaries are joins and group-bys.
+Strongly connected components and communities lie inside weakly connected parts of a graph: parts of at most ``LARGEST``
+edges are solved by a sequential algorithm each, in groups of their own; larger ones in rounds of joins (coloring and
+backward reach; synchronous moves), so no task holds a graph of unbounded size.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions import paths, text
-from strataquill.session import cut
+from strataquill.session import Rounds, cut
 
 #: Import statements of TypeScript and JavaScript. (fixed values)
 IMPORT_FROM = r"""(?m)^\s*import\s+(?:[^'"]+?\s+from\s+)?['"]([^'"]+)['"]"""
@@ -186,6 +188,9 @@ def strongly_connected(pairs: list[tuple[str, str]]) -> list[list[str]]:
     return sorted(groups, key=lambda g: (-len(g), g))
 
 
+LARGEST = 1_000_000  # edges that one task may hold
+
+
 def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """Edges without nodes that lack an incoming or an outgoing edge, which are in no cycle."""
     now = edges.where("src_path <> dst_path").select("src_path", "dst_path").distinct()
@@ -195,28 +200,98 @@ def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return now
 
 
-def cycles(edges: DataFrame, snapshot_col: str | None = None) -> DataFrame:
-    """(cycle_no, cycle_size, rel_path) of strongly connected components of at least two nodes, per snapshot."""
-    inner = edges.where(~F.col("is_external"))
-    key = F.col(snapshot_col).cast("string") if snapshot_col else F.lit("")
-    if snapshot_col is None:
-        inner = trimmed(inner)
-    rows = inner.select(key.alias("snapshot_id"), "src_path", "dst_path")
+def _settled(step: Callable[[DataFrame], DataFrame], now: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """Repeats a step on (node, label) until no label changes; each round is written."""
+    seen, table = None, Rounds(now.sparkSession)
+    for _ in range(rounds):
+        now = table.write(step(now))
+        state = now.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
+        if state == seen:
+            return now
+        seen = state
+    raise RuntimeError(f"labels didn't settle in {rounds} rounds")
+
+
+def connected(pairs: DataFrame) -> DataFrame:
+    """(node, label) of the ends of pairs (src, dst): the smallest node of each weakly connected part.
+
+    Labels are lowered to those of neighbours and then to the labels of labels, so few rounds are needed."""
+    both = cut(pairs.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(pairs.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct())
+
+    def step(now: DataFrame) -> DataFrame:
+        near = both.join(now.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        low = cut(now.join(near, "node").select("node", F.least("label", "near").alias("label")))
+        further = low.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        return low.join(further, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"))
+
+    return _settled(step, both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+
+
+def colored(pairs: DataFrame) -> DataFrame:
+    """(node, root) of the strongly connected components of at least two nodes of pairs (src, dst), in rounds of joins.
+
+    Each node takes the largest node that reaches it as its color; a node of its own color and those of that color that
+    reach it are a component. They are removed, and the rest goes on."""
+    out, left = None, trimmed(pairs.toDF("src_path", "dst_path")).toDF("src", "dst")
+    while not left.isEmpty():
+        ends = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
+
+        def spread(now: DataFrame, edges: DataFrame = left) -> DataFrame:
+            sent = edges.join(now.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("sent"))
+            return now.join(sent, "node", "left").select("node", F.greatest("label", F.coalesce("sent", "label")).alias("label"))
+
+        colors = _settled(spread, ends.select("node", F.col("node").alias("label")))
+        a, b = colors.toDF("src", "c_src"), colors.toDF("dst", "c_dst")
+        inner = cut(left.join(a, "src").join(b, "dst").where("c_src = c_dst").select("src", "dst"))
+
+        def back(now: DataFrame, edges: DataFrame = inner) -> DataFrame:
+            more = edges.join(now.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "label")
+            return now.unionByName(more).distinct()
+
+        members = _settled(back, colors.where("node = label"))
+        groups = members.groupBy("label").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = members.join(groups, "label").select("node", "root")
+        out = cut(found if out is None else out.unionByName(found))
+        gone = members.select("node")
+        rest = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = trimmed(rest.select(F.col("src").alias("src_path"), F.col("dst").alias("dst_path"))).toDF("src", "dst")
+    return pairs.select(F.col("src").alias("node"), F.col("dst").alias("root")).where(F.lit(False)) if out is None else out
+
+
+def cycles(edges: DataFrame, snapshot_col: str | None = None, largest: int | None = None) -> DataFrame:
+    """(cycle_no, cycle_size, rel_path) of strongly connected components of at least two nodes, per snapshot; the largest
+    first, then by their smallest member."""
+    largest = LARGEST if largest is None else largest
+    inner, mark = edges.where(~F.col("is_external")), "\x00"
+    own = F.col(snapshot_col).cast("string") if snapshot_col else F.lit("")
+    named = lambda c: F.concat(own, F.lit(mark), c).alias(c)
+    pairs = trimmed(inner.select(named("src_path"), named("dst_path"))).toDF("src", "dst")
+    parts = pairs.join(connected(pairs).toDF("src", "part"), "src")
+    sizes = cut(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    few, many = (parts.join(sizes.where(w).select("part"), "part") for w in (F.col("n") <= largest, F.col("n") > largest))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = strongly_connected(list(zip(group["src_path"], group["dst_path"], strict=True)))
-        told = [(group["snapshot_id"].iat[0], k, len(g), node) for k, g in enumerate(found) for node in g]
-        return pd.DataFrame(told, columns=["snapshot_id", "cycle_no", "cycle_size", "rel_path"])
-
-    out = rows.groupBy("snapshot_id").applyInPandas(run, "snapshot_id string, cycle_no long, cycle_size long, rel_path string")
+        found = strongly_connected(list(zip(group["src"], group["dst"], strict=True)))
+        return pd.DataFrame([(node, g[0]) for g in found for node in g], columns=["node", "root"])
+
+    found = few.groupBy("part").applyInPandas(run, "node string, root string")
+    if not sizes.where(F.col("n") > largest).isEmpty():
+        found = found.unionByName(colored(many.select("src", "dst")))
+    found = cut(found)
+    # One row for each cycle is numbered.
+    counted = found.groupBy("root").agg(F.count(F.lit(1)).alias("cycle_size"))
+    order = Window.partitionBy(F.substring_index("root", mark, 1)).orderBy(F.desc("cycle_size"), "root")
+    told = found.join(counted.withColumn("cycle_no", F.row_number().over(order).cast("long") - 1), "root")
+    out = told.select(F.substring_index("node", mark, 1).alias("snapshot_id"), "cycle_no", "cycle_size", F.substring_index("node", mark, -1).alias("rel_path"))
     return out if snapshot_col else out.drop("snapshot_id")
 
 
 # Communities -----------------------------------------------------------------------------------------------------
 
 
-def local_moving(edges: list[tuple[str, str, float]], nodes: list[str], resolution: float = 1.0, passes: int = 20) -> dict[str, int]:
-    """Communities by greedy local moving on modularity; nodes are visited in sorted order, so runs agree."""
+def local_moving(edges: list[tuple[str, str, float]], nodes: list[str], resolution: float = 1.0, passes: int = 20, total: float | None = None) -> dict[str, int]:
+    """Communities by greedy local moving on modularity; nodes are visited in sorted order, so runs agree. ``total`` is the
+    sum of degrees of a graph that the edges are a part of."""
     names = sorted({*nodes, *(x for a, b, _ in edges for x in (a, b))})
     weight: dict[str, dict[str, float]] = {n: defaultdict(float) for n in names}
     for a, b, w in edges:
@@ -224,7 +299,7 @@ def local_moving(edges: list[tuple[str, str, float]], nodes: list[str], resoluti
             weight[a][b] += w
             weight[b][a] += w
     degree = {n: sum(weight[n].values()) for n in names}
-    total = sum(degree.values())
+    total = sum(degree.values()) if total is None else total
     home = {n: k for k, n in enumerate(names)}
     load = {home[n]: degree[n] for n in names}
     for _ in range(passes if total else 0):
@@ -246,16 +321,61 @@ def local_moving(edges: list[tuple[str, str, float]], nodes: list[str], resoluti
     return {n: number.setdefault(home[n], len(number)) for n in names}
 
 
-def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(rel_path, community_id) from edges (src, dst) by local moving; one snapshot in one group."""
-    rows = pairs.select(F.lit(0).alias("g"), "src", "dst").unionByName(nodes.select(F.lit(0).alias("g"), F.col("rel_path").alias("src"), F.lit(None).cast("string").alias("dst")))
+def moved_together(pairs: DataFrame, resolution: float = 1.0, passes: int = 20) -> DataFrame:
+    """(node, label) from edges (src, dst) by moving in rounds of joins: in each, half of the nodes, by hash, go where their
+    modularity gains most, equal gains to the smallest label."""
+    both = cut(pairs.where("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(pairs.where("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("other"))))
+    degrees = cut(both.groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("degree")))
+    total = degrees.agg(F.sum("degree")).first()[0] or 1.0
+    table, still = Rounds(pairs.sparkSession), 0
+    now = table.write(degrees.select("node", F.col("node").alias("label")))
+    for turn in range(2 * passes):
+        held = now.join(degrees, "node")
+        loads = held.groupBy(F.col("label").alias("to")).agg(F.sum("degree").alias("load"))
+        there = both.join(held.select(F.col("node").alias("other"), F.col("label").alias("to")), "other").select("node", "to", F.lit(1.0).alias("links"))
+        own = held.select("node", F.col("label").alias("to"), F.lit(0.0).alias("links"))
+        links = cut(there.unionByName(own).groupBy("node", "to").agg(F.sum("links").alias("links")))
+        options = links.join(loads, "to").join(held, "node")
+        others = F.col("load") - F.when(F.col("to") == F.col("label"), F.col("degree")).otherwise(0.0)
+        gain = F.round(F.col("links") - resolution * F.col("degree") * others / total, 9)
+        best = options.groupBy("node").agg(F.min_by("to", F.struct((-gain).alias("loss"), F.col("to") != F.col("label"), "to")).alias("best"))
+        turns = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
+        after = table.write(held.join(best, "node").select("node", F.when(turns, F.col("best")).otherwise(F.col("label")).alias("label"), (turns & (F.col("best") != F.col("label"))).alias("moved")))
+        still = 0 if after.where("moved").count() else still + 1
+        now = after.drop("moved")
+        if still == 2:
+            break
+    return now
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        linked = group[group["dst"].notna()]
-        found = local_moving([(a, b, 1.0) for a, b in zip(linked["src"], linked["dst"], strict=True)], group["src"].tolist(), resolution)
-        return pd.DataFrame(sorted(found.items()), columns=["rel_path", "community_id"])
 
-    return rows.groupBy("g").applyInPandas(run, "rel_path string, community_id long")
+def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = 1.0, largest: int | None = None) -> DataFrame:
+    """(rel_path, community_id) from edges (src, dst): by local moving in each weakly connected part, by moves in rounds in
+    parts of more than ``largest`` edges. Communities are numbered by their smallest member."""
+    largest = LARGEST if largest is None else largest
+    linked = cut(pairs.where("src <> dst").select("src", "dst"))
+    total = 2.0 * linked.count()
+    labels = cut(connected(linked))
+    parts = linked.join(labels.toDF("src", "part"), "src")
+    sizes = cut(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = local_moving([(a, b, 1.0) for a, b in zip(group["src"], group["dst"], strict=True)], [], resolution, total=total)
+        first: dict[int, str] = {}
+        for n in sorted(found):
+            first.setdefault(found[n], n)
+        return pd.DataFrame([(n, first[c]) for n, c in found.items()], columns=["node", "label"])
+
+    homes = parts.join(sizes.where(F.col("n") <= largest).select("part"), "part").groupBy("part").applyInPandas(run, "node string, label string")
+    if not sizes.where(F.col("n") > largest).isEmpty():
+        big = parts.join(sizes.where(F.col("n") > largest).select("part"), "part").select("src", "dst")
+        homes = homes.unionByName(moved_together(big, resolution))
+    ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node")))
+    every = nodes.select(F.col("rel_path").alias("node")).unionByName(ends).distinct()
+    held = cut(every.join(homes, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    firsts = held.groupBy("label").agg(F.min("node").alias("first"))
+    # One row for each community is numbered.
+    numbers = firsts.select("label", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("community_id"))
+    return held.join(numbers, "label").select(F.col("node").alias("rel_path"), "community_id")
 
 
 def absorb_singletons(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -316,11 +436,26 @@ def export(edges: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def export_json(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """A graph as lines of JSON, nodes first: {kind, ...}; lines, because a graph has no bound that one value could hold."""
+def export_json(edges: DataFrame, members: DataFrame, cycle_rows: DataFrame | None = None) -> DataFrame:
+    """A graph as lines of JSON in the order of ``part``: stats, nodes with community and marks for tests and cycles,
+    distinct internal edges, edges between communities, cycles; lines, because a graph has no bound that one value could hold."""
     pairs = edges.where(~F.col("is_external")).select("src_path", "dst_path", "edge_type").distinct()
-    node = members.select(F.lit(0).alias("part"), F.to_json(F.struct(F.lit("node").alias("kind"), "rel_path", "community_id")).alias("line"))
-    return node.unionByName(pairs.select(F.lit(1).alias("part"), F.to_json(F.struct(F.lit("edge").alias("kind"), "src_path", "dst_path", "edge_type")).alias("line")))
+    between = community_edges(members, pairs.select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst")).distinct())
+    looped = members.select("rel_path", F.lit(False).alias("in_cycle")) if cycle_rows is None else members.select("rel_path").join(cycle_rows.select("rel_path", F.lit(True).alias("hit")).distinct(), "rel_path", "left").select("rel_path", F.coalesce("hit", F.lit(False)).alias("in_cycle"))
+    line = lambda rows, part, kind, *columns: rows.select(F.lit(part).alias("part"), F.to_json(F.struct(F.lit(kind).alias("kind"), *columns)).alias("line"))
+    nodes = members.join(looped, "rel_path").withColumn("is_test", paths.is_test_manifest(F.col("rel_path")))
+    stats = export(edges, members, members.select("rel_path"))
+    out = line(stats, 0, "stats", *stats.columns).unionByName(line(nodes, 1, "node", "rel_path", "community_id", "is_test", "in_cycle")).unionByName(line(pairs, 2, "edge", "src_path", "dst_path", "edge_type"))
+    out = out.unionByName(line(between, 3, "community_edge", "c_src", "c_dst", "n_edges"))
+    return out if cycle_rows is None else out.unionByName(line(cycle_rows, 4, "cycle", "cycle_no", "cycle_size", "rel_path"))
+
+
+def overview(edges: DataFrame, nodes: DataFrame, shown: int = 30) -> DataFrame:
+    """One row: the counts of ``summary``, the first entrypoints by path and the most central files."""
+    starts = nodes.where(paths.is_entrypoint(F.col("rel_path"))).orderBy("rel_path").limit(shown)
+    central = top_central(centrality(edges, nodes), shown)
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), (-F.col("indegree")).alias("negin"), "rel_path")))
+    return summary(edges, nodes).select("*", starts.agg(F.sort_array(F.collect_list("rel_path"))).scalar().alias("entrypoints"), central.agg(F.transform(listed, lambda x: x["rel_path"])).scalar().alias("top_files"))
 
 
 def keyword_counts(rows: DataFrame, keywords: list[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Symbol references: which definition a call reaches.
 
 Source files are parsed into five tables (definitions, imports, calls, attributes, bases); calls are resolved by four joins:
-bare names, own methods, methods of attributes built in the class, and functions of imported modules. A target found with
-one type is of high confidence, one of several of low; what can't be resolved gives no row.
+bare names, own methods, methods of attributes built in the class, and functions of imported modules. Classes are told apart by
+their files: a name means the class of its own file, else the imported one, else the only one of that name. A target found
+with one type is of high confidence, one of several of low, as are the methods of the classes that implement an interface
+that is the declared type of an attribute; what can't be resolved gives no row.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ def _dotted(node: ast.AST) -> str | None:
 
 def python_facts(path: str, content: str) -> list[tuple]:
     """Facts of a file: definition (owner class, name, qualified name), import (-, local name, module, original name), star,
-    call (class, called name, caller, receiver), attribute (class, attribute, type), base (class, base)."""
+    call (class, called name, caller, receiver), attribute (class, attribute, type), base (class, base, position)."""
     try:
         tree = ast.parse(content)
     except UNPARSED:
@@ -51,9 +53,9 @@ def python_facts(path: str, content: str) -> list[tuple]:
             imports(node)
             if isinstance(node, ast.ClassDef):
                 out.append((path, "class", None, node.name, node.name, None, node.lineno))
-                for base in node.bases:
+                for k, base in enumerate(node.bases):
                     if name := _dotted(base):
-                        out.append((path, "base", node.name, name.split(".")[-1], None, None, node.lineno))
+                        out.append((path, "base", node.name, name.split(".")[-1], f"{k:03d}", None, node.lineno))
                 body(ast.iter_child_nodes(node), node.name, caller)
                 continue
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -81,6 +83,7 @@ _TS_CLASS = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(class
 _TS_METHOD = re.compile(r"^\s*(?:(?:public|private|protected|static|async|readonly)\s+)*(\w+)\s*(?:<[^(]*>)?\([^;]*\)\s*(?::[^{;]+)?\{")
 _TS_FUNCTION = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)")
 _TS_IMPORT = re.compile(r"^\s*import\s+\{([^}]*)\}\s+from\s+['\"]([^'\"]+)['\"]")
+_TS_FIELD = re.compile(r"\b(?:private|public|protected|readonly)\s+(?:readonly\s+)?(\w+)\s*[?!]?:\s*(\w+)\b(?!\s*[(\[])")
 _TS_NEW = re.compile(r"this\.(\w+)\s*=\s*new\s+(\w+)")
 _TS_CALL = re.compile(r"((?:this\.)?(?:\w+\.)?)(?<![\w.])?\b(\w+)\s*(?:<[\w\s,]*>)?\(")
 _TS_WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "constructor", "new", "typeof", "await", "super"}
@@ -98,8 +101,8 @@ def script_facts(path: str, content: str) -> list[tuple]:
         opened = None
         if (m := _TS_CLASS.match(line)) and cls is None:
             out.append((path, m[1], None, m[2], m[2], None, number))
-            for base in filter(None, [m[3], *(x.strip() for x in (m[4] or "").split(","))]):
-                out.append((path, "base", m[2], base, None, None, number))
+            for k, base in enumerate(filter(None, [m[3], *(x.strip() for x in (m[4] or "").split(","))])):
+                out.append((path, "base", m[2], base, f"{k:03d}", None, number))
             cls, cls_depth = (m[2], m[1]), depth
         elif (m := _TS_FUNCTION.match(line)) and fn is None:
             opened = m[1]
@@ -112,6 +115,8 @@ def script_facts(path: str, content: str) -> list[tuple]:
         owner = cls[0] if cls and cls[1] == "class" else None
         if owner:
             out += [(path, "attribute", owner, a, made, None, number) for a, made in _TS_NEW.findall(line)]
+            if fn is None or opened:  # fields and parameters that are fields, by their declared types
+                out += [(path, "field", owner, a, of_type, None, number) for a, of_type in _TS_FIELD.findall(line)]
         if fn:
             rest = line[line.index("{") + 1 :] if opened and "{" in line else "" if opened else line
             for receiver, name in _TS_CALL.findall(rest):
@@ -172,30 +177,50 @@ def resolve(found: DataFrame) -> DataFrame:
     via = via.join(module_level, (F.col("called") == F.col("def_name")) & (known["def_path"] == module_level["def_path"])).drop(known["def_path"])
     edges = edges.unionByName(edge(via, F.lit(1)))
 
-    # Where a class's methods are looked up: itself, then its bases, at most twenty levels; the nearest wins.
-    classes = of("class").select(F.col("rel_path").alias("class_path"), F.col("name").alias("class_name")).distinct()
-    bases = of("base").select(F.col("owner").alias("class_name"), F.col("name").alias("base")).distinct()
-    level = classes.select("class_name", F.col("class_name").alias("ancestor"), F.lit(0).alias("distance")).distinct()
+    # What the names of types mean: (rel_path, type, key, is_interface).
+    key = lambda path, name: F.concat(F.col(path), F.lit("::"), F.col(name))
+    classes = of("class", "interface").select(F.col("rel_path").alias("def_path"), F.col("name").alias("original"), (F.col("fact") == "interface").alias("is_interface")).distinct()
+    classes = cut(classes.withColumn("key", key("def_path", "original")))
+    attributes = of("attribute", "field").select("rel_path", F.col("owner").alias("cls"), F.col("name").alias("attribute"), F.col("a").alias("type"), (F.col("fact") == "field").alias("declared")).distinct()
+    bases = of("base").select("rel_path", F.col("owner").alias("cls"), F.col("name").alias("type"), F.coalesce("a", F.lit("000")).alias("position")).distinct()
+    named = cut(attributes.select("rel_path", "type").unionByName(bases.select("rel_path", "type")).distinct())
+    own_types = named.join(classes.select(F.col("def_path").alias("rel_path"), F.col("original").alias("type"), "key", "is_interface"), ["rel_path", "type"])
+    left = named.join(own_types.select("rel_path", "type"), ["rel_path", "type"], "left_anti")
+    through_types = left.join(known.withColumnRenamed("local", "type"), ["rel_path", "type"]).join(classes, ["def_path", "original"]).select("rel_path", "type", "key", "is_interface")
+    left = left.join(through_types.select("rel_path", "type"), ["rel_path", "type"], "left_anti")
+    only = classes.groupBy(F.col("original").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("is_interface").alias("is_interface")).where("n = 1").drop("n")
+    means = cut(own_types.unionByName(through_types).unionByName(left.join(only, "type").select("rel_path", "type", "key", "is_interface")).distinct())
+
+    # Where a class's methods are looked up: itself, then its bases, the first one with its own bases before the next, at
+    # most twenty levels; ``place`` sorts them.
+    parents = cut(bases.join(means, ["rel_path", "type"]).select(key("rel_path", "cls").alias("ancestor"), F.col("key").alias("parent"), "position", "is_interface"))
+    level = classes.select("key", F.col("key").alias("ancestor"), F.lit("").alias("place"))
     chain = level
-    for k in range(1, 21):
-        level = cut(level.join(bases.select(F.col("class_name").alias("ancestor"), F.col("base")), "ancestor").select("class_name", F.col("base").alias("ancestor"), F.lit(k).alias("distance")).join(chain.select("class_name", "ancestor"), ["class_name", "ancestor"], "left_anti").distinct())
+    for _ in range(20):
+        grown = level.join(parents.select("ancestor", "parent", "position"), "ancestor").select("key", F.col("parent").alias("ancestor"), F.concat("place", "position").alias("place"))
+        level = cut(grown.join(chain.select("key", "ancestor"), ["key", "ancestor"], "left_anti").groupBy("key", "ancestor").agg(F.min("place").alias("place")))
         if level.isEmpty():
             break
         chain = chain.unionByName(level)
-    methods = defs.where("def_owner is not null").withColumnRenamed("def_owner", "ancestor")
-    reach = chain.join(methods, "ancestor")
-    nearest = Window.partitionBy("class_name", "def_name")
-    reach = reach.withColumn("least", F.min("distance").over(nearest)).where("distance = least").select("class_name", "def_name", "def_path", "def_symbol")
+    methods = defs.where("def_owner is not null").select(key("def_path", "def_owner").alias("ancestor"), "def_name", "def_path", "def_symbol")
+    first = Window.partitionBy("key", "def_name")
+    reach = chain.join(methods, "ancestor").withColumn("first", F.min("place").over(first)).where("place = first").select("key", F.col("def_name").alias("called"), "def_path", "def_symbol")
 
-    mine = calls.where("receiver = 'self' and cls is not null").join(reach, (F.col("cls") == F.col("class_name")) & (F.col("called") == F.col("def_name")))
+    mine = calls.where("receiver = 'self' and cls is not null").withColumn("key", key("rel_path", "cls")).join(reach, ["key", "called"])
     edges = edges.unionByName(edge(mine, F.lit(1)))
 
-    attributes = of("attribute").select("rel_path", F.col("owner").alias("cls"), F.col("name").alias("attribute"), F.col("a").alias("type")).distinct()
-    types = attributes.groupBy("rel_path", "cls", "attribute").agg(F.countDistinct("type").alias("n_types"))
+    # Attributes by the types that are built for them, and by declared interfaces, which stand for all that implement them.
+    built = attributes.where("not declared").join(means, ["rel_path", "type"])
+    types = attributes.where("not declared").groupBy("rel_path", "cls", "attribute").agg(F.countDistinct("type").alias("types"))
     held = calls.where("receiver like 'self.%'").withColumn("attribute", F.substring_index("receiver", ".", -1))
-    held = held.join(attributes, ["rel_path", "cls", "attribute"]).join(types, ["rel_path", "cls", "attribute"])
-    held = held.join(reach, (F.col("type") == F.col("class_name")) & (F.col("called") == F.col("def_name")))
-    edges = edges.unionByName(edge(held, F.col("n_types")))
+    made = held.join(built.where("not is_interface").select("rel_path", "cls", "attribute", "key"), ["rel_path", "cls", "attribute"]).join(types, ["rel_path", "cls", "attribute"]).join(reach, ["key", "called"])
+    edges = edges.unionByName(edge(made, F.col("types")))
+    declared = attributes.join(means, ["rel_path", "type"]).where("is_interface").select("rel_path", "cls", "attribute", F.col("key").alias("parent"))
+    # What is built in the class is known better than what is declared.
+    declared = declared.join(built.where("not is_interface").select("rel_path", "cls", "attribute"), ["rel_path", "cls", "attribute"], "left_anti")
+    implementors = parents.where("is_interface").select("parent", F.col("ancestor").alias("key"))
+    injected = held.join(declared, ["rel_path", "cls", "attribute"]).join(implementors, "parent").join(reach, ["key", "called"])
+    edges = edges.unionByName(edge(injected, F.lit(2)))
 
     confidence = F.when(F.col("types") > 1, "low").otherwise("high")
     rows = edges.where("src_symbol <> dst_symbol").select("src_symbol", "dst_symbol", F.lit("call").alias("edge_type"), confidence.alias("confidence"), "line")

@@ -111,23 +111,21 @@ SCORES_SQL = (
 )
 
 
-def edges(spark: SparkSession, sf_dir: str, least: float | None = 45.0) -> DataFrame:
-    """src_path, dst_path, edge_type, is_external: parts bought one after the other in an order, of a least quantity if one is given."""
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src_path, dst_path, edge_type, is_external: parts bought one after the other in an order."""
     from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "lineitem")
-    rows = rows if least is None else rows.where(F.col("l_quantity") >= least)
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     pairs = rows.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("b")).where("b is not null")
     node = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
     return pairs.select(node("a").alias("src_path"), node("b").alias("dst_path"), F.lit("import").alias("edge_type"), (F.col("b") % 11 == 0).alias("is_external"))
 
 
-def edges_sql(least: float = 45.0) -> str:
-    return f"""
+EDGES_SQL = """
 pairs AS (
   SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS b
-  FROM lineitem WHERE l_quantity >= {least}
+  FROM lineitem
 ), edges AS (
   SELECT 'p' || a AS src_path, 'p' || b AS dst_path, 'import' AS edge_type, b % 11 = 0 AS is_external FROM pairs WHERE b IS NOT NULL
 )"""

@@ -10,7 +10,7 @@ from strataquill.plans import fixtures as fx
 from strataquill.plans.registry import query
 from strataquill.session import ship, table
 
-_E = "WITH " + fx.edges_sql()
+_E = "WITH " + fx.EDGES_SQL
 _C = _E + ", " + fx.COMMUNITIES_SQL
 
 
@@ -38,7 +38,7 @@ def edge_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hops(n: int) -> str:
     both = ", b AS (SELECT DISTINCT * FROM (SELECT src_path AS x, dst_path AS y FROM edges WHERE NOT is_external UNION ALL SELECT dst_path, src_path FROM edges WHERE NOT is_external))"
-    return _E.replace("WITH ", "WITH RECURSIVE ", 1) + both + f", r(rel_path, hop) AS (SELECT 'p3', 0 UNION SELECT b.y, r.hop + 1 FROM r JOIN b ON b.x = r.rel_path WHERE r.hop < {n}) SELECT rel_path, CAST(min(hop) AS BIGINT) AS hop FROM r GROUP BY rel_path"
+    return _E.replace("WITH ", "WITH RECURSIVE ", 1) + both + f", r(rel_path, hop) AS (SELECT 'p3', 0 UNION SELECT b.y, r.hop + 1 FROM r JOIN b ON b.x = r.rel_path WHERE r.hop < {n}) SELECT rel_path, CAST(min(hop) AS BIGINT) AS hop FROM r GROUP BY rel_path ORDER BY min(hop), rel_path LIMIT 2000"
 
 
 @query(_hops(1))
@@ -51,7 +51,7 @@ def neighbours_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(fx.edges(spark, sf_dir), "p3", 2)
 
 
-@query(_hops(2).replace("SELECT rel_path, CAST(min(hop) AS BIGINT) AS hop FROM r GROUP BY rel_path", ", n AS (SELECT rel_path, min(hop) AS hop FROM r GROUP BY rel_path HAVING min(hop) < 2) SELECT DISTINCT src_path, dst_path, edge_type FROM edges WHERE NOT is_external AND (src_path IN (SELECT rel_path FROM n) OR dst_path IN (SELECT rel_path FROM n))"))
+@query(_hops(2).replace("SELECT rel_path, CAST(min(hop) AS BIGINT) AS hop FROM r GROUP BY rel_path ORDER BY min(hop), rel_path LIMIT 2000", ", n AS (SELECT rel_path, min(hop) AS hop FROM r GROUP BY rel_path HAVING min(hop) < 2) SELECT DISTINCT src_path, dst_path, edge_type FROM edges WHERE NOT is_external AND (src_path IN (SELECT rel_path FROM n) OR dst_path IN (SELECT rel_path FROM n))"))
 def neighbourhood_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.edges(spark, sf_dir)
     return graph.neighbourhood_edges(e, graph.neighbours(e, "p3", 2), 2)
@@ -62,17 +62,28 @@ def in_out_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edge_lists(fx.edges(spark, sf_dir), "p3")
 
 
-@query("WITH RECURSIVE " + fx.edges_sql(46.0) + """, e AS (SELECT DISTINCT src_path AS a, dst_path AS b FROM edges WHERE NOT is_external AND src_path <> dst_path),
+#: Cycles by the whole closure; at sf0.01 it has 3.6 million rows.
+CYCLES_SQL = "WITH RECURSIVE " + fx.EDGES_SQL + """, e AS (SELECT DISTINCT src_path AS a, dst_path AS b FROM edges WHERE NOT is_external AND src_path <> dst_path),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), m AS (SELECT x.a, x.b FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b),
-g AS (SELECT a AS rel_path, least(a, min(b)) AS root, count(DISTINCT b) + 1 AS cycle_size FROM m GROUP BY a)
-SELECT rel_path, cycle_size, CAST(dense_rank() OVER (ORDER BY cycle_size DESC, root) - 1 AS BIGINT) AS cycle_no FROM g""")
+g AS (SELECT a AS rel_path, least(a, min(b)) AS root, count(*) + 1 AS cycle_size FROM m GROUP BY a), c AS (SELECT rel_path, cycle_size, CAST(dense_rank() OVER (ORDER BY cycle_size DESC, root) - 1 AS BIGINT) AS cycle_no FROM g)"""
+
+
+@query(CYCLES_SQL + " SELECT rel_path, cycle_size, cycle_no FROM c")
 def scc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return graph.cycles(fx.edges(spark, sf_dir, 46.0)).select("rel_path", "cycle_size", "cycle_no")
+    return graph.cycles(fx.edges(spark, sf_dir)).select("rel_path", "cycle_size", "cycle_no")
+
+
+@query(_E + """, ends AS (SELECT src_path AS rel_path, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst_path, 1, 0 FROM edges UNION ALL SELECT 'p' || p_partkey, 0, 0 FROM part),
+top AS (SELECT rel_path, row_number() OVER (ORDER BY 3 * sum(i) + sum(o) DESC, sum(i) DESC, rel_path) AS k FROM ends GROUP BY 1)
+SELECT (SELECT count(*) FROM edges) AS total_edges, (SELECT count(*) FROM part) AS total_nodes, '' AS entrypoints, (SELECT string_agg(rel_path, ',' ORDER BY k) FROM top WHERE k <= 30) AS top_files""")
+def graph_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = graph.overview(fx.edges(spark, sf_dir), fx.part_nodes(spark, sf_dir))
+    return one.select("total_edges", "total_nodes", F.array_join("entrypoints", ",").alias("entrypoints"), F.array_join("top_files", ",").alias("top_files"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str, least: float | None = 45.0) -> DataFrame:
-    return fx.edges(spark, sf_dir, least).where("not is_external").select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst")).distinct()
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.edges(spark, sf_dir).where("not is_external").select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst")).distinct()
 
 
 @query(_C + """, s AS (SELECT m.rel_path, m.community_id, count(c.dst) AS hub_score FROM members m LEFT JOIN cpairs c ON c.dst = m.rel_path AND c.c_src = c.c_dst GROUP BY ALL),
@@ -118,7 +129,7 @@ def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return graph.communities(_pairs(spark, sf_dir, None), fx.part_nodes(spark, sf_dir))
+    return graph.communities(_pairs(spark, sf_dir), fx.part_nodes(spark, sf_dir))
 
 
 # Imports -----------------------------------------------------------------------------------------------------------

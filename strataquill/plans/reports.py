@@ -100,16 +100,15 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.job_progress(e.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("step"), F.col("value").alias("percent"), failed.alias("failed"), F.col("event_id").alias("seq")))
 
 
-@query()
+@query("SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS seq, count(*) AS n_events FROM events GROUP BY user_id")
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold of job_latest_state, run as a stream over all that is there."""
     import uuid
 
     from strataquill.session import ensure_checkpoint_dir
 
-    name = f"events_{uuid.uuid4().hex}"
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return ev.run_available(ev.stream_latest(source, ["user_id"], "event_type", "event_id"), f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}", name)
+    return ev.run_available(ev.stream_latest(source, ["user_id"], "event_type", "event_id"), f"{ensure_checkpoint_dir(spark).rstrip('/')}/events_{uuid.uuid4().hex}")
 
 
 @query("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(trim(source), '[^a-zA-Z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), ''), 'report') AS slug, length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) AS n_clean, CASE WHEN lang IN ('high', 'medium', 'low') THEN lang ELSE 'medium' END AS confidence FROM documents")
@@ -118,9 +117,9 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.slug(F.col("source")).alias("slug"), F.char_length(text.strip_controls(F.col("text"))).cast("long").alias("n_clean"), text.normalized_confidence(F.col("lang")).alias("confidence"))
 
 
-@query("SELECT conv_id AS id, string_agg('## ' || chr(CAST(65 + turn AS INTEGER)) || '. ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations WHERE turn < 12 GROUP BY conv_id")
+@query("SELECT conv_id AS id, string_agg('## ' || lpad(CAST(turn AS VARCHAR), 6, '0') || '. ' || role || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where("turn < 12").select(F.col("conv_id").alias("id"), F.char((F.col("turn") + 65).cast("long")).alias("letter"), F.col("role").alias("title"), F.col("text").alias("content"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("letter"), F.col("role").alias("title"), F.col("text").alias("content"))
     return reports.to_markdown(rows)
 
 

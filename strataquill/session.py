@@ -8,6 +8,7 @@ import gc
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,3 +98,21 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
     return out
+
+
+class Rounds:
+    """The table of an iteration, written anew in each round below the shared folder; the one before it is deleted.
+
+    Unlike a checkpoint, a table forgets how its rows were partitioned, which in loops of joins grows with every round.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.last, self.n = spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}", None, 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        if self.last:
+            remove(self.spark, self.last)
+        self.last, self.n = path, self.n + 1
+        return self.spark.read.schema(df.schema).parquet(path)

@@ -48,10 +48,10 @@ class TreeReader(DataSourceReader):
                     todo += [f"{rel}/{n}" for n in sorted(os.listdir(full), reverse=True)]
             elif os.path.isfile(full) and not any(fnmatch.fnmatch(rel, p) for p in self.patterns):
                 with open(full, "rb") as f:
-                    data = f.read()
-                if not looks_binary(data[:SNIFF]):
-                    info = os.stat(full)
-                    yield rel, info.st_size, info.st_mtime_ns, data.decode("utf-8", "ignore")
+                    head = f.read(SNIFF)
+                    if not looks_binary(head):  # the rest of binary files isn't read
+                        info = os.stat(full)
+                        yield rel, info.st_size, info.st_mtime_ns, (head + f.read()).decode("utf-8", "ignore")
 
 
 def looks_binary(head: bytes) -> bool:
@@ -107,6 +107,14 @@ def read_file(files: DataFrame, rel_path: str, max_chars: int = 200_000) -> Data
 HEAVY = ("node_modules", ".venv", "venv", "env", "target", "build", "dist")
 
 
+def folder_record(root: str) -> dict:
+    """What a folder is before it is taken in: path, exists, is_folder, readable, n_entries, is_repository."""
+    there, folder = os.path.exists(root), os.path.isdir(root)
+    readable = folder and os.access(root, os.R_OK | os.X_OK)
+    names = os.listdir(root) if readable else []
+    return {"path": os.path.abspath(root), "exists": there, "is_folder": folder, "readable": readable, "n_entries": len(names), "is_repository": ".git" in names}
+
+
 def size_warning(entries: DataFrame, most: int = 200) -> DataFrame:
     """n_entries, n_heavy, warn of the root entries (name), one row."""
     rows = entries.agg(F.count(F.lit(1)).alias("n_entries"), F.count_if(F.col("name").isin(*HEAVY)).alias("n_heavy"))

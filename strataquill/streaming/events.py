@@ -6,8 +6,14 @@ stream does for them.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: States of a job, and those in which it has ended. (fixed values)
 STATES = ("pending", "running", "done", "failed", "cancelled")
@@ -24,12 +30,16 @@ def latest_state(events: DataFrame, keys: list[str], status: str, seq: str) -> D
     return events.groupBy(*keys).agg(F.max_by(status, seq).alias("status"), F.max(seq).alias("seq"), F.count(F.lit(1)).alias("n_events"))
 
 
-def job_progress(steps: DataFrame) -> DataFrame:
-    """Per job: steps done (100 percent), all steps, and the state that follows from them (job_id, step, percent, failed, seq)."""
+def job_progress(steps: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
+    """Per job: steps done (100 percent), all steps, and the state that follows from them (job_id, step, percent, failed, seq);
+    jobs in ``cancelled`` (job_id) that haven't ended are cancelled."""
     last = steps.groupBy("job_id", "step").agg(F.max_by("percent", "seq").alias("percent"), F.max("failed").alias("failed"))
     rows = last.groupBy("job_id").agg(F.count_if(F.col("percent") >= 100).alias("n_done"), F.count(F.lit(1)).alias("n_steps"), F.max("failed").alias("failed"))
     state = F.when(F.col("failed"), "failed").when(F.col("n_done") == F.col("n_steps"), "done").when(F.col("n_done") > 0, "running").otherwise("pending")
-    return rows.select("job_id", "n_done", "n_steps", state.alias("state"))
+    if cancelled is None:
+        return rows.select("job_id", "n_done", "n_steps", state.alias("state"))
+    stopped = rows.join(cancelled.select("job_id", F.lit(True).alias("stopped")).distinct(), "job_id", "left")
+    return stopped.select("job_id", "n_done", "n_steps", F.when(F.col("stopped") & ~state.isin(*ENDED), "cancelled").otherwise(state).alias("state"))
 
 
 def stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -37,15 +47,56 @@ def stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def stream_latest(events: DataFrame, keys: list[str], status: str, seq: str, time: str | None = None, keep: str = "10 minutes") -> DataFrame:
-    """The fold of :func:`latest_state` as a stream; with an event time, state older than ``keep`` is dropped."""
-    if time is not None:
-        events = events.withWatermark(time, keep).dropDuplicatesWithinWatermark([*keys, seq])
+def stream_latest(events: DataFrame, keys: list[str], status: str, seq: str) -> DataFrame:
+    """The fold of :func:`latest_state` as a stream; its state is kept."""
     return latest_state(events, keys, status, seq)
 
 
-def run_available(stream_rows: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and gives its result table."""
-    query = stream_rows.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+FOLDED = "job_id string, key string, status string, seq long, n_events long, ended boolean"
+_STATE = "held string, ended_at long"
+
+
+def stream_expiring(events: DataFrame, keep_seconds: int = 600, lateness: str = "10 seconds", ended: tuple[str, ...] = ENDED) -> DataFrame:
+    """The latest status of each key of a job (job_id, key, seq, status, at: timestamp) as a stream; a job's state is dropped
+    ``keep_seconds`` of event time after the event, of the key ``job``, that ends it. A row comes out when a status changes."""
+
+    def fold(job: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=[c.split()[0] for c in FOLDED.split(", ")])
+            return
+        held, ended_at = state.get if state.exists else ("{}", -1)
+        now, changed = json.loads(held), {}
+        for b in batches:
+            for key, seq, status, at in zip(b["key"].tolist(), b["seq"].tolist(), b["status"].tolist(), b["at"].tolist(), strict=True):
+                last = now.get(key, [-1, None, 0])
+                now[key] = [seq, status, last[2] + 1] if seq > last[0] else [last[0], last[1], last[2] + 1]
+                changed[key] = now[key]
+                if key == "job" and status in ended:
+                    ended_at = max(ended_at, int(at.timestamp() * 1000))
+        state.update((json.dumps(now), ended_at))
+        if ended_at >= 0:
+            state.setTimeoutTimestamp(max(ended_at + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        rows = [(str(job[0]), key, status, seq, n, ended_at >= 0) for key, (seq, status, n) in changed.items()]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOLDED.split(", ")])
+
+    rows = events.select("job_id", "key", F.col("seq").cast("long"), "status", "at").withWatermark("at", lateness)
+    return rows.groupBy("job_id").applyInPandasWithState(fold, FOLDED, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_available(stream_rows: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over all that is there; each batch's rows are written below ``folder``, beside the stream's checkpoint,
+    so what a consumer has read survives the driver. In complete mode the table is that of the last batch."""
+    spark = stream_rows.sparkSession
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    query = stream_rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream_rows.sparkSession.table(name)
+    try:
+        out = spark.read.parquet(f"{folder}/rows")
+    except AnalysisException:  # no batch
+        return spark.createDataFrame([], stream_rows.schema)
+    last = out.agg(F.max("batch")).scalar()
+    return out.where(F.col("batch") == last).drop("batch") if mode == "complete" else out

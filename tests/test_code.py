@@ -233,7 +233,21 @@ def test_scripts(spark):
     service = "import { Repo, UserRepo } from './repo';\nclass Service {\n  constructor(private repo: Repo) {}\n  async get(id: string) {\n    return this.repo.find(id);\n  }\n}\nfunction wrap<T>(v: T): T { return v; }\nfunction caller() {\n  const x = wrap<string>('hi');\n}\n"
     got = resolved(spark, repo__ts=repo, service__ts=service)
     assert got.get(("service.ts::caller", "service.ts::wrap")) == "high"
-    assert ("service.ts::Service.get", "repo.ts::OrderRepo.find") not in got
+    # An injected interface is any of its implementors, with low confidence.
+    assert got.get(("service.ts::Service.get", "repo.ts::OrderRepo.find")) == got.get(("service.ts::Service.get", "repo.ts::UserRepo.find")) == "low"
+
+
+def test_classes_of_one_name_are_told_apart_by_file(spark):
+    one = "class Base:\n    def ok(self): ...\nclass Kid(Base):\n    def go(self):\n        self.ok()\n"
+    two = "class Base:\n    def other(self): ...\n    def ok(self): ...\n"
+    user = "from two import Base\nclass User(Base):\n    def __init__(self):\n        self.b = Base()\n    def run(self):\n        self.b.ok()\n        self.other()\n"
+    got = resolved(spark, one__py=one, two__py=two, user__py=user)
+    assert got == {("one.py::Kid.go", "one.py::Base.ok"): "high", ("user.py::User.run", "two.py::Base.ok"): "high", ("user.py::User.run", "two.py::Base.other"): "high"}
+
+
+def test_first_base_comes_first(spark):
+    code = "class A:\n    pass\nclass Deep(A):\n    pass\nclass Other:\n    def f(self): ...\n" + "class Root:\n    def f(self): ...\nclass Left(Root):\n    pass\nclass Kid(Left, Other):\n    def go(self):\n        self.f()\n"
+    assert resolved(spark, m__py=code) == {("m.py::Kid.go", "m.py::Root.f"): "high"}
 
 
 def test_nesting_too_deep_for_the_parser():

@@ -131,7 +131,7 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = "job long, step string, status string, seq long"
     for k in range(2):
         spark.createDataFrame(rows[2 * k : 2 * k + 2], schema).write.mode("append").parquet(f"{tmp_path}/log")
-    out = events.run_available(events.stream_latest(events.stream(spark, f"{tmp_path}/log", schema), ["job", "step"], "status", "seq"), f"{tmp_path}/ckpt", "latest_events")
+    out = events.run_available(events.stream_latest(events.stream(spark, f"{tmp_path}/log", schema), ["job", "step"], "status", "seq"), f"{tmp_path}/run")
     want = events.latest_state(spark.createDataFrame(rows, schema), ["job", "step"], "status", "seq")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) == [(1, "a", "done", 4, 3), (2, "b", "new", 3, 1)]
 
@@ -151,3 +151,29 @@ def test_reports(spark):
     shown = retrieval.rendered(spark.createDataFrame([("a", 0, 1.0, "x", False), ("b", 1, 2.0, "y" * 2500, False)], "rel_path string, chunk_index long, score double, content string, expanded boolean")).first()[0]
     assert shown.startswith("=== b #1 ===\nyyy") and shown.endswith("...\n\n=== a #0 ===\nx")
     assert one(spark, text.stable_id(F.col("a"), F.lit(None)), a="x") != one(spark, text.stable_id(F.col("a"), F.lit("")), a="x")
+
+
+def test_state_of_ended_jobs_expires(spark, tmp_path):
+    import datetime as d
+
+    schema = "job_id string, key string, seq long, status string, at timestamp"
+    at = lambda s: d.datetime(2024, 1, 1, tzinfo=d.timezone.utc) + d.timedelta(seconds=s)
+    log, out = f"{tmp_path}/log", f"{tmp_path}/run"
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
+        return [tuple(r) for r in events.run_available(events.stream_expiring(events.stream(spark, log, schema), keep_seconds=60), out, "update").select("batch", "job_id", "key", "status", "seq", "n_events", "ended").collect()]
+
+    first = feed([("a", "A", 1, "running", at(0)), ("a", "A", 3, "done", at(5)), ("a", "A", 2, "late", at(4)), ("a", "job", 4, "done", at(6)), ("b", "A", 1, "running", at(6))])
+    assert {r[1:] for r in first} == {("a", "A", "done", 3, 3, True), ("a", "job", "done", 4, 1, True), ("b", "A", "running", 1, 1, False)}
+    feed([("b", "A", 2, "done", at(500))])  # the watermark passes the end of the state of a
+    rows = feed([("a", "A", 9, "again", at(510)), ("b", "A", 3, "more", at(511))])
+    last = {r[1]: r[2:] for r in rows if r[3] in ("again", "more")}
+    assert last["a"] == ("A", "again", 9, 1, False)  # forgotten, so it counts anew
+    assert last["b"] == ("A", "more", 3, 3, False)
+
+
+def test_cancelled_jobs(spark):
+    steps = spark.createDataFrame([("x", "s", 50.0, False, 1), ("y", "s", 100.0, False, 1), ("z", "s", 0.0, True, 1)], "job_id string, step string, percent double, failed boolean, seq long")
+    got = {r["job_id"]: r["state"] for r in events.job_progress(steps, steps.select("job_id")).collect()}
+    assert got == {"x": "cancelled", "y": "done", "z": "failed"}
