@@ -177,3 +177,53 @@ def test_cancelled_jobs(spark):
     steps = spark.createDataFrame([("x", "s", 50.0, False, 1), ("y", "s", 100.0, False, 1), ("z", "s", 0.0, True, 1)], "job_id string, step string, percent double, failed boolean, seq long")
     got = {r["job_id"]: r["state"] for r in events.job_progress(steps, steps.select("job_id")).collect()}
     assert got == {"x": "cancelled", "y": "done", "z": "failed"}
+
+
+def test_section_forms(spark):
+    import json
+
+    foot = {"evidence_files": ["a.py"], "blind_spots": ["x", "y"], "confidence": "high"}
+    sections = {
+        "A": {"repo_name": "r", "domain": "d", "runtime_type": "cli", "purpose": "p", "business_context": "b", "tech_stack": ["py", "go"], **foot},
+        "G": {"entrypoint": {"file": "m.py", "reason": "starts"}, "other_important": [{"file": "o.py", "reason": "other"}], "confidence": "low"},
+        "I": {"terms": [{"term": "T", "definition": "D", "evidence_files": ["e1", "e2", "e3"]}]},
+        "J": {"summary": "S", "findings": [{"category": "c", "severity": "low", "title": "t"}, {"category": "k", "severity": "high", "title": "u", "rationale": "why", "evidence": ["e"]}]},
+        "K": {"coverage_percentage": 62.5, "overall_confidence": "medium", "section_scores": {"B": "low", "A": "high"}, "notes": "n"},
+        "B": {"main_layers": ["api", "db"], "style": "plain", "confidence": "low"},
+        "C": {"error": "failed"},
+    }
+    rows = spark.createDataFrame([("r1", k, json.dumps(v)) for k, v in sections.items()], "id string, letter string, section string")
+    heads = spark.createDataFrame([("r1", "repo", None, "m", "full", "2024"), ("r2", None, "main", "m", "full", "2024")], "id string, repo_name string, branch string, model_id string, scan_mode string, created_at string")
+    got = {r["id"]: r["markdown"] for r in reports.full_markdown(heads, rows).collect()}
+    text = got["r1"]
+    assert text.startswith("# Analysis Report\n\n- **Report ID:** `r1`\n- **Repo:** repo\n- **Branch:** unknown\n") and "failed" not in text
+    assert [x for x in text.split("\n") if x.startswith("## ")] == ["## A — Project Identity Card", "## B — (section)", "## G — Important Files Radar", "## I — Glossary / Domain Terms", "## J — Risk / Complexity / Unknowns", "## K — Confidence Auditor"]
+    for part in ("**Tech stack:** `py`, `go`\n\n**Evidence files:** `a.py`\n\n**Blind spots:** x; y\n\n_Confidence: high_", "- **Entrypoint:** `m.py` — starts\n\n**Other important files:**\n  - `o.py` — other", "| **T** | D | `e1`, `e2` |",
+                 "### HIGH severity (1)\n- **[k]** u\n  why\n  Evidence: `e`\n\n### LOW severity (1)\n- **[c]** t\n", "**Coverage (high/medium sections):** 62%\n**Overall confidence:** medium\n\n**Section scores:** A: high; B: low\n\nn", "**main_layers:** api, db\n**style:** plain\n\n_Confidence: low_"):
+        assert part in text, (part, text)
+    assert "No analysis section data" in got["r2"]
+
+
+def test_contexts_of_sections(spark):
+    services = '{"main_layers": ["api"], "main_services": [{"name": "s", "role": "r"}, {"name": "q"}]}'
+    assert one(spark, reports.layer_context(F.col("j")), j=services) == "  Layers: api\n  Known services:\n    - s (r)\n    - q"
+    assert one(spark, reports.pattern_context(F.col("j")), j='{"signals": [{"category": "c", "pattern": "p"}, {"description": "d"}, {}]}') == "c: p\nd"
+    assert one(spark, reports.file_context(F.col("j")), j='{"backbone": {"file": "a", "reason": "x"}, "other_important": [{"file": "a", "reason": "y"}, {"file": "b", "reason": "z"}, {"file": "unknown", "reason": "w"}]}') == "- a (x)\n- b (z)"
+    assert [x["order"] for x in one(spark, reports.onboarding_steps(F.col("j")), j='{"steps": [{"order": 2, "title": "b"}, {"order": 1, "title": "a"}]}')] == [1, 2]
+    assert [x["term"] for x in one(spark, reports.glossary_terms(F.col("j"), " ABC "), j='{"terms": [{"term": "x", "definition": "has abc"}, {"term": "y"}]}')] == ["x"]
+
+
+def test_report_store_and_passes(spark):
+    stored = spark.createDataFrame([(1, "j", "w", 1), (2, "j", None, 2), (3, "k", None, 1)], "id long, job_id string, workspace_id string, created_at long")
+    assert [r["id"] for r in reports.get(stored, 3).collect()] == [3] and [r["id"] for r in reports.get_by_job(stored, "j").collect()] == [2]
+    assert [r["id"] for r in reports.without(stored, 2).orderBy("id").collect()] == [1, 3] and [r["id"] for r in reports.of_workspace(stored, None).orderBy("id").collect()] == [2, 3]
+    side = lambda *rows: spark.createDataFrame(rows, "repo_id string, letter string, confidence string, content string, hash string")
+    a, b = side(("r", "A", "low", "x", "1"), ("r", "B", "low", "y", "2")), side(("r", "A", "high", "x", "1"), ("r", "B", "high", "z", "3"))
+    assert {r["letter"]: (r["changed"], r["improvement"]) for r in reports.compared(a, b).collect()} == {"A": (False, None), "B": (True, True)}
+    with pytest.raises(ValueError):
+        reports.compared(a, side(("other", "A", "low", "x", "1")))
+    rows = spark.createDataFrame([("A", "low"), ("B", "high")], "letter string, confidence string")
+    better = lambda s, weak: s.withColumn("confidence", F.when(F.col("letter").isin(*weak), "high").otherwise(F.col("confidence")))
+    out, passes = reports.quality_passes(rows, lambda s: [], better)
+    assert passes == 1 and {r["confidence"] for r in out.collect()} == {"high"}
+    assert reports.quality_passes(rows, lambda s: ["B"], better)[1] == 3
