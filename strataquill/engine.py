@@ -1,8 +1,8 @@
 """One object over the tables of snapshots: build a snapshot from a file tree, then ask.
 
 Tables live below a folder as Parquet partitioned by snapshot_id: files, symbols, edges, communities, chunks, terms and
-symbol_edges. Every method that asks returns a DataFrame; only ``build`` and ``delete`` write. Jobs of one build run under a
-tag, so ``cancel`` stops them and nothing else.
+symbol_edges. Every method that asks returns a DataFrame; only ``build`` and ``delete`` write. One driver at a time builds a
+snapshot. Jobs of one build run under a tag, so ``cancel`` stops them and nothing else.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ TABLES = ("files", "symbols", "edges", "communities", "chunks", "terms", "symbol
 class Engine:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._building: set[str] = set()
+        self.columns = snapshots.layout()
+        #: Follow-up steps that failed, by snapshot; they don't fail a build.
+        self.failures: dict[str, str] = {}
         ship(spark)
 
     def table(self, name: str, snapshot_id: str | None = None) -> DataFrame:
-        return snapshots.read(self.spark, f"{self.folder}/{name}", snapshot_id)
+        return snapshots.read_as(self.spark, f"{self.folder}/{name}", self.columns[name], snapshot_id)
 
     def _write(self, name: str, snapshot_id: str, rows: DataFrame) -> None:
         snapshots.replace(rows.withColumn("snapshot_id", F.lit(snapshot_id)), f"{self.folder}/{name}")
@@ -35,11 +37,15 @@ class Engine:
 
     def build(self, snapshot_id: str, tree: str | DataFrame, ignores: list[str] | None = None, rebuild: bool = True) -> None:
         """Fills all tables of a snapshot from a folder, or from a table with rel_path, size_bytes and content."""
-        if not rebuild and snapshots.built(self.spark, f"{self.folder}/terms", snapshot_id):
-            return
-        if snapshot_id in self._building:
-            raise RuntimeError(f"{snapshot_id} is being built")
-        self._building.add(snapshot_id)
+        have = lambda name: snapshots.built(self.spark, f"{self.folder}/{name}", snapshot_id)
+        with snapshots.Lock(self.spark, f"{self.folder}/_locks/{snapshot_id}"):
+            if not rebuild and have("chunks"):
+                if not have("terms"):  # the statistics alone
+                    self._write("terms", snapshot_id, retrieval.chunk_terms(self.table("chunks", snapshot_id)))
+                return
+            self._build(snapshot_id, tree, ignores)
+
+    def _build(self, snapshot_id: str, tree: str | DataFrame, ignores: list[str] | None) -> None:
         tag = f"build-{snapshot_id}"
         self.spark.addTag(tag)
         try:
@@ -54,9 +60,13 @@ class Engine:
             nodes = graph.graph_nodes(code)
             imports = symbols.imports_of(code).unionByName(graph.script_imports(code.where(F.col("rel_path").rlike(r"\.(?:tsx?|jsx?)$"))).select("src_path", "target"))
             self._write("edges", snapshot_id, graph.build_edges(imports.distinct(), code))
-            pairs = cut(graph.reresolve(self.table("edges", snapshot_id).drop("snapshot_id"), nodes))
-            found = cut(graph.communities(pairs, nodes))
-            self._write("communities", snapshot_id, graph.absorb_singletons(found, pairs))
+            self.failures.pop(snapshot_id, None)
+            try:
+                pairs = cut(graph.reresolve(self.table("edges", snapshot_id).drop("snapshot_id"), nodes))
+                found = cut(graph.communities(pairs, nodes))
+                self._write("communities", snapshot_id, graph.absorb_singletons(found, pairs))
+            except Exception as error:
+                self.failures[snapshot_id] = f"communities: {error}"
             self._write("symbol_edges", snapshot_id, references.symbol_edges(code))
 
             # Text and settings are cut by length, code along its definitions.
@@ -68,7 +78,6 @@ class Engine:
             self._write("terms", snapshot_id, retrieval.chunk_terms(self.table("chunks", snapshot_id)))
         finally:
             self.spark.removeTag(tag)
-            self._building.discard(snapshot_id)
 
     def cancel(self, snapshot_id: str) -> None:
         self.spark.interruptTag(f"build-{snapshot_id}")
@@ -165,7 +174,7 @@ class Engine:
                 return None
 
         with ThreadPoolExecutor(4) as pool:
-            found = dict(zip(queries, pool.map(inheritable_thread_target(ask), queries), strict=True))
+            found = dict(zip(queries, pool.map(inheritable_thread_target(self.spark)(ask), queries), strict=True))
         return {k: v for k, v in found.items() if v is not None}
 
     # Analysis ------------------------------------------------------------------------------------------------------

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,72 @@ def built(spark: SparkSession, path: str, snapshot_id: str) -> bool:
         raise
 
 
+#: Columns of the tables, by version of the layout; a new version adds tables or columns, which read as null before. (fixed values)
+LAYOUTS = {
+    1: {
+        "files": "rel_path string, size_bytes long, content string, language string, category string, checksum string, snapshot_id string",
+        "symbols": "rel_path string, language string, name string, kind string, line_start long, line_end long, signature string, parent_name string, extract_source string, snapshot_id string",
+        "edges": "src_path string, dst_path string, edge_type string, is_external boolean, snapshot_id string",
+        "communities": "rel_path string, community_id long, snapshot_id string",
+        "chunks": "rel_path string, category string, language string, chunk_index long, content string, token_estimate long, snapshot_id string",
+        "terms": "rel_path string, chunk_index long, dl long, term string, f long, snapshot_id string",
+        "symbol_edges": "src_symbol string, dst_symbol string, edge_type string, confidence string, line long, snapshot_id string",
+    },
+    2: {"files": "rel_path string, size_bytes long, content string, language string, category string, checksum string, mtime_ns long, snapshot_id string"},
+}
+
+
+def layout(version: int | None = None) -> dict[str, str]:
+    """The columns of all tables in a version, by default the newest."""
+    out: dict[str, str] = {}
+    for v in sorted(LAYOUTS):
+        if version is None or v <= version:
+            out |= LAYOUTS[v]
+    return out
+
+
+def read_as(spark: SparkSession, path: str, columns: str, snapshot_id: str | None = None) -> DataFrame:
+    """A table with the columns of a layout: those that its files lack are null, and a table that isn't there is empty."""
+    try:
+        rows = spark.read.schema(columns).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        rows = spark.createDataFrame([], columns)
+    return rows if snapshot_id is None else rows.where(F.col("snapshot_id") == snapshot_id)
+
+
+def config_value(config: DataFrame, key: str, default: str | None = None) -> str | None:
+    """A value of a table of settings (key, value)."""
+    row = config.where(F.col("key") == key).select("value").first()
+    return default if row is None or row["value"] is None else row["value"]
+
+
+def belongs(table: DataFrame, snapshot_id: str, repo_id: str) -> bool:
+    """Whether a snapshot (id, local_repo_id) is one of a repository."""
+    return not table.where((F.col("id") == snapshot_id) & (F.col("local_repo_id") == repo_id)).isEmpty()
+
+
+class Lock:
+    """A lock that all drivers see: a file made atomically below a shared folder; one older than ``stale`` seconds is that
+    of a driver that is gone."""
+
+    def __init__(self, spark: SparkSession, path: str, stale: int = 6 * 3600):
+        jvm = spark._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path(path)
+        self.fs, self.stale = self.path.getFileSystem(spark._jsc.hadoopConfiguration()), stale
+
+    def __enter__(self) -> Lock:
+        if self.fs.exists(self.path) and self.fs.getFileStatus(self.path).getModificationTime() < (time.time() - self.stale) * 1000:
+            self.fs.delete(self.path, False)
+        if not self.fs.createNewFile(self.path):
+            raise RuntimeError(f"{self.path.getName()} is held")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.fs.delete(self.path, False)
+
+
 def drop(spark: SparkSession, path: str, snapshot_ids: list[str]) -> None:
     """Deletes the partitions of snapshots through the file system that holds the table."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

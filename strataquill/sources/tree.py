@@ -1,4 +1,4 @@
-"""File trees as tables: a Python data source whose partitions are the top-level entries, and readers for single files."""
+"""File trees as tables: a Python data source whose partitions are entries near the root, and readers for single files."""
 
 from __future__ import annotations
 
@@ -22,8 +22,12 @@ class Entry(InputPartition):
     name: str
 
 
+LEAST_PARTS, DEEPEST = 64, 4
+
+
 class TreeReader(DataSourceReader):
-    """Walks one top-level entry per partition. Ignored directories (anchored at the root) aren't entered."""
+    """Walks one entry per partition. Directories near the root are split up until there are ``LEAST_PARTS`` entries, at most
+    ``DEEPEST`` levels down. Ignored directories (anchored at the root) aren't entered."""
 
     def __init__(self, root: str, patterns: list[str]):
         self.root = root
@@ -31,7 +35,14 @@ class TreeReader(DataSourceReader):
         self.closed = [p[:-3] for p in self.patterns if p.endswith("/**")]
 
     def partitions(self) -> list[Entry]:
-        return [Entry(n) for n in sorted(os.listdir(self.root))] or [Entry("")]
+        entries = sorted(os.listdir(self.root))
+        for _ in range(DEEPEST):
+            folders = {n for n in entries if os.path.isdir(full := os.path.join(self.root, n)) and not os.path.islink(full)}
+            if len(entries) >= LEAST_PARTS or not folders:
+                break
+            inside = [f"{n}/{x}" for n in sorted(folders) if self._open(n) for x in sorted(os.listdir(os.path.join(self.root, n)))]
+            entries = [n for n in entries if n not in folders] + inside
+        return [Entry(n) for n in entries] or [Entry("")]
 
     def _open(self, rel: str) -> bool:
         return not any(rel == c or rel.startswith(f"{c}/") for c in self.closed)

@@ -1,10 +1,12 @@
 import subprocess
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataquill.engine import Engine
 from strataquill.operators import reports
-from strataquill.sources import git
+from strataquill.sources import git, snapshots
+from strataquill.sources.tree import folder_record, read_tree
 
 FILES = {
     "src/app/main.py": "from app.store import Store\n\nclass MainService:\n    def __init__(self):\n        self.store = Store()\n\n    def run(self):\n        return self.store.load()\n",
@@ -32,14 +34,50 @@ def test_build_and_ask(spark, tmp_path):
     assert e.table("symbol_edges", "s1").where("dst_symbol = 'src/app/store.py::Store.load'").count() == 1
     found = [r["rel_path"] for r in e.retrieve("s1", "store service").collect()]
     assert "docs/guide.md" in found and "src/app/store.py" in found
+    one = e.bundle("s1", "store service").first()
+    assert 0 < one["used_tokens"] <= one["budget_tokens"] == 14000 and one["used_tokens"] == sum(x["token_estimate"] for x in one["evidences"])
+    assert {"docs/guide.md", "src/app/store.py"} <= {x["rel_path"] for x in one["evidences"]} and "2stage-bm25" in one["evidences"][0]["reason_codes"]
+    assert set(e.prefetch("s1", {"glossary": "store", "conventions": "!"})) == {"glossary"}
     assert e.risks("s1").where("category = 'todo_hotspot'").count() == 1
     assert e.communities("s1").count() >= 1 and e.export_graph("s1").count() >= 7 and set(e.conventions("s1")) == {"suffixes", "folders", "styles", "layers"}
     assert e.tree("s1").where("is_dir").count() == 4 and e.estimate("s1").first()["estimated_tokens"] == 1200
+    # Statistics that are missing are built alone, and searches do without them until then.
+    snapshots.drop(spark, f"file://{tmp_path}/tables/terms", ["s1"])
+    spark.catalog.refreshByPath(f"file://{tmp_path}/tables/terms")
+    assert e.bundle("s1", "store service").first()["used_tokens"] > 0
+    e.build("s1", str(tmp_path / "tree"), rebuild=False)
+    spark.catalog.refreshByPath(f"file://{tmp_path}/tables/terms")
+    assert not e.table("terms", "s1").isEmpty() and not e.failures
+    with snapshots.Lock(spark, f"file://{tmp_path}/tables/_locks/s1"), pytest.raises(RuntimeError):
+        e.build("s1", str(tmp_path / "tree"))
     e.delete(["s2"])
     spark.catalog.refreshByPath(f"file://{tmp_path}/tables/files")
     assert e.table("files").select("snapshot_id").distinct().count() == 1
 
 
+def test_tables_that_are_not_there(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/none")
+    assert e.table("files", "s").columns[-2:] == ["mtime_ns", "snapshot_id"] and e.table("terms").count() == 0
+    old = spark.createDataFrame([("a", "s")], "rel_path string, snapshot_id string")
+    snapshots.replace(old, f"file://{tmp_path}/none/files")
+    assert e.table("files", "s").select("rel_path", "mtime_ns").first() == ("a", None)
+    config = spark.createDataFrame([("ssh_key", "/k"), ("consent", None)], "key string, value string")
+    assert (snapshots.config_value(config, "ssh_key"), snapshots.config_value(config, "consent", "no"), snapshots.config_value(config, "x")) == ("/k", "no", None)
+    known = spark.createDataFrame([("s", "r")], "id string, local_repo_id string")
+    assert snapshots.belongs(known, "s", "r") and not snapshots.belongs(known, "s", "q")
+
+
+def test_deep_trees_are_split_up(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"one/two/d{k}").mkdir(parents=True)
+        (tmp_path / f"one/two/d{k}/f.txt").write_text("x")
+    (tmp_path / "one/bin").write_bytes(b"\0" * 5000)
+    found = read_tree(spark, str(tmp_path))
+    assert found.count() == 30 and found.rdd.getNumPartitions() >= 30
+    record = folder_record(str(tmp_path))
+    assert record["is_folder"] and record["n_entries"] == 1 and not folder_record(f"{tmp_path}/no")["exists"]
+
+
 def test_git(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
     assert git.info(spark, str(tmp_path)).first()["is_git_repo"] is False
