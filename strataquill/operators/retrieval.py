@@ -107,6 +107,27 @@ def scores_of(chunks: DataFrame, query: list[str], terms: DataFrame | None = Non
     return bm25(counted, idf(document_frequency(counted), stats), stats, query, light.where("dl > 0"))
 
 
+def scores_of_many(chunks: DataFrame, queries: list[list[str]], limit: int = CANDIDATES) -> DataFrame:
+    """query_no, rel_path, chunk_index, bm25, rank: the best chunks of each of several queries. Contents are read once for all
+    of them, and only the queries' terms are kept."""
+    spark, wanted = chunks.sparkSession, sorted({t for q in queries for t in q})
+    tokens = chunks.select("rel_path", "chunk_index", text.corpus_tokens(F.col("content")).alias("tokens"))
+    light = cut(tokens.select("rel_path", "chunk_index", F.size("tokens").cast("long").alias("dl"), F.filter("tokens", lambda t: t.isin(*wanted)).alias("hits")))
+    stats = light.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    counted = light.select("rel_path", "chunk_index", "dl", F.explode("hits").alias("term")).groupBy("rel_path", "chunk_index", "dl", "term").agg(F.count(F.lit(1)).alias("f"))
+    weights = idf(document_frequency(counted), stats).where("idf > 0").select("term", "idf")
+    asked = spark.createDataFrame([(k, t) for k, q in enumerate(queries) for t in q], "query_no long, term string").join(weights, "term")
+    asked = cut(asked)  # a row for each term of a query
+    ratio = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / stats.select("avgdl").scalar()))
+    inside = counted.join(F.broadcast(asked), "term").select("query_no", "rel_path", "chunk_index", (F.col("idf") * ratio).alias("part"))
+    low = F.lower(F.col("rel_path"))
+    found = F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted]), lambda t: t.isNotNull())
+    hits = light.where("dl > 0").select("rel_path", "chunk_index", F.explode(found).alias("term")).join(F.broadcast(asked), "term").select("query_no", "rel_path", "chunk_index", F.col("idf").alias("part"))
+    total = inside.unionByName(hits).groupBy("query_no", "rel_path", "chunk_index").agg(F.round(F.sum("part"), 6).alias("bm25")).where("bm25 > 0")
+    best = Window.partitionBy("query_no").orderBy(F.desc("bm25"), "rel_path", "chunk_index")
+    return total.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= limit)
+
+
 def lexical_scores(chunks: DataFrame, query: list[str]) -> DataFrame:
     """The fallback where there are no statistics: occurrences, in the column bm25."""
     score = text.lexical_score(F.col("content"), F.col("rel_path"), query).cast("double")

@@ -33,14 +33,16 @@ def sections_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.in_order(rows.withColumn("conv_id", F.col("conv_id").cast("int")), "conv_id", [9, 3, 100000, 1])
 
 
-_SIDES = """WITH s AS (SELECT conv_id, turn, text, chr(CAST(65 + turn AS INTEGER)) AS letter, ['high', 'medium', 'low', NULL][(conv_id + turn) % 4 + 1] AS confidence FROM conversations WHERE turn < 11),
-a AS (SELECT letter, confidence, text AS content FROM s WHERE conv_id = 0), b AS (SELECT letter, confidence, text AS content FROM s WHERE conv_id = 1)"""
+# Each even conversation against the next one, turn by turn.
+_SIDES = """WITH s AS (SELECT conv_id, turn, text, (conv_id // 2) || '-' || turn AS letter, ['high', 'medium', 'low', NULL][(conv_id + turn) % 4 + 1] AS confidence FROM conversations),
+a AS (SELECT letter, confidence, text AS content FROM s WHERE conv_id % 2 = 0), b AS (SELECT letter, confidence, text AS content FROM s WHERE conv_id % 2 = 1)"""
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     scale = F.element_at(F.array(*[F.lit(x) for x in ("high", "medium", "low", None)]), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
-    rows = table(spark, sf_dir, "conversations").where("turn < 11").select("conv_id", F.char((F.col("turn") + 65).cast("long")).alias("letter"), scale.alias("confidence"), F.col("text").alias("content"))
-    return rows.where("conv_id = 0").drop("conv_id"), rows.where("conv_id = 1").drop("conv_id")
+    letter = F.concat(F.floor(F.col("conv_id") / 2).cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", letter.alias("letter"), scale.alias("confidence"), F.col("text").alias("content"))
+    return rows.where("conv_id % 2 = 0").drop("conv_id"), rows.where("conv_id % 2 = 1").drop("conv_id")
 
 
 @query(_SIDES + r""", j AS (SELECT coalesce(a.letter, b.letter) AS letter, a.confidence AS ca, b.confidence AS cb, a.content AS ta, b.content AS tb FROM a FULL JOIN b ON a.letter = b.letter),

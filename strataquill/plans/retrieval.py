@@ -261,3 +261,25 @@ def merge_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + fx.SCORES_SQL + " SELECT rel_path, first(chunk_index ORDER BY bm25 DESC, chunk_index) AS chunk_index, max(bm25) AS score FROM scores GROUP BY rel_path")
 def best_chunk_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.best_per_file(_scores(fx.chunks(spark, sf_dir)).withColumnRenamed("bm25", "score"))
+
+
+#: A constant query for each section that asks the index, in terms that the corpus has.
+WORKLOAD = (
+    "the and ention main", "services api core layer", "und der thand router", "utils models folder", "for that rules ein", "les des maison handlers",
+    "infra core ment config", "setup readme docs the", "domain models term und", "token und risk la",
+)
+
+
+def _workload_sql() -> str:
+    asked = ", ".join(f"({k}, '{t}')" for k, q in enumerate(WORKLOAD) for t in q.split())
+    return fx.TERMS_SQL + f""", queries(query_no, term) AS (VALUES {asked}), asked AS (SELECT query_no, term, idf FROM queries JOIN idfs USING (term) WHERE idf > 0),
+parts AS (SELECT a.query_no, t.rel_path, t.chunk_index, a.idf * (t.f * 3.0 / (t.f + 2.0 * (0.25 + 0.75 * t.dl / s.avgdl))) AS part FROM terms t JOIN asked a USING (term) CROSS JOIN stats s
+ UNION ALL SELECT a.query_no, d.rel_path, d.chunk_index, a.idf FROM told d JOIN asked a ON contains(lower(d.rel_path), a.term) WHERE len(d.tokens) > 0),
+s AS (SELECT query_no, rel_path, chunk_index, round(sum(part), 6) AS bm25 FROM parts GROUP BY ALL HAVING round(sum(part), 6) > 0)
+SELECT CAST(query_no AS BIGINT) AS query_no, rel_path, chunk_index, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY bm25 DESC, rel_path, chunk_index) AS rank FROM s) WHERE rank <= 100"""
+
+
+@query("WITH " + _workload_sql())
+def workload_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten constant queries of the sections, answered together."""
+    return r.scores_of_many(fx.chunks(spark, sf_dir), [r.terms_of(q) for q in WORKLOAD])
