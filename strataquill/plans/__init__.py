@@ -1,5 +1,5 @@
 """Composed queries over the driver's tables."""
 
-from strataquill.plans import files, graphs, registry, reports, retrieval, risks
+from strataquill.plans import files, graphs, registry, reports, retrieval, risks, small
 
-__all__ = ["files", "graphs", "registry", "reports", "retrieval", "risks"]
+__all__ = ["files", "graphs", "registry", "reports", "retrieval", "risks", "small"]
