@@ -214,3 +214,125 @@ def call_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return symbols.imports_of(_modules(spark, sf_dir))
+
+
+@query(_CODE + """ SELECT 's' || k || '.ts::Svc' || k || '.run' AS src_symbol, 'r' || k || '.ts::' || c || k || '.find' AS dst_symbol, 'low' AS confidence FROM f, (VALUES ('One'), ('Two')) v(c)""")
+def interface_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls on an injected interface reach all that implement it."""
+    ship(spark)
+    n = F.col("s_suppkey").cast("string")
+    own = F.concat(F.lit("interface Repo"), n, F.lit(" {\n  find(id: string): any;\n}\nclass One"), n, F.lit(" implements Repo"), n, F.lit(" {\n  find(id: string) { return 1; }\n}\nclass Two"), n, F.lit(" implements Repo"), n, F.lit(" {\n  find(id: string) { return 2; }\n}\n"))
+    user = F.concat(F.lit("import { Repo"), n, F.lit(" } from './r"), n, F.lit("';\nclass Svc"), n, F.lit(" {\n  constructor(private repo: Repo"), n, F.lit(") {}\n  run(id: string) {\n    return this.repo.find(id);\n  }\n}\n"))
+    rows = table(spark, sf_dir, "supplier").select(F.explode(F.array(F.struct(F.concat(F.lit("r"), n, F.lit(".ts")).alias("rel_path"), own.alias("content")), F.struct(F.concat(F.lit("s"), n, F.lit(".ts")).alias("rel_path"), user.alias("content")))).alias("x")).select("x.*")
+    return references.symbol_edges(rows).select("src_symbol", "dst_symbol", "confidence")
+
+
+_PAD = "\t// padding }\n"
+
+
+@query("""SELECT p_partkey, CAST(k AS BIGINT) AS chunk_index, chunk_type, replace(names, '@', CAST(p_partkey AS VARCHAR)) AS names FROM part JOIN (VALUES
+ (0, 0, 'import_group', ''), (0, 1, 'function', 'A@'), (0, 2, 'block', 'B@,C@'), (1, 0, 'import_group', ''), (1, 1, 'class', 'K@'), (1, 2, 'function', 'f@'), (2, 0, 'file', '')) v(m, k, chunk_type, names) ON m = p_partkey % 3""")
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks along the definitions of Go and Python sources, and a file that fits."""
+    ship(spark)
+    i = F.col("p_partkey")
+    go = "package m\n\nimport \"fmt\"\n\nfunc A@() {\n" + _PAD * 60 + "}\n\nvar left = 1\n\nfunc B@() {\n" + _PAD * 60 + "}\n\nfunc C@() {\n}\n"
+    py = "import os\nimport sys\n\nclass K@:\n" + "    pad = 'padding'\n" * 60 + "\nLEFT = 1\n\ndef f@(x):\n" + "    x += 1\n" * 80
+    content = F.when(i % 3 == 0, go).when(i % 3 == 1, py).otherwise("x = 1\n")
+    language = F.when(i % 3 == 0, "go").otherwise("python")
+    rows = table(spark, sf_dir, "part").select(i.cast("string").alias("rel_path"), language.alias("language"), F.lit("source").alias("category"), F.replace(content, F.lit("@"), i.cast("string")).alias("content"))
+    return symbols.syntax_chunks(rows).select(F.col("rel_path").cast("long").alias("p_partkey"), "chunk_index", "chunk_type", F.array_join("names", ",").alias("names"))
+
+
+# Tables of snapshots and single files ----------------------------------------------------------------------------------
+
+
+@query("""SELECT 's1' AS snapshot_id, o_orderkey AS id, o_totalprice AS value FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT 's2', o_orderkey, -1.0 FROM orders WHERE o_orderkey % 3 = 2
+UNION ALL SELECT 's2', o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 6 = 3""")
+def snapshot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is written, replaced by snapshot, appended to, filled up and cut: s1 replaced, s2 grown, s3 dropped."""
+    import uuid
+
+    from strataquill.session import ensure_checkpoint_dir
+    from strataquill.sources import snapshots
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_totalprice").alias("value"))
+    of = lambda name, rows, value=None: rows.select(F.lit(name).alias("snapshot_id"), "id", F.col("value") if value is None else F.lit(value).alias("value"))
+    snapshots.replace(of("s1", orders).unionByName(of("s3", orders)), path)
+    snapshots.replace(of("s1", orders.where("id % 3 = 1")), path)
+    snapshots.append(of("s2", orders.where("id % 3 = 2"), -1.0), path)
+    snapshots.insert_absent(of("s2", orders.where("id % 3 = 2 or id % 6 = 3")), path, ["snapshot_id", "id"], ["value"])
+    snapshots.drop(spark, path, ["s3"])
+    return snapshots.read(spark, path).select("snapshot_id", "id", "value")
+
+
+@query("SELECT rel_path, substr(text, 1, 50) AS content, length(text) > 50 AS truncated FROM (SELECT 'd/' || doc_id || '.txt' AS rel_path, text FROM documents) WHERE rel_path = 'd/7.txt'")
+def one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataquill.sources.tree import read_file
+
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), F.col("text").alias("content"))
+    return read_file(rows, "d/7.txt", 50)
+
+
+@query("SELECT count(*) AS n_entries, count(*) FILTER (WHERE p_partkey % 50 = 0) AS n_heavy, true AS warn FROM part")
+def root_size_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataquill.sources.tree import size_warning
+
+    name = F.when(F.col("p_partkey") % 50 == 0, "build").otherwise(F.concat(F.lit("n"), F.col("p_partkey").cast("string")))
+    return size_warning(table(spark, sf_dir, "part").select(name.alias("name")))
+
+
+# Sections and evidence as text -------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, '## Confidence' || chr(10) || chr(10) || 'high' || chr(10) || chr(10) || '## Scores' || chr(10) || chr(10) || '| section | score |' || chr(10) || '|-|-|' || chr(10) || '| A | low |' || chr(10) || '| B | ' || o_orderstatus || ' |' || chr(10) || chr(10) || '## Weak sections' || chr(10) || chr(10) || 'A' AS markdown FROM orders""")
+def audit_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = F.concat(F.lit('{"overall_confidence": "high", "section_scores": {"B": "'), "o_orderstatus", F.lit('", "A": "low"}, "weakest_sections": ["A"]}'))
+    return table(spark, sf_dir, "orders").select("o_orderkey", reports.audit_markdown(audit).alias("markdown"))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS id, 'A' AS letter, count(*) + CASE WHEN o_custkey = (SELECT min(o_custkey) FROM orders) THEN 1 ELSE 0 END AS version,
+ CASE WHEN o_custkey = (SELECT min(o_custkey) FROM orders) THEN '{"new":1}' ELSE CAST(arg_max(o_orderkey, o_orderkey) AS VARCHAR) END AS section FROM orders GROUP BY o_custkey""")
+def section_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest version of each section after one has been patched."""
+    from pyspark.sql import Window
+
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    version = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    history = orders.select(F.col("o_custkey").cast("string").alias("id"), F.lit("A").alias("letter"), version.alias("version"), F.col("o_orderkey").cast("string").alias("section"), F.lit("").alias("hash"))
+    first = str(orders.agg(F.min("o_custkey")).first()[0])
+    return reports.current_sections(reports.patched(history, first, "A", '{"new":1}')).select("id", "letter", "version", "section")
+
+
+@query("SELECT event_id, '{\"summary\":\"' || event_type || '\"}' AS short FROM events")
+def short_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    section = F.concat(F.lit('{"summary": "'), "event_type", F.lit('", "other": [1, 2], "confidence": "low"}'))
+    return table(spark, sf_dir, "events").select("event_id", reports.compressed(F.lit("C"), section).alias("short"))
+
+
+@query("""SELECT string_agg('=== d' || doc_id || ' #0 ===' || chr(10) || CASE WHEN length(text) > 2000 THEN rtrim(substr(text, 1, 2000)) || '...' ELSE text END, chr(10) || chr(10) ORDER BY n_chars DESC, 'd' || doc_id) AS evidence
+FROM (SELECT * FROM documents WHERE text IS NOT NULL ORDER BY n_chars DESC, 'd' || doc_id LIMIT 40)""")
+def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty longest documents as one text of evidence."""
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(path.alias("rel_path"), F.lit(0).cast("long").alias("chunk_index"), F.col("n_chars").cast("double").alias("score"), F.col("text").alias("content"), F.lit(False).alias("expanded"))
+    return retrieval.rendered(retrieval.top(rows, "score", 40))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '  Layers: api, ' || o_orderstatus || chr(10) ELSE '' END || '  Known services:' || chr(10) || '    - s' || (o_orderkey % 5) || ' (r)' AS context FROM orders")
+def layer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    layers = F.when(k % 2 == 0, F.concat(F.lit('"main_layers": ["api", "'), "o_orderstatus", F.lit('"], '))).otherwise("")
+    section = F.concat(F.lit("{"), layers, F.lit('"main_services": [{"name": "s'), (k % 5).cast("string"), F.lit('", "role": "r"}]}'))
+    return table(spark, sf_dir, "orders").select(k, reports.layer_context(section).alias("context"))
+
+
+@query("SELECT conv_id, array_to_string(list(turn ORDER BY turn), ',') AS steps FROM (SELECT conv_id, turn FROM conversations) GROUP BY conv_id")
+def ordered_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Onboarding steps that were stored the other way round."""
+    step = F.concat(F.lit('{"order": '), F.col("turn").cast("string"), F.lit(', "title": "t"}'))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.reverse(F.sort_array(F.collect_list(step))).alias("s"))
+    section = F.concat(F.lit('{"steps": ['), F.array_join("s", ","), F.lit("]}"))
+    return rows.select("conv_id", F.array_join(F.transform(reports.onboarding_steps(section), lambda x: x["order"].cast("string")), ",").alias("steps"))
