@@ -10,11 +10,14 @@ A document's set holds its distinct word shingles, as 64-bit hashes. Two sets li
    identical prefix and size are one group, documents with identical sets one class; only groups go on.
 3. Group pairs. Postings (shingle, group) meet in buckets. Lists of at most ``SHORT`` groups give pairs of compatible
    size, with the count of prefix shingles that they share; a pair goes on only if that count and what lies behind the
-   prefixes can reach the needed overlap. Longer lists give a star. Frequent shingles are contracted to stars in each map
-   task before they meet. Pairs, stars and groups of several classes connect *families*; every linked pair lies in one.
-4. Members. A family's classes are cut into blocks, and each pair of blocks is verified in a task of its own on the full
-   sets: documents are compared with all others of the task until all that remain uncompared are connected already. A
-   task returns a spanning forest, never pairs.
+   prefixes can reach the needed overlap. If two groups share a prefix shingle whose list is longer, or which is frequent,
+   their pairs aren't listed, as they would be too many: a star marks them as one *family*. Frequent shingles are
+   contracted to stars in each map task before they meet. A group of several classes is a family too.
+4. Members. Filtered group pairs are expanded to the classes of both groups and verified on the full sets. Pairs of one
+   weakly connected part meet in tasks by pair of blocks, so that a set is sent once for many pairs; only block pairs that
+   hold a group pair exist. A family's classes are cut into blocks, and each pair of blocks is verified in a task of its
+   own: documents are compared with all others of the task until all that remain uncompared are connected already. A
+   task returns a spanning forest, never pairs. A link that isn't a filtered pair's lies in a family, so none is lost.
 5. Components of the forests' edges; each document gets its class's component.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are their own component;
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.llm.components import Forest, components
@@ -185,7 +188,7 @@ def signatures(docs: DataFrame, hot, words: int = WORDS, percent: int = PERCENT)
 
 
 def _cold_edges(groups: DataFrame, buckets: int, percent: int = PERCENT, short: int = SHORT) -> DataFrame:
-    """Edges (a, b) from prefix shingles that aren't frequent."""
+    """(a, b, star) from prefix shingles that aren't frequent: filtered pairs, and stars of long lists."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -233,7 +236,7 @@ def _cold_edges(groups: DataFrame, buckets: int, percent: int = PERCENT, short:
     total = met.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("star").alias("star"))
     behind = lambda n: F.ceil(F.col(n) * percent / 100) - 1  # noqa: E731  set minus prefix
     needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    return total.where(F.col("star") | (F.col("shared") + F.greatest(behind("na"), behind("nb")) >= needed)).select("a", "b")
+    return total.where(F.col("star") | (F.col("shared") + F.greatest(behind("na"), behind("nb")) >= needed)).select("a", "b", "star")
 
 
 def _hot_edges(groups: DataFrame) -> DataFrame:
@@ -317,10 +320,23 @@ def linked_forest(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT
     return [(i, least[forest.root(x)]) for x, i in enumerate(ids) if i != least[forest.root(x)]]
 
 
-def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (a, b) that span the links inside each family. ``members``: cid, digest, n, family."""
+def paired_forest(pairs: list[tuple[int, int]], members: dict[int, list[tuple[int, np.ndarray]]], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Spanning edges of the links between the members (id, set) of listed group pairs."""
+    forest = Forest()
+    for a, b in pairs:
+        for i, x in members.get(a, ()):
+            for j, y in members.get(b, ()):
+                if forest.root(i) != forest.root(j):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        forest.join(i, j)
+    return [(i, forest.root(i)) for i in list(forest.up) if forest.root(i) != i]
+
+
+def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """``members`` (cid, digest and others) with their shingles."""
     place = F.pmod(F.xxhash64("cid"), F.lit(BITS))
-    # A bit map of fixed size lets documents that are in no family pass by without being shingled again.
+    # A bit map of fixed size lets documents that are no members pass by without being shingled again.
     bits = members.select(place.alias("place")).select(F.expr("cast(place div 32 as int) as word"), F.expr("shiftleft(1L, cast(place % 32 as int)) as bit"))
     bitmap = np.zeros(BITS // 32, np.uint32)
     marked = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -329,27 +345,35 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            at = b["place"].to_numpy(np.int64)
+            near = b[(shared.value[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1]
             out = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc, text in zip(near["doc_id"], near["text"], strict=True):
                 s = shingles(text, words)
                 out.append((doc, _digest(s.tobytes()), s.tobytes()))
             yield pd.DataFrame(out, columns=["cid", "digest", "shingles"])
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at = b["place"].to_numpy(np.int64)
-            yield b[(shared.value[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1]
-
     hit = docs.where("doc_id is not null").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
-    found = hit.mapInPandas(lambda batches: sets(near(batches)), "cid long, digest binary, shingles binary")
-    held = cut(found.dropDuplicates(["cid", "digest"]).join(members.select("cid", "digest", "n", "family"), ["cid", "digest"]))
+    found = hit.mapInPandas(sets, "cid long, digest binary, shingles binary")
+    held = cut(found.dropDuplicates(["cid", "digest"]).join(members, ["cid", "digest"]))
     shared.destroy()
+    return held
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows that are broadcast if few, so that no large part is dealt to one task; beyond that they are joined as they come."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
 
+def _blocks() -> Column:
+    return F.ceil(F.greatest(F.col("k") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+
+
+def _families(held: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that span the links inside each family. ``held``: cid, n, family, shingles."""
     sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
-    sizes = sizes.where("k > 1").select("family", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    sizes = cut(sizes)
-    # Families are broadcast if few, so a large one isn't dealt to one task; beyond that they are joined as they come.
-    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
+    sizes = _few(sizes.where("k > 1").select("family", _blocks()))
     placed = held.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (F.col("blocks") == 1) | (k != F.col("own")))
     pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
@@ -362,6 +386,29 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
     return tasks.groupBy("family", "i", "j").applyInPandas(verify, "a long, b long")
 
 
+def _expanded(held: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that span the links between the members of group pairs. ``held``: cid, gid, n, part, shingles (part null
+    for groups in no pair); ``pairs``: a, b, part."""
+    inside = held.where("part is not null")
+    sizes = inside.groupBy("part").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    sizes = _few(sizes.select("part", _blocks()))
+    block = lambda g: F.pmod(F.xxhash64(g), F.col("blocks")).cast("int")
+    listed = pairs.join(sizes, "part").select("part", "a", "b", block("a").alias("x"), block("b").alias("y"))
+    listed = cut(listed.select("part", "a", "b", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")))
+    # A group goes to the block pairs in which it has a pair.
+    wanted = listed.select("part", "i", "j", F.col("a").alias("gid")).unionByName(listed.select("part", "i", "j", F.col("b").alias("gid"))).distinct()
+    sent = inside.select("part", "gid", "cid", "shingles").join(wanted, ["part", "gid"]).select(F.col("part").alias("of"), F.col("i").alias("x"), F.col("j").alias("y"), "gid", "cid", "shingles")
+
+    def verify(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        members: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for g, c, x in zip(sets["gid"].tolist(), sets["cid"].tolist(), sets["shingles"], strict=True):
+            members.setdefault(g, []).append((c, np.frombuffer(x, np.uint64)))
+        edges = paired_forest(list(zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)), members, percent)
+        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+    return listed.groupBy("part", "i", "j").cogroup(sent.groupBy("of", "x", "y")).applyInPandas(verify, "a long, b long")
+
+
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, key, n_shingles, component_id of each row of ``docs`` (doc_id, key, text); equal ids are one document."""
     spark = docs.sparkSession
@@ -374,13 +421,26 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     usable = signed.where("n > 0 and doc_id is not null")
     groups = cut(usable.groupBy("prefix_digest").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("hot").alias("hot"), F.first("cold").alias("cold")), free=True)
     classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("prefix_digest").alias("prefix_digest")))
-    grouped = classes.join(groups.select("prefix_digest", "gid"), "prefix_digest").where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
-    candidates = _cold_edges(groups, buckets, percent).unionByName(_hot_edges(groups)).unionByName(grouped)
-    connected = cut(components(candidates), free=True)
-    ids = connected.select(F.col("id").alias("cid"), F.col("component").alias("family")).unionByName(connected.select(F.col("component").alias("cid"), F.col("component").alias("family")).distinct())
-    members = cut(classes.drop("prefix_digest").join(ids, "cid"))
-
-    linked = components(_verified(docs, members, words, percent)).withColumnRenamed("id", "cid")
+    named = cut(classes.join(groups.select("prefix_digest", "gid"), "prefix_digest").select("cid", "digest", "n", "gid"))
+    found = cut(_cold_edges(groups, buckets, percent))
+    several = named.where("cid <> gid").select(F.col("gid").alias("a"), F.col("gid").alias("b")).distinct()
+    stars = found.where("star").select("a", "b").unionByName(_hot_edges(groups))
+    # Families over groups: those that stars connect, and single groups of several classes.
+    starred = cut(components(stars), free=True)
+    ends = starred.select(F.col("id").alias("gid"), F.col("component").alias("family")).unionByName(starred.select(F.col("component").alias("gid"), F.col("component").alias("family")))
+    family = cut(ends.unionByName(several.select(F.col("a").alias("gid"), F.col("b").alias("family"))).groupBy("gid").agg(F.min("family").alias("family")))
+    # Pairs whose groups are in one family are verified there.
+    of = lambda side: family.select(F.col("gid").alias(side), F.col("family").alias(f"f{side}"))
+    pairs = found.where("not star").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where("fa is null or fb is null or fa <> fb").select("a", "b")
+    pairs = cut(pairs)
+    parts = cut(components(pairs))
+    part = parts.select(F.col("id").alias("gid"), F.col("component").alias("part")).unionByName(parts.select(F.col("component").alias("gid"), F.col("component").alias("part")).distinct())
+    members = cut(named.join(family, "gid", "left").join(part, "gid", "left").where("family is not null or part is not null"))
+    held = _sets(docs, members, words)
+    verified = _families(held.where("family is not null").select("cid", "n", "family", "shingles"), percent)
+    apart = _expanded(held, pairs.join(part.withColumnRenamed("gid", "a"), "a").select("a", "b", "part"), percent)
+
+    linked = components(verified.unionByName(apart)).withColumnRenamed("id", "cid")
     decided = classes.join(linked, "cid", "left").select("digest", F.coalesce("component", "cid").alias("component"))
     # Rows that can't link get a digest of their own, so that they don't meet in one task.
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).otherwise(F.encode(F.concat(F.lit("none"), F.col("doc_id").cast("string")), "utf-8"))
