@@ -76,6 +76,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     # Written first: edges that Python makes and the contraction would else hold two workers per task at once.
     now = cut(cut(edges).mapInPandas(_contracted, "a long, b long"))
     seen, n_edges = None, now.count()
+    if not n_edges:
+        return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for _ in range(rounds):
         # Edges point from the larger to the smaller. Large star: larger neighbours go to the minimum around a vertex, or to the vertex.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
