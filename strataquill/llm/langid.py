@@ -33,8 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.llm.rows import unused
+from strataquill.session import give_back
 
-TRAIN_ROWS, MOST_CHARS = 32, 16_384
+TRAIN_ROWS, MOST_CHARS = 24, 16_384
 BLOCK, LANES = 512, 8192
 LETTERS, CLASSES = 200, 16
 UNKNOWN = "und"
@@ -220,6 +221,7 @@ def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text
             out = pd.DataFrame(model.predict(b["text"].tolist()), columns=["lang_pred", "score"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
+        give_back()
 
     rows = docs.select(docs[id_col].cast("string").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInPandas(run, "doc_id string, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -233,6 +235,7 @@ def predicted(text: Column, texts: dict[str, str]) -> Column:
         model = model_of(texts)
         for b in batches:
             yield pd.DataFrame(model.predict(b.tolist()), columns=["lang_pred", "score"])
+        give_back()
 
     return run(text)
 
