@@ -168,7 +168,7 @@ def _indented(code: str, at: int, starts: list[int]) -> int:
     return end
 
 
-def _heads(content: str, code: str, language: Language) -> list[Declaration]:
+def _heads(code: str, language: Language) -> list[Declaration]:
     if not language.compiled:
         language.compiled = [(kind, re.compile(p, language.flags)) for kind, p in language.heads]
     braces = pairs_of(code, "{}") if language.body == "brace" else {}
@@ -200,10 +200,10 @@ def _heads(content: str, code: str, language: Language) -> list[Declaration]:
                 stop = code.find(";", m.end())
                 end, body = (n if stop < 0 else stop + 1), True
             out.append((Declaration(head, end, kind, name), body))
-    return _judged(content, code, out, language)
+    return _judged(code, out, language)
 
 
-def _judged(content: str, code: str, found: list[tuple[Declaration, bool]], language: Language) -> list[Declaration]:
+def _judged(code: str, found: list[tuple[Declaration, bool]], language: Language) -> list[Declaration]:
     """Declarations with their owners; heads without a body that need one are dropped."""
     found.sort(key=lambda x: (x[0].start, -x[0].end))
     out, stack, methods = [], [], {id(x[0]) for x in found if x[0].kind == "method"}
@@ -255,7 +255,7 @@ def _member_like(code: str, d: Declaration) -> bool:
 _GO_KIND = re.compile(r"\s*(?:\[[^\]]*\]\s*)?(struct|interface)\b")
 
 
-def _go(content: str, code: str, found: list[Declaration]) -> list[Declaration]:
+def _go(code: str, found: list[Declaration]) -> list[Declaration]:
     for d in found:
         if d.kind == "type":
             m = _GO_KIND.match(code, code.find(d.name, d.start) + len(d.name))
@@ -270,9 +270,9 @@ def declarations(content: str, language: str, blocks: bool = False) -> list[Decl
     """The declarations of a file, in order; places are characters. With ``blocks`` also those that only hold others."""
     spec = LANGUAGES[language]
     code = blanked(content, spec)
-    found = _heads(content, code, spec)
+    found = _heads(code, spec)
     if spec is LANGUAGES["go"]:
-        found = _go(content, code, found)
+        found = _go(code, found)
     elif spec is LANGUAGES["kotlin"]:
         enums = {d.start for d in found if d.kind == "enum"}
         found = [d for d in found if d.kind != "class" or not any(s <= d.start <= s + 5 for s in enums)]
@@ -282,7 +282,7 @@ def declarations(content: str, language: str, blocks: bool = False) -> list[Decl
                 d.parent, d.name = d.name.rsplit(":", 1)
                 d.kind = "method"
     elif spec is LANGUAGES["cpp"]:
-        found = _aliases(content, code, found)
+        found = _aliases(code, found)
     elif spec is LANGUAGES["haskell"]:
         found = _clauses([d for d in found if d.name not in ("data", "type", "newtype", "class", "instance", "module", "import", "infixl", "infixr", "infix", "deriving", "where")])
     elif spec is LANGUAGES["sql"]:
@@ -291,7 +291,7 @@ def declarations(content: str, language: str, blocks: bool = False) -> list[Decl
     return found if blocks else [d for d in found if d.kind not in ("impl", "namespace")]
 
 
-def _aliases(content: str, code: str, found: list[Declaration]) -> list[Declaration]:
+def _aliases(code: str, found: list[Declaration]) -> list[Declaration]:
     """``typedef struct {...} Name;`` declares the type that follows its body."""
     out = []
     for d in found:
