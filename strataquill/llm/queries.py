@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquill.llm import bpe, chat, embeddings, exact_dedup, langid, licenses, ngram_join, packing, secrets, warc
+from strataquill.llm import bpe, chat, codes, embeddings, exact_dedup, langid, licenses, ngram_join, packing, repeats, runs, secrets, warc
 from strataquill.session import ship, spread, table
 
 
@@ -93,6 +94,47 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found, _ = codes.compress(spread(table(spark, sf_dir, "embeddings")))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def planted(doc_id: int | None, words: list[str]) -> list[str]:
+    """The words of a document, made periodic from some word on for one in ten ids."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = runs.find_runs(documents(spark, sf_dir), change=planted)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = found.withColumns({"best": best, "lines": F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))})
+    length, period = F.col("best.length"), -F.col("best.col3")
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.expr("(1000 * best.length) div -best.col3").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return repeats.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -104,6 +146,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 _OP2_SQL = r"""
@@ -199,7 +244,98 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN k ON k.x = vec_id
 """
 
+def _op11_sql(dims: int = 64, parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assignment and integer means, written out one after the other."""
+    w = dims // parts
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)",
+        f"w AS MATERIALIZED (SELECT vec_id, label, p, e[{w} * p + 1 : {w} * p + {w}] AS e FROM v, range({parts}) r(p))",
+        f"c0 AS MATERIALIZED (SELECT p, k, e FROM (SELECT p, e, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM w) WHERE k < {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, label, p, arg_min(k, (d, k)) AS k, min(d) AS d, any_value(e) AS e FROM (
+    SELECT w.vec_id, w.label, w.p, c.k, w.e, list_sum(list_transform(list_zip(w.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM w JOIN c{r} c ON c.p = w.p)
+  GROUP BY vec_id, label, p)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.p, c.k, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (
+    SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY x) AS e FROM (
+      SELECT p, k, x, sum(e[x + 1])::BIGINT AS s, count(*) AS n FROM a{r}, range({w}) q(x) GROUP BY p, k, x)
+    GROUP BY p, k) m ON m.p = c.p AND m.k = c.k)""")
+    return f"""
+WITH {", ".join(steps)}, o AS (
+  SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label
+), s AS (
+  SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, s
+"""
+
+
+_OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda i: CAST(-1 AS BIGINT)))))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS h
+  FROM documents
+), g AS (
+  SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS hit, h // 10 AS g FROM d
+), p AS (
+  SELECT *, CASE WHEN hit THEN g % n END AS a FROM g
+), q AS (
+  SELECT *, CASE WHEN hit THEN 1 + (n - a) // (3 + g % 8) END AS p FROM p
+), w AS MATERIALIZED (
+  SELECT doc_id, i, ws[1 + CASE WHEN hit AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+  FROM q, LATERAL (SELECT unnest(range(n)) AS i)
+), e AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i
+), r AS MATERIALIZED (
+  SELECT doc_id, s AS start, n + q AS length, min(q) AS period
+  FROM (SELECT doc_id, q, min(i) AS s, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island)
+  WHERE n + q >= greatest(12, 2 * q)
+  GROUP BY doc_id, s, n + q
+), m AS (
+  SELECT doc_id, min(start) AS start, length, min(period) AS period FROM r GROUP BY doc_id, length
+), b AS (
+  SELECT doc_id, count(*) AS n_runs, arg_max((start, length, period), (length, -start, -period)) AS best,
+         string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+  FROM r GROUP BY doc_id
+), c AS (
+  SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM r
+), k AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS kept FROM w ANTI JOIN c ON c.doc_id = w.doc_id AND c.i = w.i GROUP BY w.doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period,
+       1000 * best[2] // best[3] AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+_OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), w AS MATERIALIZED (
+  SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word, len(ws) AS n,
+         unnest(list_transform(range(len(ws)), lambda j: CASE WHEN j + 13 <= len(ws) THEN array_to_string(ws[j + 1 : j + 13], ' ') END)) AS s
+  FROM d
+), f AS (
+  SELECT doc_id, i, word, s IS NOT NULL AND min(doc_id) OVER (PARTITION BY s) < doc_id AS later FROM w
+), k AS (
+  SELECT doc_id, i, word, coalesce(bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone FROM f
+), o AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN o USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _op11_sql(),
+    "op12_periodic_runs": _OP12_SQL,
+    "op13_substring_dedup": _OP13_SQL,
     "op2_ngram_jaccard_join": _OP2_SQL,
     "op9_embedding_near_dedup": _OP9_SQL,
     "op4_exact_dedup": _OP4_SQL,
