@@ -1,7 +1,9 @@
 """Symbol references: which definition a call reaches.
 
 Source files are parsed into five tables (definitions, imports, calls, attributes, bases); calls are resolved by four joins:
-bare names, own methods, methods of attributes built in the class, and functions of imported modules. Classes are told apart by
+bare names, own methods, methods of attributes built in the class, and functions of imported modules. An import means one file, found
+by its whole path: joins are on paths and endings of paths together with a name, of which an index holds one definition each, so
+modules of one name in many folders neither mix nor multiply. Classes are told apart by
 their files: a name means the class of its own file, else the imported one, else the only one of that name. A target found
 with one type is of high confidence, one of several of low, as are the methods of the classes that implement an interface
 that is the declared type of an attribute; what can't be resolved gives no row.
@@ -17,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataquill.functions import paths
+from strataquill.operators.graph import ENDINGS
 from strataquill.operators.symbols import UNPARSED
 from strataquill.session import cut
 
@@ -44,9 +48,9 @@ def python_facts(path: str, content: str) -> list[tuple]:
         if isinstance(node, ast.Import):
             for x in node.names:
                 out.append((path, "import", None, x.asname or x.name.split(".")[0], x.name, None, node.lineno))
-        elif isinstance(node, ast.ImportFrom) and node.module:
+        elif isinstance(node, ast.ImportFrom):
             for x in node.names:
-                out.append((path, "star" if x.name == "*" else "import", None, x.asname or x.name, node.module, x.name, node.lineno))
+                out.append((path, "star" if x.name == "*" else "import", None, x.asname or x.name, "." * node.level + (node.module or ""), x.name, node.lineno))
 
     def body(nodes, cls: str | None, caller: str | None) -> None:
         for node in nodes:
@@ -146,10 +150,41 @@ def facts(files: DataFrame) -> DataFrame:
     return kept.mapInPandas(run, SCHEMA)
 
 
-def _modules(files: DataFrame) -> DataFrame:
-    """(module, rel_path): the last part of an import names files of that stem."""
-    stem = F.regexp_extract("rel_path", r"([^/]+?)\.\w+$", 1)
-    return files.select(stem.alias("stem"), F.col("rel_path").alias("def_path")).distinct()
+def _tries(imports: DataFrame) -> DataFrame:
+    """``imports`` (rel_path, local, module, original) with the places that each may mean: ``key`` and its turn ``k``.
+
+    A key is ``=`` and a path, or ``~`` and an ending of paths. Relative imports mean a path from their folder; those of Python,
+    like the absolute ones, also any file whose path ends like the module's, or with which the module's path ends. Scripts take
+    the first of the endings that may be left out. Modules of scripts that aren't relative are not files.
+    """
+    python, module = F.endswith("rel_path", F.lit(".py")), F.col("module")
+    folder = F.regexp_replace("rel_path", r"(?:^|/)[^/]*$", "")
+    below = lambda rest: paths.collapsed(F.concat_ws("/", F.when(folder == "", None).otherwise(folder), rest))
+    dots = F.length(F.regexp_extract("module", r"^(\.*)", 1))
+    rest = F.replace(F.regexp_replace("module", r"^\.+", ""), F.lit("."), F.lit("/"))
+    up = F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0)))
+    endings = paths.suffixes(F.concat(rest, F.lit(".py")))
+    exact = lambda path: F.concat(F.lit("="), path)
+    of_python = F.concat(
+        F.when(dots > 0, F.array(exact(F.concat(below(F.concat(up, rest)), F.lit(".py"))))).otherwise(F.array().cast("array<string>")),
+        F.when(rest != "", F.concat(F.array(F.concat(F.lit("~"), rest, F.lit(".py"))), F.transform(F.slice(endings, F.lit(2), F.greatest(F.size(endings), F.lit(1))), exact))).otherwise(F.array().cast("array<string>")),
+    )
+    of_scripts = F.when(F.startswith("module", F.lit(".")), F.array(*[exact(F.concat(below(module), F.lit(e))) for e in ENDINGS]))
+    keys = F.when(python, of_python).otherwise(of_scripts)
+    return imports.select("rel_path", "local", "original", F.posexplode(keys).alias("k", "key"))
+
+
+def _places(defined: DataFrame, *values: str) -> DataFrame:
+    """``defined`` (def_path, name, values) by key: for each key and name the values of the smallest path that has both."""
+    ends = F.transform(paths.suffixes(F.col("def_path")), lambda x: F.concat(F.lit("~"), x))
+    each = defined.select("name", F.struct("def_path", *values).alias("place"), F.explode(F.concat(F.array(F.concat(F.lit("="), "def_path")), ends)).alias("key"))
+    return each.groupBy("key", "name").agg(F.min("place").alias("place"))
+
+
+def _found(wanted: DataFrame, places: DataFrame, *by: str) -> DataFrame:
+    """The place of the first try that has one for each row of ``wanted`` (by, key, name, k)."""
+    hits = wanted.join(places, ["key", "name"])
+    return hits.groupBy(*by).agg(F.min_by("place", "k").alias("place")).select(*by, "place.*")
 
 
 def resolve(found: DataFrame) -> DataFrame:
@@ -158,24 +193,30 @@ def resolve(found: DataFrame) -> DataFrame:
     of = lambda *kinds: found.where(F.col("fact").isin(*kinds))
     defs = of("function").select(F.col("rel_path").alias("def_path"), F.col("owner").alias("def_owner"), F.col("name").alias("def_name"), F.col("a").alias("def_symbol")).distinct()
     calls = of("call").select("rel_path", F.col("owner").alias("cls"), F.col("name").alias("called"), F.col("a").alias("caller"), F.col("b").alias("receiver"), "line")
-    imports = of("import").select("rel_path", F.col("name").alias("local"), F.col("a").alias("module"), F.coalesce("b", "name").alias("original"))
-    imports = imports.withColumn("stem", F.regexp_extract("module", r"([^./]+)$", 1))
-    files = _modules(found)
-    known = imports.join(files, "stem").select("rel_path", "local", "original", "def_path")
+    imports = of("import").select("rel_path", F.col("name").alias("local"), F.struct("line", F.col("a").alias("module"), F.coalesce("b", "name").alias("original"), F.col("b").isNotNull().alias("inner")).alias("x"))
+    # A name that is imported twice means the last.
+    imports = cut(imports.groupBy("rel_path", "local").agg(F.max("x").alias("x")).select("rel_path", "local", "x.module", "x.original", "x.inner"))
+    tries = cut(_tries(imports))
     symbol = lambda path, name: F.concat(F.col(path), F.lit("::"), F.col(name))
     edge = lambda rows, n: rows.select(symbol("rel_path", "caller").alias("src_symbol"), symbol("def_path", "def_symbol").alias("dst_symbol"), n.cast("long").alias("types"), "line")
 
-    # Bare names: own definitions, else imported ones; a star import hides where names come from.
+    # Bare names: imported ones, else the file's own; a star import hides where names come from.
     bare = calls.where("receiver is null").join(of("star").select("rel_path").distinct(), "rel_path", "left_anti")
     module_level = defs.where("def_owner is null")
-    own = bare.join(module_level, (bare["rel_path"] == module_level["def_path"]) & (bare["called"] == module_level["def_name"]))
-    through = bare.join(known.withColumnRenamed("local", "called"), ["rel_path", "called"]).join(module_level, (F.col("original") == F.col("def_name")) & (known["def_path"] == module_level["def_path"])).drop(known["def_path"])
+    places = cut(_places(module_level.withColumnRenamed("def_name", "name"), "def_symbol"))
+    own = bare.join(imports.select("rel_path", F.col("local").alias("called")), ["rel_path", "called"], "left_anti")
+    own = own.join(module_level, (bare["rel_path"] == module_level["def_path"]) & (bare["called"] == module_level["def_name"]))
+    bound = _found(tries.withColumnRenamed("original", "name"), places, "rel_path", "local")
+    through = bare.join(bound.withColumnRenamed("local", "called"), ["rel_path", "called"])
     edges = edge(own, F.lit(1)).unionByName(edge(through, F.lit(1)))
 
-    # Functions of imported modules.
-    via = calls.where("receiver is not null and receiver not like 'self%'").join(known.withColumnRenamed("local", "receiver"), ["rel_path", "receiver"])
-    via = via.join(module_level, (F.col("called") == F.col("def_name")) & (known["def_path"] == module_level["def_path"])).drop(known["def_path"])
-    edges = edges.unionByName(edge(via, F.lit(1)))
+    # Functions of imported modules: a name imported from a module may be a module inside it.
+    inside = F.concat("module", F.when(F.endswith("module", F.lit(".")), F.lit("")).otherwise(F.lit(".")), "original")
+    inner = imports.where(F.col("inner") & F.endswith("rel_path", F.lit(".py"))).select("rel_path", "local", inside.alias("module"), "original")
+    modules = _tries(inner).unionByName(tries.withColumn("k", F.col("k") + 100)).drop("original").withColumnRenamed("local", "receiver")
+    via = calls.where("receiver is not null and receiver not like 'self%'")
+    asked = via.select("rel_path", "receiver", F.col("called").alias("name")).distinct().join(modules, ["rel_path", "receiver"])
+    edges = edges.unionByName(edge(via.join(_found(asked, places, "rel_path", "receiver", "name").withColumnRenamed("name", "called"), ["rel_path", "receiver", "called"]), F.lit(1)))
 
     # What the names of types mean: (rel_path, type, key, is_interface).
     key = lambda path, name: F.concat(F.col(path), F.lit("::"), F.col(name))
@@ -186,7 +227,8 @@ def resolve(found: DataFrame) -> DataFrame:
     named = cut(attributes.select("rel_path", "type").unionByName(bases.select("rel_path", "type")).distinct())
     own_types = named.join(classes.select(F.col("def_path").alias("rel_path"), F.col("original").alias("type"), "key", "is_interface"), ["rel_path", "type"])
     left = named.join(own_types.select("rel_path", "type"), ["rel_path", "type"], "left_anti")
-    through_types = left.join(known.withColumnRenamed("local", "type"), ["rel_path", "type"]).join(classes, ["def_path", "original"]).select("rel_path", "type", "key", "is_interface")
+    asked_types = tries.withColumnRenamed("local", "type").join(left, ["rel_path", "type"], "left_semi").withColumnRenamed("original", "name")
+    through_types = _found(asked_types, _places(classes.withColumnRenamed("original", "name"), "key", "is_interface"), "rel_path", "type").select("rel_path", "type", "key", "is_interface")
     left = left.join(through_types.select("rel_path", "type"), ["rel_path", "type"], "left_anti")
     only = classes.groupBy(F.col("original").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("is_interface").alias("is_interface")).where("n = 1").drop("n")
     means = cut(own_types.unionByName(through_types).unionByName(left.join(only, "type").select("rel_path", "type", "key", "is_interface")).distinct())

@@ -245,6 +245,25 @@ def test_classes_of_one_name_are_told_apart_by_file(spark):
     assert got == {("one.py::Kid.go", "one.py::Base.ok"): "high", ("user.py::User.run", "two.py::Base.ok"): "high", ("user.py::User.run", "two.py::Base.other"): "high"}
 
 
+def test_imports_mean_one_file_by_its_whole_path(spark):
+    files = {
+        "a/utils.py": "def go(): ...\ndef only_a(): ...\nclass K:\n    def m(self): ...\n", "b/utils.py": "def go(): ...\nclass K:\n    def m(self): ...\n", "utils.py": "def go(): ...\n", "c/d/utils.py": "def go(): ...\ndef deep(): ...\n",
+        "x.py": "from a.utils import go\ndef f():\n    go()\n", "y.py": "from b.utils import go as g, K\nclass Y(K):\n    def f(self):\n        g()\n        self.m()\n",
+        "b/rel.py": "from .utils import go\nfrom ..a import utils as u\nfrom . import utils\ndef f():\n    go()\n    u.only_a()\ndef h():\n    utils.go()\n",
+        "z.py": "import a.utils as au\nfrom c.d import utils\ndef f():\n    au.go()\n    utils.deep()\n", "w.py": "from utils import go\ndef f():\n    go()\n", "v.py": "from src.b.utils import go\ndef f():\n    go()\n",
+        "u.py": "from utils import deep\ndef f():\n    deep()\n", "t.py": "from a.utils import go\nfrom b.utils import go\ndef f():\n    go()\n", "s.py": "from nowhere import go\ndef go(): ...\ndef f():\n    go()\n",
+        "p/index.ts": "export function run() {}\n", "q/index.ts": "export function run() {}\n", "q/r.ts": "export function run() {}\n",
+        "q/m.ts": "import { run } from '../p/index';\nfunction f() {\n  run();\n}\n", "q/n.ts": "import { run } from '../p';\nfunction f() {\n  run();\n}\n", "q/o.ts": "import { run } from './r';\nfunction f() {\n  run();\n}\n",
+        "q/k.ts": "import { run } from 'index';\nfunction f() {\n  run();\n}\n",
+    }
+    out = references.symbol_edges(spark.createDataFrame(list(files.items()), "rel_path string, content string")).collect()
+    assert {(r["src_symbol"], r["dst_symbol"], r["confidence"]) for r in out} == {
+        ("x.py::f", "a/utils.py::go", "high"), ("y.py::Y.f", "b/utils.py::go", "high"), ("y.py::Y.f", "b/utils.py::K.m", "high"), ("b/rel.py::f", "b/utils.py::go", "high"), ("b/rel.py::f", "a/utils.py::only_a", "high"),
+        ("b/rel.py::h", "b/utils.py::go", "high"), ("z.py::f", "a/utils.py::go", "high"), ("z.py::f", "c/d/utils.py::deep", "high"), ("w.py::f", "a/utils.py::go", "high"), ("v.py::f", "b/utils.py::go", "high"),
+        ("u.py::f", "c/d/utils.py::deep", "high"), ("t.py::f", "b/utils.py::go", "high"), ("q/m.ts::f", "p/index.ts::run", "high"), ("q/n.ts::f", "p/index.ts::run", "high"), ("q/o.ts::f", "q/r.ts::run", "high"),
+    }
+
+
 def test_first_base_comes_first(spark):
     code = "class A:\n    pass\nclass Deep(A):\n    pass\nclass Other:\n    def f(self): ...\n" + "class Root:\n    def f(self): ...\nclass Left(Root):\n    pass\nclass Kid(Left, Other):\n    def go(self):\n        self.f()\n"
     assert resolved(spark, m__py=code) == {("m.py::Kid.go", "m.py::Root.f"): "high"}
