@@ -95,8 +95,12 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     out = df.checkpoint(eager=True)
     if free:
         del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        # The listeners' queues hold on to the last event, and with it to the plan of the last query, until another comes.
+        for last in (False, True):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            if not last:
+                spark.range(1).count()
     return out
 
 
