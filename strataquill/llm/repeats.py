@@ -10,7 +10,7 @@ inside it: equal windows have the same smallest one, so nothing is lost, and nei
 quarter of all places is sent. At each level hashes meet in a partially aggregated group-by that tells the smallest and the
 largest id; hashes with one id go. The others are joined back to the rows that sent them, in a plain sort-merge join whose
 hot hashes AQE splits, and gathered by document (a document's own windows, no more). Rows of hashes are written as tables
-that are read twice and then deleted, so a text is taken apart once at each level.
+that are read twice and then deleted, so a text is taken apart once at each level, ``PIECE`` bytes at a time.
 
 Windows are equal if their 64-bit hashes are (polynomials of mixed word hashes). Texts are taken apart as bytes with numpy.
 
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +104,20 @@ class Words:
         return out
 
 
+PIECE = 1 << 20  # bytes of text; numpy's arrays take about fifty times as much
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Rows of about ``PIECE`` bytes of text at a time, and their words; a text is never split."""
+    for b in batches:
+        ends, a = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, side="right")))
+            piece = b.slice(a, z - a)
+            yield piece, Words(piece.column("text"))
+            a = z
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text and a hash of it: rows that agree in both are one document."""
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -122,8 +137,7 @@ def _sent(b: pa.RecordBatch, text: np.ndarray, hashes: np.ndarray) -> pa.RecordB
 
 def _first_level(docs: DataFrame, length: int, longer: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = Words(b.column("text"))
+        for b, words in _pieces(batches):
             inside = words.inside(longer)
             yield _sent(b, words.text[: len(inside)][inside], words.smallest(length, longer)[inside])
 
@@ -146,8 +160,7 @@ def _next_level(docs: DataFrame, length: int, longer: int, first: int) -> DataFr
     by their smallest hash after the first level, by the windows at their ends after others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = Words(b.column("text"))
+        for b, words in _pieces(batches):
             inside = words.inside(longer)
             if length == first:
                 yes = _among(words, words.smallest(length, longer), b.column("found"))
@@ -196,8 +209,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     found = _repeated(rows, window, later_only=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = Words(b.column("text"))
+        for b, words in _pieces(batches):
             n = len(words.text)
             inside = words.inside(window)
             begins = np.flatnonzero(_among(words, words.windows(window), b.column("found")) & inside)
