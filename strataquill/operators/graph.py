@@ -1,9 +1,9 @@
 """Graphs of files: import resolution, centrality, neighbourhoods, cycles, communities.
 
 Edges: src_path, dst_path, edge_type, is_external. Degree, neighbourhood, resolution and summaries are joins and group-bys.
-Strongly connected components and communities lie inside weakly connected parts of a graph: parts of at most ``LARGEST``
-edges are solved by a sequential algorithm each, in groups of their own; larger ones in rounds of joins (coloring and
-backward reach; synchronous moves), so no task holds a graph of unbounded size.
+Strongly connected components lie inside weakly connected parts of a graph: parts of at most ``LARGEST`` edges are solved in
+groups of their own; larger ones have their chains drawn together first and go in rounds of joins (coloring and backward reach)
+if they are still large, so no task holds a graph of unbounded size. Communities are in a module of their own.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions import paths, text
+from strataquill.operators.chains import Shortened, turned
+from strataquill.operators.communities import multilevel
 from strataquill.session import Rounds, cut
 
 #: Import statements of TypeScript and JavaScript. (fixed values)
@@ -188,7 +190,7 @@ def strongly_connected(pairs: list[tuple[str, str]]) -> list[list[str]]:
     return sorted(groups, key=lambda g: (-len(g), g))
 
 
-LARGEST = 1_000_000  # edges that one task may hold
+LARGEST = 100_000  # edges that one task may hold
 
 
 def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
@@ -227,6 +229,31 @@ def connected(pairs: DataFrame) -> DataFrame:
     return _settled(step, both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
 
 
+def in_one_task(pairs: DataFrame, *by: str) -> DataFrame:
+    """(node, root) of the strongly connected components of at least two nodes of each group of pairs (src, dst)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = strongly_connected(list(zip(group["src"], group["dst"], strict=True)))
+        return pd.DataFrame([(node, g[0]) for g in found for node in g], columns=["node", "root"])
+
+    return pairs.groupBy(*(by or (F.lit(0).alias("one"),))).applyInPandas(run, "node string, root string")
+
+
+def long_cycles(pairs: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(node, root) of the strongly connected components of at least two nodes of pairs (src, dst). Chains are drawn together
+    along incoming, then along outgoing edges; what is left goes to one task if it has at most ``largest`` edges."""
+    forward = Shortened(pairs)
+    backward = Shortened(turned(forward.pairs))
+    rest = backward.pairs.where("src <> dst")
+    found = in_one_task(rest) if rest.limit(largest + 1).count() <= largest else colored(rest)
+    found = cut(found.select("node", F.col("root").alias("label")))
+    loops = backward.pairs.where("src = dst").select(F.col("src").alias("node"))
+    found = found.unionByName(loops.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("label")))
+    members = forward.expand(backward.expand(found))
+    roots = members.groupBy("label").agg(F.min("node").alias("root"))
+    return members.join(roots, "label").select("node", "root")
+
+
 def colored(pairs: DataFrame) -> DataFrame:
     """(node, root) of the strongly connected components of at least two nodes of pairs (src, dst), in rounds of joins.
 
@@ -270,13 +297,9 @@ def cycles(edges: DataFrame, snapshot_col: str | None = None, largest: int | Non
     sizes = cut(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
     few, many = (parts.join(sizes.where(w).select("part"), "part") for w in (F.col("n") <= largest, F.col("n") > largest))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = strongly_connected(list(zip(group["src"], group["dst"], strict=True)))
-        return pd.DataFrame([(node, g[0]) for g in found for node in g], columns=["node", "root"])
-
-    found = few.groupBy("part").applyInPandas(run, "node string, root string")
+    found = in_one_task(few, "part")
     if not sizes.where(F.col("n") > largest).isEmpty():
-        found = found.unionByName(colored(many.select("src", "dst")))
+        found = found.unionByName(long_cycles(many.select("src", "dst"), largest))
     found = cut(found)
     # One row for each cycle is numbered.
     counted = found.groupBy("root").agg(F.count(F.lit(1)).alias("cycle_size"))
@@ -289,92 +312,15 @@ def cycles(edges: DataFrame, snapshot_col: str | None = None, largest: int | Non
 # Communities -----------------------------------------------------------------------------------------------------
 
 
-def local_moving(edges: list[tuple[str, str, float]], nodes: list[str], resolution: float = 1.0, passes: int = 20, total: float | None = None) -> dict[str, int]:
-    """Communities by greedy local moving on modularity; nodes are visited in sorted order, so runs agree. ``total`` is the
-    sum of degrees of a graph that the edges are a part of."""
-    names = sorted({*nodes, *(x for a, b, _ in edges for x in (a, b))})
-    weight: dict[str, dict[str, float]] = {n: defaultdict(float) for n in names}
-    for a, b, w in edges:
-        if a != b:
-            weight[a][b] += w
-            weight[b][a] += w
-    degree = {n: sum(weight[n].values()) for n in names}
-    total = sum(degree.values()) if total is None else total
-    home = {n: k for k, n in enumerate(names)}
-    load = {home[n]: degree[n] for n in names}
-    for _ in range(passes if total else 0):
-        moved = False
-        for n in names:
-            links: dict[int, float] = defaultdict(float)
-            for other, w in weight[n].items():
-                links[home[other]] += w
-            old = home[n]
-            load[old] -= degree[n]
-            gain = lambda c: links.get(c, 0.0) - resolution * degree[n] * load[c] / total  # noqa: B023, E731
-            best = max(sorted(links), key=gain, default=old)
-            if best != old and gain(best) > gain(old) + 1e-12:
-                home[n], moved = best, True
-            load[home[n]] += degree[n]
-        if not moved:
-            break
-    number: dict[int, int] = {}
-    return {n: number.setdefault(home[n], len(number)) for n in names}
-
-
-def moved_together(pairs: DataFrame, resolution: float = 1.0, passes: int = 20) -> DataFrame:
-    """(node, label) from edges (src, dst) by moving in rounds of joins: in each, half of the nodes, by hash, go where their
-    modularity gains most, equal gains to the smallest label."""
-    both = cut(pairs.where("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(pairs.where("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("other"))))
-    degrees = cut(both.groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("degree")))
-    total = degrees.agg(F.sum("degree")).first()[0] or 1.0
-    table, still = Rounds(pairs.sparkSession), 0
-    now = table.write(degrees.select("node", F.col("node").alias("label")))
-    for turn in range(2 * passes):
-        held = now.join(degrees, "node")
-        loads = held.groupBy(F.col("label").alias("to")).agg(F.sum("degree").alias("load"))
-        there = both.join(held.select(F.col("node").alias("other"), F.col("label").alias("to")), "other").select("node", "to", F.lit(1.0).alias("links"))
-        own = held.select("node", F.col("label").alias("to"), F.lit(0.0).alias("links"))
-        links = cut(there.unionByName(own).groupBy("node", "to").agg(F.sum("links").alias("links")))
-        options = links.join(loads, "to").join(held, "node")
-        others = F.col("load") - F.when(F.col("to") == F.col("label"), F.col("degree")).otherwise(0.0)
-        gain = F.round(F.col("links") - resolution * F.col("degree") * others / total, 9)
-        best = options.groupBy("node").agg(F.min_by("to", F.struct((-gain).alias("loss"), F.col("to") != F.col("label"), "to")).alias("best"))
-        turns = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
-        after = table.write(held.join(best, "node").select("node", F.when(turns, F.col("best")).otherwise(F.col("label")).alias("label"), (turns & (F.col("best") != F.col("label"))).alias("moved")))
-        still = 0 if after.where("moved").count() else still + 1
-        now = after.drop("moved")
-        if still == 2:
-            break
-    return now
-
-
-def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = 1.0, largest: int | None = None) -> DataFrame:
-    """(rel_path, community_id) from edges (src, dst): by local moving in each weakly connected part, by moves in rounds in
-    parts of more than ``largest`` edges. Communities are numbered by their smallest member."""
-    largest = LARGEST if largest is None else largest
-    linked = cut(pairs.where("src <> dst").select("src", "dst"))
-    total = 2.0 * linked.count()
-    labels = cut(connected(linked))
-    parts = linked.join(labels.toDF("src", "part"), "src")
-    sizes = cut(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = local_moving([(a, b, 1.0) for a, b in zip(group["src"], group["dst"], strict=True)], [], resolution, total=total)
-        first: dict[int, str] = {}
-        for n in sorted(found):
-            first.setdefault(found[n], n)
-        return pd.DataFrame([(n, first[c]) for n, c in found.items()], columns=["node", "label"])
-
-    homes = parts.join(sizes.where(F.col("n") <= largest).select("part"), "part").groupBy("part").applyInPandas(run, "node string, label string")
-    if not sizes.where(F.col("n") > largest).isEmpty():
-        big = parts.join(sizes.where(F.col("n") > largest).select("part"), "part").select("src", "dst")
-        homes = homes.unionByName(moved_together(big, resolution))
+def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(rel_path, community_id) from edges (src, dst) by modularity over several levels. Nodes without edges are alone;
+    communities are numbered by their smallest member."""
+    homes = multilevel(pairs, resolution)
     ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node")))
     every = nodes.select(F.col("rel_path").alias("node")).unionByName(ends).distinct()
     held = cut(every.join(homes, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-    firsts = held.groupBy("label").agg(F.min("node").alias("first"))
     # One row for each community is numbered.
-    numbers = firsts.select("label", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("community_id"))
+    numbers = held.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("community_id"))
     return held.join(numbers, "label").select(F.col("node").alias("rel_path"), "community_id")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from strataquill.operators import graph
+from strataquill.operators import chains, communities, graph
 from strataquill.plans import registry
 
 
@@ -59,16 +59,84 @@ def test_large_parts_are_solved_in_rounds(spark):
     assert graph.colored(spark.createDataFrame([("a", "b")], "src string, dst string")).count() == 0
 
 
-def test_moves_in_rounds(spark):
+def test_long_cycles_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    write, whole_cut = chains.Rounds.write, chains.cut
+    monkeypatch.setattr(chains.Rounds, "write", lambda self, df: (rounds.append(1), write(self, df))[1])
+    monkeypatch.setattr(chains, "cut", lambda df: (rounds.append(1), whole_cut(df))[1])
+    n = 3000
+    ring = [(f"r{k:05d}", f"r{(k + 1) % n:05d}") for k in range(n)]
+    chords = [(f"r{k:05d}", f"r{k - 7:05d}") for k in range(100, 140, 3)]
+    tails = [(f"r{k:05d}", f"t{k:05d}-0") for k in range(0, n, 500)] + [(f"t{k:05d}-{j}", f"t{k:05d}-{j + 1}") for k in range(0, n, 500) for j in range(9)] + [(f"h{j}", f"h{j + 1}") for j in range(9)] + [("h9", "r00000")]
+    for pairs in (ring, ring + chords + tails):
+        rounds.clear()
+        got = graph.long_cycles(spark.createDataFrame(pairs, "src string, dst string"), largest=100).collect()
+        assert sorted(r["node"] for r in got) == sorted(a for a, _ in ring) and {r["root"] for r in got} == {"r00000"}
+        assert len(rounds) < 110
+
+
+def test_long_cycles_of_random_graphs(spark):
+    rnd = np.random.default_rng(9)
+    pairs = []
+    for g in range(40):  # many small graphs side by side
+        n = int(rnd.integers(2, 12))
+        pairs += [(f"{g:02d}-{a:02d}", f"{g:02d}-{b:02d}") for a, b in rnd.integers(0, n, (int(rnd.integers(1, 2 * n)), 2)) if a != b]
+    want = sorted((n, g[0]) for g in graph.strongly_connected(pairs) for n in g)
+    for largest in (10**6, 0):
+        assert sorted(map(tuple, graph.long_cycles(spark.createDataFrame(pairs, "src string, dst string"), largest).collect())) == want
+
+
+def test_communities_of_small_graphs(spark):
     triangles = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]
     rows, nodes = spark.createDataFrame(triangles, "src string, dst string"), paths(spark, ["a", "lonely"])
     whole = dict(map(tuple, graph.communities(rows, nodes).collect()))
-    assert whole["a"] == whole["b"] == whole["c"] != whole["x"] == whole["y"] == whole["z"]
-    # With no part small enough for one task, moves in rounds find no worse than small groups, the same in each run.
-    rounds = [dict(map(tuple, graph.communities(rows, nodes, largest=0).collect())) for _ in range(2)]
-    weighted = [(a, b, 1.0) for a, b in triangles]
-    assert rounds[0] == rounds[1] and modularity(weighted, rounds[0]) > 0.1 and rounds[0]["a"] == 0 and set(rounds[0]) == set(whole)
+    assert whole == {"a": 0, "b": 0, "c": 0, "lonely": 1, "x": 2, "y": 2, "z": 2}
     assert dict(map(tuple, graph.communities(rows.limit(0), nodes).collect())) == {"a": 0, "lonely": 1}
+    star = spark.createDataFrame([("hub", f"n{k}") for k in range(40)] + [("hub", "hub")], "src string, dst string")
+    assert {r["community_id"] for r in graph.communities(star, nodes.limit(0)).collect()} == {0}
+
+
+def clustered(seed, groups, size, inner, outer):
+    rnd = np.random.default_rng(seed)
+    at = rnd.permutation(groups * size)
+    pairs = [(f"n{at[g * size + a]:04d}", f"n{at[g * size + b]:04d}") for g in range(groups) for a, b in rnd.integers(0, size, (inner, 2))]
+    return pairs + [(f"n{a:04d}", f"n{b:04d}") for a, b in rnd.integers(0, groups * size, (outer, 2))]
+
+
+def better_moves(pairs, home):
+    """Nodes that would raise the modularity by moving to a neighbour's community."""
+    links, degree, load, total = {}, {}, {}, 0
+    for a, b in pairs:
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                links.setdefault(x, {}).setdefault(home[y], 0)
+                links[x][home[y]] += 1
+                degree[x] = degree.get(x, 0) + 1
+                load[home[x]] = load.get(home[x], 0) + 1
+                total += 1
+    worth = lambda x, c: links[x].get(c, 0) - degree[x] * (load[c] - (degree[x] if home[x] == c else 0)) / total
+    return [x for x in links if any(worth(x, c) > worth(x, home[x]) + 1e-6 for c in links[x])]
+
+
+def test_communities_are_the_same_in_one_task_and_in_rounds(spark, monkeypatch):
+    pairs = clustered(1, 4, 9, 30, 12)
+    results = []
+    for small, partitions in ((10**5, 1), (60, 3), (0, 5)):
+        monkeypatch.setattr(communities, "SMALL", small)
+        rows = spark.createDataFrame(pairs, "src string, dst string").repartition(partitions)
+        results.append(sorted(map(tuple, communities.multilevel(rows).collect())))
+    assert results[0] == results[1] == results[2]
+    home = dict(results[0])
+    assert better_moves(pairs, home) == [] and all(home[home[n]] == home[n] <= n for n in home)
+
+
+def test_communities_find_planted_groups(spark):
+    pairs = clustered(2, 12, 25, 200, 150)
+    rows = spark.createDataFrame(pairs, "src string, dst string")
+    labels = communities.multilevel(rows)
+    home = dict(map(tuple, labels.collect()))
+    assert len(set(home.values())) == 12 and better_moves(pairs, home) == []
+    assert abs(communities.modularity(rows, labels) - modularity([(a, b, 1.0) for a, b in pairs if a != b], home)) < 1e-9
 
 
 def test_export(spark):
@@ -92,18 +160,6 @@ def modularity(edges, home):
     return inner / m - sum((d / (2 * m)) ** 2 for d in degree.values())
 
 
-def test_communities():
-    triangles = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("x", "y", 1.0), ("y", "z", 1.0), ("x", "z", 1.0), ("c", "x", 0.05)]
-    home = graph.local_moving(triangles, ["lonely"])
-    assert home["a"] == home["b"] == home["c"] != home["x"] == home["y"] == home["z"]
-    assert "lonely" in home and set(home.values()) == set(range(max(home.values()) + 1))
-    assert modularity(triangles, home) > modularity(triangles, {n: k for k, n in enumerate(home)})
-    star = graph.local_moving([("hub", f"n{k}", 1.0) for k in range(5)], [])
-    assert len(set(star.values())) <= 2
-    assert graph.local_moving([], ["x", "y"]) == {"x": 0, "y": 1}
-    assert home == graph.local_moving(triangles[::-1], ["lonely"])
-
-
 def test_absorption_and_summaries(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("s", "a"), ("s", "x"), ("s", "b"), ("x", "y")], "src string, dst string")
     members = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0), ("s", 1), ("x", 2), ("y", 2), ("t", 3)], "rel_path string, community_id long")
@@ -157,4 +213,4 @@ def test_part_communities_are_those_of_all_rows(spark, sf_dir):
     got = dict(map(tuple, registry.QUERIES["louvain_communities"](spark, sf_dir).collect()))
     pairs = [(a, b, 1.0) for a, b in part_pairs(sf_dir)]
     assert set(got) == set(nodes) | {x for a, b, _ in pairs for x in (a, b)}
-    assert abs(modularity(pairs, got) - modularity(pairs, graph.local_moving(pairs, nodes))) < 1e-9
+    assert better_moves([(a, b) for a, b, _ in pairs], got) == [] and modularity(pairs, got) > 0.128
