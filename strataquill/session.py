@@ -84,23 +84,31 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files and checkpoints that nothing refers to any more.
+
+    It acts on the garbage that the driver collects. The listeners' queues hold on to the last event, and with it to the
+    plan of the last query, until another comes.
+    """
+    for last in (False, True):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if not last:
+            spark.range(1).count()
+
+
 def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Cuts the lineage at a reliable checkpoint, which survives the loss of executors.
 
-    With ``free``, the driver collects its garbage afterwards, on which Spark's cleaner removes the shuffle files that only
-    led to the checkpoint; for large shuffles that is worth the moment.
+    With ``free``, the shuffle files that only led to the checkpoint are released afterwards; for large shuffles that is
+    worth the moment.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
     if free:
         del df
-        # The listeners' queues hold on to the last event, and with it to the plan of the last query, until another comes.
-        for last in (False, True):
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-            if not last:
-                spark.range(1).count()
+        release(spark)
     return out
 
 
