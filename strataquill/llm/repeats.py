@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataquill.session import Rounds, cut, remove
+from strataquill.session import Rounds, cut, release, remove
 
 WINDOW = 13
 _BASE = 0x9E3779B97F4A7C15
@@ -195,8 +195,9 @@ def _repeated(docs: DataFrame, window: int, later_only: bool) -> DataFrame:
     found = cut(_gathered(sent, later_only and not more), free=True)
     remove(docs.sparkSession, tables.folder)
     if more:
-        with_found = docs.join(found, ["doc_id", "key"])
-        sent = tables.write(_next_level(with_found.select("doc_id", "key", "text", "found"), first, window, first))
+        sent = tables.write(_next_level(docs.join(found, ["doc_id", "key"]).select("doc_id", "key", "text", "found"), first, window, first))
+        del found
+        release(docs.sparkSession)
         found = cut(_gathered(sent, later_only), free=True)
         remove(docs.sparkSession, tables.folder)
     return found
