@@ -6,14 +6,9 @@ stream does for them.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: States of a job, and those in which it has ended. (fixed values)
 STATES = ("pending", "running", "done", "failed", "cancelled")
@@ -52,36 +47,8 @@ def stream_latest(events: DataFrame, keys: list[str], status: str, seq: str) ->
     return latest_state(events, keys, status, seq)
 
 
+#: What a stream of folded events puts out.
 FOLDED = "job_id string, key string, status string, seq long, n_events long, ended boolean"
-_STATE = "held string, ended_at long"
-
-
-def stream_expiring(events: DataFrame, keep_seconds: int = 600, lateness: str = "10 seconds", ended: tuple[str, ...] = ENDED) -> DataFrame:
-    """The latest status of each key of a job (job_id, key, seq, status, at: timestamp) as a stream; a job's state is dropped
-    ``keep_seconds`` of event time after the event, of the key ``job``, that ends it. A row comes out when a status changes."""
-
-    def fold(job: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=[c.split()[0] for c in FOLDED.split(", ")])
-            return
-        held, ended_at = state.get if state.exists else ("{}", -1)
-        now, changed = json.loads(held), {}
-        for b in batches:
-            for key, seq, status, at in zip(b["key"].tolist(), b["seq"].tolist(), b["status"].tolist(), b["at"].tolist(), strict=True):
-                last = now.get(key, [-1, None, 0])
-                now[key] = [seq, status, last[2] + 1] if seq > last[0] else [last[0], last[1], last[2] + 1]
-                changed[key] = now[key]
-                if key == "job" and status in ended:
-                    ended_at = max(ended_at, int(at.timestamp() * 1000))
-        state.update((json.dumps(now), ended_at))
-        if ended_at >= 0:
-            state.setTimeoutTimestamp(max(ended_at + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        rows = [(str(job[0]), key, status, seq, n, ended_at >= 0) for key, (seq, status, n) in changed.items()]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOLDED.split(", ")])
-
-    rows = events.select("job_id", "key", F.col("seq").cast("long"), "status", "at").withWatermark("at", lateness)
-    return rows.groupBy("job_id").applyInPandasWithState(fold, FOLDED, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream_rows: DataFrame, folder: str, mode: str = "complete") -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from strataquill.functions import paths, text
 from strataquill.operators import manifest, reports, retrieval
 from strataquill.sources import snapshots, tree
-from strataquill.streaming import events
+from strataquill.streaming import events, state
 
 
 def one(spark, column, **values):
@@ -159,18 +159,32 @@ def test_state_of_ended_jobs_expires(spark, tmp_path):
     schema = "job_id string, key string, seq long, status string, at timestamp"
     at = lambda s: d.datetime(2024, 1, 1, tzinfo=d.timezone.utc) + d.timedelta(seconds=s)
     log, out = f"{tmp_path}/log", f"{tmp_path}/run"
+    before = spark.conf.get(state.STORE[0], None)
+    spark.conf.set(*state.STORE)
 
     def feed(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
-        return [tuple(r) for r in events.run_available(events.stream_expiring(events.stream(spark, log, schema), keep_seconds=60), out, "update").select("batch", "job_id", "key", "status", "seq", "n_events", "ended").collect()]
-
-    first = feed([("a", "A", 1, "running", at(0)), ("a", "A", 3, "done", at(5)), ("a", "A", 2, "late", at(4)), ("a", "job", 4, "done", at(6)), ("b", "A", 1, "running", at(6))])
-    assert {r[1:] for r in first} == {("a", "A", "done", 3, 3, True), ("a", "job", "done", 4, 1, True), ("b", "A", "running", 1, 1, False)}
-    feed([("b", "A", 2, "done", at(500))])  # the watermark passes the end of the state of a
-    rows = feed([("a", "A", 9, "again", at(510)), ("b", "A", 3, "more", at(511))])
-    last = {r[1]: r[2:] for r in rows if r[3] in ("again", "more")}
-    assert last["a"] == ("A", "again", 9, 1, False)  # forgotten, so it counts anew
-    assert last["b"] == ("A", "more", 3, 3, False)
+        return events.run_available(state.stream_jobs(events.stream(spark, log, schema)), out, "update")
+
+    def held():
+        rows = spark.read.format("statestore").option("stateVarName", "last").load(f"{out}/checkpoint")
+        return sorted((r["key"]["job_id"], r["user_map_key"]["key"]) for r in rows.collect())
+
+    try:
+        rows = [("a", "A", 1, "running", at(0)), ("a", "A", 3, "done", at(5)), ("a", "A", 2, "late", at(4)), ("a", "job", 4, "done", at(6)), ("b", "A", 1, "running", at(6))]
+        first = feed(rows)
+        assert {tuple(r)[:-1] for r in first.collect()} == {("a", "A", "done", 3, 3, True), ("a", "job", "done", 4, 1, True), ("b", "A", "running", 1, 1, False)}
+        more = [("b", "B", 2, "new", at(590)), ("a", "A", 5, "after", at(591))]
+        told = state.latest_of(feed(more)).select("job_id", "key", "status", "seq", "n_events")
+        want = events.latest_state(spark.createDataFrame(rows + more, schema), ["job_id", "key"], "status", "seq")
+        assert sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect()))
+        assert held() == [("a", "A"), ("a", "job"), ("b", "A"), ("b", "B")]
+        feed([("b", "A", 6, "on", at(700))])  # event time is 600 s past the end of a
+        assert held() == [("b", "A"), ("b", "B")]
+        last = {tuple(r)[:-1] for r in feed([("a", "A", 9, "again", at(710)), ("b", "A", 7, "done", at(711)), ("b", "job", 8, "failed", at(711))]).where("seq >= 7").collect()}
+        assert last == {("a", "A", "again", 9, 1, False), ("b", "A", "done", 7, 3, True), ("b", "job", "failed", 8, 1, True)}  # a was forgotten and counts anew
+    finally:
+        spark.conf.unset(state.STORE[0]) if before is None else spark.conf.set(state.STORE[0], before)
 
 
 def test_cancelled_jobs(spark):
