@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquill.functions import text
-from strataquill.operators import reports, retrieval
+from strataquill.operators import reports, retrieval, sections
 from strataquill.plans.registry import query
 from strataquill.session import table
 from strataquill.streaming import events as ev
+from strataquill.streaming import state
 
 
 @query("""SELECT o_orderkey AS id, coalesce(c_name, CAST(o_custkey AS VARCHAR)) AS repo_name, coalesce(n_name, 'unknown') AS branch, o_orderdate AS created_at
@@ -174,3 +175,46 @@ def docs_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("README.md", "readme.rst", "main.py", "go.mod", "x.json")])
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), (i % 17).cast("string"), F.lit("/"), F.element_at(names, (i % 5 + 1).cast("int"))).alias("rel_path"), i.alias("chunk_index"))
     return retrieval.named_files(rows, retrieval.DOC_NAMES, 40)
+
+
+# Sections as JSON --------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN k IN (1, 4, 5) OR (k IN (2, 3) AND m > 0) THEN 1 ELSE 0 END::BIGINT AS n_problems,
+ CASE WHEN k = 1 THEN '$.confidence: missing' WHEN k = 2 AND m > 0 THEN '$.terms[' || (m - 1) || '].definition: not a string' WHEN k = 3 AND m > 0 THEN '$.terms[' || (m - 1) || '].evidence_files: not a list'
+  WHEN k = 4 THEN '$.confidence: not one of high, medium, low' WHEN k = 5 THEN '$: not JSON' ELSE '' END AS shown
+FROM (SELECT doc_id, doc_id % 6 AS k, len(coalesce(text, '')) % 4 AS m FROM documents)""")
+def section_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glossary sections made of documents' texts, some of them broken in one of five ways, against their contract."""
+    d = table(spark, sf_dir, "documents").select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text"))).withColumns({"k": F.col("doc_id") % 6, "m": F.char_length("text") % 4})
+    term, definition, files = F.col("lang").alias("term"), F.substring("text", 1, 40), F.array("source")
+    made = lambda definition, files: F.to_json(F.struct(term, definition.alias("definition"), files.alias("evidence_files")))
+    good, last = made(definition, files), F.when(F.col("k") == 2, made(F.col("doc_id"), files)).when(F.col("k") == 3, made(definition, F.col("source"))).otherwise(made(definition, files))
+    terms = F.when(F.col("m") > 0, F.array_join(F.concat(F.array_repeat(good, (F.col("m") - 1).cast("int")), F.array(last)), ",")).otherwise("")
+    confidence = F.when(F.col("k") == 1, "").when(F.col("k") == 4, ',"confidence":"sure"').otherwise(',"confidence":"High"')
+    whole = F.concat(F.lit('{"terms":['), terms, F.lit("]"), confidence, F.lit(',"blind_spots":'), F.to_json(F.array("source")), F.when(F.col("k") == 5, "").otherwise("}"))
+    found = sections.validated(d.select("doc_id", F.lit("I").alias("letter"), whole.alias("section")))
+    return found.select("doc_id", F.size("problems").cast("long").alias("n_problems"), F.array_join(F.transform("problems", lambda p: F.concat_ws(": ", p["path"], p["problem"])), "; ").alias("shown"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, '{"a":"' || coalesce(role, '') || '","b":[' || turn || ',{"c":1,"d":' || len(coalesce(text, '')) || '}]}' AS item FROM conversations),
+s AS (SELECT conv_id, list_sort(list(DISTINCT item) FILTER (WHERE turn % 2 = 0)) AS o, list_sort(list(DISTINCT item) FILTER (WHERE turn % 3 <> 1)) AS n, list(item ORDER BY turn, item) FILTER (WHERE turn % 2 = 0) AS ol, list(item ORDER BY turn, item) FILTER (WHERE turn % 3 <> 1) AS nl,
+ list_sort(list(DISTINCT '"' || role || '"') FILTER (WHERE turn % 2 = 0)) AS ro, list_sort(list(DISTINCT '"' || role || '"') FILTER (WHERE turn % 3 <> 1)) AS rn FROM c GROUP BY conv_id HAVING count(*) FILTER (WHERE turn % 2 = 0) > 0 AND count(*) FILTER (WHERE turn % 3 <> 1) > 0),
+f AS (SELECT *, '{"confidence":"low","roles":[' || array_to_string(ro, ',') || '],"turns":[' || array_to_string(ol, ',') || ']}' AS fo, '{"confidence":"high","roles":[' || array_to_string(rn, ',') || '],"turns":[' || array_to_string(nl, ',') || ']}' AS fn FROM s)
+SELECT conv_id, true AS changed, 2 AS confidence_delta, len(regexp_extract_all(fo, '[A-Za-z0-9_]+')) AS words_a, len(regexp_extract_all(fn, '[A-Za-z0-9_]+')) AS words_b,
+ array_to_string(list_concat([('roles:' || x)[:246] for x in rn if NOT list_contains(ro, x)], [('turns:' || x)[:246] for x in n if NOT list_contains(o, x)])[:80], '|') AS added,
+ array_to_string(list_concat([('roles:' || x)[:246] for x in ro if NOT list_contains(rn, x)], [('turns:' || x)[:246] for x in o if NOT list_contains(n, x)])[:80], '|') AS removed FROM f""")
+def section_diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a section per conversation, whose objects have their keys in different orders."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.char_length(F.coalesce("text", F.lit(""))).cast("string").alias("n"))
+
+    def side(where: str, confidence: str, item: list) -> DataFrame:
+        told = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in item))
+        rows = c.where(where).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", told.alias("item")))).alias("turns"), F.array_sort(F.collect_set("role")).alias("roles"))
+        return rows.select("conv_id", F.concat(F.lit('{"turns":['), F.array_join(F.transform("turns", lambda x: x["item"]), ", "), F.lit('], "roles":'), F.to_json("roles"), F.lit(f', "confidence":"{confidence}"}}')).alias("section"))
+
+    turn = F.col("turn").cast("string")
+    old = side("turn % 2 = 0", "low", ['{"b": [', turn, ', {"d": ', F.col("n"), ', "c": 1}], "a": "', F.col("role"), '"}'])
+    new = side("turn % 3 <> 1", "high", ['{"a": "', F.col("role"), '", "b": [', turn, ', {"c": 1, "d": ', F.col("n"), "}]}"])
+    found = sections.section_diffs(old, new, ["conv_id"])
+    return found.select("conv_id", "changed", F.col("confidence_delta").cast("int"), "words_a", "words_b", F.array_join("added", "|").alias("added"), F.array_join("removed", "|").alias("removed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquill.functions import text
@@ -184,33 +184,58 @@ def declared_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CODE = """WITH f AS (SELECT DISTINCT s_suppkey AS k FROM supplier)"""
 
+STEMS = ("utils", "core", "models", "index", "base", "types", "helpers")
+#: A module for each part: seven to a folder, under the same seven names in every folder.
+_PLACE = "'pkg' || ({k} // 7) % 40 || '/sub' || {k} // 280 || '/' || [" + ", ".join(f"'{x}'" for x in STEMS) + "][{k} % 7 + 1]"
+_MODULES_SQL = f"""WITH p AS (SELECT p_partkey AS k, (p_partkey * 13 + 5) % (SELECT max(p_partkey) + 1 FROM part) AS t, p_size AS z FROM part),
+m AS (SELECT k, t, z, {_PLACE.format(k="k")} AS place FROM p),
+e AS (SELECT m.k, m.z, m.place, o.place AS target, o.k AS ok FROM m JOIN m o ON o.k = m.t)"""
+
 
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Python file for each supplier that imports and calls the next one's function, and holds its class."""
-    k = F.col("s_suppkey")
-    rows = table(spark, sf_dir, "supplier").select(k, k.cast("string").alias("n"), (k + 1).cast("string").alias("m"))
-    code = F.concat(
-        F.lit("import os\nfrom mod"), "m", F.lit(" import f"), "m", F.lit(", C"), "m", F.lit("\n\ndef f"), "n", F.lit("(x):\n    return f"), "m", F.lit("(x)\n\nclass C"), "n", F.lit(":\n    def __init__(self):\n        self.c = C"), "m",
-        F.lit("()\n    def run(self):\n        self.own()\n        return self.c.own()\n    def own(self):\n        return 1\n"),
-    )
-    return rows.select(F.concat(F.lit("src/mod"), "n", F.lit(".py")).alias("rel_path"), code.alias("content"))
-
-
-@query(_CODE + """ SELECT 'src/mod' || a.k || '.py::f' || a.k AS src_symbol, 'src/mod' || b.k || '.py::f' || b.k AS dst_symbol, 'high' AS confidence FROM f a JOIN f b ON b.k = a.k + 1
-UNION ALL SELECT 'src/mod' || a.k || '.py::C' || a.k || '.run', 'src/mod' || b.k || '.py::C' || b.k || '.own', 'high' FROM f a JOIN f b ON b.k = a.k + 1
-UNION ALL SELECT 'src/mod' || k || '.py::C' || k || '.run', 'src/mod' || k || '.py::C' || k || '.own', 'high' FROM f""")
+    """Python files whose names repeat in many folders. Each imports, in one of four ways, from the file of another part, and
+    holds a class and functions, after some lines of comments and strings that look like code."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"), F.coalesce("p_name", F.lit("")).alias("name"))
+    most = parts.agg(F.max("k") + 1).scalar()
+    stems = F.array(*[F.lit(x) for x in STEMS])
+    text = lambda c: c.cast("string")
+
+    def place(k: Column, glue: str) -> Column:
+        return F.concat(F.lit("pkg"), text(F.floor(k / 7) % 40), F.lit(f"{glue}sub"), text(F.floor(k / 280)), F.lit(glue), F.element_at(stems, (k % 7 + 1).cast("int")))
+
+    k, other = F.col("k"), F.col("t")
+    rows = parts.withColumn("t", (k * 13 + 5) % most)
+    module, folder, stem = place(other, "."), F.regexp_replace(place(other, "."), r"\.\w+$", ""), F.element_at(stems, (other % 7 + 1).cast("int"))
+    head, call = (
+        F.when(k % 4 == 0, a).when(k % 4 == 1, b).when(k % 4 == 2, c).otherwise(d)
+        for a, b, c, d in (
+            (F.concat(F.lit("from "), module, F.lit(" import go, Kit")), F.concat(F.lit("from ..."), module, F.lit(" import go as gone, Kit")), F.concat(F.lit("import "), module, F.lit(" as m\nfrom "), module, F.lit(" import Kit")), F.concat(F.lit("from "), folder, F.lit(" import "), stem, F.lit("\nfrom "), module, F.lit(" import Kit"))),
+            (F.lit("go(x)"), F.lit("gone(x)"), F.lit("m.go(x)"), F.concat(stem, F.lit(".go(x)"))),
+        )
+    )
+    noise = F.repeat(F.concat(F.lit("# go() "), "name", F.lit("\nNOTE = 'utils.go() and Kit().run()'\n")), (F.col("z") % 4).cast("int"))
+    own = F.concat(F.lit("def go(x):\n    return x\n\n"), noise, F.lit("def call(x):\n    return "), call, F.lit("\n\n"))
+    kit = F.concat(F.lit("class Kit"), text(k), F.lit("(Kit):\n    def __init__(self):\n        self.kit = Kit()\n\n    def use(self):\n        self.kit.run()\n        return self.mine()\n\n    def mine(self):\n        return None\n\n"))
+    base = F.lit("class Kit:\n    def run(self):\n        return 1\n")
+    return rows.select(F.concat(place(k, "/"), F.lit(".py")).alias("rel_path"), F.concat(head, F.lit("\n\n"), F.when(k % 2 == 0, noise).otherwise(""), own, F.when(k % 3 == 0, base).otherwise(kit)).alias("content"))
+
+
+@query(_MODULES_SQL + """ SELECT place || '.py::call' AS src_symbol, target || '.py::go' AS dst_symbol, 'high' AS confidence FROM e
+UNION ALL SELECT place || '.py::Kit' || k || '.use', place || '.py::Kit' || k || '.mine', 'high' FROM e WHERE k % 3 <> 0
+UNION ALL SELECT place || '.py::Kit' || k || '.use', target || '.py::Kit.run', 'high' FROM e WHERE k % 3 <> 0 AND ok % 3 = 0""")
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return references.symbol_edges(_modules(spark, sf_dir)).select("src_symbol", "dst_symbol", "confidence")
 
 
-@query(_CODE + """ SELECT 'src/mod' || a.k || '.py' AS src_path, 'src/mod' || b.k || '.py' AS dst_path FROM f a JOIN f b ON b.k = a.k + 1""")
+@query(_MODULES_SQL + " SELECT DISTINCT place || '.py' AS src_path, target || '.py' AS dst_path FROM e WHERE k <> ok")
 def call_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return references.file_references(references.symbol_edges(_modules(spark, sf_dir)))
 
 
-@query(_CODE + " SELECT 'src/mod' || k || '.py' AS src_path, 'os' AS target FROM f UNION ALL SELECT 'src/mod' || k || '.py', 'mod' || (k + 1) FROM f")
+@query(_MODULES_SQL + """, d AS (SELECT k, place || '.py' AS src_path, replace(target, '/', '.') AS target FROM e)
+SELECT src_path, target FROM d UNION ALL SELECT src_path, CASE WHEN k % 4 = 2 THEN target ELSE regexp_replace(target, '\\.\\w+$', '') END FROM d WHERE k % 4 >= 2""")
 def python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return symbols.imports_of(_modules(spark, sf_dir))
