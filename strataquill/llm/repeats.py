@@ -119,16 +119,20 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and a hash of it: rows that agree in both are one document."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    """doc_id, text and key: what tells rows of one id apart, a hash of the text; zero where all ids differ."""
+    ids = docs.select(docs[id_col].cast("long").alias("doc_id"))
+    repeated = not ids.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return rows.select("doc_id", F.when(F.lit(repeated) | F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("key"), "text")
 
 
 _SENT = "doc_id long, key long, h long"
 
 
 def _sent(b: pa.RecordBatch, text: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    """Rows of hashes, without those equal to their neighbour."""
+    """A row for each hash of a text, however often it is there."""
+    order = np.lexsort((hashes, text))
+    text, hashes = text[order], hashes[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
     whose = pa.array(text[new])
