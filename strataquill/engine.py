@@ -7,13 +7,18 @@ snapshot. Jobs of one build run under a tag, so ``cancel`` stops them and nothin
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions import paths, text
-from strataquill.operators import analyzers, graph, manifest, references, retrieval, symbols
+from strataquill.operators import analyzers, graph, manifest, references, reports, retrieval, symbols
 from strataquill.session import cut, ship
 from strataquill.sources import snapshots
+from strataquill.sources.locks import Lease
+from strataquill.sources.results import Results, fingerprint
 from strataquill.sources.tree import read_tree
 
 TABLES = ("files", "symbols", "edges", "communities", "chunks", "terms", "symbol_edges")
@@ -23,8 +28,9 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.columns = snapshots.layout()
-        #: Follow-up steps that failed, by snapshot; they don't fail a build.
+        #: Steps that failed without failing what they were part of, by snapshot, or by snapshot and step.
         self.failures: dict[str, str] = {}
+        self.results = Results(spark, f"{self.folder}/_results")
         ship(spark)
 
     def table(self, name: str, snapshot_id: str | None = None) -> DataFrame:
@@ -38,7 +44,7 @@ class Engine:
     def build(self, snapshot_id: str, tree: str | DataFrame, ignores: list[str] | None = None, rebuild: bool = True) -> None:
         """Fills all tables of a snapshot from a folder, or from a table with rel_path, size_bytes and content."""
         have = lambda name: snapshots.built(self.spark, f"{self.folder}/{name}", snapshot_id)
-        with snapshots.Lock(self.spark, f"{self.folder}/_locks/{snapshot_id}"):
+        with Lease(self.spark, f"{self.folder}/_locks/{snapshot_id}"):
             if not rebuild and have("chunks"):
                 if not have("terms"):  # the statistics alone
                     self._write("terms", snapshot_id, retrieval.chunk_terms(self.table("chunks", snapshot_id)))
@@ -85,6 +91,7 @@ class Engine:
     def delete(self, snapshot_ids: list[str]) -> None:
         for name in TABLES:
             snapshots.drop(self.spark, f"{self.folder}/{name}", snapshot_ids)
+        self.results.drop(snapshot_ids)
 
     # Files ---------------------------------------------------------------------------------------------------------
 
@@ -150,35 +157,80 @@ class Engine:
         return found.join(chunks.select("rel_path", "chunk_index", "content"), ["rel_path", "chunk_index"]).orderBy(F.desc("score"), "rel_path", "chunk_index")
 
     def bundle(self, snapshot_id: str, query: str, section: str = "architecture", budget: int | None = None, mode: str = "hybrid", limit: int = 80) -> DataFrame:
-        """The evidence bundle of a query, one row: by two stages, or, if they fail, by one pass."""
+        """The evidence bundle of a query, one row: by two stages, or, if they fail, by one pass; then ``failures`` says why."""
         budget = retrieval.BUDGETS[section] if budget is None else budget
         asked, chunks = retrieval.terms_of(query), self.table("chunks", snapshot_id)
         try:
             found = cut(retrieval.evidence(self._asked(snapshot_id, query, section, budget), chunks))
-        except Exception:
+        except Exception as error:
+            self.failures[f"{snapshot_id}/{section}"] = f"two stages: {error}"
             ranked = Window.orderBy(F.desc("score"), F.desc("indegree"), "rel_path")  # of thirty rows
             central = self.central(snapshot_id).select("rel_path", F.row_number().over(ranked).alias("central_rank"))
             found = retrieval.single_pass_evidence(chunks, cut(retrieval.scores_of(chunks, asked)), central, asked, section, mode, limit, budget)
         return retrieval.bundle(found, query, section, budget, mode)
 
     def prefetch(self, snapshot_id: str, queries: dict[str, str]) -> dict[str, DataFrame]:
-        """Bundles of several sections at once (section -> query): their jobs run side by side; failing ones are left out."""
+        """Bundles of several sections at once (section -> query): their jobs run side by side; those that fail are left out and
+        recorded in ``failures``."""
+        return self._at_once(snapshot_id, {section: (lambda q=q, section=section: self.bundle(snapshot_id, q, section)) for section, q in queries.items()})
+
+    def _at_once(self, snapshot_id: str, reads: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+        """Reads by name, each in a scheduler pool of its own, so that a long one doesn't hold up the others."""
         from concurrent.futures import ThreadPoolExecutor
 
         from pyspark import inheritable_thread_target
 
-        def ask(section: str) -> DataFrame | None:
+        def read(name: str) -> DataFrame | None:
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"read-{name}")
             try:
-                return cut(self.bundle(snapshot_id, queries[section], section))
-            except Exception:
+                return cut(reads[name]())
+            except Exception as error:
+                self.failures[f"{snapshot_id}/{name}"] = str(error)
                 return None
+            finally:
+                self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
 
         with ThreadPoolExecutor(4) as pool:
-            found = dict(zip(queries, pool.map(inheritable_thread_target(self.spark)(ask), queries), strict=True))
+            found = dict(zip(reads, pool.map(inheritable_thread_target(self.spark)(read), reads), strict=True))
         return {k: v for k, v in found.items() if v is not None}
 
+    def context(self, snapshot_id: str, characters: int = 4000) -> dict[str, DataFrame]:
+        """What the sections of a report share, read at once: ``architecture`` (a bundle), ``tree``, ``documents`` and
+        ``manifests`` (rel_path, content: their first chunks, cut to ``characters``). Without documents, chunks of important
+        files stand for them."""
+        chunks = self.table("chunks", snapshot_id)
+
+        def named(names: tuple[str, ...], most: int) -> DataFrame:
+            parts = retrieval.named_files(chunks, names, most).groupBy("rel_path").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("parts"))
+            return parts.select("rel_path", F.substring(F.array_join(F.transform("parts", lambda x: x["content"]), "\n"), 1, characters).alias("content"))
+
+        def documents() -> DataFrame:
+            found = cut(named(retrieval.DOCUMENTS, 4))
+            if not found.isEmpty():
+                return found
+            few = self.retrieve(snapshot_id, retrieval.NO_DOCUMENTS, "important_files")
+            return few.limit(12).select("rel_path", F.substring("content", 1, 1000).alias("content"))
+
+        return self._at_once(snapshot_id, {
+            "architecture": lambda: self.bundle(snapshot_id, retrieval.STRUCTURE), "tree": lambda: self.tree(snapshot_id),
+            "documents": documents, "manifests": lambda: named(retrieval.MANIFESTS, 6),
+        })
+
     # Analysis ------------------------------------------------------------------------------------------------------
 
+    def static(self, snapshot_id: str, name: str) -> DataFrame:
+        """A static result (``risks`` or one of ``conventions``), kept until the files of the snapshot change: a section that
+        is written again reads neither files nor chunks for it."""
+        makers = {"risks": lambda: self.risks(snapshot_id)} | {k: (lambda k=k: self.conventions(snapshot_id)[k]) for k in ("suffixes", "folders", "styles", "layers")}
+        inputs = fingerprint(self.table("files", snapshot_id).select("rel_path", "checksum"))
+        return self.results.get(name, snapshot_id, inputs, {"tables": TABLES, "layout": 1}, makers[name])
+
+    def rerun(self, snapshot_id: str, letter: str, history: DataFrame, report_id: str, answer: Callable[[str, DataFrame], dict] | None = None) -> tuple[dict, DataFrame]:
+        """A section made anew from the kept static results, and the history of versions with it."""
+        context = self.static(snapshot_id, "risks" if letter == "J" else "folders")
+        section = reports.run_section(letter, context, answer)
+        return section, reports.patched(history, report_id, letter, json.dumps(section, sort_keys=True))
+
     def risks(self, snapshot_id: str) -> DataFrame:
         """The findings of all detectors that didn't fail."""
         files, chunks = self.table("files", snapshot_id), self.table("chunks", snapshot_id)

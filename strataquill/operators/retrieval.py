@@ -32,6 +32,14 @@ HINTS = {
 MANIFEST_NAMES = ("pyproject.toml", "package.json", "Cargo.toml", "go.mod", "requirements.txt", "setup.py", "setup.cfg", "pom.xml", "build.gradle", "composer.json", "Gemfile", "Package.swift")
 DOC_NAMES = ("README.md", "README.rst", "README.txt", "README", "CHANGELOG.md", "CONTRIBUTING.md", "ARCHITECTURE.md")
 
+#: Files that say what a repository is, and those that say how it is built. (fixed values)
+DOCUMENTS = ("README.md", "README.rst", "README.txt", "README", "CHANGELOG.md", "CONTRIBUTING.md", "ARCHITECTURE.md")
+MANIFESTS = ("pyproject.toml", "package.json", "Cargo.toml", "go.mod", "requirements.txt", "setup.py", "setup.cfg", "pom.xml", "build.gradle", "composer.json", "Gemfile", "Package.swift")
+
+#: Queries for the structure of a repository, and for what stands in for missing documents. (fixed values)
+STRUCTURE = "framework entrypoint bootstrap layer service router handler middleware folder module package structure boundary domain"
+NO_DOCUMENTS = "main application entry point module class service domain model purpose"
+
 
 def terms_of(query: str) -> list[str]:
     """The terms of a query; an error if there are none."""
@@ -177,8 +185,9 @@ def stage3(cands: DataFrame, chunks: DataFrame, scores: DataFrame, stage1: DataF
     base = F.coalesce("bm25", F.lit(0.0)) + F.when(F.col("category").isin(*HINTS[section]), HINT).otherwise(0.0)
     symbol, module = F.when(F.col("in_stage1"), SYMBOL).otherwise(1.0), F.when(F.col("near"), COMMUNITY).otherwise(1.0)
     rows = rows.select("rel_path", "chunk_index", "token_estimate", F.round(base, 6).alias("bm25_component"), symbol.alias("symbol_bonus"), module.alias("module_bonus"), F.when(F.col("is_central"), CENTRAL).otherwise(0.0).alias("centrality_bonus"))
-    # A billionth more, so that products that lie halfway are rounded up wherever they are computed.
-    return rows.withColumn("score", F.round(F.col("bm25_component") * F.col("symbol_bonus") * F.col("module_bonus") + F.col("centrality_bonus") + 1e-9, 6)).where("score > 0")
+    # Decimals, whose product is exact.
+    product = F.col("bm25_component").cast("decimal(18,6)") * F.col("symbol_bonus").cast("decimal(3,1)") * F.col("module_bonus").cast("decimal(3,1)") + F.col("centrality_bonus").cast("decimal(3,1)")
+    return rows.withColumn("score", F.round(product, 6).cast("double")).where("score > 0")
 
 
 def pack(rows: DataFrame, budget: int, score: str = "score", block: int = 4096, most: int | None = None) -> DataFrame:
@@ -264,9 +273,16 @@ def single_pass_evidence(chunks: DataFrame, scores: DataFrame, central: DataFram
     """The fallback of two stages as evidence: the best chunks of one pass, those that end inside a block with the next one
     appended, that fit the budget so grown."""
     rows = single_pass_scores(chunks, scores, central, query, section, mode, lexical).drop("token_estimate")
-    grown = rows.join(expanded_chunks(chunks), ["rel_path", "chunk_index"])
-    grown = cut(grown.withColumn("reason_codes", F.when(F.col("expanded"), F.array_append("reason_codes", F.lit("boundary-expanded"))).otherwise(F.col("reason_codes"))))
-    return pack(grown, BUDGETS[section] if budget is None else budget, most=max(1, min(limit, 80))).select("rel_path", "chunk_index", "reason_codes", "score", "token_estimate", F.col("content").alias("excerpt"))
+    # What a chunk costs when grown is known without its text; texts are read for those that are kept, of which there are few.
+    priced = cut(rows.join(expanded_chunks(chunks).drop("content"), ["rel_path", "chunk_index"]))
+    kept = cut(pack(priced, BUDGETS[section] if budget is None else budget, most=max(1, min(limit, 80))))
+    held = F.broadcast(kept.select("rel_path", "chunk_index", "expanded"))
+    # The first part of an excerpt is the chunk, the second, if it grew, the next chunk.
+    own = chunks.join(held, ["rel_path", "chunk_index"]).select("rel_path", "chunk_index", F.lit(0).alias("part"), "content")
+    after = chunks.join(held.where("expanded").select("rel_path", (F.col("chunk_index") + 1).alias("chunk_index")), ["rel_path", "chunk_index"]).select("rel_path", (F.col("chunk_index") - 1).alias("chunk_index"), F.lit(1).alias("part"), "content")
+    texts = own.unionByName(after).groupBy("rel_path", "chunk_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "content"))), lambda x: x["content"]), "\n").alias("excerpt"))
+    reasons = F.when(F.col("expanded"), F.array_append("reason_codes", F.lit("boundary-expanded"))).otherwise(F.col("reason_codes")).alias("reason_codes")
+    return kept.join(texts, ["rel_path", "chunk_index"]).select("rel_path", "chunk_index", reasons, "score", "token_estimate", "excerpt")
 
 
 def expanded_chunks(chunks: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ parts3 AS (SELECT d.rel_path, d.chunk_index, c.token_estimate, round(coalesce(s.
  CASE WHEN d.rel_path IN (SELECT rel_path FROM stage1) THEN 1.5 ELSE 1.0 END AS symbol_bonus, CASE WHEN m.community_id IN (SELECT community_id FROM sc) THEN 1.3 ELSE 1.0 END AS module_bonus,
  CASE WHEN d.rel_path IN (SELECT rel_path FROM central) THEN 2.6 ELSE 0.0 END AS centrality_bonus
  FROM cand d JOIN chunks c USING (rel_path, chunk_index) LEFT JOIN scores s USING (rel_path, chunk_index) LEFT JOIN fm m ON m.rel_path = d.rel_path),
-scored3 AS (SELECT *, round(bm25_component * CAST(symbol_bonus AS DOUBLE) * CAST(module_bonus AS DOUBLE) + CAST(centrality_bonus AS DOUBLE) + 1e-9, 6) AS score FROM parts3), ranked AS (SELECT * FROM scored3 WHERE score > 0)"""
+scored3 AS (SELECT *, CAST(round(CAST(bm25_component AS DECIMAL(18,6)) * CAST(symbol_bonus AS DECIMAL(3,1)) * CAST(module_bonus AS DECIMAL(3,1)) + CAST(centrality_bonus AS DECIMAL(3,1)), 6) AS DOUBLE) AS score FROM parts3), ranked AS (SELECT * FROM scored3 WHERE score > 0)"""
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:

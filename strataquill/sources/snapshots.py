@@ -97,26 +97,6 @@ def belongs(table: DataFrame, snapshot_id: str, repo_id: str) -> bool:
     return not table.where((F.col("id") == snapshot_id) & (F.col("local_repo_id") == repo_id)).isEmpty()
 
 
-class Lock:
-    """A lock that all drivers see: a file made atomically below a shared folder; one older than ``stale`` seconds is that
-    of a driver that is gone."""
-
-    def __init__(self, spark: SparkSession, path: str, stale: int = 6 * 3600):
-        jvm = spark._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path(path)
-        self.fs, self.stale = self.path.getFileSystem(spark._jsc.hadoopConfiguration()), stale
-
-    def __enter__(self) -> Lock:
-        if self.fs.exists(self.path) and self.fs.getFileStatus(self.path).getModificationTime() < (time.time() - self.stale) * 1000:
-            self.fs.delete(self.path, False)
-        if not self.fs.createNewFile(self.path):
-            raise RuntimeError(f"{self.path.getName()} is held")
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.fs.delete(self.path, False)
-
-
 def drop(spark: SparkSession, path: str, snapshot_ids: list[str]) -> None:
     """Deletes the partitions of snapshots through the file system that holds the table."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -1,4 +1,5 @@
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 from strataquill.engine import Engine
 from strataquill.operators import reports
 from strataquill.sources import git, snapshots
+from strataquill.sources.locks import Held, Lease, Lost
+from strataquill.sources.results import Results, fingerprint
 from strataquill.sources.tree import folder_record, read_tree
 
 FILES = {
@@ -47,9 +50,24 @@ def test_build_and_ask(spark, tmp_path):
     assert e.bundle("s1", "store service").first()["used_tokens"] > 0
     e.build("s1", str(tmp_path / "tree"), rebuild=False)
     spark.catalog.refreshByPath(f"file://{tmp_path}/tables/terms")
-    assert not e.table("terms", "s1").isEmpty() and not e.failures
-    with snapshots.Lock(spark, f"file://{tmp_path}/tables/_locks/s1"), pytest.raises(RuntimeError):
+    assert not e.table("terms", "s1").isEmpty() and e.failures == {"s1/conventions": "the query has no terms"}
+    with Lease(spark, f"file://{tmp_path}/tables/_locks/s1"), pytest.raises(Held):
         e.build("s1", str(tmp_path / "tree"))
+    shared = e.context("s1")
+    assert set(shared) == {"architecture", "tree", "documents", "manifests"} and shared["tree"].count() == e.tree("s1").count()
+    assert shared["documents"].count() > 0 and shared["manifests"].columns == ["rel_path", "content"]
+    # A section that is written again finds its static results and reads no table but the files' checksums.
+    first = sorted(map(str, e.static("s1", "risks").collect()))
+    read, whole = [], e.table
+    e.table = lambda name, snapshot_id=None: (read.append(name), whole(name, snapshot_id))[1]
+    history = spark.createDataFrame([], "id string, letter string, version long, section string, hash string")
+    section, after = e.rerun("s1", "J", history, "r", lambda letter, context: {"content": str(context.count())})
+    assert section["content"] == str(len(first)) and after.count() == 1 and set(read) == {"files"}
+    e.table = whole
+    assert sorted(map(str, e.static("s1", "risks").collect())) == first
+    e.failures.clear()
+    e.bundle("s1", "store", budget=100)
+    assert not e.failures
     e.delete(["s2"])
     spark.catalog.refreshByPath(f"file://{tmp_path}/tables/files")
     assert e.table("files").select("snapshot_id").distinct().count() == 1
@@ -100,3 +118,48 @@ def test_section_versions(spark):
     assert "boom" in reports.run_section("A", h, lambda letter, c: 1 / 0 if letter == "B" else (_ for _ in ()).throw(ValueError("boom")))["error"]
     text = reports.identity_context(F.lit('{"tech_stack": ["a", "b"], "domain": "d"}'))
     assert spark.range(1).select(text).first()[0] == "  Tech stack: a, b\n  Domain: d"
+
+
+def test_leases_of_two_drivers(spark, tmp_path):
+    place = f"file://{tmp_path}/lock"
+    a, b, c = (Lease(spark, place, seconds=2, beat=False) for _ in range(3))
+    assert a.acquire() == 1
+    with pytest.raises(Held):
+        b.acquire()
+    time.sleep(2.2)  # a is gone for longer than its lease
+    assert b.acquire() == 2
+    with pytest.raises(Lost):
+        a.check()
+    with pytest.raises(Lost):
+        a.renew()
+    a.release()  # frees nothing: the lock is b's
+    with pytest.raises(Held):
+        c.acquire()
+    b.check()
+    b.release()
+    assert c.acquire() == 3
+    c.release()
+    with Lease(spark, place, seconds=1.5) as d:  # touched again and again
+        time.sleep(3)
+        d.check()
+        with pytest.raises(Held):
+            a.acquire()
+    assert d.token is None and a.acquire() == 5
+
+
+def test_results_are_kept_by_their_inputs(spark, tmp_path):
+    kept, made = Results(spark, f"file://{tmp_path}/results"), []
+    files = spark.createDataFrame([("a", "1"), ("b", "2")], "rel_path string, checksum string")
+    first, other = fingerprint(files), fingerprint(files.orderBy(F.desc("rel_path")))
+    changed = fingerprint(spark.createDataFrame([("a", "2"), ("b", "1")], "rel_path string, checksum string"))
+    assert first == other != changed
+
+    def make():
+        made.append(1)
+        return spark.range(len(made)).select("id")
+
+    for inputs, settings, n in ((first, {"x": 1}, 1), (first, {"x": 1}, 1), (changed, {"x": 1}, 2), (changed, {"x": 2}, 3), (first, {"x": 1}, 4)):
+        assert kept.get("r", "s1", inputs, settings, make).count() == n
+    assert len(made) == 4 and kept.get("r", "s2", first, {"x": 1}, make).count() == 5
+    kept.drop(["s1"])
+    assert kept.get("r", "s1", first, {"x": 1}, make).count() == 6 and kept.get("r", "s2", first, {"x": 1}, make).count() == 5
