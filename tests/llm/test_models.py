@@ -19,30 +19,44 @@ def rows_of(n):
     return [(k, prose(k, 30 + k % 50, LANGS[lang]), lang) for k in range(n) for lang in (list(LANGS)[k % 3],)]
 
 
+def letters(symbols):
+    return "".join(chr(0x100 + x) for x in symbols.tolist())
+
+
 def phrases(text, learned):
-    """Brute force: the fewest phrases, each found in the learned symbols, with a new one at each block."""
-    count = 0
-    for a in range(0, len(text), langid.BLOCK):
-        block, at = text[a : a + langid.BLOCK], 0
-        while at < len(block):
-            end = at + 1
-            while end < len(block) and block[at : end + 1] in learned:
-                end += 1
-            count, at = count + 1, end
+    """Brute force: each phrase as long as it is found in the learned symbols."""
+    count = at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in learned:
+            end += 1
+        count, at = count + 1, end
     return count
 
 
-def test_phrases_are_those_of_brute_force():
+def test_phrases_are_those_of_brute_force(monkeypatch):
     texts = {lang: " ".join(prose(k, 60, words) for k in range(3)) for lang, words in LANGS.items()}
-    model = langid.Model(texts)
-    for t in (prose(77, 300, LANGS["de"]), prose(5, 9, LANGS["fr"]), "日本 zzz q", "a"):
-        symbols = model.alphabet.symbols(t).tobytes()
-        want = [phrases(symbols, model.alphabet.symbols(texts[x]).tobytes()) for x in model.langs]
-        grid = np.full((-(-len(symbols) // langid.BLOCK), langid.BLOCK), model.width - 1, np.uint8)
-        grid.reshape(-1)[: len(symbols)] = np.frombuffer(symbols, np.uint8)
-        assert model.phrases(np.ascontiguousarray(grid.T).astype(np.int32)).sum(axis=1).tolist() == want
-        needed = [w * b for w, b in zip(want, model.bits, strict=True)]
-        assert model.predict([t])[0][0] == model.langs[needed.index(min(needed))]
+    asked = [prose(77, 300, LANGS["de"]), prose(5, 9, LANGS["fr"]), "日本 zzz q", "a", "", texts["en"], texts["fr"][40:] + texts["de"][:500], "the " * 400]
+    for block, mark in ((512, 32), (16, 4), (5, 5), (1, 1)):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "MARK", mark)
+        model = langid.Model(texts)
+        coded = [model.alphabet.symbols(t) for t in asked]
+        learned = [letters(model.alphabet.symbols(texts[x])) for x in model.langs]
+        want = [[phrases(letters(c), x) for c in coded] for x in learned]
+        assert model.phrases(coded).astype(int).tolist() == want
+        for k, t in enumerate(asked):
+            needed = [w[k] * b for w, b in zip(want, model.bits, strict=True)]
+            assert model.predict([t])[0][0] == (model.langs[needed.index(min(needed))] if len(coded[k]) else "und")
+
+
+def test_alphabets_have_no_bound():
+    many = "".join(chr(0x4E00 + k) for k in range(3000))
+    model = langid.Model({"zh": many + many[::3], "en": prose(1, 200, LANGS["en"])})
+    assert model.alphabet.size > 3000
+    assert [x for x, _ in model.predict([many[500:900], "the water there", "ж"])] == ["zh", "en", "en"]
+    slots = sum(x.nbytes for s in model.steps for x in (s.keys, s.to, s.only, s.leads))
+    assert slots < 600_000
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
@@ -63,12 +77,13 @@ def test_held_out_accuracy_and_odd_rows(spark):
 
 
 def test_every_symbol_of_the_sampled_rows_is_learned(spark):
-    rows = [(k, prose(k, 400, LANGS["en"]), "en") for k in range(200)] + [(1000 + k, prose(k, 30_000 + k, LANGS["de"]), "de") for k in range(3)]
+    rows = [(k, prose(k, 400, LANGS["en"]), "en") for k in range(300)] + [(1000 + k, prose(k, 30_000 + k, LANGS["de"]), "de") for k in range(3)]
     texts = langid.sample(docs(spark, rows))
     own = {t for _, t, _ in rows}
     assert len(texts["en"].split("\n")) == langid.TRAIN_ROWS and all(t in own for t in texts["en"].split("\n"))
     learned = [t for k, t, lang in rows if lang == "de" and zlib.crc32(str(k).encode()) % 3 != 1]
-    assert texts["de"] == min(learned, key=len)  # all are longer than MOST_CHARS
+    assert set(texts["de"].split("\n")) <= set(learned)
+    assert sum(map(len, texts["de"].split("\n"))) <= langid.TRAIN_CHARS  # of rows of any length
     model = langid.Model({"en": texts["en"]})
     assert round(2 ** model.bits[0]) == len(model.alphabet.symbols(texts["en"])) + 1
 
@@ -79,9 +94,10 @@ def test_query_agrees_with_brute_force(spark):
     d = docs(spark, rows)
     texts = langid.sample(d)
     model = langid.Model(texts)
-    learned = {x: model.alphabet.symbols(texts[x]).tobytes() for x in model.langs}
+    learned = {x: letters(model.alphabet.symbols(texts[x])) for x in model.langs}
     for r in langid.predict(d, texts).collect():
-        symbols = model.alphabet.symbols(next(t for i, t, _ in rows if i == r["doc_id"]) or "").tobytes()
+        symbols = model.alphabet.symbols(next(t for i, t, _ in rows if i == r["doc_id"]) or "")
+        symbols = letters(symbols)
         if not symbols:
             assert (r["lang_pred"], r["score"]) == ("und", 0)
             continue
