@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataquill.operators import graph
 from strataquill.plans import fixtures as fx
 from strataquill.plans.registry import query
-from strataquill.session import ship, table
+from strataquill.session import cut, ship, table
 
 _E = "WITH " + fx.EDGES_SQL
 _C = _E + ", " + fx.COMMUNITIES_SQL
@@ -132,6 +132,29 @@ def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(_pairs(spark, sf_dir), fx.part_nodes(spark, sf_dir))
 
 
+@query(_E + """, p AS (SELECT DISTINCT src_path AS a, dst_path AS b FROM edges WHERE NOT is_external), n AS (SELECT a AS x FROM p UNION SELECT b FROM p UNION SELECT 'p' || p_partkey FROM part)
+SELECT count(*) AS n_nodes, CAST(0 AS BIGINT) AS n_unsettled, true AS beats_one_community, true AS beats_single_nodes FROM n""")
+def community_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That no node of louvain_communities would raise the modularity by moving to a community next to it, by joins of their own."""
+    ship(spark)
+    pairs = cut(_pairs(spark, sf_dir))
+    homes = cut(graph.communities(pairs, fx.part_nodes(spark, sf_dir)))
+    ends = pairs.where("src <> dst").select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    both = ends.unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    of = lambda name, c: homes.select(F.col("rel_path").alias(name), F.col("community_id").alias(c))
+    degrees = both.groupBy("x").agg(F.count(F.lit(1)).alias("d")).join(of("x", "home"), "x")
+    loads, total = degrees.groupBy(F.col("home").alias("c")).agg(F.sum("d").alias("load")), degrees.agg(F.sum("d")).scalar()
+    links = both.join(of("y", "c"), "y").groupBy("x", "c").agg(F.count(F.lit(1)).alias("links"))
+    every = links.unionByName(degrees.select("x", F.col("home").alias("c"), F.lit(0).cast("long").alias("links"))).groupBy("x", "c").agg(F.sum("links").alias("links"))
+    worth = every.join(degrees, "x").join(loads, "c").select("x", (F.col("c") == F.col("home")).alias("own"), (F.col("links") - F.col("d") * (F.col("load") - F.when(F.col("c") == F.col("home"), F.col("d")).otherwise(0)) / total).alias("w"))
+    told = worth.groupBy("x").agg(F.max(F.when(F.col("own"), F.col("w"))).alias("stays"), F.max("w").alias("best"))
+    unsettled = told.agg(F.count_if(F.col("best") > F.col("stays") + 1e-6)).scalar()
+    inner = links.join(of("x", "home"), "x").where("c = home").agg(F.sum("links")).scalar() / total
+    shares = loads.agg(F.sum((F.col("load") / total) * (F.col("load") / total))).scalar()
+    alone = degrees.agg(F.sum((F.col("d") / total) * (F.col("d") / total))).scalar()
+    return homes.agg(F.count(F.lit(1)).alias("n_nodes"), unsettled.alias("n_unsettled"), (inner - shares > 0).alias("beats_one_community"), (inner - shares > -alone).alias("beats_single_nodes"))
+
+
 # Imports -----------------------------------------------------------------------------------------------------------
 
 _TREE = """docs AS (SELECT doc_id, 'root' || (doc_id % 3) || '/pkg' || (doc_id % 5) || '/mod' || (doc_id % 50) || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.ts' END AS rel_path FROM documents),

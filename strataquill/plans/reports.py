@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataquill.functions import text
 from strataquill.operators import reports, retrieval, sections
 from strataquill.plans.registry import query
-from strataquill.session import table
+from strataquill.session import ship, table
 from strataquill.streaming import events as ev
 from strataquill.streaming import state
 
@@ -114,6 +114,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.run_available(ev.stream_latest(source, ["user_id"], "event_type", "event_id"), f"{ensure_checkpoint_dir(spark).rstrip('/')}/events_{uuid.uuid4().hex}")
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS job_id, event_type AS key, arg_max(CAST(event_id % 1000 AS VARCHAR), event_id) AS status, max(event_id) AS seq, count(*) AS n_events FROM events WHERE user_id IS NOT NULL GROUP BY ALL")
+def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events folded by user and type in keyed state, as a stream over all that is there."""
+    import uuid
+
+    from strataquill.session import ensure_checkpoint_dir
+
+    ship(spark)
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = source.where("user_id is not null").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 1000).cast("string").alias("status"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    with state.store(spark):
+        found = ev.run_available(state.stream_jobs(rows), f"{ensure_checkpoint_dir(spark).rstrip('/')}/jobs_{uuid.uuid4().hex}", "update")
+    return state.latest_of(found).select("job_id", "key", "status", "seq", "n_events")
+
+
 @query("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(trim(source), '[^a-zA-Z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), ''), 'report') AS slug, length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) AS n_clean, CASE WHEN lang IN ('high', 'medium', 'low') THEN lang ELSE 'medium' END AS confidence FROM documents")
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")

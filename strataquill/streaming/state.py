@@ -7,10 +7,11 @@ that ends a job, a timer is set; when event time is ``keep_seconds`` past it, th
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,6 +21,17 @@ from strataquill.streaming.events import ENDED, FOLDED
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+@contextlib.contextmanager
+def store(spark: SparkSession) -> Iterator[None]:
+    """Sets the store for the streams that are started inside."""
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
+
+
 class JobFold(StatefulProcessor):
     def __init__(self, keep_seconds: int, ended: tuple[str, ...]):
         self.keep_ms, self.ended = keep_seconds * 1000, ended
@@ -64,7 +76,7 @@ class JobFold(StatefulProcessor):
 
 def stream_jobs(events: DataFrame, keep_seconds: int = 600, lateness: str = "10 seconds", ended: tuple[str, ...] = ENDED) -> DataFrame:
     """The latest status of each key of a job (job_id, key, seq, status, at: timestamp) as a stream, in update mode; a row comes
-    out for each key that a batch has events of. The session's state store must be the one of ``STORE``."""
+    out for each key that a batch has events of. To be started inside :func:`store`."""
     rows = events.select("job_id", "key", F.col("seq").cast("long"), "status", "at").withWatermark("at", lateness)
     return rows.groupBy("job_id").transformWithStateInPandas(JobFold(keep_seconds, ended), FOLDED, "Update", "eventTime")
 

@@ -159,8 +159,6 @@ def test_state_of_ended_jobs_expires(spark, tmp_path):
     schema = "job_id string, key string, seq long, status string, at timestamp"
     at = lambda s: d.datetime(2024, 1, 1, tzinfo=d.timezone.utc) + d.timedelta(seconds=s)
     log, out = f"{tmp_path}/log", f"{tmp_path}/run"
-    before = spark.conf.get(state.STORE[0], None)
-    spark.conf.set(*state.STORE)
 
     def feed(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
@@ -170,7 +168,7 @@ def test_state_of_ended_jobs_expires(spark, tmp_path):
         rows = spark.read.format("statestore").option("stateVarName", "last").load(f"{out}/checkpoint")
         return sorted((r["key"]["job_id"], r["user_map_key"]["key"]) for r in rows.collect())
 
-    try:
+    with state.store(spark):
         rows = [("a", "A", 1, "running", at(0)), ("a", "A", 3, "done", at(5)), ("a", "A", 2, "late", at(4)), ("a", "job", 4, "done", at(6)), ("b", "A", 1, "running", at(6))]
         first = feed(rows)
         assert {tuple(r)[:-1] for r in first.collect()} == {("a", "A", "done", 3, 3, True), ("a", "job", "done", 4, 1, True), ("b", "A", "running", 1, 1, False)}
@@ -183,8 +181,6 @@ def test_state_of_ended_jobs_expires(spark, tmp_path):
         assert held() == [("b", "A"), ("b", "B")]
         last = {tuple(r)[:-1] for r in feed([("a", "A", 9, "again", at(710)), ("b", "A", 7, "done", at(711)), ("b", "job", 8, "failed", at(711))]).where("seq >= 7").collect()}
         assert last == {("a", "A", "again", 9, 1, False), ("b", "A", "done", 7, 3, True), ("b", "job", "failed", 8, 1, True)}  # a was forgotten and counts anew
-    finally:
-        spark.conf.unset(state.STORE[0]) if before is None else spark.conf.set(state.STORE[0], before)
 
 
 def test_cancelled_jobs(spark):
