@@ -161,24 +161,39 @@ SOURCES = {
 }
 _LANGUAGES = list(SOURCES)
 
+#: How a line of comment begins and ends in a language; none where it would be text or break the format.
+COMMENTS = dict.fromkeys(("typescript", "javascript", "go", "java", "rust", "c", "cpp", "zig", "kotlin", "scala", "groovy", "csharp"), ("// ", "")) | dict.fromkeys(
+    ("bash", "ruby", "elixir", "julia", "yaml", "toml", "cmake"), ("# ", "")
+) | dict.fromkeys(("lua", "haskell", "sql"), ("-- ", "")) | {"css": ("/* ", " */"), "ocaml": ("(* ", " *)"), "svelte": ("<!-- ", " -->"), "markdown": ("> ", "")}
+#: Formats that hold their declarations once; of the others, files have up to three copies, with names of their own.
+ONCE = {"json", "yaml", "toml", "markdown", "haskell", "ocaml", "svelte", "php", "html"}
+
 
 def _declared_sql() -> str:
-    told = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    rows = ", ".join(f"({k}, {', '.join(map(told, (lang, *d)))})" for k, lang in enumerate(_LANGUAGES) for d in SOURCES[lang][1])
-    name = lambda c: f"CASE WHEN {c} LIKE '@%' THEN {c} ELSE replace({c}, '@', CAST(p_partkey AS VARCHAR)) END"
-    return f"""SELECT p_partkey, language, {name('name')} AS name, kind, {name('parent')} AS parent_name, CAST(a AS BIGINT) AS line_start, CAST(b AS BIGINT) AS line_end
-FROM part JOIN (VALUES {rows}) d(k, language, name, kind, parent, a, b) ON k = p_partkey % {len(_LANGUAGES)}"""
+    told = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, bool)) else "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {', '.join(map(told, (lang, *d, SOURCES[lang][0].count(chr(10)), lang in ONCE, lang in COMMENTS)))})" for k, lang in enumerate(_LANGUAGES) for d in SOURCES[lang][1])
+    name = lambda c: f"CASE WHEN {c} LIKE '@%' THEN {c} ELSE replace({c}, '@', p_partkey || '_' || i) END"
+    return f"""WITH d AS (SELECT p_partkey, p_size, x.*, unnest(range(CASE WHEN once THEN 1 ELSE 1 + p_partkey // {len(_LANGUAGES)} % 3 END)) AS i
+FROM part JOIN (VALUES {rows}) x(k, language, name, kind, parent, a, b, n, once, said) ON k = p_partkey % {len(_LANGUAGES)})
+SELECT p_partkey, language, {name('name')} AS name, kind, {name('parent')} AS parent_name, CAST(a + i * n + s AS BIGINT) AS line_start, CAST(b + i * n + s AS BIGINT) AS line_end
+FROM (SELECT *, CASE WHEN said THEN p_size % 5 ELSE 0 END AS s FROM d)"""
 
 
 @query(_declared_sql())
 def declared_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of source files of 28 languages, one for each part."""
+    """Symbols of source files of 28 languages, one for each part: some lines of comments that look like code, then copies of
+    declarations under names of their own."""
     ship(spark)
-    i = F.col("p_partkey")
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(_LANGUAGES) + 1).cast("int"))
-    # A sign that stands for the number is followed by no letter or is behind one; others, as in CSS, stay.
-    content = F.regexp_replace(pick([SOURCES[x][0] for x in _LANGUAGES]), F.lit("@(?!media)"), i.cast("string"))
-    files = table(spark, sf_dir, "part").select(i.cast("string").alias("rel_path"), pick(_LANGUAGES).alias("language"), F.lit("source").alias("category"), content.alias("content"))
+    k = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(_LANGUAGES) + 1).cast("int"))
+    first, last = pick([COMMENTS.get(x, ("", ""))[0] for x in _LANGUAGES]), pick([COMMENTS.get(x, ("", ""))[1] for x in _LANGUAGES])
+    line = F.concat(first, F.coalesce("p_name", F.lit("")), F.lit(" class Fake { function no() { } } def f"), last, F.lit("\n"))
+    noise = F.when(first != "", F.repeat(line, (F.col("p_size") % 5).cast("int"))).otherwise("")
+    copies = F.when(pick([x in ONCE for x in _LANGUAGES]), 1).otherwise(1 + F.floor(k / len(_LANGUAGES)) % 3)
+    # A sign that stands for the name is followed by no letter or is behind one; others, as in CSS, stay.
+    own = lambda i: F.regexp_replace(pick([SOURCES[x][0] for x in _LANGUAGES]), F.lit("@(?!media)"), F.concat(k.cast("string"), F.lit("_"), i.cast("string")))
+    content = F.concat(noise, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), own), ""))
+    files = table(spark, sf_dir, "part").select(k.cast("string").alias("rel_path"), pick(_LANGUAGES).alias("language"), F.lit("source").alias("category"), content.alias("content"))
     return symbols.symbols(files).select(F.col("rel_path").cast("long").alias("p_partkey"), "language", "name", "kind", "parent_name", "line_start", "line_end")
 
 
@@ -241,32 +256,43 @@ def python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.imports_of(_modules(spark, sf_dir))
 
 
-@query(_CODE + """ SELECT 's' || k || '.ts::Svc' || k || '.run' AS src_symbol, 'r' || k || '.ts::' || c || k || '.find' AS dst_symbol, 'low' AS confidence FROM f, (VALUES ('One'), ('Two')) v(c)""")
+@query("""SELECT 'd' || p_partkey % 9 || '/s' || p_partkey || '.ts::Svc.run' AS src_symbol, 'd' || p_partkey % 9 || '/r' || p_partkey || '.ts::C' || i || '.find' AS dst_symbol, 'low' AS confidence
+FROM part, LATERAL (SELECT unnest(range(1 + p_partkey % 3)) AS i)""")
 def interface_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls on an injected interface reach all that implement it."""
+    """Calls on an injected interface reach all classes that implement it, one to three; the same names are in all files."""
     ship(spark)
-    n = F.col("s_suppkey").cast("string")
-    own = F.concat(F.lit("interface Repo"), n, F.lit(" {\n  find(id: string): any;\n}\nclass One"), n, F.lit(" implements Repo"), n, F.lit(" {\n  find(id: string) { return 1; }\n}\nclass Two"), n, F.lit(" implements Repo"), n, F.lit(" {\n  find(id: string) { return 2; }\n}\n"))
-    user = F.concat(F.lit("import { Repo"), n, F.lit(" } from './r"), n, F.lit("';\nclass Svc"), n, F.lit(" {\n  constructor(private repo: Repo"), n, F.lit(") {}\n  run(id: string) {\n    return this.repo.find(id);\n  }\n}\n"))
-    rows = table(spark, sf_dir, "supplier").select(F.explode(F.array(F.struct(F.concat(F.lit("r"), n, F.lit(".ts")).alias("rel_path"), own.alias("content")), F.struct(F.concat(F.lit("s"), n, F.lit(".ts")).alias("rel_path"), user.alias("content")))).alias("x")).select("x.*")
+    k = F.col("p_partkey")
+    n, place = k.cast("string"), F.concat(F.lit("d"), (k % 9).cast("string"), F.lit("/"))
+    note = F.repeat(F.concat(F.lit("// "), F.coalesce("p_name", F.lit("")), F.lit(" class No implements Repo { find() { } }\n")), (F.col("p_size") % 4).cast("int"))
+    one = lambda i: F.concat(F.lit("class C"), i.cast("string"), F.lit(" implements Repo {\n  find(id: string) { return 1; }\n}\n"))
+    own = F.concat(note, F.lit("interface Repo {\n  find(id: string): any;\n}\n"), F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), k % 3), lambda i: F.concat(one(i), note)), ""), F.lit("class Other {\n  find(id: string) { return 3; }\n}\n"))
+    user = F.concat(F.lit("import { Repo } from './r"), n, F.lit("';\n"), note, F.lit("class Svc {\n  constructor(private repo: Repo) {}\n  run(id: string) {\n    return this.repo.find(id);\n  }\n}\n"))
+    rows = table(spark, sf_dir, "part").select(F.explode(F.array(F.struct(F.concat(place, F.lit("r"), n, F.lit(".ts")).alias("rel_path"), own.alias("content")), F.struct(F.concat(place, F.lit("s"), n, F.lit(".ts")).alias("rel_path"), user.alias("content")))).alias("x")).select("x.*")
     return references.symbol_edges(rows).select("src_symbol", "dst_symbol", "confidence")
 
 
-_PAD = "\t// padding }\n"
-
-
-@query("""SELECT p_partkey, CAST(k AS BIGINT) AS chunk_index, chunk_type, replace(names, '@', CAST(p_partkey AS VARCHAR)) AS names FROM part JOIN (VALUES
- (0, 0, 'import_group', ''), (0, 1, 'function', 'A@'), (0, 2, 'block', 'B@,C@'), (1, 0, 'import_group', ''), (1, 1, 'class', 'K@'), (1, 2, 'function', 'f@'), (2, 0, 'file', '')) v(m, k, chunk_type, names) ON m = p_partkey % 3""")
+@query("""WITH p AS (SELECT p_partkey AS k, 2 + p_size % 4 AS m, p_partkey % 2 AS tail FROM part)
+SELECT k AS p_partkey, CAST(0 AS BIGINT) AS chunk_index, 'import_group' AS chunk_type, '' AS names FROM p
+UNION ALL SELECT k, CAST(i + 1 AS BIGINT), CASE WHEN k % 3 = 1 AND i % 2 = 0 THEN 'class' ELSE 'function' END, 'A' || k || '_' || i FROM p, LATERAL (SELECT unnest(range(m)) AS i)
+UNION ALL SELECT k, CAST(m + 1 AS BIGINT), 'block', 'B' || k || ',C' || k FROM p WHERE tail = 1""")
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks along the definitions of Go and Python sources, and a file that fits."""
+    """Chunks along the definitions of Go and Python sources: two to five that are large, and in half of the files two small
+    ones at the end; what stands between them is left out."""
     ship(spark)
-    i = F.col("p_partkey")
-    go = "package m\n\nimport \"fmt\"\n\nfunc A@() {\n" + _PAD * 60 + "}\n\nvar left = 1\n\nfunc B@() {\n" + _PAD * 60 + "}\n\nfunc C@() {\n}\n"
-    py = "import os\nimport sys\n\nclass K@:\n" + "    pad = 'padding'\n" * 60 + "\nLEFT = 1\n\ndef f@(x):\n" + "    x += 1\n" * 80
-    content = F.when(i % 3 == 0, go).when(i % 3 == 1, py).otherwise("x = 1\n")
-    language = F.when(i % 3 == 0, "go").otherwise("python")
-    rows = table(spark, sf_dir, "part").select(i.cast("string").alias("rel_path"), language.alias("language"), F.lit("source").alias("category"), F.replace(content, F.lit("@"), i.cast("string")).alias("content"))
-    return symbols.syntax_chunks(rows).select(F.col("rel_path").cast("long").alias("p_partkey"), "chunk_index", "chunk_type", F.array_join("names", ",").alias("names"))
+    k, name = F.col("p_partkey"), F.coalesce("p_name", F.lit(""))
+    text = lambda c: c.cast("string")
+    python = k % 3 == 1
+    pad = F.when(python, F.concat(F.lit("    # "), name, F.lit(" padding def no(): class No:\n"))).otherwise(F.concat(F.lit("\t// "), name, F.lit(" padding } func No() {\n")))
+    # Between 1,500 and 1,900 bytes: nothing fits into a chunk beside one, and none is taken apart.
+    body = F.repeat(pad, (F.floor(1560 / F.octet_length(pad)) + F.col("p_size") % 5).cast("int"))
+    called = lambda i: F.concat(F.lit("A"), text(k), F.lit("_"), text(i))
+    own = lambda i: F.when(python & (i % 2 == 0), F.concat(F.lit("class "), called(i), F.lit(":\n"), body, F.lit("    x = 1\n\nLEFT = 1\n\n"))).when(python, F.concat(F.lit("def "), called(i), F.lit("():\n"), body, F.lit("    return 1\n\n"))).otherwise(F.concat(F.lit("func "), called(i), F.lit("() {\n"), body, F.lit("}\n\nvar left = 1\n\n")))
+    head = F.when(python, "import os\nimport sys\n\n").otherwise('package m\n\nimport "fmt"\n\n')
+    two = F.when(python, F.concat(F.lit("def B"), text(k), F.lit("():\n    return 1\n\ndef C"), text(k), F.lit("():\n    return 2\n"))).otherwise(F.concat(F.lit("func B"), text(k), F.lit("() {\n}\n\nfunc C"), text(k), F.lit("() {\n}\n")))
+    content = F.concat(head, F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4 + 1), own), ""), F.when(k % 2 == 1, two).otherwise(""))
+    files = table(spark, sf_dir, "part").select(text(k).alias("rel_path"), F.when(python, "python").otherwise("go").alias("language"), F.lit("source").alias("category"), content.alias("content"))
+    found = symbols.syntax_chunks(files)
+    return found.select(F.col("rel_path").cast("long").alias("p_partkey"), "chunk_index", "chunk_type", F.array_join("names", ",").alias("names"))
 
 
 # Tables of snapshots and single files ----------------------------------------------------------------------------------
