@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from strataquill.functions import paths, text
 from strataquill.operators import manifest, reports, retrieval
 from strataquill.sources import snapshots, tree
-from strataquill.streaming import events, state
+from strataquill.streaming import events, source, state
 
 
 def one(spark, column, **values):
@@ -237,3 +237,29 @@ def test_report_store_and_passes(spark):
     out, passes = reports.quality_passes(rows, lambda s: [], better)
     assert passes == 1 and {r["confidence"] for r in out.collect()} == {"high"}
     assert reports.quality_passes(rows, lambda s: ["B"], better)[1] == 3
+
+
+def test_log_is_read_once_by_offsets_per_job(spark, tmp_path):
+    log, out = f"file://{tmp_path}/log", f"{tmp_path}/run"
+
+    def run():
+        rows = events.run_available(source.stream(spark, log), out, "update")
+        return sorted(tuple(r) for r in rows.drop("batch").collect())
+
+    assert source.JobEventsReader(f"{tmp_path}/none").latestOffset() == {}
+    source.append(log, "a", [{"seq": 1}, {"seq": 2}])
+    source.append(log, "b", [{"seq": 1, "text": "é" * 40_000}])
+    first = run()
+    assert [(j, p) for j, p, _ in first] == [("a", 0), ("a", 11), ("b", 0)] and "é" not in first[2][2] and len(first[2][2]) > 200_000
+    assert run() == first  # nothing new, nothing twice
+    with open(f"{tmp_path}/log/a.jsonl", "a") as f:
+        f.write('{"seq": 3}\n{"se')  # the last line isn't whole yet
+    source.append(log, "c", [{"seq": 1}])
+    second = run()
+    assert len(second) == 5 and ("a", 22, '{"seq": 3}') in second and ("c", 0, '{"seq": 1}') in second
+    with open(f"{tmp_path}/log/a.jsonl", "a") as f:
+        f.write('q": 4}\n')
+    assert sorted(set(run()) - set(second)) == [("a", 33, '{"seq": 4}')] and len(run()) == 6
+    many = source.JobEventsReader(log)
+    parts = many.partitions({}, {f"j{k:02d}": 5 << 20 for k in range(10)})
+    assert [len(p.parts) for p in parts] == [3, 3, 3, 1] and many.partitions({"a": 5}, {"a": 5}) == []
