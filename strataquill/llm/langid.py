@@ -37,7 +37,7 @@ from strataquill.llm.rows import unused
 from strataquill.session import give_back
 
 TRAIN_ROWS, TRAIN_CHARS = 128, 1 << 19
-BLOCK, MARK, LANES = 256, 16, 16384
+BLOCK, MARK, LANES = 256, 16, 49152
 UNKNOWN = "und"
 
 
@@ -310,10 +310,23 @@ def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_of(texts)
-        for b in batches:
+
+        def told(some: list[pd.DataFrame]) -> pd.DataFrame:
+            b = pd.concat(some)
             out = pd.DataFrame(model.predict(b["text"].tolist()), columns=["lang_pred", "score"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
+            return out
+
+        # Several batches are parsed together: a step costs little more for many lanes than for few.
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += int(b["text"].str.len().sum())
+            if n >= BLOCK * LANES:
+                yield told(held)
+                held, n = [], 0
+        if held:
+            yield told(held)
         give_back()
 
     rows = docs.select(docs[id_col].cast("string").alias("doc_id"), docs[text_col].alias("text"))
