@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquill.llm.rows import unused
@@ -306,10 +306,11 @@ def model_of(texts: dict[str, str]) -> Model:
 
 
 def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of each row; ``texts`` (of :func:`sample`) is of bounded size and goes with the tasks."""
+    """doc_id, lang_pred, score of each row; ``texts`` (of :func:`sample`) is of bounded size and broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = model_of(texts)
+        model = model_of(shared.value)
 
         def told(some: list[pd.DataFrame]) -> pd.DataFrame:
             b = pd.concat(some)
@@ -334,11 +335,13 @@ def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text
 
 
 def predicted(text: Column, texts: dict[str, str]) -> Column:
-    """struct(lang_pred, score) of a text, for use beside other columns: only texts go to Python, no row moves."""
+    """struct(lang_pred, score) of a text, for use beside other columns: only texts go to Python, no row moves. ``texts`` are
+    broadcast, since a plan that held them would stand in the driver's memory several times."""
+    shared = SparkSession.active().sparkContext.broadcast(texts)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = model_of(texts)
+        model = model_of(shared.value)
         for b in batches:
             yield pd.DataFrame(model.predict(b.tolist()), columns=["lang_pred", "score"])
         give_back()
