@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataquill.functions import text
 from strataquill.operators import manifest, references, reports, retrieval, symbols
 from strataquill.plans.registry import query
-from strataquill.session import ship, table
+from strataquill.session import ship, spread, table
 
 # Text ----------------------------------------------------------------------------------------------------------------
 
@@ -193,7 +193,7 @@ def declared_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A sign that stands for the name is followed by no letter or is behind one; others, as in CSS, stay.
     own = lambda i: F.regexp_replace(pick([SOURCES[x][0] for x in _LANGUAGES]), F.lit("@(?!media)"), F.concat(k.cast("string"), F.lit("_"), i.cast("string")))
     content = F.concat(noise, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), own), ""))
-    files = table(spark, sf_dir, "part").select(k.cast("string").alias("rel_path"), pick(_LANGUAGES).alias("language"), F.lit("source").alias("category"), content.alias("content"))
+    files = spread(table(spark, sf_dir, "part")).select(k.cast("string").alias("rel_path"), pick(_LANGUAGES).alias("language"), F.lit("source").alias("category"), content.alias("content"))
     return symbols.symbols(files).select(F.col("rel_path").cast("long").alias("p_partkey"), "language", "name", "kind", "parent_name", "line_start", "line_end")
 
 
@@ -210,8 +210,8 @@ e AS (SELECT m.k, m.z, m.place, o.place AS target, o.k AS ok FROM m JOIN m o ON
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python files whose names repeat in many folders. Each imports, in one of four ways, from the file of another part, and
     holds a class and functions, after some lines of comments and strings that look like code."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"), F.coalesce("p_name", F.lit("")).alias("name"))
-    most = parts.agg(F.max("k") + 1).scalar()
+    parts = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"), F.coalesce("p_name", F.lit("")).alias("name"))
+    most = table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).scalar()
     stems = F.array(*[F.lit(x) for x in STEMS])
     text = lambda c: c.cast("string")
 
@@ -267,7 +267,7 @@ def interface_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda i: F.concat(F.lit("class C"), i.cast("string"), F.lit(" implements Repo {\n  find(id: string) { return 1; }\n}\n"))
     own = F.concat(note, F.lit("interface Repo {\n  find(id: string): any;\n}\n"), F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), k % 3), lambda i: F.concat(one(i), note)), ""), F.lit("class Other {\n  find(id: string) { return 3; }\n}\n"))
     user = F.concat(F.lit("import { Repo } from './r"), n, F.lit("';\n"), note, F.lit("class Svc {\n  constructor(private repo: Repo) {}\n  run(id: string) {\n    return this.repo.find(id);\n  }\n}\n"))
-    rows = table(spark, sf_dir, "part").select(F.explode(F.array(F.struct(F.concat(place, F.lit("r"), n, F.lit(".ts")).alias("rel_path"), own.alias("content")), F.struct(F.concat(place, F.lit("s"), n, F.lit(".ts")).alias("rel_path"), user.alias("content")))).alias("x")).select("x.*")
+    rows = spread(table(spark, sf_dir, "part")).select(F.explode(F.array(F.struct(F.concat(place, F.lit("r"), n, F.lit(".ts")).alias("rel_path"), own.alias("content")), F.struct(F.concat(place, F.lit("s"), n, F.lit(".ts")).alias("rel_path"), user.alias("content")))).alias("x")).select("x.*")
     return references.symbol_edges(rows).select("src_symbol", "dst_symbol", "confidence")
 
 
@@ -290,7 +290,7 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(python, "import os\nimport sys\n\n").otherwise('package m\n\nimport "fmt"\n\n')
     two = F.when(python, F.concat(F.lit("def B"), text(k), F.lit("():\n    return 1\n\ndef C"), text(k), F.lit("():\n    return 2\n"))).otherwise(F.concat(F.lit("func B"), text(k), F.lit("() {\n}\n\nfunc C"), text(k), F.lit("() {\n}\n")))
     content = F.concat(head, F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4 + 1), own), ""), F.when(k % 2 == 1, two).otherwise(""))
-    files = table(spark, sf_dir, "part").select(text(k).alias("rel_path"), F.when(python, "python").otherwise("go").alias("language"), F.lit("source").alias("category"), content.alias("content"))
+    files = spread(table(spark, sf_dir, "part")).select(text(k).alias("rel_path"), F.when(python, "python").otherwise("go").alias("language"), F.lit("source").alias("category"), content.alias("content"))
     found = symbols.syntax_chunks(files)
     return found.select(F.col("rel_path").cast("long").alias("p_partkey"), "chunk_index", "chunk_type", F.array_join("names", ",").alias("names"))
 

@@ -1,6 +1,9 @@
+import re
+
 import pytest
 
-from strataquill.operators import references, symbols
+from strataquill.operators import references, scanner, symbols
+from strataquill.plans import registry
 
 PYTHON = (
     "import os\nimport sys\nfrom pathlib import Path\n\n\ndef add(x, y):\n    return x + y\n\n\ndef sub(x, y):\n    return x - y\n\n\n"
@@ -272,3 +275,17 @@ def test_first_base_comes_first(spark):
 def test_nesting_too_deep_for_the_parser():
     deep = "(" * 5000 + "\nclass A:\n  pass\n"
     assert symbols.file_symbols(deep, "python")[1] and symbols.chunk_file(deep, "python", 1000) and references.python_facts("a.py", deep) == [] and symbols.python_imports(deep) == []
+
+
+def test_narrow_tables_of_sources_are_dealt_out(spark, sf_dir):
+    """A table of parts is one split; the sources made of it are parsed by all cores."""
+    assert registry.QUERIES["code_chunks"](spark, sf_dir).rdd.getNumPartitions() == 4
+    assert registry.QUERIES["declared_symbols"](spark, sf_dir).rdd.getNumPartitions() == 4
+
+
+def test_blanks_are_as_long_as_what_they_hide():
+    """Each comment is blanked in one step; a nested substitution took most of the time on files with many comments."""
+    code = "func a() {\n" + "\t// it's } func b() {\n" * 3 + "\tx := `one\n } two`\n}\n"
+    blank = scanner.blanked(code, scanner.LANGUAGES["go"])
+    assert [len(x) for x in blank.split("\n")] == [len(x) for x in code.split("\n")] and "two" not in blank and "func b" not in blank
+    assert scanner._hidden(re.match(r"[\s\S]*", "a\n\nbc")) == " \n\n  "
