@@ -183,7 +183,7 @@ def _places(defined: DataFrame, *values: str) -> DataFrame:
 
 def _found(wanted: DataFrame, places: DataFrame, *by: str) -> DataFrame:
     """The place of the first try that has one for each row of ``wanted`` (by, key, name, k)."""
-    hits = wanted.join(places, ["key", "name"])
+    hits = wanted.join(places.hint("merge"), ["key", "name"])
     return hits.groupBy(*by).agg(F.min_by("place", "k").alias("place")).select(*by, "place.*")
 
 
@@ -201,13 +201,13 @@ def resolve(found: DataFrame) -> DataFrame:
     edge = lambda rows, n: rows.select(symbol("rel_path", "caller").alias("src_symbol"), symbol("def_path", "def_symbol").alias("dst_symbol"), n.cast("long").alias("types"), "line")
 
     # Bare names: imported ones, else the file's own; a star import hides where names come from.
-    bare = calls.where("receiver is null").join(of("star").select("rel_path").distinct(), "rel_path", "left_anti")
+    bare = calls.where("receiver is null").join(of("star").select("rel_path").distinct().hint("merge"), "rel_path", "left_anti")
     module_level = defs.where("def_owner is null")
     places = cut(_places(module_level.withColumnRenamed("def_name", "name"), "def_symbol"))
-    own = bare.join(imports.select("rel_path", F.col("local").alias("called")), ["rel_path", "called"], "left_anti")
-    own = own.join(module_level, (bare["rel_path"] == module_level["def_path"]) & (bare["called"] == module_level["def_name"]))
+    own = bare.join(imports.select("rel_path", F.col("local").alias("called")).hint("merge"), ["rel_path", "called"], "left_anti")
+    own = own.join(module_level.hint("merge"), (bare["rel_path"] == module_level["def_path"]) & (bare["called"] == module_level["def_name"]))
     bound = _found(tries.withColumnRenamed("original", "name"), places, "rel_path", "local")
-    through = bare.join(bound.withColumnRenamed("local", "called"), ["rel_path", "called"])
+    through = bare.join(bound.withColumnRenamed("local", "called").hint("merge"), ["rel_path", "called"])
     edges = edge(own, F.lit(1)).unionByName(edge(through, F.lit(1)))
 
     # Functions of imported modules: a name imported from a module may be a module inside it.
@@ -215,8 +215,8 @@ def resolve(found: DataFrame) -> DataFrame:
     inner = imports.where(F.col("inner") & F.endswith("rel_path", F.lit(".py"))).select("rel_path", "local", inside.alias("module"), "original")
     modules = _tries(inner).unionByName(tries.withColumn("k", F.col("k") + 100)).drop("original").withColumnRenamed("local", "receiver")
     via = calls.where("receiver is not null and receiver not like 'self%'")
-    asked = via.select("rel_path", "receiver", F.col("called").alias("name")).distinct().join(modules, ["rel_path", "receiver"])
-    edges = edges.unionByName(edge(via.join(_found(asked, places, "rel_path", "receiver", "name").withColumnRenamed("name", "called"), ["rel_path", "receiver", "called"]), F.lit(1)))
+    asked = via.select("rel_path", "receiver", F.col("called").alias("name")).distinct().join(modules.hint("merge"), ["rel_path", "receiver"])
+    edges = edges.unionByName(edge(via.join(_found(asked, places, "rel_path", "receiver", "name").withColumnRenamed("name", "called").hint("merge"), ["rel_path", "receiver", "called"]), F.lit(1)))
 
     # What the names of types mean: (rel_path, type, key, is_interface).
     key = lambda path, name: F.concat(F.col(path), F.lit("::"), F.col(name))
@@ -225,43 +225,43 @@ def resolve(found: DataFrame) -> DataFrame:
     attributes = of("attribute", "field").select("rel_path", F.col("owner").alias("cls"), F.col("name").alias("attribute"), F.col("a").alias("type"), (F.col("fact") == "field").alias("declared")).distinct()
     bases = of("base").select("rel_path", F.col("owner").alias("cls"), F.col("name").alias("type"), F.coalesce("a", F.lit("000")).alias("position")).distinct()
     named = cut(attributes.select("rel_path", "type").unionByName(bases.select("rel_path", "type")).distinct())
-    own_types = named.join(classes.select(F.col("def_path").alias("rel_path"), F.col("original").alias("type"), "key", "is_interface"), ["rel_path", "type"])
-    left = named.join(own_types.select("rel_path", "type"), ["rel_path", "type"], "left_anti")
-    asked_types = tries.withColumnRenamed("local", "type").join(left, ["rel_path", "type"], "left_semi").withColumnRenamed("original", "name")
+    own_types = named.join(classes.select(F.col("def_path").alias("rel_path"), F.col("original").alias("type"), "key", "is_interface").hint("merge"), ["rel_path", "type"])
+    left = named.join(own_types.select("rel_path", "type").hint("merge"), ["rel_path", "type"], "left_anti")
+    asked_types = tries.withColumnRenamed("local", "type").join(left.hint("merge"), ["rel_path", "type"], "left_semi").withColumnRenamed("original", "name")
     through_types = _found(asked_types, _places(classes.withColumnRenamed("original", "name"), "key", "is_interface"), "rel_path", "type").select("rel_path", "type", "key", "is_interface")
-    left = left.join(through_types.select("rel_path", "type"), ["rel_path", "type"], "left_anti")
+    left = left.join(through_types.select("rel_path", "type").hint("merge"), ["rel_path", "type"], "left_anti")
     only = classes.groupBy(F.col("original").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("is_interface").alias("is_interface")).where("n = 1").drop("n")
-    means = cut(own_types.unionByName(through_types).unionByName(left.join(only, "type").select("rel_path", "type", "key", "is_interface")).distinct())
+    means = cut(own_types.unionByName(through_types).unionByName(left.join(only.hint("merge"), "type").select("rel_path", "type", "key", "is_interface")).distinct())
 
     # Where a class's methods are looked up: itself, then its bases, the first one with its own bases before the next, at
     # most twenty levels; ``place`` sorts them.
-    parents = cut(bases.join(means, ["rel_path", "type"]).select(key("rel_path", "cls").alias("ancestor"), F.col("key").alias("parent"), "position", "is_interface"))
+    parents = cut(bases.join(means.hint("merge"), ["rel_path", "type"]).select(key("rel_path", "cls").alias("ancestor"), F.col("key").alias("parent"), "position", "is_interface"))
     level = classes.select("key", F.col("key").alias("ancestor"), F.lit("").alias("place"))
     chain = level
     for _ in range(20):
-        grown = level.join(parents.select("ancestor", "parent", "position"), "ancestor").select("key", F.col("parent").alias("ancestor"), F.concat("place", "position").alias("place"))
-        level = cut(grown.join(chain.select("key", "ancestor"), ["key", "ancestor"], "left_anti").groupBy("key", "ancestor").agg(F.min("place").alias("place")))
+        grown = level.join(parents.select("ancestor", "parent", "position").hint("merge"), "ancestor").select("key", F.col("parent").alias("ancestor"), F.concat("place", "position").alias("place"))
+        level = cut(grown.join(chain.select("key", "ancestor").hint("merge"), ["key", "ancestor"], "left_anti").groupBy("key", "ancestor").agg(F.min("place").alias("place")))
         if level.isEmpty():
             break
         chain = chain.unionByName(level)
     methods = defs.where("def_owner is not null").select(key("def_path", "def_owner").alias("ancestor"), "def_name", "def_path", "def_symbol")
     first = Window.partitionBy("key", "def_name")
-    reach = chain.join(methods, "ancestor").withColumn("first", F.min("place").over(first)).where("place = first").select("key", F.col("def_name").alias("called"), "def_path", "def_symbol")
+    reach = chain.join(methods.hint("merge"), "ancestor").withColumn("first", F.min("place").over(first)).where("place = first").select("key", F.col("def_name").alias("called"), "def_path", "def_symbol")
 
-    mine = calls.where("receiver = 'self' and cls is not null").withColumn("key", key("rel_path", "cls")).join(reach, ["key", "called"])
+    mine = calls.where("receiver = 'self' and cls is not null").withColumn("key", key("rel_path", "cls")).join(reach.hint("merge"), ["key", "called"])
     edges = edges.unionByName(edge(mine, F.lit(1)))
 
     # Attributes by the types that are built for them, and by declared interfaces, which stand for all that implement them.
-    built = attributes.where("not declared").join(means, ["rel_path", "type"])
+    built = attributes.where("not declared").join(means.hint("merge"), ["rel_path", "type"])
     types = attributes.where("not declared").groupBy("rel_path", "cls", "attribute").agg(F.countDistinct("type").alias("types"))
     held = calls.where("receiver like 'self.%'").withColumn("attribute", F.substring_index("receiver", ".", -1))
-    made = held.join(built.where("not is_interface").select("rel_path", "cls", "attribute", "key"), ["rel_path", "cls", "attribute"]).join(types, ["rel_path", "cls", "attribute"]).join(reach, ["key", "called"])
+    made = held.join(built.where("not is_interface").select("rel_path", "cls", "attribute", "key").hint("merge"), ["rel_path", "cls", "attribute"]).join(types.hint("merge"), ["rel_path", "cls", "attribute"]).join(reach.hint("merge"), ["key", "called"])
     edges = edges.unionByName(edge(made, F.col("types")))
-    declared = attributes.join(means, ["rel_path", "type"]).where("is_interface").select("rel_path", "cls", "attribute", F.col("key").alias("parent"))
+    declared = attributes.join(means.hint("merge"), ["rel_path", "type"]).where("is_interface").select("rel_path", "cls", "attribute", F.col("key").alias("parent"))
     # What is built in the class is known better than what is declared.
-    declared = declared.join(built.where("not is_interface").select("rel_path", "cls", "attribute"), ["rel_path", "cls", "attribute"], "left_anti")
+    declared = declared.join(built.where("not is_interface").select("rel_path", "cls", "attribute").hint("merge"), ["rel_path", "cls", "attribute"], "left_anti")
     implementors = parents.where("is_interface").select("parent", F.col("ancestor").alias("key"))
-    injected = held.join(declared, ["rel_path", "cls", "attribute"]).join(implementors, "parent").join(reach, ["key", "called"])
+    injected = held.join(declared.hint("merge"), ["rel_path", "cls", "attribute"]).join(implementors.hint("merge"), "parent").join(reach.hint("merge"), ["key", "called"])
     edges = edges.unionByName(edge(injected, F.lit(2)))
 
     confidence = F.when(F.col("types") > 1, "low").otherwise("high")

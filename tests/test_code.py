@@ -277,6 +277,14 @@ def test_nesting_too_deep_for_the_parser():
     assert symbols.file_symbols(deep, "python")[1] and symbols.chunk_file(deep, "python", 1000) and references.python_facts("a.py", deep) == [] and symbols.python_imports(deep) == []
 
 
+def test_calls_are_resolved_without_broadcasts(spark):
+    """Tables made of small files aren't small: their estimates come from the files' table."""
+    rows = spark.createDataFrame([("a/x.py", "class K:\n    def go(self):\n        return self.on()\n\n    def on(self):\n        return 1\n"), ("a/y.py", "from a.x import K\n\ndef f():\n    return f2()\n\ndef f2():\n    return 1\n")], "rel_path string, content string")
+    edges = references.symbol_edges(rows)
+    assert {(r["src_symbol"], r["dst_symbol"]) for r in edges.collect()} == {("a/x.py::K.go", "a/x.py::K.on"), ("a/y.py::f", "a/y.py::f2")}
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
 def test_narrow_tables_of_sources_are_dealt_out(spark, sf_dir):
     """A table of parts is one split; the sources made of it are parsed by all cores."""
     assert registry.QUERIES["code_chunks"](spark, sf_dir).rdd.getNumPartitions() == 4
