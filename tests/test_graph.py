@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pandas as pd
@@ -214,3 +215,31 @@ def test_part_communities_are_those_of_all_rows(spark, sf_dir):
     pairs = [(a, b, 1.0) for a, b in part_pairs(sf_dir)]
     assert set(got) == set(nodes) | {x for a, b, _ in pairs for x in (a, b)}
     assert better_moves([(a, b) for a, b, _ in pairs], got) == [] and modularity(pairs, got) > 0.128
+
+
+def groups_of(pairs):
+    up = {x: x for pair in pairs for x in pair}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in up}
+
+
+def test_small_parts_are_not_trimmed_first(spark, monkeypatch):
+    """Trimming passes all edges several times, and a part that one task may hold doesn't need it."""
+    r = random.Random(3)
+    rows = list({(f"{g}n{r.randrange(20)}", f"{g}n{r.randrange(20)}") for g in range(4) for _ in range(30)})
+    monkeypatch.setattr(graph, "trimmed", None)
+    edges = spark.createDataFrame([(a, b, "import", False) for a, b in rows], "src_path string, dst_path string, edge_type string, is_external boolean")
+    got = {}
+    for x in graph.cycles(edges).collect():
+        got.setdefault(x["cycle_no"], []).append(x["rel_path"])
+    assert [sorted(got[k]) for k in sorted(got)] == graph.strongly_connected(rows)
+    pairs = [*rows, *((f"c{k:02d}", f"c{k + 1:02d}") for k in range(30)), ("q", "q")]
+    assert dict(map(tuple, graph.connected(spark.createDataFrame(pairs, "src string, dst string")).collect())) == groups_of(pairs)
