@@ -243,3 +243,13 @@ def test_small_parts_are_not_trimmed_first(spark, monkeypatch):
     assert [sorted(got[k]) for k in sorted(got)] == graph.strongly_connected(rows)
     pairs = [*rows, *((f"c{k:02d}", f"c{k + 1:02d}") for k in range(30)), ("q", "q")]
     assert dict(map(tuple, graph.connected(spark.createDataFrame(pairs, "src string, dst string")).collect())) == groups_of(pairs)
+
+
+def test_communities_of_small_parts_need_no_joins_in_rounds(spark, monkeypatch):
+    r = random.Random(1)
+    rows = list({(f"g{g}n{r.randrange(20)}", f"g{g}n{r.randrange(20)}") for g in range(2) for _ in range(40)})
+    pairs = spark.createDataFrame(rows, "src string, dst string")
+    want = sorted(map(tuple, communities.multilevel(pairs).collect()))
+    monkeypatch.setattr(communities, "SMALL", 100)
+    monkeypatch.setattr(communities, "_wishes", None)
+    assert sorted(map(tuple, communities.multilevel(pairs).collect())) == want
