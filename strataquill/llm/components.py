@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars.
 
-Edges are first contracted inside each partition (union-find in a task, whose memory is that of one partition), then
-joined to minima until nothing changes. Minima are partially aggregated group-bys. Vertices with more than one in
+Edges are first contracted inside each partition (union-find in a task, whose memory is that of one partition), then in
+fewer tasks of ``HELD`` edges each, as long as that halves their number. What fits one such task is done then. What
+doesn't is joined to minima until nothing changes. Minima are partially aggregated group-bys. Vertices with more than one in
 ``HOT_PARTS`` of all edges, which can be no more than ``HOT_PARTS``, get their minimum from a list of that size, so no
 vertex brings many rows to one task. Each round ends in a checkpoint, so lost executors cost one round at most.
 """
@@ -55,6 +56,7 @@ def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 HOT_PARTS = 1024
+HELD = 1 << 17  # edges that a task contracts, two numbers each
 
 
 def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
@@ -70,14 +72,31 @@ def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
     return usual.unionByName(marked.where("hot is not null").withColumnRenamed("hot", "m"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _drawn_together(edges: DataFrame, held: int) -> tuple[DataFrame, int]:
+    """Fewer edges with the same components, and their number; 0 if those are the edges to the smallest of each component."""
+    # Written first: edges that Python makes and the contraction would else hold two workers per task at once.
+    now, before = cut(edges), None
+    n = now.count()
+    while n:
+        tasks = -(-n // held)
+        if before and tasks > 1 and 2 * n > before:
+            return now, n
+        # Many edges are contracted where they are first.
+        dealt = now.repartition(tasks) if before or tasks == 1 else now
+        now = cut(dealt.mapInPandas(_contracted, "a long, b long"))
+        if tasks == 1:
+            break
+        before, n = n, now.count()
+    return now, 0
+
+
+def components(edges: DataFrame, rounds: int = 60, held: int = HELD) -> DataFrame:
     """(id, component) of the vertices of ``edges`` (a, b: long) that aren't the smallest of their component."""
     edges = edges.where(F.col("a") != F.col("b")).select(F.col("a").cast("long"), F.col("b").cast("long"))
-    # Written first: edges that Python makes and the contraction would else hold two workers per task at once.
-    now = cut(cut(edges).mapInPandas(_contracted, "a long, b long"))
-    seen, n_edges = None, now.count()
+    now, n_edges = _drawn_together(edges, held)
     if not n_edges:
         return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    seen = None
     for _ in range(rounds):
         # Edges point from the larger to the smaller. Large star: larger neighbours go to the minimum around a vertex, or to the vertex.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

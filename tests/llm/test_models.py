@@ -186,3 +186,17 @@ def test_components(spark):
         root[y] = x
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == {x: find(x) for x in list(root) if find(x) != x}
+
+
+@pytest.mark.parametrize("held", [8, 100, 300, 1 << 17])
+def test_components_in_rounds_and_in_tasks(spark, held):
+    """In rounds of joins only where edges don't fit a task; the driver has few stages to keep track of where they do."""
+    edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(2000 + 2 * k, 2001 + 2 * k) for k in range(100)]
+    want = {k: 0 for k in range(1, 201)} | {1000 + k: 1000 for k in range(1, 300)} | {2001 + 2 * k: 2000 + 2 * k for k in range(100)}
+    sc = spark.sparkContext
+    sc.setJobGroup(f"components-{held}", "")
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(7), held=held)
+    n_jobs = len(sc.statusTracker().getJobIdsForGroup(f"components-{held}"))
+    sc._jsc.clearJobGroup()
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
+    assert held < 1 << 17 or n_jobs <= 8
