@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[A-Za-z0-9_]+"
+SLICES = 16
 
 
 def normalize_space(text: Column) -> Column:
@@ -38,14 +39,27 @@ def chunk_size(category: Column, language: Column) -> Column:
     )
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sliding_chunks(text: Column, size: Column) -> Column:
-    """Overlapping slices: each begins max(120, size / 8) characters before the end of the one before."""
-    clean = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    n = F.char_length(clean)
+    """Overlapping slices: each begins max(120, size / 8) characters before the end of the one before.
+
+    A slice is found by counting characters from the start, so a text is cut into blocks of ``SLICES`` slices first.
+    """
     step = size - F.greatest(F.lit(120), F.floor(size / 8))
-    # The last slice is the first that reaches the end.
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step))
-    return F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda k: F.substr(clean, (k * step + 1).cast("int"), size.cast("int")))
+    part = lambda t, at, n: F.substr(t, (at + 1).cast("int"), n.cast("int"))
+
+    def slices(t: Column) -> Column:
+        # The last slice is the first that reaches the end.
+        last = F.greatest(F.lit(0), F.ceil((F.char_length(t) - size) / step)).cast("long")
+        within = lambda b: lambda t: F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.lit(SLICES - 1).cast("long"), last - b * SLICES)), lambda k: part(t, k * step, size))
+        blocks = F.sequence(F.lit(0).cast("long"), F.floor(last / SLICES))
+        return F.flatten(F.transform(blocks, lambda b: _bound(part(t, b * SLICES * step, size + (SLICES - 1) * step), within(b))))
+
+    return _bound(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), slices)
 
 
 def ends_open(content: Column, language: Column) -> Column:

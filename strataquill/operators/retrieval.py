@@ -52,10 +52,12 @@ def terms_of(query: str) -> list[str]:
 def flat_chunks(files: DataFrame) -> DataFrame:
     """rel_path, category, language, chunk_index, content, token_estimate of files (rel_path, category, language, content)."""
     clean = text.normalize_space(F.col("content"))
-    sized = files.where(~F.col("category").isin("generated", "asset", "secret-risk", "other")).select(
+    # A condition on the cleaned text would clean it twice.
+    told = files.where(~F.col("category").isin("generated", "asset", "secret-risk", "other")).where(F.col("content").rlike(r"(?U)\S"))
+    sized = told.select(
         "rel_path", "category", "language", clean.alias("clean"), text.chunk_size(F.col("category"), F.col("language")).alias("size")
     )
-    pieces = sized.where("clean <> ''").select("rel_path", "category", "language", F.posexplode(text.sliding_chunks(F.col("clean"), F.col("size"))).alias("chunk_index", "content"))
+    pieces = sized.select("rel_path", "category", "language", F.posexplode(text.sliding_chunks(F.col("clean"), F.col("size"))).alias("chunk_index", "content"))
     return pieces.select("rel_path", "category", "language", F.col("chunk_index").cast("long"), "content", text.token_estimate(F.col("content")).alias("token_estimate"))
 
 
@@ -70,6 +72,25 @@ def document_frequency(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def frequencies(files: DataFrame) -> DataFrame:
+    """term, df of the chunks of files, and a row without a term: the number of chunks.
+
+    A chunk has each term once, so only terms meet, and those of a map task are counted there. Chunks of files that share a
+    path may be the same one to :func:`chunk_terms`; the terms of these, and of no others, meet by chunk first.
+    """
+    path = F.col("rel_path").alias("path")
+    repeated = files.groupBy(path).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("path")
+    alone, same = files, None
+    if not repeated.isEmpty():
+        alone, same = (files.join(repeated, F.col("rel_path").eqNullSafe(F.col("path")), kind) for kind in ("left_anti", "left_semi"))
+    of_none = F.lit(None).cast("string")
+    found = flat_chunks(alone).select(F.explode(F.array_append(F.array_distinct(text.corpus_tokens(F.col("content"))), of_none)).alias("term"))
+    if same is not None:
+        chunks = flat_chunks(same)
+        found = found.unionByName(chunk_terms(chunks).select("term")).unionByName(chunks.select(of_none.alias("term")))
+    return document_frequency(found)
+
+
 def corpus_stats(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """n chunks and avgdl, one row; with the inverted table no content is read."""
     if terms is not None:

@@ -47,8 +47,8 @@ def bm25_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + fx.TERMS_SQL + " SELECT term, df, round(idf, 6) AS idf FROM idfs")
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.chunks(spark, sf_dir)
-    return r.idf(r.document_frequency(r.chunk_terms(c)), r.corpus_stats(c)).withColumn("idf", F.round("idf", 6))
+    found = cut(r.frequencies(fx.files(spark, sf_dir)).where("df >= 2 or term is null"))
+    return r.idf(found.where("term is not null"), found.where("term is null").select(F.col("df").alias("n"))).withColumn("idf", F.round("idf", 6))
 
 
 def _scores(c: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,35 @@ def scored(spark, docs, query):
     return {r["rel_path"]: r["bm25"] for r in retrieval.bm25(terms, retrieval.idf(retrieval.document_frequency(terms), stats), stats, query).collect()}
 
 
+@pytest.mark.parametrize("name", ["bm25_idf"])
+def test_frequencies_are_counted_before_they_meet(spark, sf_dir, name):
+    """Only terms are dealt out by key: no row for each chunk and term is."""
+    from strataquill.plans import registry
+
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\((\w+)#", plan)) <= {"term"}
+
+
+def test_frequencies(spark):
+    """Chunks that agree in path, place and length have a term once together; all count as chunks."""
+    rows = [("a.py", "one two two"), ("a.py", "two three three"), ("a.py", "two four"), ("b.py", "One\u00a0two"), ("c.py", "\u3000\u00a0\n"), ("d.py", None), ("e.py", "!"), ("b.png", "one")]
+    files = spark.createDataFrame([(p, "asset" if p == "b.png" else "source", "python", c) for p, c in rows], "rel_path string, category string, language string, content string")
+    got = dict(map(tuple, retrieval.frequencies(files).collect()))
+    assert got == {"one": 2, "two": 3, "three": 1, "four": 1, None: 5}
+    terms = retrieval.chunk_terms(retrieval.flat_chunks(files))
+    assert dict(map(tuple, retrieval.document_frequency(terms).collect())) == {t: n for t, n in got.items() if t}
+    once = files.dropDuplicates(["rel_path"]).where("rel_path <> 'a.py'")
+    assert dict(map(tuple, retrieval.frequencies(once).collect())) == {"one": 1, "two": 1, None: 2}
+    assert retrieval.frequencies(files.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 1499, 1500, 1501, 1313 * 15 + 1500, 1313 * 15 + 1501, 1313 * 16 + 1500, 100_000])
+def test_slices_of_long_texts(spark, n):
+    body = "".join("aé漢😀"[k * k % 4] + chr(97 + k // 26 % 26) for k in range(n))[:n]
+    last = max(0, -(-(n - 1500) // 1313))
+    assert one(spark, text.sliding_chunks(F.col("t"), F.lit(1500)), t=body) == [body[k * 1313 : k * 1313 + 1500] for k in range(last + 1)]
+
+
 def test_bm25(spark):
     filler = [(f"z{k}.py", "other words here") for k in range(4)]
     got = scored(spark, [("a.py", "foo foo bar"), ("b.py", "foo baz"), *filler], ["foo"])
