@@ -37,7 +37,7 @@ def corpus_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + fx.TERMS_SQL + " SELECT term, df FROM dfs")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.document_frequency(r.chunk_terms(fx.chunks(spark, sf_dir)))
+    return r.frequencies(fx.files(spark, sf_dir)).where("term is not null")
 
 
 @query("WITH " + fx.TERMS_SQL + " SELECT n, round(avgdl, 6) AS avgdl FROM stats")

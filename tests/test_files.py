@@ -68,7 +68,7 @@ def scored(spark, docs, query):
     return {r["rel_path"]: r["bm25"] for r in retrieval.bm25(terms, retrieval.idf(retrieval.document_frequency(terms), stats), stats, query).collect()}
 
 
-@pytest.mark.parametrize("name", ["bm25_idf"])
+@pytest.mark.parametrize("name", ["document_frequency", "bm25_idf"])
 def test_frequencies_are_counted_before_they_meet(spark, sf_dir, name):
     """Only terms are dealt out by key: no row for each chunk and term is."""
     from strataquill.plans import registry
