@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from strataquill.operators import chains, communities, graph
+from strataquill.operators import chains, communities, graph, parts
 from strataquill.plans import registry
 
 
@@ -253,3 +253,32 @@ def test_communities_of_small_parts_need_no_joins_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(communities, "SMALL", 100)
     monkeypatch.setattr(communities, "_wishes", None)
     assert sorted(map(tuple, communities.multilevel(pairs).collect())) == want
+
+
+def test_small_parts_go_through_all_levels_in_one_task(spark, monkeypatch):
+    """Each level and each stretch of rounds was a job of its own, and each round counted all edges anew."""
+    writes, write = [], communities.Rounds.write
+    monkeypatch.setattr(communities.Rounds, "write", lambda self, df: (writes.append(1), write(self, df))[1])
+    pairs = clustered(3, 6, 20, 120, 60)
+    rows = spark.createDataFrame(pairs, "src string, dst string")
+    home = dict(map(tuple, communities.multilevel(rows).collect()))
+    assert len(writes) == 2 and better_moves(pairs, home) == []
+    ids = np.arange(120)
+    rnd = np.random.default_rng(5)
+    e = np.unique(np.sort(rnd.integers(0, 120, (900, 2)), axis=1), axis=0)
+    e = e[e[:, 0] != e[:, 1]]
+    node, other = np.concatenate([e, e[:, ::-1]]).T
+    node, other = node[np.argsort(node, kind="stable")], other[np.argsort(node, kind="stable")]
+    hashes = np.sort(rnd.integers(-(2**62), 2**62, 120))
+    tabled = communities.levels_here(node, other, np.ones(len(node)), hashes, float(len(node)), 1.0)
+    monkeypatch.setattr(communities._Links, "_tabled", lambda self, label: None)
+    assert (communities.levels_here(node, other, np.ones(len(node)), hashes, float(len(node)), 1.0) == tabled).all()
+    assert better_moves([(a, b) for a, b in zip(node, other, strict=True) if a < b], dict(zip(ids, tabled, strict=True))) == []
+
+
+def test_names_with_the_same_number_are_told_apart(spark, monkeypatch):
+    number, seeds = parts._number, []
+    monkeypatch.setattr(parts, "_number", lambda c, seed: (seeds.append(seed), number(c, seed) % (2 if seed < 2 else 2**60))[1])
+    rows, names = parts.numbered(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string"), communities.Rounds(spark))
+    named = {r["id"]: r["name"] for r in names.collect()}
+    assert set(seeds) == {0, 1, 2} and sorted((named[r["a"]], named[r["b"]]) for r in rows.collect()) == [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")]
