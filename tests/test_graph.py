@@ -282,3 +282,29 @@ def test_names_with_the_same_number_are_told_apart(spark, monkeypatch):
     rows, names = parts.numbered(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string"), communities.Rounds(spark))
     named = {r["id"]: r["name"] for r in names.collect()}
     assert set(seeds) == {0, 1, 2} and sorted((named[r["a"]], named[r["b"]]) for r in rows.collect()) == [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")]
+
+
+def test_components_of_numbered_nodes():
+    """One search both ways from the busiest node finds most; chains longer than its steps go to the search by single nodes."""
+    rnd = np.random.default_rng(8)
+    for n, m in ((1, 0), (6, 9), (40, 60), (40, 200), (200, 230)):
+        for _ in range(20):
+            e = np.unique(rnd.integers(0, n, (m, 2)), axis=0)
+            e = e[e[:, 0] != e[:, 1]]
+            got = {}
+            for node, root in enumerate(graph.component_roots(e[:, 0], e[:, 1], n)):
+                got.setdefault(int(root), []).append(node)
+            got.pop(-1, None)
+            want = graph.strongly_connected([(int(a), int(b)) for a, b in e])
+            assert sorted(got.values()) == sorted(want) and all(k == min(v) for k, v in got.items())
+    ring = np.arange(500)
+    assert (graph.component_roots(ring, np.roll(ring, -1), 500) == 0).all()
+
+
+def test_small_parts_share_tasks(spark):
+    """Each part, of however few edges, was a group of its own for Python."""
+    pairs = spark.range(300).selectExpr("id * 2 AS src", "id * 2 + 1 AS dst")
+    pairs = pairs.unionByName(pairs.selectExpr("dst AS src", "src AS dst"))
+    few, many = graph._by_size(pairs, 600)
+    assert many is None and few.count() == 600 and few.select("key").distinct().count() <= 9
+    assert {(r["node"], r["root"]) for r in graph.in_one_task(few, "key").collect()} == {(k, k // 2 * 2) for k in range(600)}
